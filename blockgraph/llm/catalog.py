@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lm_scoring, mixing, quality_classifier, quality_rules, sharding, token_output
+from . import decontamination, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_output
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_decontamination": decontamination.query,
         "op4_sharding": sharding.query,
         "op5_lm_scoring": lm_scoring.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_token_output": token_output.query,
         "op8_mixing": mixing.query,
         "op9_quality_rules": quality_rules.query,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op4_sharding": sharding.SQL, "op6_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}

@@ -24,7 +24,7 @@ CORE, STEPS, CUT = 0.75, 3, 60.0
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI_MEDIAN = 3.356694
 #: Added to each variance, in units of the transformed statistics: a statistic that hardly varies can't reject alone.
-RIDGE = (0.05, 0.02, 0.02, 0.01)
+RIDGE = (0.05, 0.15, 0.3, 0.25)
 DIM = 4
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
