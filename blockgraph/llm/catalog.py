@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_output
+from . import decontamination, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_output
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_suffix_dedup": suffix_dedup.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op3_decontamination": decontamination.query,
         "op4_sharding": sharding.query,
         "op5_lm_scoring": lm_scoring.query,

@@ -70,7 +70,7 @@ def sketches(sh: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray
     for r in range(2 * bins):
         if not len(todo):
             break
-        h = mix(element + np.uint64(r + 1) * _GOLD)
+        h = mix(element + np.uint64((r + 1) * int(_GOLD) & (1 << 64) - 1))
         if r < bins:
             at = of * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         else:
