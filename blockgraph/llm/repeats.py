@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, inner_id, materialize, outer_id, ship
+from .common import chunks, inner_id, outer_id, ship
 
 #: Runs of one anchor that a single task compares at most.
 HOT = 20_000
@@ -50,8 +50,9 @@ def anchor_id(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(16) & np.uint64(0xFFFFFFFFFFFE)).astype(np.int64)
 
 
-CONTEXT = "key long, k long, tag long, first int, windows int, offset int, body binary"
-_CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("offset", pa.int32()), ("body", pa.binary())])
+#: meta holds, from the top, 32 bits of the first window's start, 8 of the windows, 8 of the offset, 16 of the text's tag.
+CONTEXT = "key long, k long, meta long, body binary"
+_CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("meta", pa.int64()), ("body", pa.binary())])
 
 
 def _contexts(runs: Runs, k: np.ndarray, tag: np.ndarray, flags: list[np.ndarray | None], across: bool) -> pa.RecordBatch:
@@ -95,10 +96,13 @@ def _contexts(runs: Runs, k: np.ndarray, tag: np.ndarray, flags: list[np.ndarray
         # windows by their content's hash; what is resolved goes anywhere
         key[i] = (hash_bytes(rows[i][5]) if rows[i][5] is not None else rows[i][1][1] * 2654435761 + rows[i][1][0]) & (1 << 62) - 1 | 1
     docs = np.array([r[2] for r in rows])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(k[docs]), pa.array(tag[docs]), *(pa.array(np.array([f(r) for r in rows], np.int32)) for f in (lambda r: r[1][1], lambda r: r[3], lambda r: r[4])), pa.array([r[5] for r in rows], pa.binary())],
-        schema=_CONTEXT,
-    )
+    meta = np.array([r[1][1] << 32 | r[3] << 24 | r[4] << 16 for r in rows], np.int64) | tag[docs]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(k[docs]), pa.array(meta), pa.array([r[5] for r in rows], pa.binary())], schema=_CONTEXT)
+
+
+def tag_of(text: bytes) -> int:
+    """Tells rows of one id and different texts apart."""
+    return hash_bytes(text) & 0xFFFF
 
 
 def hash_bytes(x: bytes) -> int:
@@ -136,15 +140,16 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
                 n = np.diff(np.append(at, len(by)))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(part.column(0).to_numpy()[doc[at]]), pa.array(n.astype(np.int32))], ["g", "k", "n"])
 
-    grams = materialize(texts.mapInArrow(anchors, "g long, k long, n int"))
-    counted = grams.groupBy("g").agg(F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    # scanned twice: once to count, once to tell the documents of what repeats
+    grams = texts.mapInArrow(anchors, "g long, k long, n int")
+    counted = grams.groupBy("g").agg(F.sum("n").alias("n"), *([F.min("k").alias("lo"), F.max("k").alias("hi")] if across else []))
     counted = counted.filter("lo < hi" if across else "n > 1").select("g", (F.col("n") > HOT).cast("long").alias("hot"))
     flagged = grams.select("g", "k").join(counted, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.col("g").bitwiseOR(F.col("hot")))).alias("flags"))
 
     def contexts(batches):
         for batch in batches:
             for part, runs in scan(1, batch):
-                tag = np.array([hash_bytes(x) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                tag = np.array([tag_of(x) for x in part.column(1).to_pylist()], np.int64)
                 flags = [np.array(x, np.int64) for x in part.column(2).to_pylist()]
                 out = _contexts(runs, part.column(0).to_numpy(), tag, flags, across)
                 if out.num_rows:
@@ -158,7 +163,8 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
         def spans(lot):
             t = pa.Table.from_batches(lot)
             body = t.column("body").to_pylist()
-            x = {c: t.column(c).to_numpy() for c in ("key", "k", "tag", "first", "windows", "offset")}
+            meta = t.column("meta").to_numpy()
+            x = {"key": t.column("key").to_numpy(), "k": t.column("k").to_numpy(), "first": meta >> 32, "windows": meta >> 24 & 255, "offset": meta >> 16 & 255, "tag": meta & 0xFFFF}
             done = np.array([b is None for b in body], bool)
             at = np.flatnonzero(~done)
             row, start = resolve({c: v[at] for c, v in x.items()} | {"body": [body[i] for i in at.tolist()]}) if len(at) else (at, at)
@@ -174,7 +180,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
             owner = np.concatenate([row[cut], whole])
             lo = np.concatenate([start[cut], x["first"][whole]]) if len(cut) else x["first"][whole]
             hi = np.concatenate([start[last], x["first"][whole] + x["windows"][whole] - 1]) if len(cut) else lo + x["windows"][whole] - 1
-            return pa.RecordBatch.from_arrays([pa.array(x["k"][owner]), pa.array(x["tag"][owner]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["k", "tag", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(x["k"][owner]), pa.array(x["tag"][owner].astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["k", "tag", "lo", "hi"])
 
         for batch in batches:
             while batch.num_rows:
@@ -195,7 +201,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
         if size:
             yield spans(held)
 
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, tag long, lo int, hi int")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, tag int, lo int, hi int")
     # in one plan with the join above, so that the texts are shuffled by id once
     found = found.groupBy("k").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
@@ -206,7 +212,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
                 values = []
                 for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if spans:
-                        tag = int(np.array([hash_bytes(t)], np.uint64).view(np.int64)[0])
+                        tag = tag_of(t)
                         spans = [(s["lo"], s["hi"]) for s in spans if s["tag"] == tag]
                     values.append(finish(t, *merged(spans or [])))
                 cols = list(zip(*values, strict=True))
