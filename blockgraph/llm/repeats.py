@@ -51,6 +51,7 @@ def anchor_id(h: np.ndarray) -> np.ndarray:
 
 
 #: meta holds, from the top, 32 bits of the first window's start, 8 of the windows, 8 of the offset, 16 of the text's tag.
+# a span packs, from the top, the first repeated window's start, 8 bits to the last one's, and the tag
 CONTEXT = "key long, k long, meta long, body binary"
 _CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("meta", pa.int64()), ("body", pa.binary())])
 
@@ -180,7 +181,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
             owner = np.concatenate([row[cut], whole])
             lo = np.concatenate([start[cut], x["first"][whole]]) if len(cut) else x["first"][whole]
             hi = np.concatenate([start[last], x["first"][whole] + x["windows"][whole] - 1]) if len(cut) else lo + x["windows"][whole] - 1
-            return pa.RecordBatch.from_arrays([pa.array(x["k"][owner]), pa.array(x["tag"][owner].astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["k", "tag", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(x["k"][owner]), pa.array(lo << 24 | (hi - lo) << 16 | x["tag"][owner])], ["k", "span"])
 
         for batch in batches:
             while batch.num_rows:
@@ -201,9 +202,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
         if size:
             yield spans(held)
 
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, tag int, lo int, hi int")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, span long")
     # in one plan with the join above, so that the texts are shuffled by id once
-    found = found.groupBy("k").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
+    found = found.groupBy("k").agg(F.collect_list("span").alias("spans"))
 
     def digest(batches):
         for batch in batches:
@@ -213,7 +214,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
                 for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if spans:
                         tag = tag_of(t)
-                        spans = [(s["lo"], s["hi"]) for s in spans if s["tag"] == tag]
+                        spans = [(s >> 24, (s >> 24) + (s >> 16 & 255)) for s in spans if s & 0xFFFF == tag]
                     values.append(finish(t, *merged(spans or [])))
                 cols = list(zip(*values, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols)], ["k", *names])
