@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, crc, inner_id, materialize, mix, outer_id, ship, table
 
 #: Words of the broadcast table, and bytes that one of them may have.
-COMMON, COMMON_BYTES = 1 << 17, 64
+COMMON, COMMON_BYTES = 1 << 16, 64
 #: Passes of expectation maximisation; what the lattice takes from the count of each seen word.
 PASSES, DISCOUNT = 2, 0.75
 #: Words that the lattice kernel takes at once.
@@ -154,7 +154,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist(), 4 << 22):
+            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(2).to_pylist(), lower=True)
                 if not len(words.start):
@@ -192,12 +192,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), lot.column("c").combine_chunks(), pa.array(word_log10(shared.value, w, lot.column("c").to_numpy(), total, r[1]))], ["w", "c", "p"])
 
     known = materialize(vocab.mapInArrow(logs, "w binary, c long, p double"))
-    top = known.filter(F.octet_length("w") <= COMMON_BYTES).orderBy(F.desc("c"), "w").limit(COMMON).collect()
     # at most COMMON words: hash, count, log-probability
-    words = Words([bytes(x["w"]) for x in top]) if top else None
-    keys = words.hash if top else np.zeros(0, np.uint64)
+    top = known.filter(F.octet_length("w") <= COMMON_BYTES).orderBy(F.desc("c"), "w").limit(COMMON).toArrow()
+    keys = Words(top.column("w").to_pylist()).hash
     by = np.argsort(keys)
-    common = spark.sparkContext.broadcast((keys[by], np.array([x["c"] for x in top], np.int64)[by], np.array([x["p"] for x in top], float)[by]))
+    common = spark.sparkContext.broadcast((keys[by], top.column("c").to_numpy()[by], top.column("p").to_numpy()[by]))
     del top
 
     def documents(batches):
@@ -208,7 +207,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         part_id = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist(), 4 << 21):
+            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
                 part = batch.slice(a, b - a)
                 n_docs = b - a
                 words = Words(part.column(2).to_pylist(), lower=True)
