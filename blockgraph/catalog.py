@@ -1,9 +1,265 @@
-"""The library's queries by name, with their SQL."""
+"""The library's queries by name, with their SQL, over graphs drawn from the order and event tables.
+
+`cop`: parts bought in one order at least twice, a vertex for each part (some isolated). `evt`: event types that
+follow each other for a user, with self-loops. Deterministic assignments: v % 7 (cop), v % 2 (evt); refined: v % 21.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.quality import ConstantPotts, Modularity
+from .graph import Graph
+from .operators import coloring, contract, evaluate, moves, partition, refine
+from .plans.cluster import Options, blocks_and_colors, cluster
+from .runtime import cut
+from .sources import files
+
+POTTS, MOD = ConstantPotts(0.3), Modularity(1.1)
+
+
+def cop(spark: SparkSession, d: str, least: int = 2) -> Graph:
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    x, y = li.withColumnRenamed("l_partkey", "src"), li.withColumnRenamed("l_partkey", "dst")
+    e = x.join(y, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).filter(F.col("w") >= least)
+    return Graph.from_edges(e, w="w", nodes=spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("v")))
+
+
+def evt(spark: SparkSession, d: str) -> Graph:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ids = e.select("event_type").distinct().withColumn("id", F.row_number().over(Window.orderBy("event_type")) - 1)
+    step = e.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).filter("b is not null")
+    step = step.join(ids.select(F.col("event_type").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("event_type").alias("b"), F.col("id").alias("dst")), "b")
+    step = step.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("w"))
+    return Graph.from_edges(step, w="w")
+
+
+def mod(g: Graph, k: int) -> DataFrame:
+    return g.nodes.select("v", (F.col("v") % k).alias("c"))
+
+
+COP = """
+e AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, count(*)::DOUBLE AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
+n AS (SELECT p_partkey AS v FROM part),
+p AS (SELECT v, v % 7 AS c FROM n),
+f AS (SELECT v, v % 21 AS c FROM n)"""
+EVT = """
+o AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+i AS (SELECT event_type AS t, row_number() OVER (ORDER BY event_type) - 1 AS id FROM (SELECT DISTINCT event_type FROM events) q),
+e AS (SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst, count(*)::DOUBLE AS w FROM o JOIN i x ON o.a = x.t JOIN i y ON o.b = y.t GROUP BY 1, 2),
+n AS (SELECT DISTINCT v FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) q),
+p AS (SELECT v, v % 2 AS c FROM n)"""
+SHARED = """
+he AS (SELECT src AS v, dst AS u, w FROM e UNION ALL SELECT dst, src, w FROM e),
+nd AS (SELECT n.v, 1.0::DOUBLE AS node_size, coalesce(s.k, 0.0)::DOUBLE AS strength FROM n LEFT JOIN (SELECT v, sum(w) AS k FROM he GROUP BY v) s USING (v)),
+m AS (SELECT sum(w) AS m, count(*) AS cnt FROM e),
+dg AS (SELECT n.v, coalesce(q.d, 0)::BIGINT AS degree FROM n LEFT JOIN (SELECT v, count(*) AS d FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) z GROUP BY v) q USING (v)),
+pe AS (SELECT e.*, a.c AS cu, b.c AS cv FROM e JOIN p a ON e.src = a.v JOIN p b ON e.dst = b.v),
+com AS (SELECT c, count(*) AS n_members, sum(node_size) AS size, sum(strength) AS strength, coalesce((SELECT sum(w) FROM pe WHERE cu = cv AND cu = c), 0.0)::DOUBLE AS internal_w FROM p JOIN nd USING (v) GROUP BY c),
+sym AS (SELECT v, u, w FROM he WHERE v <> u),
+nbw AS (SELECT s.v, p.c, sum(s.w) AS w FROM sym s JOIN p ON s.u = p.v GROUP BY 1, 2),
+bs AS (SELECT nd.v, p.c AS src, node_size, nd.strength, coalesce(ws.w, 0.0) AS w_src, com.size AS src_size, com.strength AS src_strength, com.n_members AS src_n FROM nd JOIN p USING (v) JOIN com ON com.c = p.c LEFT JOIN nbw ws ON ws.v = nd.v AND ws.c = p.c),
+cand AS (SELECT bs.*, nbw.c AS tgt, nbw.w AS w_tgt, t.size AS tgt_size, t.strength AS tgt_strength FROM bs JOIN nbw ON nbw.v = bs.v AND nbw.c <> bs.src JOIN com t ON t.c = nbw.c UNION ALL SELECT *, NULL, 0.0, 0.0, 0.0 FROM bs WHERE src_n > 1),
+dl AS (SELECT v, src, tgt, (w_tgt - w_src) - 0.3::DOUBLE * node_size * (tgt_size - (src_size - node_size)) AS dp, 2 * (w_tgt - w_src) - 1.1::DOUBLE * strength * (tgt_strength - (src_strength - strength)) / (SELECT m FROM m) AS dm FROM cand),
+pb AS (SELECT b.c AS block, (SELECT count(*) FROM p WHERE p.c = b.c) AS nodes, (SELECT count(*) FROM pe WHERE cu = cv AND cu = b.c) AS internal_edges, (SELECT count(*) FROM (SELECT DISTINCT least(cu, cv), greatest(cu, cv) FROM pe WHERE cu <> cv AND (cu = b.c OR cv = b.c)) z) AS degree FROM (SELECT DISTINCT c FROM p) b),
+ts AS (SELECT nd.v, p.c, strength, coalesce((SELECT sum(w) FROM sym JOIN p q ON q.v = sym.u WHERE sym.v = nd.v AND q.c = p.c), 0.0) AS w FROM nd JOIN p USING (v)),
+ms AS (SELECT c, sum(1.0::DOUBLE) AS mp, sum(strength) AS mm FROM p JOIN nd USING (v) GROUP BY c)"""
+REFINED = """
+fe AS (SELECT e.*, a.c AS cu, b.c AS cv, x.c AS pu, y.c AS pv FROM e JOIN f a ON e.src = a.v JOIN f b ON e.dst = b.v JOIN p x ON e.src = x.v JOIN p y ON e.dst = y.v),
+rs AS (SELECT p.c AS parent, f.c, count(*) AS n_members, sum(strength) AS mass, coalesce((SELECT sum(w) FROM fe WHERE pu = pv AND cu <> cv AND (cu = f.c OR cv = f.c)), 0.0) AS external_w FROM p JOIN f USING (v) JOIN nd USING (v) GROUP BY p.c, f.c)"""
+
+
+def _sql(graph: str, final: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {graph},{SHARED}{',' + more if more else ''} {final}"
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _named(name: str, value) -> list:
+    return [F.lit(name).alias("metric"), value.cast("double").alias("value")]
+
+
+def _fine(g: Graph) -> DataFrame:
+    """v % 21 within v % 7."""
+    return mod(g, 21)
+
+
+def _move_facts(g: Graph, found: DataFrame, objective, start: DataFrame) -> DataFrame:
+    """Conserved sums through an assignment, and counts of what must not be."""
+    found = cut(found)
+    com = partition.communities(g, found)
+    rows = [
+        com.select(*_named("vertices", F.sum("n_members"))),
+        com.select(*_named("size", F.sum("size"))),
+        com.select(*_named("strength", F.round(F.sum("strength"), 6))),
+        partition.faults(g, found).select(*_named("faults", F.sum("n"))),
+        g.nodes.limit(1).select(*_named("lost_quality", F.lit(float(partition.quality(g, found, objective) < partition.quality(g, start, objective) - 1e-9)))),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+FACTS = "SELECT 'vertices' AS metric, count(*)::DOUBLE AS value FROM n UNION ALL SELECT 'size', count(*)::DOUBLE FROM n UNION ALL SELECT 'strength', round(2 * (SELECT m FROM m), 6) UNION ALL SELECT 'faults', 0 UNION ALL SELECT 'lost_quality', 0"
+
+
+def _local_move(s, d, way, objective):
+    g = cop(s, d).persist()
+    start = partition.singletons(g)
+    found = way(g, start, objective, 3).assignment
+    left = moves.best_moves(moves.candidates(g, found, objective), 1e-9)
+    return _move_facts(g, found, objective, start).union(left.select(*_named("improving_moves", F.count("*"))))
+
+
+def _refine(s, d, objective):
+    g = cop(s, d).persist()
+    parent = mod(g, 7)
+    found = cut(refine.refine(g, parent, objective, 0.01, 3))
+    both = found.join(parent.withColumnRenamed("c", "p"), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
+    return _move_facts(g, found, objective, partition.singletons(g)).union(both.select(*_named("across_parents", F.count("*"))))
+
+
+def _cluster(s, d, objective):
+    g = cop(s, d).persist()
+    return _move_facts(g, cluster(g, objective, Options(seed=3)).assignment, objective, partition.singletons(g))
+
+
+def _matrix(s, d):
+    """Through a file: the edges written and read again."""
+    import uuid
+
+    g = cop(s, d).persist()
+    ids = cut(partition.compact_ids(g.nodes, "v").select("v", F.col("compact").alias("to")))
+    back = ids.select(F.col("to").alias("x"), F.col("v").alias("old"))
+    path = f"{_shared(s)}/matrix-{uuid.uuid4().hex}"
+    files.write_reordered(g, ids, path)
+    got = files.read_matrix(s, path, "any").edges
+    got = got.join(back.select(F.col("x").alias("src"), F.col("old").alias("a")), "src").join(back.select(F.col("x").alias("dst"), F.col("old").alias("b")), "dst")
+    return got.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+
+
+def _shared(s) -> str:
+    cut(s.range(1))  # sets the folder where none is set
+    return (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")).rstrip("/")
+
+
+def _block_file(s, d):
+    import uuid
+
+    g = cop(s, d).persist()
+    ids = partition.compact_ids(g.nodes, "v").select("v", F.col("compact").alias("to"))
+    a = cut(mod(g, 7).join(ids, "v").select(F.col("to").alias("v"), "c"))
+    path = f"{_shared(s)}/blocks-{uuid.uuid4().hex}"
+    files.write_blocks(a, path)
+    nb, got = files.read_blocks(s, path, g.num_vertices())
+    return got.select("v", "c", F.lit(nb).cast("long").alias("n_blocks"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Clustering, block graph, colouring and report of the co-purchase graph."""
+    g = cop(spark, d).persist()
+    found = blocks_and_colors(g, Modularity(1.0), Options(seed=1))
+    ids = found.clustering.assignment
+    return evaluate.report(g, ids, found.n_blocks, found.colors, found.n_colors)
+
+
+COLORS_SQL = """
+rk AS (SELECT v, row_number() OVER (ORDER BY degree DESC, v) AS i FROM dg),
+pr AS (SELECT a.i, list(DISTINCT b.i) AS l FROM sym JOIN rk a ON a.v = sym.v JOIN rk b ON b.v = sym.u WHERE b.i < a.i GROUP BY a.i),
+nb AS (SELECT rk.i, rk.v, coalesce(pr.l, []) AS l FROM rk LEFT JOIN pr USING (i)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS cols UNION ALL
+  SELECT nb.i, list_append(cols, coalesce(list_min(list_filter(range(0, len(l) + 1), lambda k: NOT list_contains(list_transform(l, lambda q: cols[q]), k))), 0)) FROM r JOIN nb ON nb.i = r.i + 1),
+cl AS (SELECT rk.v, (SELECT cols FROM r ORDER BY i DESC LIMIT 1)[rk.i] AS color FROM rk)"""
+
+BALANCE = "coalesce((SELECT 2 * sum(i * nodes) / (count(*) * sum(nodes)) - (count(*) + 1.0) / count(*) FROM (SELECT nodes, row_number() OVER (ORDER BY nodes) AS i FROM pb) z), 0)"
+
+#: name: (query, SQL)
+TABLE = {
+    "graph_stats": (lambda s, d: cop(s, d).strengths(), _sql(COP, "SELECT * FROM nd")),
+    "selfloop_stats": (lambda s, d: evt(s, d).strengths(), _sql(EVT, "SELECT * FROM nd")),
+    "degree": (lambda s, d: cop(s, d).degree(), _sql(COP, "SELECT * FROM dg")),
+    "degree_selfloops": (lambda s, d: evt(s, d).degree(), _sql(EVT, "SELECT * FROM dg")),
+    "edge_count": (lambda s, d: evt(s, d).edges.agg(F.count("*").alias("n_edges"), F.sum("w").alias("weight")), _sql(EVT, "SELECT cnt AS n_edges, m AS weight FROM m")),
+    "vertex_count": (lambda s, d: cop(s, d).nodes.agg(F.count("*").alias("n")), _sql(COP, "SELECT count(*) AS n FROM n")),
+    "binary_weights": (lambda s, d: cop(s, d).binary().edges, _sql(COP, "SELECT src, dst, 1.0::DOUBLE AS w FROM e")),
+    "edge_weight": (lambda s, d: evt(s, d).edge_weight(2, 1), _sql(EVT, "SELECT w FROM e WHERE src = 1 AND dst = 2")),
+    "unknown_vertices": (lambda s, d: Graph(cop(s, d).nodes.filter("v % 50 > 0"), cop(s, d).edges).strangers(), _sql(COP, "SELECT * FROM e WHERE src % 50 = 0 OR dst % 50 = 0")),
+    "self_loops": (lambda s, d: evt(s, d).loops(), _sql(EVT, "SELECT src AS v, w FROM e WHERE src = dst")),
+    "community_stats": (lambda s, d: partition.communities(cop(s, d), mod(cop(s, d), 7)), _sql(COP, "SELECT c, n_members, size, strength, internal_w FROM com")),
+    "community_stats_selfloops": (lambda s, d: partition.communities(evt(s, d), mod(evt(s, d), 2)), _sql(EVT, "SELECT c, n_members, size, strength, internal_w FROM com")),
+    "community_stats_brand": (
+        lambda s, d: partition.communities(cop(s, d), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("v"), F.col("p_brand").alias("c"))),
+        _sql(COP.replace("v % 7 AS c FROM n)", "p_brand AS c FROM n JOIN part ON p_partkey = v)"), "SELECT c, n_members, size, strength, internal_w FROM com"),
+    ),
+    "id_bound": (lambda s, d: partition.id_bound(mod(cop(s, d), 7)), _sql(COP, "SELECT max(c) + 1 AS n FROM p")),
+    "active_communities": (lambda s, d: partition.active(mod(cop(s, d), 7)), _sql(COP, "SELECT count(DISTINCT c) AS n FROM p")),
+    "smallest_unused": (lambda s, d: partition.smallest_unused(mod(cop(s, d), 7)), _sql(COP, "SELECT min(i) AS c FROM range(0, 100) r(i) WHERE i NOT IN (SELECT c FROM p)")),
+    "singletons": (lambda s, d: partition.singletons(cop(s, d)), _sql(COP, "SELECT v, v AS c FROM n")),
+    "neighbor_community_weights": (lambda s, d: partition.neighbour_weights(cop(s, d), mod(cop(s, d), 7)), _sql(COP, "SELECT * FROM nbw")),
+    "weight_into_community": (lambda s, d: partition.weight_into(evt(s, d), mod(evt(s, d), 2), 2, 0, True), _sql(EVT, "SELECT (SELECT w FROM nbw WHERE v = 2 AND c = 0) + coalesce((SELECT w FROM e WHERE src = 2 AND dst = 2), 0) AS w")),
+    "quality_cpm": (lambda s, d: partition.communities(evt(s, d), mod(evt(s, d), 2)).agg(POTTS.quality(1.0).alias("q")).select(*_r("q")), _sql(EVT, "SELECT round(sum(internal_w - 0.3 * size * (size - 1) / 2), 6) AS q FROM com")),
+    "quality_modularity": (lambda s, d: (lambda g: partition.communities(g, mod(g, 7)).agg(MOD.quality(g.total_weight()).alias("q")).select(*_r("q")))(cop(s, d)), _sql(COP, "SELECT round(sum(2 * internal_w - 1.1::DOUBLE * strength * strength / (2 * (SELECT m FROM m))), 6) AS q FROM com")),
+    "delta_move_cpm": (lambda s, d: moves.candidates(cop(s, d), mod(cop(s, d), 7), POTTS).select("v", "src", "tgt", *_r("delta")), _sql(COP, "SELECT v, src, tgt, round(dp, 6) AS delta FROM dl")),
+    "delta_move_modularity": (lambda s, d: moves.candidates(cop(s, d), mod(cop(s, d), 7), MOD).select("v", "src", "tgt", *_r("delta")), _sql(COP, "SELECT v, src, tgt, round(dm, 6) AS delta FROM dl")),
+    "best_move": (lambda s, d: moves.best_moves(moves.candidates(cop(s, d), mod(cop(s, d), 7), POTTS)).select("v", "tgt"), _sql(COP, "SELECT v, tgt FROM (SELECT v, tgt, row_number() OVER (PARTITION BY v ORDER BY dp DESC, tgt NULLS LAST) AS r FROM dl WHERE dp > 1e-12) z WHERE r = 1")),
+    "apply_moves": (lambda s, d: (lambda a: partition.apply_moves(a, a.filter("v % 3 = 0").select("v", F.lit(99).cast("long").alias("c"))))(mod(cop(s, d), 7)), _sql(COP, "SELECT v, CASE WHEN v % 3 = 0 THEN 99 ELSE c END AS c FROM p")),
+    "subset_mass": (lambda s, d: refine.subset_mass(cop(s, d), mod(cop(s, d), 7), MOD), _sql(COP, "SELECT c, mm AS mass FROM ms")),
+    "edge_weight_to_subset": (lambda s, d: refine.weight_to_subset(cop(s, d), mod(cop(s, d), 7)), _sql(COP, "SELECT v, w FROM ts")),
+    "well_connected_nodes_cpm": (lambda s, d: refine.well_connected_nodes(cop(s, d), mod(cop(s, d), 7), ConstantPotts(0.01)), _sql(COP, "SELECT v, c, w >= 0.01::DOUBLE * (mp - 1) AS ok FROM ts JOIN ms USING (c)")),
+    "well_connected_nodes_modularity": (lambda s, d: refine.well_connected_nodes(cop(s, d), mod(cop(s, d), 7), Modularity(0.5)), _sql(COP, "SELECT v, c, w >= 0.5::DOUBLE / (2 * (SELECT m FROM m)) * strength * (mm - strength) AS ok FROM ts JOIN ms USING (c)")),
+    "refinement_community_stats": (lambda s, d: refine.refinement_stats(cop(s, d), mod(cop(s, d), 7), _fine(cop(s, d)), MOD), _sql(COP, "SELECT * FROM rs", REFINED)),
+    "well_connected_communities": (
+        lambda s, d: refine.well_connected_communities(cop(s, d), mod(cop(s, d), 7), _fine(cop(s, d)), MOD),
+        _sql(COP, "SELECT rs.*, external_w >= 1.1::DOUBLE / (2 * (SELECT m FROM m)) * mass * (mm - mass) AS ok FROM rs JOIN ms ON ms.c = rs.parent", REFINED),
+    ),
+    "aggregate_graph_nodes": (lambda s, d: contract.aggregate_graph(cop(s, d), _fine(cop(s, d))).graph.strengths(), _sql(COP, "SELECT c AS v, count(*)::DOUBLE AS node_size, sum(strength) AS strength FROM f JOIN nd USING (v) GROUP BY c")),
+    "aggregate_graph_edges": (lambda s, d: contract.aggregate_graph(evt(s, d), mod(evt(s, d), 2)).graph.edges, _sql(EVT, "SELECT least(cu, cv) AS src, greatest(cu, cv) AS dst, sum(w) AS w FROM pe GROUP BY 1, 2")),
+    **{
+        f"block_graph_{mode}": (lambda s, d, mode=mode: contract.block_graph(cop(s, d), mod(cop(s, d), 7), mode).edges, _sql(COP, f"SELECT least(cu, cv) AS src, greatest(cu, cv) AS dst, {agg}::DOUBLE AS w FROM pe WHERE cu <> cv GROUP BY 1, 2"))
+        for mode, agg in (("binary", "1.0"), ("count", "count(*)"), ("abs_sum", "sum(abs(w))"))
+    },
+    "coarse_partition": (lambda s, d: (lambda g: contract.coarse_partition(contract.aggregate_graph(g, _fine(g)).coarse_of, mod(g, 7)))(cop(s, d)), _sql(COP, "SELECT DISTINCT f.c AS v, p.c FROM f JOIN p USING (v)")),
+    "flatten_levels": (lambda s, d: (lambda g: contract.flatten(_fine(g).withColumnRenamed("c", "coarse"), s.range(21).select(F.col("id").alias("v"), (F.col("id") % 7).alias("coarse"))))(cop(s, d)), _sql(COP, "SELECT v, c AS coarse FROM p")),
+    "compact_ids": (lambda s, d: partition.compact(cop(s, d).nodes.select("v", (F.col("v") % 7 * 10 + 3).alias("c"))), _sql(COP, "SELECT v, c FROM p")),
+    "members": (lambda s, d: partition.members(mod(cop(s, d), 7)).select("c", F.array_join("members", ",").alias("members")), _sql(COP, "SELECT c, string_agg(v::VARCHAR, ',' ORDER BY v) AS members FROM p GROUP BY c")),
+    "block_members": (lambda s, d: partition.blocks(mod(evt(s, d), 2)).select("block", F.array_join("members", ",").alias("members")), _sql(EVT, "SELECT c AS block, string_agg(v::VARCHAR, ',' ORDER BY v) AS members FROM p GROUP BY c")),
+    "assignment_faults": (lambda s, d: partition.faults(cop(s, d), mod(cop(s, d), 7).filter("v % 5 > 0").select("v", F.when(F.col("v") % 11 > 0, F.col("c")).alias("c"))), _sql(COP, "SELECT 'missing' AS fault, count(*) AS n FROM n WHERE v % 5 = 0 UNION ALL SELECT 'unknown', 0 UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'unassigned', count(*) FROM n WHERE v % 5 > 0 AND v % 11 = 0")),
+    "greedy_coloring": (lambda s, d: coloring.greedy(cop(s, d).persist()), _sql(COP, "SELECT v, color FROM cl", COLORS_SQL)),
+    "relabel_colors": (lambda s, d: coloring.relabel_by_size(coloring.greedy(cop(s, d).persist())), _sql(COP, "SELECT v, k AS color FROM cl JOIN (SELECT color, row_number() OVER (ORDER BY count(*) DESC, color) - 1 AS k FROM cl GROUP BY color) z USING (color)", COLORS_SQL)),
+    "coloring_violations": (lambda s, d: coloring.violations(cop(s, d), mod(cop(s, d), 7).withColumnRenamed("c", "color"), 6), _sql(COP, "SELECT 'uncoloured' AS fault, 0 AS n UNION ALL SELECT 'out_of_range', count(*) FROM p WHERE c >= 6 UNION ALL SELECT 'clash', count(*) FROM pe WHERE cu = cv AND src <> dst")),
+    "greedy_coloring_balanced": (lambda s, d: (lambda g: coloring.violations(g, cut(coloring.greedy_balanced(g))))(cop(s, d).persist()), _sql(COP, "SELECT unnest(['uncoloured', 'out_of_range', 'clash']) AS fault, 0 AS n")),
+    "greedy_coloring_levelled": (lambda s, d: (lambda g: coloring.violations(g, cut(coloring.greedy_levelled(g))))(cop(s, d).persist()), _sql(COP, "SELECT unnest(['uncoloured', 'out_of_range', 'clash']) AS fault, 0 AS n")),
+    "per_block": (lambda s, d: evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7), _sql(COP, "SELECT * FROM pb")),
+    "edge_locality": (lambda s, d: evaluate.locality(cop(s, d), mod(cop(s, d), 7)).select("internal_edges", "external_edges", *_r("internal_ratio", "locality_score")), _sql(COP, "SELECT i AS internal_edges, x AS external_edges, round(i / (i + x), 6) AS internal_ratio, round(i / (x + 1), 6) AS locality_score FROM (SELECT count(*) FILTER (WHERE cu = cv) AS i, count(*) FILTER (WHERE cu <> cv) AS x FROM pe) z")),
+    "block_density": (lambda s, d: evaluate.density(evaluate.per_block(evt(s, d), mod(evt(s, d), 2), 2)).select(*_r("avg_block_density", "mean_internal_avg_degree")), _sql(EVT, "SELECT round(sum(CASE WHEN nodes > 1 THEN internal_edges / (nodes * (nodes - 1) / 2) END) / count(*), 6) AS avg_block_density, round(sum(2 * internal_edges / nodes) / count(*), 6) AS mean_internal_avg_degree FROM pb")),
+    "balance": (lambda s, d: evaluate.balance(evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7)).select("max_nodes", "min_nodes", *_r("avg_nodes", "stddev", "gini")), _sql(COP, f"SELECT max(nodes) AS max_nodes, min(nodes) AS min_nodes, round(avg(nodes), 6) AS avg_nodes, round(stddev_pop(nodes), 6) AS stddev, round({BALANCE}, 6) AS gini FROM pb")),
+    "block_graph_density": (lambda s, d: evaluate.block_graph_stats(evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7)).select("block_graph_edges", *_r("block_graph_density", "avg_block_graph_degree")), _sql(COP, "SELECT (sum(degree) / 2)::BIGINT AS block_graph_edges, round(sum(degree) / (count(*) * (count(*) - 1)), 6) AS block_graph_density, round(avg(degree), 6) AS avg_block_graph_degree FROM pb")),
+    "modularity_eval_unweighted": (lambda s, d: evaluate.modularity_unweighted(evt(s, d), mod(evt(s, d), 2)).select(*_r("modularity")), _sql(EVT, "SELECT round(sum(l / cnt - (k / (2.0 * cnt)) * (k / (2.0 * cnt))), 6) AS modularity FROM m, (SELECT c, sum(degree) AS k, (SELECT count(*) FROM pe WHERE cu = cv AND cu = c) AS l FROM p JOIN dg USING (v) GROUP BY c) z")),
+    "modularity_eval_weighted": (
+        lambda s, d: evaluate.modularity_weighted(evt(s, d), mod(evt(s, d), 2)).select(*_r("modularity")),
+        _sql(EVT, "SELECT round(sum(l / t - (k / (2 * t)) * (k / (2 * t))), 6) AS modularity FROM (SELECT sum(abs(w)) AS t FROM e WHERE src <> dst) y, (SELECT c, sum(k) AS k, coalesce((SELECT sum(abs(w)) FROM pe WHERE cu = cv AND src <> dst AND cu = c), 0) AS l FROM p JOIN (SELECT v, sum(abs(w)) AS k FROM (SELECT src AS v, w FROM e UNION ALL SELECT dst, w FROM e WHERE src <> dst) q GROUP BY v) x USING (v) GROUP BY c) z"),
+    ),
+    "color_stats": (lambda s, d: evaluate.per_color(mod(cop(s, d), 7), s.range(7).select(F.col("id").alias("v"), (F.col("id") % 3).alias("color")), 4).select("color", "blocks", "nodes", *_r("avg_nodes_per_block")), _sql(COP, "SELECT k AS color, count(DISTINCT p.c) AS blocks, count(p.v) AS nodes, round(coalesce(count(p.v) / nullif(count(DISTINCT p.c), 0), 0), 6) AS avg_nodes_per_block FROM range(4) r(k) LEFT JOIN p ON p.c % 3 = k GROUP BY k")),
+    "load_imbalance": (lambda s, d: evaluate.imbalance(evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7), evaluate.per_color(mod(cop(s, d), 7), s.range(7).select(F.col("id").alias("v"), (F.col("id") % 3).alias("color")), 3)).select(*_r("block_imbalance", "color_imbalance")), _sql(COP, "SELECT round((SELECT max(nodes) / avg(nodes) FROM pb), 6) AS block_imbalance, round((SELECT max(x) / avg(x) FROM (SELECT count(*) AS x FROM p GROUP BY (c % 3)) z), 6) AS color_imbalance")),
+    "evaluation_report": (lambda s, d: evaluate.report(cop(s, d).persist(), mod(cop(s, d), 7), 7).select("num_vertices", "num_edges", "num_blocks", "internal_edges", "external_edges", "max_nodes", "min_nodes", "block_graph_edges", *_r("avg_nodes")), _sql(COP, "SELECT (SELECT count(*) FROM n) AS num_vertices, (SELECT count(*) FROM e) AS num_edges, 7 AS num_blocks, (SELECT count(*) FROM pe WHERE cu = cv) AS internal_edges, (SELECT count(*) FROM pe WHERE cu <> cv) AS external_edges, max(nodes) AS max_nodes, min(nodes) AS min_nodes, (sum(degree) / 2)::BIGINT AS block_graph_edges, round(avg(nodes), 6) AS avg_nodes FROM pb")),
+    "local_move_rounds": (lambda s, d: _local_move(s, d, moves.local_move, ConstantPotts(0.5)), _sql(COP, FACTS + " UNION ALL SELECT 'improving_moves', 0")),
+    "local_move_queue": (lambda s, d: _local_move(s, d, moves.local_move_queue, Modularity(1.0)), _sql(COP, FACTS + " UNION ALL SELECT 'improving_moves', 0")),
+    "refine_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.05)), _sql(COP, FACTS + " UNION ALL SELECT 'across_parents', 0")),
+    "refine_modularity": (lambda s, d: _refine(s, d, Modularity(1.0)), _sql(COP, FACTS + " UNION ALL SELECT 'across_parents', 0")),
+    "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5)), _sql(COP, FACTS)),
+    "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, FACTS)),
+    "matrix_roundtrip": (_matrix, _sql(COP, "SELECT src, dst, w FROM e")),
+    "block_file_roundtrip": (_block_file, _sql(COP, "SELECT row_number() OVER (ORDER BY v) - 1 AS v, c, 7 AS n_blocks FROM p")),
+}
 
 
 def queries():
-    return {}
+    return {name: q for name, (q, _) in TABLE.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in TABLE.items()}
