@@ -6,9 +6,9 @@ further round is for one bin alone, so that every coordinate fills. Bands of coo
 candidate's sketch must agree in far more coordinates than chance leaves possible for an unlinked pair to matter,
 and every link is confirmed on the full sets.
 
-Documents of equal sets are one node. Within a band's bucket each node is first compared with one centre only; what
-then is in one component needs no further comparison. Only buckets that still hold several components are searched
-for pairs across components, in blocks, so no group is expanded into its pairs.
+Documents of equal sets are one node. Within a band's bucket each node is first compared with one centre only. Buckets
+that then hold several components have their common shingles counted as products of incidence matrices, in blocks,
+and give a spanning forest of the links across components, so no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -170,12 +170,8 @@ def _least_agree(percent: int) -> int:
     return max(0, int(BINS * p - 8.5 * (BINS * p * (1 - p)) ** 0.5))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ends, "v", "left_semi").select("k").distinct()
-    sets = _sets(docs.join(wanted, "k", "left_semi").select("k", "t"), width).join(ends, "v", "left_semi").groupBy("v").agg(F.first("sh").alias("sh"))
-    sets = materialize(sets)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets (v, sh)."""
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("sh").alias("y")), "b")
 
     def run(batches):
@@ -212,10 +208,52 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("v"), F.col("lo").alias("c")).union(links.select("lo", "lo").distinct())
 
 
-def _across(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and have sketches alike enough.
+def _linked(v: np.ndarray, c: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (v, v) that join the components c of one bucket's nodes: a spanning forest of the links across them.
 
-    A bucket of more than BLOCK nodes is dealt out to tasks of two blocks each.
+    The common shingles of all nodes are counted at once, as products of incidence matrices, a few thousand columns
+    at a time; only shingles that several nodes have get a column.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), n)
+    shingle, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(shingle), -1)
+    place[shared] = np.arange(len(shared))
+    col = place[col]
+    row, col = row[col >= 0], col[col >= 0]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    for at in range(0, len(shared), 4096):
+        a, b = np.searchsorted(col, (at, at + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[a:b], col[a:b] - at] = 1
+        common += m @ m.T
+    link = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (c[:, None] != c[None, :])
+    root = {x: x for x in c.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(link)), strict=True):
+        x, y = find(int(c[i])), find(int(c[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(v[i]), int(v[j])))
+    return out
+
+
+def _across(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a bucket and link different components, as far as 32-bit shingle hashes tell: no
+    link is missed, and what they add wrongly fails the confirmation.
+
+    Of links that join the same components in a bucket one is given. A bucket of more than BLOCK nodes is dealt out
+    to tasks of two blocks each.
     """
     tagged = buckets.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed = tagged.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("b", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -223,33 +261,24 @@ def _across(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int)
     # a row goes to each task that its block takes part in: one, unless the bucket is very large
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("task", F.xxhash64("b", F.least("mine", "other"), F.greatest("mine", "other")))
-    rows = rows.join(nodes.select("v", "n", "sk"), "v").select("task", "mine", "v", "c", "n", "sk")
-    least = _least_agree(percent)
 
-    def pairs(v, c, n, sk, mine):
-        found = []
-        for at in range(0, len(v), 256):
-            s = slice(at, at + 256)
-            ok = (c[s, None] != c[None, :]) & (v[s, None] < v[None, :]) & (100 * np.minimum(n[s, None], n[None, :]) >= percent * np.maximum(n[s, None], n[None, :]))
-            i, j = np.nonzero(ok)
-            for lot in range(0, len(i), 100_000):
-                p, q = i[lot : lot + 100_000] + at, j[lot : lot + 100_000]
-                good = (sk[p] == sk[q]).sum(axis=1) >= least
-                found.append(np.stack([v[p[good]], v[q[good]]]))
-        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    def short(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["v", "sh"])
+
+    rows = rows.join(sets.select("v", "sh").mapInArrow(short, "v long, sh binary"), "v").select("task", "v", "c", "sh")
 
     def run(batches):
         held: list = []
 
         def flush():
             t = pa.Table.from_batches(held)
-            task, mine, v, c, n = (t.column(x).to_numpy() for x in ("task", "mine", "v", "c", "n"))
-            sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
+            task, v, c = (t.column(x).to_numpy() for x in ("task", "v", "c"))
+            sets = [np.frombuffer(x, np.uint32) for x in t.column("sh").to_pylist()]
             cuts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(task)), strict=True):
-                x = pairs(v[a:b], c[a:b], n[a:b], sk[a:b], mine[a:b])
-                if x.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["a", "b"])
+            found = [x for a, b in zip(cuts, np.append(cuts[1:], len(task)), strict=True) for x in _linked(v[a:b], c[a:b], sets[a:b], percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,15 +317,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = buckets.groupBy("b").agg(F.min("v").alias("a"), F.count("*").alias("m")).filter("m > 1").select("b", "a")
     buckets = materialize(buckets.join(centres, "b"))
     stars = materialize(_alike(buckets.filter("a <> v").select("a", F.col("v").alias("b")).distinct(), nodes, percent))
+    shared = buckets.select("v").distinct()
+    sets = _sets(texts.join(nodes.join(shared, "v", "left_semi").select("k").distinct(), "k", "left_semi").select("k", "t"), width)
+    sets = materialize(sets.join(shared, "v", "left_semi").dropDuplicates(["v"]))
     # each node first tries the centre that it resembles most
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    links = materialize(_confirmed(best, texts, nodes, width, percent))
+    links = materialize(_confirmed(best, sets, percent))
     comp = materialize(components(links))
-    rest = _across(buckets.select("b", "v"), nodes, comp, percent).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialize(rest)
-    if rest.take(1):
-        links = links.union(materialize(_confirmed(rest, texts, nodes, width, percent)))
+    # a link that 32 bits show wrongly could hide one of its bucket: search again until all that is found holds
+    while True:
+        rest = materialize(_across(buckets.select("b", "v"), comp, sets, percent))
+        good = materialize(_confirmed(rest, sets, percent))
+        if not good.take(1):
+            break
+        links = links.union(good)
         comp = materialize(components(links))
+        if good.count() == rest.count():
+            break
     label = nodes.select("v", "k").join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
     label = materialize(label.join(label.groupBy("c").agg(F.min("k").alias("first")), "c").select("v", "first"))
     out = signed.select("k", "v", "n").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
