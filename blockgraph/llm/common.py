@@ -67,6 +67,13 @@ def ship(spark: SparkSession) -> None:
     sc._blockgraph_shipped = True
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     """Tasks for a shuffle of whole texts: as many as the scan has, or the session's number if that is more."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
@@ -156,19 +163,3 @@ class Words:
 
     def text(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.stop[i]]
-
-
-def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of that width, the index of its least value, the leftmost of equals."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low, at, span = values, np.arange(len(values)), 1
-    while span * 2 <= width:
-        left = low[:-span] <= low[span:]
-        low, at = np.where(left, low[:-span], low[span:]), np.where(left, at[:-span], at[span:])
-        span *= 2
-    if rest := width - span:
-        left = low[:n] <= low[rest : rest + n]
-        at = np.where(left, at[:n], at[rest : rest + n])
-    return at[:n]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import ship, table
+from .common import ship, table, unused
 
 #: Edits allowed, as one in so many characters of the item.
 ONE_ERROR_IN = 16
@@ -131,7 +131,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", on
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((load_items(benchmark), one_in))
     keep = [c for c in (docs.columns if carry is None else carry) if c != out_col]
-    base = docs.select(*keep, F.col(text_col).alias("__text"))
+    base = docs.select(*keep, F.col(text_col).alias(unused(keep, "__text")))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
 
     def scan(batches):

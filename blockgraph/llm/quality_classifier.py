@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc, ship, table
+from .common import chunks, crc, ship, table, unused
 
 #: Hash buckets, vector size, passes, learning rate; and how many labelled rows training may see at most.
 BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 12, 6, 0.25, 3000
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """
     ship(docs.sparkSession)
     keep = [c for c in (docs.columns if carry is None else carry) if c != out_col]
-    base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(unused(keep, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches):
