@@ -233,10 +233,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rank[order] = np.arange(1 << 16, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
 
-    def squeeze(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(np.frombuffer(x, "<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1) for x in batch.column(2).to_pylist()], pa.binary())], ["k", "n", "z"])
-
     def shards(batches):
         from pyspark import TaskContext
 
@@ -249,18 +245,18 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("count", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
         for batch in batches:
-            for k, n, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size and size + n > SHARD:
                     yield row()
                     seq, start, ks, ns, ids, size = seq + 1, start + size, [], [], [], 0
                 ks.append(k)
                 ns.append(n)
-                ids.append(np.frombuffer(zlib.decompress(z), np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1))
+                ids.append(np.frombuffer(x, "<u2"))
                 size += n
         if size:
             yield row()
 
-    spread = encoded.mapInArrow(squeeze, "k long, n long, z binary").repartitionByRange(partitions(encoded), "k").sortWithinPartitions("k")
+    spread = encoded.repartitionByRange(partitions(encoded), "k").sortWithinPartitions("k")
     out = spread.mapInArrow(shards, "part int, seq int, start long, docs binary, lengths binary, count long, control binary, data binary")
     out.write.option("compression", "zstd").parquet(f"{path}/shards")
     header = spark.createDataFrame([(order.astype("<u4").tobytes(),)], "order binary")
