@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -209,7 +210,7 @@ def test_mixing(make, rows):
 def test_quality_rules(make, rows):
     got = {r["doc_id"]: r for r in quality_rules.judge(make(rows)).collect()}
     for d, t in rows:
-        w = (t or "").split(" ") if False else [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         again = {i + k for i, x in enumerate(wins) if wins.count(x) > 1 for k in range(5)}
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r")]
