@@ -27,7 +27,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands for a null id inside the operators.
 LAST = (1 << 63) - 1
 #: Bytes of text that the numpy kernels take at once; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
