@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 MIN_WORDS, MAX_REPEAT = 10, 20
-#: Smaller groups share their language's estimate; if that too is small, the base rules alone decide.
+#: Each estimate rests on as many rows more, in the shape of its language's estimate, and a language's of the corpus'.
+PRIOR = 50
+#: In SQL only: there, smaller groups share their language's estimate; if that too is small, the base rules alone decide.
 MIN_GROUP = 200
 #: Share of vectors that an estimate rests on, number of concentration steps, and the largest squared distance kept.
 CORE, STEPS, CUT = 0.75, 3, 60.0
@@ -96,10 +98,31 @@ MOMENTS = [(f"m{i}", f"avg(x{i})") for i in range(DIM)]
 COVARIANCES = [(f"c{i}{j}", f"avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})" + (f" + {RIDGE[i] ** 2!r}D" if i == j else "")) for i, j in _PAIRS]
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+#: Plain averages, which blend; the scatter follows from them.
+AVERAGES = [(f"a{i}", f"avg(x{i})") for i in range(DIM)] + [(f"a{i}{j}", f"avg(x{i} * x{j})") for i, j in _PAIRS]
+BLENDED = [(f"m{i}", f"a{i}") for i in range(DIM)] + [(f"c{i}{j}", f"a{i}{j} - a{i} * a{j}" + (f" + {RIDGE[i] ** 2!r}D" if i == j else "")) for i, j in _PAIRS]
+
+
+def _blend(each: DataFrame, up: DataFrame, names: list[str]) -> DataFrame:
+    """(g, names): each group's values (g, n, names), with PRIOR rows of its language's added to its own n.
+
+    A language's values get PRIOR rows of the corpus' in the same way first. up: (g, up1, up2), the language and the
+    corpus of a group; a language has the corpus as both, the corpus itself.
+    """
+    out = each.join(up, "g")
+    for u in ("up1", "up2"):
+        out = out.join(each.select(F.col("g").alias(u), F.col("n").alias(f"n_{u}"), *[F.col(c).alias(f"{c}_{u}") for c in names]), u)
+    with_prior = lambda own, n, prior: (n * own + PRIOR * prior) / (n + PRIOR)
+    return out.select("g", *[with_prior(F.col(c), F.col("n"), with_prior(F.col(f"{c}_up1"), F.col("n_up1"), F.col(f"{c}_up2"))).alias(c) for c in names])
+
+
+def _estimate(rows: DataFrame, up: DataFrame) -> DataFrame:
     """Location and factored scatter for each group."""
-    out = rows.groupBy("g").agg(*[F.expr(x).alias(n) for n, x in MOMENTS + COVARIANCES])
-    for name, x in FACTOR:
+    each = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(x).alias(n) for n, x in AVERAGES])
+    # a small group may have no row in the core: the prior alone stands
+    each = materialize(up.select("g").join(each, "g", "left").fillna(0))
+    out = _blend(each, up, [n for n, _ in AVERAGES])
+    for name, x in BLENDED + FACTOR:
         out = out.withColumn(name, F.expr(x))
     return out.select("g", *[n for n, _ in MOMENTS], *[n for n, _ in FACTOR])
 
@@ -116,39 +139,37 @@ def _quantile(rows: DataFrame, share: float, name: str) -> DataFrame:
     bins = rows.groupBy("g", "bin").agg(F.count("*").alias("n"))
     upto, whole = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
     bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("of", F.sum("n").over(whole))
-    return bins.filter(F.col("upto") >= share * F.col("of")).groupBy("g").agg(F.min("bin").alias(name))
+    return bins.filter(F.col("upto") >= share * F.col("of")).groupBy("g").agg(F.min("bin").alias(name), F.first("of").alias("n"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, the statistics, base_failed and kept for each document.
 
     kept is false if the base rules fail, or if the document's vector lies further out than the cut. Null languages
-    and sources form groups of their own. Groups under MIN_GROUP rows use their language's estimate, and without
-    one that is large enough the base rules alone decide. Repeated rows count each. An empty table gives no rows.
+    and sources form groups of their own. A group of any size has its estimate, shrunk towards its language's and that
+    towards the corpus' with the weight of PRIOR rows. Repeated rows count each. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.coalesce(F.col(lang_col), F.lit("\0")).alias("__l"), F.coalesce(F.col(source_col), F.lit("\0")).alias("__s"))
     st = statistics(base, "__text").drop("__text")
     st = st.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     st = materialize(st)
-    sound = st.filter(~F.col("base_failed"))
-    counts = sound.groupBy("__l", "__s").agg(F.count("*").alias("n"))
-    by_lang = counts.groupBy("__l").agg(F.sum("n").alias("n_lang"))
-    groups = counts.join(by_lang, "__l")
-    name = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\1", "__l", "__s")).when(F.col("n_lang") >= MIN_GROUP, F.concat_ws("\1", "__l", F.lit("\2")))
-    groups = materialize(groups.select("__l", "__s", name.alias("g"), (F.col("n") >= MIN_GROUP).alias("own")))
-    x = st.join(groups, ["__l", "__s"], "left").withColumns({f"x{i}": F.expr(e) for i, e in enumerate(VECTOR)})
-    cols = ["g", *[f"x{i}" for i in range(DIM)]]
-    fit = x.filter(~F.col("base_failed") & F.col("g").isNotNull())
-    # a language's estimate rests on all its documents, those of large sources too
-    fit = fit.select(*cols).unionByName(fit.filter("own").withColumn("g", F.concat_ws("\1", "__l", F.lit("\2"))).select(*cols)).join(groups.select("g").distinct(), "g", "left_semi")
-    fit = materialize(fit)
-    estimate = materialize(_estimate(fit))
+    group, lang, corpus = F.concat_ws("\1", F.lit("s"), "__l", "__s"), F.concat_ws("\1", F.lit("l"), "__l"), F.lit("c")
+    x = st.withColumn("g", group).withColumns({f"x{i}": F.expr(e) for i, e in enumerate(VECTOR)})
+    cols = [f"x{i}" for i in range(DIM)]
+    # a language's estimate rests on all its documents, and the corpus' on all
+    levels = F.array(*[F.struct(g.alias("g"), a.alias("up1"), corpus.alias("up2")) for g, a in ((group, lang), (lang, corpus), (corpus, corpus))])
+    sound = x.filter(~F.col("base_failed"))
+    up = materialize(sound.select("__l", "__s").distinct().select(F.explode(levels).alias("level")).select("level.*").distinct())
+    fit = materialize(sound.select(F.explode(levels).alias("level"), *cols).select("level.g", *cols))
+    estimate = materialize(_estimate(fit, up))
     for _ in range(STEPS):
         d = _distances(fit, estimate)
-        core = d.join(_quantile(d, CORE, "most"), "g").filter("bin <= most")
-        estimate = materialize(_estimate(core))
+        # the bound is shrunk too: otherwise a row that is alone would be its own core
+        bound = materialize(_blend(materialize(_quantile(d, CORE, "most")), up, ["most"]))
+        core = d.join(bound, "g").filter("bin <= most")
+        estimate = materialize(_estimate(core, up))
     # scaled so that the group's median distance is that of the normal distribution
-    middle = _quantile(_distances(fit, estimate), 0.5, "middle")
+    middle = _blend(materialize(_quantile(_distances(fit, estimate), 0.5, "middle")), up, ["middle"])
     estimate = materialize(estimate.join(middle, "g").withColumn("scale", F.expr(f"{CHI_MEDIAN}D / exp((middle + 1) / 64.0D)")))
     out = x.join(estimate, "g", "left")
     for n, e in RESIDUAL:

@@ -228,6 +228,17 @@ def test_quality_rules_reject_outliers(spark):
     assert all(kept[i] for i in range(400)) and not any(kept[i] for i in range(400, 410))
 
 
+def test_quality_rules_judge_small_groups(spark):
+    rng = np.random.default_rng(3)
+    plain = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 200)))
+    odd = " ".join(f"w{x}###$$$" for x in rng.integers(0, 5000, 100))
+    # no language has many documents; "fr" and a source of "en" consist of one
+    docs = [(i, plain(), "en" if i % 2 else "de", f"s{i % 6}") for i in range(120)]
+    docs += [(200, odd, "en", "s1"), (201, odd, "de", "t"), (202, odd, "fr", "u"), (203, plain(), "en", "t"), (204, plain(), "es", None), (205, plain(), None, "s1")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(kept) == len(docs) and {i for i in kept if not kept[i]} == {200, 201, 202}
+
+
 def test_quality_classifier(spark, make, rows):
     rng = np.random.default_rng(2)
     text = lambda y: " ".join(f"w{x}" + ("" if y else "***") for x in rng.integers(0, 500, 60))
