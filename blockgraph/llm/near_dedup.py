@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, inner_id, materialize, mix, outer_id, ship, table
+from .common import Words, chunks, inner_id, materialize, mix, outer_id, ship, table, unused
 
 #: Bands of coordinates. A pair at the threshold of 0.8 shares none of 48 bands of 6 with probability 5e-7.
 BANDS, ROWS = 48, 6
@@ -110,15 +110,18 @@ def set_ids(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(k, v, n, sk) and the columns of docs (k, t, ...) past the second, which are longs."""
+    more = docs.columns[2:]
+
     def run(batches):
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist()):
                 part = batch.slice(a, b - a)
                 sh, bounds = shingle_sets(part.column(1).to_pylist(), width)
                 sk = sketches(sh, bounds)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_ids(sh, bounds)), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in sk], pa.binary())], ["k", "v", "n", "sk"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_ids(sh, bounds)), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in sk], pa.binary()), *part.columns[2:]], ["k", "v", "n", "sk", *more])
 
-    return docs.mapInArrow(run, "k long, v long, n long, sk binary")
+    return docs.mapInArrow(run, ", ".join(["k long, v long, n long, sk binary", *[f"{c} long" for c in more]]))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -308,9 +311,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     them, have empty sets and are linked with nothing. Rows that repeat an id share its place: each of them is kept
     if that id is the least. A null id sorts last.
     """
+    out = _labelled(docs, id_col, text_col, width, percent)
+    return out.select(outer_id(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), outer_id(F.col("first")).alias("component_id"), (F.col("k") == F.col("first")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, of those linked as in near_duplicates exactly one: the least by id (null last), then by hash.
+
+    Rows are told apart by id and 128 bits of hash of their columns, so neither null nor repeated ids matter; of rows
+    that are equal throughout one stays as well. Rows with empty sets all stay.
+    """
+    names = docs.columns
+    k, h, r = key = [unused(names, x) for x in ("__k", "__h", "__r")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # maps have no hash
+    others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({k: inner_id(F.col(id_col)), h: F.xxhash64(text), r: F.xxhash64(*others, F.lit(0), text)})
+    rows = _labelled(keyed, id_col, text_col, width, percent, {"h": h, "r": r}).filter("n > 0")
+    rows = materialize(rows.groupBy("c", "k", "h", "r").agg(F.count("*").alias("m")))
+    best = rows.groupBy("c").agg(F.min(F.struct("k", "h", "r")).alias("best"))
+    rows = rows.join(best, "c").withColumn("stays", F.struct("k", "h", "r") == F.col("best"))
+    rows = materialize(rows.filter("not stays or m > 1").select(F.col("k").alias(k), F.col("h").alias(h), F.col("r").alias(r), "stays"))
+    twins = rows.filter("stays").select(*key)
+    if not twins.take(1):
+        return keyed.join(rows.select(*key), key, "left_anti").select(*names)
+    # of equal rows that stay, one: all leave, and one of each returns
+    single = keyed.join(twins, key, "left_semi").dropDuplicates(key)
+    return keyed.join(rows.select(*key), key, "left_anti").unionByName(single).select(*names)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, more: dict[str, str] | None = None) -> DataFrame:
+    """(k, v, n, c, first) and more, columns of docs by new name, for each row: its id, set, component and that one's least id."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    texts = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), *[F.col(c).alias(n) for n, c in (more or {}).items()])
     signed = materialize(_signatures(texts, width))
     nodes = materialize(signed.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     buckets = materialize(_banded(nodes))
@@ -335,9 +369,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if good.count() == rest.count():
             break
     label = nodes.select("v", "k").join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    label = materialize(label.join(label.groupBy("c").agg(F.min("k").alias("first")), "c").select("v", "first"))
-    out = signed.select("k", "v", "n").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
-    return out.select(outer_id(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), outer_id(F.col("first")).alias("component_id"), (F.col("k") == F.col("first")).alias("kept"))
+    label = materialize(label.join(label.groupBy("c").agg(F.min("k").alias("first")), "c").select("v", "c", "first"))
+    return signed.drop("sk").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockgraph.llm import decontamination, mixing, near_dedup, quality_classifier, token_output
-from blockgraph.llm.common import inner_id, materialize, table
+from blockgraph.llm.common import materialize, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least id (five-word shingles, similarity 0.8)."""
-    found = near_dedup.near_duplicates(docs)
-    # a row that is not kept goes; ids of kept rows never repeat those of others, but for rows that repeat an id
-    gone = found.filter("not kept").select(inner_id(F.col("doc_id")).alias("__gone")).distinct()
-    return docs.join(gone, inner_id(docs["doc_id"]) == gone["__gone"], "left_anti")
+    """One row of each group of near duplicates: that of the least id (five-word shingles, similarity 0.8)."""
+    return near_dedup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

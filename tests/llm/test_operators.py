@@ -275,3 +275,20 @@ def test_pipeline(spark):
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
     assert all(x.columns == cols for x in (good, one, clean, mixed))
     assert p.tokens(spark, mixed, sf).count() == mixed.count()
+
+
+def test_pipeline_deduplicates_rows_not_ids(spark, make):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"v{k}x{j}" for j in range(100))
+    # null and repeated ids: near copies of others, near copies of each other, equal rows and unique texts
+    docs = [(1, text(1)), (None, text(1) + " more"), (None, text(2)), (None, text(3)), (None, text(3) + " more"), (None, text(3)), (7, text(4)), (7, text(1) + " y"), (7, text(5)), (7, text(5) + " z")]
+    docs += [(8, text(6)), (8, text(6)), (None, None), (None, ""), (None, ""), (9, text(4)), (10, text(7))]
+    made = make(docs)
+    got = p.deduplicate(spark, made, "")
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == made.columns
+    group = lambda t: (t or "").split("x")[0]
+    assert sorted(((LAST if i is None else i), group(t)) for i, t in left) == sorted([(1, "v1"), (LAST, "v2"), (LAST, "v3"), (7, "v4"), (7, "v5"), (8, "v6"), (10, "v7"), *[(LAST, "")] * 3])
+    assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in p.deduplicate(spark, made.repartition(1), "").collect())
+    assert p.deduplicate(spark, made.filter("false"), "").count() == 0
