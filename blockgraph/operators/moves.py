@@ -1,7 +1,7 @@
 """Local moving: vertices move to the community that improves the objective most, until none can.
 
 Two ways with the same guarantees (quality never falls, and at the end no single move gains more than EPS):
-`local_move` makes rounds of moves that touch disjoint communities, whose gains add up exactly, as DataFrame plans;
+`local_move` makes rounds of moves as DataFrame plans: many join one community, each with its exact gain after those before;
 `local_move_queue` works through a queue of vertices in one task, for graphs small enough for that.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -63,27 +64,43 @@ def best_moves(cand: DataFrame, eps: float = EPS) -> DataFrame:
     return best.select("v", "b.src", "b.tgt", "b.delta")
 
 
-def disjoint(proposals: DataFrame, seed: int, turn: int) -> DataFrame:
-    """The proposals that come first in both their communities, so that no two share one; the best of all is among them."""
-    tie = F.xxhash64(F.col("v"), F.lit(seed), F.lit(turn))
-    rank = F.struct(F.col("delta").alias("d"), tie.alias("t"), "v")
-    p = proposals.withColumn("rank", rank)
-    touched = p.select("rank", F.explode(F.array_compact(F.array("src", "tgt"))).alias("c"))
-    first = touched.groupBy("c").agg(F.max("rank").alias("top"))
-    p = p.join(first.select(F.col("c").alias("src"), F.col("top").alias("s")), "src").filter("rank = s")
-    p = p.join(first.select(F.col("c").alias("tgt"), F.col("top").alias("t")), "tgt", "left").filter("tgt is null or rank = t")
-    return p.select("v", "src", "tgt", "delta")
-
+def together(proposals: DataFrame, g: Graph, objective, m: float, seed: int, turn: int) -> DataFrame:
+    """The proposals of a round: a community either takes in any number of vertices or gives one away.
 
-def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0, max_rounds: int = 1000) -> Moved:
-    """Rounds of disjoint best moves until a full sweep proposes none. :raises RuntimeError: after max_rounds."""
+    Which of both its best proposal decides. Of those that join one community, in order of gain, the ones before the
+    first that gains nothing after the others have joined; so all gains are exact, and the best of all is among them.
+    """
+    tie = F.xxhash64(F.col("v"), F.lit(seed), F.lit(turn))
+    p = proposals.withColumn("rank", F.struct(F.col("delta").alias("d"), tie.alias("t"), "v"))
+    sides = F.array(F.struct(F.col("src").alias("c"), F.lit(True).alias("gives")), F.struct(F.col("tgt").alias("c"), F.lit(False).alias("gives")))
+    first = p.select("rank", F.explode(sides).alias("e")).filter("e.c is not null").groupBy("e.c").agg(F.max(F.struct("rank", "e.gives")).alias("top"))
+    p = p.join(first.select(F.col("c").alias("src"), F.col("top.rank").alias("s")), "src").filter("rank = s")
+    p = p.join(first.select(F.col("c").alias("tgt"), F.col("top.gives").alias("busy")), "tgt", "left").filter("tgt is null or not busy")
+    potts = isinstance(objective, ConstantPotts)
+    mass = F.col("node_size" if potts else "strength")
+    p = cut(p.select("v", "src", "tgt", "delta", "rank").join(g.strengths().select("v", mass.alias("x")), "v"))
+    # a pair that joins the same community: its weight, less its product of masses
+    unit, price = (1.0, objective.gamma) if potts else (2.0, objective.gamma / m if m else 0.0)
+    join = p.filter("tgt is not null")
+    other = join.select(F.col("v").alias("u"), F.col("tgt").alias("u_tgt"), F.col("rank").alias("u_rank"))
+    among = g.sym().join(join.select("v", "tgt", "rank"), "v").join(other, "u").filter("tgt = u_tgt and u_rank > rank").groupBy("v").agg(F.sum("w").alias("w"))
+    order = Window.partitionBy("tgt").orderBy(F.desc("rank"))
+    before = F.coalesce(F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = join.join(among, "v", "left").withColumn("left", F.col("delta") + unit * F.coalesce("w", F.lit(0.0)) - price * F.col("x") * before)
+    good = left.withColumn("good", F.min(F.col("left") > EPS).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("good")
+    cols = ["v", "src", "tgt", "delta"]
+    return good.select(*cols).union(p.filter("tgt is null").select(*cols))
+
+
+def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0) -> Moved:
+    """Rounds of best moves until a full sweep proposes none; every round gains, so that there is a last one."""
     m, moved, visits = g.total_weight(), 0, 0
     current = cut(assignment)
     n = g.num_vertices()
-    for turn in range(max_rounds):
+    for turn in count():
         proposals = cut(best_moves(candidates(g, current, objective, m)))
         visits += n
-        taken = cut(disjoint(proposals, seed, turn))
+        taken = cut(together(proposals, g, objective, m, seed, turn))
         k = taken.count()
         if not k:
             return Moved(current, moved, visits)
@@ -92,7 +109,6 @@ def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0, max_ro
         # movers to an empty community get ids past all others; they are the few of one round
         fresh = taken.filter("tgt is null").select("v", (F.lit(top) + F.row_number().over(Window.orderBy("v"))).cast("long").alias("c"))
         current = cut(partition.apply_moves(current, taken.filter("tgt is not null").select("v", F.col("tgt").alias("c")).union(fresh)))
-    raise RuntimeError(f"local moving did not end within {max_rounds} rounds")
 
 
 @dataclass

@@ -1,6 +1,7 @@
 """Small graphs with known values."""
 
 import itertools
+import random
 
 import pytest
 
@@ -55,6 +56,30 @@ def test_local_moving_ends_in_an_optimum(spark, way):
     assert blocks == {(0, 1, 2), (3, 4, 5)}
 
 
+@pytest.mark.parametrize("objective", [Modularity(1.0), ConstantPotts(0.02)])
+def test_a_community_takes_in_many_vertices_in_a_round(spark, objective):
+    leaves, pairs = 40, 5
+    text = " ".join([f"0-{i}" for i in range(1, leaves + 1)] + [f"{i}-{i + 1}" for i in range(leaves + 1, leaves + 2 * pairs, 2)])
+    n = leaves + 1 + 2 * pairs
+    g = graph(spark, text, n).persist()
+    found = moves.local_move(g, partition.singletons(g), objective)
+    assert found.visits <= 6 * n and not moves.best_moves(moves.candidates(g, found.assignment, objective)).count()
+    assert sorted(len(r["members"]) for r in partition.members(found.assignment).collect()) == [2] * pairs + [leaves + 1]
+
+
+@pytest.mark.parametrize("objective", [Modularity(1.2), ConstantPotts(0.3)])
+def test_gains_of_a_round_are_exact_together(spark, objective):
+    rng = random.Random(5)
+    text = " ".join(f"{i}-{j}:{rng.choice((1, 2.5, 4))}" for i in range(24) for j in range(i) if rng.random() < 0.3)
+    g = graph(spark, text, 24).persist()
+    m, a = g.total_weight(), partition.singletons(g)
+    for turn in range(3):
+        taken = moves.together(moves.best_moves(moves.candidates(g, a, objective, m)).filter("tgt is not null").localCheckpoint(), g, objective, m, 0, turn).toPandas()
+        after = partition.apply_moves(a, spark.createDataFrame([(int(v), int(c)) for v, c in zip(taken["v"], taken["tgt"], strict=True)] or [(-1, -1)], "v long, c long")).localCheckpoint()
+        assert partition.quality(g, after, objective) >= partition.quality(g, a, objective) + (1e-9 if len(taken) else 0)
+        a = after
+
+
 def test_contraction(spark):
     g = graph(spark, "0-1:2 0-2:1 1-3:2 2-4:3 3-4:4", 5)
     small = contract.aggregate_graph(g, labels(spark, 2, 2, 5, 5, 5))
