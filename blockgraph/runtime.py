@@ -1,20 +1,63 @@
-"""What the iterative operators share: cutting lineage in the shared folder."""
+"""Tables in the shared folder: how iterative operators cut lineage, and how they clean up behind them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: tables are read back soon, and their writers shouldn't buffer much.
+ROW_GROUP = 32 << 20
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Without one a folder of our own serves in local mode only. :raises RuntimeError: on a cluster without one.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="blockgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.rstrip("/")
+
+
+def _on(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new folder's path in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}{uuid.uuid4().hex}"
+    fs, at = _on(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, and a lost executor costs no recomputation.
+
+    The table goes with the application, or by `drop`; one at a path of the caller's stays.
+    """
+    spark = df.sparkSession
+    mine = path is None
+    path = f"{scratch(spark)}/t" if mine else path
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if mine:
+        out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `cut` made and nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            fs, at = _on(df.sparkSession, path)
+            fs.delete(at.getParent(), True)
