@@ -10,15 +10,22 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut as materialize
+from ..runtime import drop, scratch, shared_dir
+
 #: ASCII white space, the word separators of all operators: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
@@ -34,28 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="blockgraph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of one Arrow batch, about, between Spark and the Python workers.
+ARROW_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, wherever they run."""
+    """Send this package to the Python workers, wherever they run, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > ARROW_BYTES:
+        spark.conf.set(size, ARROW_BYTES)
     if getattr(sc, "_blockgraph_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -67,6 +62,30 @@ def ship(spark: SparkSession) -> None:
     sc._blockgraph_shipped = True
 
 
+def lean(run):
+    """run, a function over Arrow batches, that hands back the worker's memory when its task ends: workers are reused."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    _POW.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def unused(columns: list[str], name: str) -> str:
     """name, with underscores added until no column has it."""
     while name in columns:
@@ -146,7 +165,10 @@ def chunks(sizes: list[int], limit: int = CHUNK):
 
 
 class Words:
-    """The words of some texts: where each starts and stops in the joined bytes, its text and its hash."""
+    """The words of some texts: where each starts and stops in the joined bytes, and which distinct word it is.
+
+    Words are told apart by their bytes, with Arrow's dictionary; hashes are 64 bits of xxh3.
+    """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
         joined = b"\n".join(texts) + b"\n"
@@ -159,7 +181,21 @@ class Words:
         self.ends = np.cumsum([len(t) + 1 for t in texts])
         self.doc = np.searchsorted(self.ends, self.start, "right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.hash = Prefix(buf).hash(self.start, self.stop)
+        coded = stretches(buf[~gap[1:-1]], self.stop - self.start, pa.binary()).dictionary_encode()
+        #: For each word its place in distinct.
+        self.id, self.distinct = coded.indices.to_numpy(), coded.dictionary
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        each = map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist())
+        return np.fromiter(each, np.uint64, len(self.distinct))[self.id]
 
     def text(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.stop[i]]
+
+
+def stretches(buf: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values of kind, binary or string, whose bytes stand one after the other in buf."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])

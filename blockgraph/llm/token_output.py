@@ -10,8 +10,11 @@ The rows are stored by Spark's Parquet writer, so that any shared store and its
 
 from __future__ import annotations
 
-import itertools
-import uuid
+import functools
+import os
+import re
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -20,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, chunks, inner_id, materialize, outer_id, partitions, shared_dir, ship, table
+from .common import chunks, drop, inner_id, lean, materialize, outer_id, partitions, scratch, ship, stretches, table
 
 END = 0
 #: Values in one file row, at most, but for a longer document.
 SHARD = 1 << 20
-#: Entries of a worker's cache of encoded words, about 40 bytes each.
-CACHE = 2_000_000
+#: Entries of a task's cache of encoded stretches, about 200 bytes each, and characters of the longest of them.
+CACHE, CACHED_LENGTH = 200_000, 40
+#: Stretches that the library gets at once.
+BATCH = 10_000
 
 
 def tokenizer_path() -> str:
@@ -73,11 +78,9 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 # ------------------------------------------------------------------ encoding
 
 
+@functools.cache
 def char_classes() -> np.ndarray:
     """Class of every code point for the byte-level splitting pattern: 0 other, 1 letter, 2 number, 3 white space."""
-    import sys
-    import unicodedata
-
     out = np.zeros(sys.maxunicode + 1, np.uint8)
     for c in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(c))[0]
@@ -97,46 +100,48 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as 16-bit values; the vocabulary must fit in those.
 
-    Texts are split by numpy where the tokenizer's pattern splits them; equal stretches are found by hash and the
-    library's model encodes each of them once a worker. Texts that could split otherwise (an apostrophe before a
-    letter, a special token's string) go to the library whole. The cache is keyed by 64-bit hashes.
+    Texts are split by numpy where the tokenizer's pattern splits them; Arrow's dictionary tells the distinct stretches
+    of a chunk, and the library's model encodes those that the cache, keyed by the stretches themselves, lacks. Texts
+    that could split otherwise (an apostrophe before a letter, a special token's string) go to the library whole.
     """
 
     def __init__(self, path: str):
-        import json
-        import re
-        from pathlib import Path
-
-        from tokenizers import Tokenizer, models
+        # one task is one core's work
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        if self.lib.get_vocab_size() > 1 << 16:
-            raise ValueError("the vocabulary doesn't fit in 16 bits")
-        model = json.loads(Path(path).read_text())["model"]
-        self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]))
+        if self.lib.get_vocab_size() > 1 << 16 or self.lib.token_to_id(byte_letters()[255]) is None:
+            raise ValueError("the vocabulary must fit in 16 bits and hold every byte")
+        # the model alone; no UTF-8 text has the byte 255, so that its letter can stand between stretches
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(byte_letters()[255], "isolated")
+        self.between = self.lib.token_to_id(byte_letters()[255])
         specials = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["'[sStTmMrRvVlLdD]", *specials]))
-        self.kind, self.letters = char_classes(), byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.kind, self.letters = char_classes(), np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
+        self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Encode new stretches and add them to the cache."""
-        if len(self.keys) + len(hashes) > CACHE:
-            self.forget()
-        ids = [e.ids for e in self.bare.encode_batch_fast([w.encode().decode("latin-1").translate(self.letters) for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.pool) + np.cumsum(size) - size
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(size.sum()))
-        keys = np.concatenate([self.keys, hashes])
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.size = keys[by], np.concatenate([self.first, first])[by], np.concatenate([self.size, size])[by]
-        self.pool = np.concatenate([self.pool, flat])
+    def encode_stretches(self, words: list[str]) -> list[bytes]:
+        """The 16-bit ids of distinct stretches."""
+        out = [self.cache.get(w) for w in words]
+        fresh = [i for i, x in enumerate(out) if x is None]
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache.clear()
+        for at in range(0, len(fresh), BATCH):
+            lot = fresh[at : at + BATCH]
+            raw = np.frombuffer(b"\xff".join([words[i].encode() for i in lot]), np.uint8)
+            ids = np.array(self.bare.encode_batch_fast([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint16)
+            cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            flat = ids.tobytes()
+            for i, a, b in zip(lot, cuts, cuts[1:], strict=False):
+                out[i] = flat[2 * a + 2 : 2 * b]
+                if len(words[i]) <= CACHED_LENGTH and len(self.cache) < CACHE:
+                    self.cache[words[i]] = out[i]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
@@ -147,7 +152,7 @@ class Encoder:
         n = len(joined)
         if not n:
             return [rest.get(i, np.zeros(0, np.uint16)) for i in range(len(texts))]
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kind = self.kind[points]
         newdoc = np.zeros(n + 1, bool)
         newdoc[0] = True
@@ -159,41 +164,36 @@ class Encoder:
         start[:-1] |= gap[:-1] & ~gap[1:] & ~newdoc[1:n]
         start[1:] &= ~((points[:-1] == 32) & ~gap[1:] & ~newdoc[1:n])
         at = np.flatnonzero(start)
-        stop = np.append(at[1:], n)
-        words, place, where = np.unique(Prefix(points).hash(at, stop), return_index=True, return_inverse=True)
-        seek = np.searchsorted(self.keys, words)
-        fresh = np.flatnonzero((seek == len(self.keys)) | (self.keys[np.minimum(seek, max(len(self.keys) - 1, 0))] != words) if len(self.keys) else np.ones(len(words), bool))
-        if len(fresh):
-            self.learn(words[fresh], [joined[a:b] for a, b in zip(at[place[fresh]].tolist(), stop[place[fresh]].tolist(), strict=True)])
-            seek = np.searchsorted(self.keys, words)
-            if not np.array_equal(self.keys[np.minimum(seek, len(self.keys) - 1)], words):  # the cache was emptied
-                self.learn(words, [joined[a:b] for a, b in zip(at[place].tolist(), stop[place].tolist(), strict=True)])
-                seek = np.searchsorted(self.keys, words)
-        size, first = self.size[seek][where], self.first[seek][where]
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        sizes = np.diff(np.append(at, n))
+        if len(raw) > n:
+            sizes = np.add.reduceat(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), at)
+        coded = stretches(raw, sizes, pa.string()).dictionary_encode()
+        each, where = self.encode_stretches(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 2
+        pool, first = np.frombuffer(b"".join(each), np.uint16), np.cumsum(size) - size
+        size, first = size[where], first[where]
         upto = np.cumsum(size)
-        ids = self.pool[np.repeat(first - upto + size, size) + np.arange(upto[-1])]
+        ids = pool[np.repeat(first - upto + size, size) + np.arange(upto[-1])]
         # ids before each text's end
         cuts = np.append(0, upto)[np.searchsorted(at, ends, "left")]
         out = np.split(ids, cuts[:-1])
         return [rest.get(i, out[i]) for i in range(len(texts))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """(k, n, ids): inner id, number of ids with the end id, ids as 16-bit values."""
     ship(docs.sparkSession)
     base = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     end = np.array([END], "<u2").tobytes()
 
+    @lean
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        encoder = Encoder(path)
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist()):
                 part = batch.slice(a, b - a)
-                ids = [x.astype("<u2").tobytes() + end for x in _ENCODERS[path].encode(part.column(1).to_pylist())]
+                ids = [x.astype("<u2").tobytes() + end for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["k", "n", "ids"])
 
     return base.mapInArrow(run, "k long, n long, ids binary")
@@ -202,6 +202,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, path: str) ->
 def frequency_order(encoded: DataFrame) -> np.ndarray:
     """All ids, the most frequent first (ties: smaller id first). One count for each id of the vocabulary is collected."""
 
+    @lean
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -222,8 +223,8 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
     """Encode all documents and write them in the file format at path/shards and path/header.
 
-    Documents of one id, null ids among them, stand together in any order; null and empty texts are the end id
-    alone. An empty table gives no shards. Each task writes its range of ids in order; shards are numbered by
+    Documents of one id, null ids among them, stand together in the order of their ids' hash; null and empty texts are
+    the end id alone. An empty table gives no shards. Each task writes its range of ids in order; shards are numbered by
     (part, seq), and start counts the ids before a shard within its part.
     """
     spark = docs.sparkSession
@@ -233,6 +234,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rank[order] = np.arange(1 << 16, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
 
+    @lean
     def shards(batches):
         from pyspark import TaskContext
 
@@ -256,15 +258,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if size:
             yield row()
 
-    spread = encoded.repartitionByRange(partitions(encoded), "k").sortWithinPartitions("k")
-    out = spread.mapInArrow(shards, "part int, seq int, start long, docs binary, lengths binary, count long, control binary, data binary")
+    # documents of one id are dealt out by their content's hash, so that no id is one task's work
+    spread = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(partitions(encoded), "k", "h").sortWithinPartitions("k", "h")
+    out = spread.select("k", "n", "ids").mapInArrow(shards, "part int, seq int, start long, docs binary, lengths binary, count long, control binary, data binary")
     out.write.option("compression", "zstd").parquet(f"{path}/shards")
     header = spark.createDataFrame([(order.astype("<u4").tobytes(),)], "order binary")
     header.write.parquet(f"{path}/header")
+    drop(encoded)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit) for each document."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """From the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian 32-bit) for each document."""
     shards, header = spark.read.parquet(f"{path}/shards"), spark.read.parquet(f"{path}/header")
     order = spark.sparkContext.broadcast(np.frombuffer(header.first()[0], "<u4"))
     # one sum for each writing task
@@ -273,6 +277,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for part in sorted(sums):
         before[part], total = total, total + sums[part]
 
+    names = ["k", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+
+    @lean
     def read(batches):
         for batch in batches:
             for r in range(batch.num_rows):
@@ -280,23 +287,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.ascontiguousarray(order.value[unpack(x["control"], x["data"], x["count"])], "<u4")
                 ks, ns = np.frombuffer(x["docs"], "<i8"), np.frombuffer(x["lengths"], "<i8")
                 ends = np.cumsum(ns)
-                raw = memoryview(ids.tobytes())
-                each = [bytes(raw[4 * (e - n) : 4 * e]) for n, e in zip(ns.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ks), pa.array(before[x["part"]] + x["start"] + ends - ns), pa.array(ns), pa.array([zlib.crc32(b) for b in each], pa.int64()), pa.array(each, pa.binary())],
-                    ["k", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                raw = memoryview(ids).cast("B")
+                each = [raw[4 * (e - n) : 4 * e] for n, e in zip(ns.tolist(), ends.tolist(), strict=True)]
+                out = [pa.array(ks), pa.array(before[x["part"]] + x["start"] + ends - ns), pa.array(ns), pa.array([zlib.crc32(b) for b in each], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(map(bytes, each), pa.binary())] if with_ids else []), names)
 
-    out = shards.select("part", "start", "docs", "lengths", "count", "control", "data").mapInArrow(read, "k long, start long, n_tokens long, ids_crc32 long, ids binary")
-    return out.select(outer_id(F.col("k")).alias("doc_id"), "start", "n_tokens", "ids_crc32", "ids")
+    out = shards.select("part", "start", "docs", "lengths", "count", "control", "data").mapInArrow(read, "k long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return out.select(outer_id(F.col("k")).alias("doc_id"), *names[1:])
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Write the documents' tokens (to the shared folder if no path is given) and read them back, without the ids."""
+    """Write the documents' tokens (to a folder of the shared one if no path is given) and read them back, without the ids."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "tokens-")
     write_tokens(docs, path, id_col, text_col)
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, with_ids=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
