@@ -5,13 +5,14 @@ so equal windows have equal anchors at equal offsets, and an anchor stands for a
 
 1. Each run's anchor is a row of a few bytes. Anchors that occur once are done: nothing there repeats.
 2. Runs with a repeated anchor go, with their bytes, to the task of their anchor, which compares them. Within a task
-   of the scan, equal runs are reduced to the earliest one first. Anchors that are too frequent for one task are
+   of the scan, equal runs are reduced to the earliest one first, by their bytes. Anchors that are too frequent for one task are
    split: each of their windows is a row of its own, dealt out by the window's hash.
 3. The repeated stretches come back to their documents, which are cut and digested.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, inner_id, outer_id, ship
+from .common import LAST, chunks, inner_id, lean, outer_id, ship
 
 #: Runs of one anchor that a single task compares at most.
 HOT = 20_000
 #: Rows that the comparing kernel takes at once, at least, and bytes of text that the scanning kernels take.
 BLOCK, BYTES = 20_000, 1 << 20
+#: Memory, about, in which a task of the scan remembers the runs that it has given.
+SEEN_BYTES = 64 << 20
 
 
 @dataclass
@@ -50,16 +53,39 @@ def anchor_id(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(16) & np.uint64(0xFFFFFFFFFFFE)).astype(np.int64)
 
 
-#: meta holds, from the top, 32 bits of the first window's start, 8 of the windows, 8 of the offset, 16 of the text's tag.
-# a span packs, from the top, the first repeated window's start, 8 bits to the last one's, and the tag
-CONTEXT = "key long, k long, meta long, body binary"
-_CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("meta", pa.int64()), ("body", pa.binary())])
+#: meta holds, from the top, 32 bits of the first window's start, 8 of the windows, 8 of the offset.
+# a span packs the first repeated window's start and 8 bits to the last one's
+CONTEXT = "key long, k long, s long, meta long, tag binary, body binary"
+_CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("meta", pa.int64()), ("tag", pa.binary()), ("body", pa.binary())])
 
 
-def _contexts(runs: Runs, k: np.ndarray, tag: np.ndarray, flags: list[np.ndarray | None], across: bool) -> pa.RecordBatch:
-    """The runs with a flagged anchor as rows; body is null where the whole run repeats an earlier one of this batch."""
+class Seen:
+    """Runs that a task has given to the comparison, with their places; forgotten beyond some bytes."""
+
+    def __init__(self):
+        self.place: dict[tuple, tuple[int, int]] = {}
+        self.bytes = 0
+
+    def repeats(self, key: tuple, place: tuple[int, int], across: bool) -> bool:
+        """Whether an earlier run equals this one; if not, this one is remembered."""
+        old = self.place.get(key)
+        if old is not None and (old[0] < place[0] or (old < place and not across)):
+            return True
+        if old is None or place < old:
+            if old is None:
+                self.bytes += len(key[3]) + 300
+                if self.bytes > SEEN_BYTES:
+                    self.place.clear()
+                    self.bytes = len(key[3]) + 300
+            self.place[key] = place
+        return False
+
+
+def _contexts(runs: Runs, docs: pa.RecordBatch, tags: list[bytes | None], flags: list[np.ndarray | None], across: bool, seen: Seen) -> pa.RecordBatch:
+    """The runs with a flagged anchor as rows; body is null where the whole run repeats an earlier one that this task has given."""
     best: dict[tuple, list] = {}
     rows: list[tuple] = []
+    k = docs.column(0).to_numpy()
     cuts = np.searchsorted(runs.doc, np.arange(len(k) + 1))
     for d, flag in enumerate(flags):
         if flag is None or not len(flag):
@@ -80,35 +106,33 @@ def _contexts(runs: Runs, k: np.ndarray, tag: np.ndarray, flags: list[np.ndarray
                 place = (int(k[d]), start)
                 key = (0 if hot else int(runs.anchor[i]), n, off, body)
                 row = [key, place, d, n, off, body]
-                seen = best.setdefault(key, row)
-                if seen is row:
+                lead = best.setdefault(key, row)
+                if lead is row:
                     continue
-                if place < seen[1]:
-                    best[key], row, seen = row, seen, row
-                if row[1][0] > seen[1][0] or (row[1] > seen[1] and not across):
+                if place < lead[1]:
+                    best[key], row, lead = row, lead, row
+                if row[1][0] > lead[1][0] or (row[1] > lead[1] and not across):
                     rows.append((0, row[1], row[2], row[3], row[4], None))
                 else:  # not earlier: the same place, of a repeated row, or the same document
                     rows.append((row[0][0], row[1], row[2], row[3], row[4], row[5]))
-    rows += [(r[0][0], *r[1:]) for r in best.values()]
+    rows += [(0, *r[1:5], None) if seen.repeats(key, r[1], across) else (r[0][0], *r[1:]) for key, r in best.items()]
     if not rows:
         return pa.RecordBatch.from_pylist([], _CONTEXT)
     key = np.array([r[0] for r in rows], np.int64)
     for i in np.flatnonzero(key == 0).tolist():
         # windows by their content's hash; what is resolved goes anywhere
         key[i] = (hash_bytes(rows[i][5]) if rows[i][5] is not None else rows[i][1][1] * 2654435761 + rows[i][1][0]) & (1 << 62) - 1 | 1
-    docs = np.array([r[2] for r in rows])
-    meta = np.array([r[1][1] << 32 | r[3] << 24 | r[4] << 16 for r in rows], np.int64) | tag[docs]
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(k[docs]), pa.array(meta), pa.array([r[5] for r in rows], pa.binary())], schema=_CONTEXT)
+    of = pa.array([r[2] for r in rows])
+    meta = np.array([r[1][1] << 32 | r[3] << 24 | r[4] << 16 for r in rows], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), docs.column(0).take(of), docs.column(1).take(of), pa.array(meta), pa.array(tags, pa.binary()).take(of), pa.array([r[5] for r in rows], pa.binary())], schema=_CONTEXT)
 
 
-def tag_of(text: bytes) -> int:
+def tag_of(text: bytes) -> bytes:
     """Tells rows of one id and different texts apart."""
-    return hash_bytes(text) & 0xFFFF
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def hash_bytes(x: bytes) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
 
 
@@ -120,9 +144,12 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
     :param result: the result columns after doc_id, as a schema
     :param across: only repeats between different ids count
     """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    ship(docs.sparkSession)
+    id_, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    # rows without an id are spread by their text
+    texts = docs.select(inner_id(id_).alias("k"), F.when(id_.isNull(), F.xxhash64(text)).otherwise(0).alias("s"), text.alias("t"))
+    # ids that several rows have: there a hash of the text tells whose a stretch is
+    many = docs.select(id_.cast("long").alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k", F.lit(0).cast("long").alias("s"), F.lit(True).alias("many"))
 
     def scan(column, batch):
         sizes = pc.binary_length(batch.column(column)).to_pylist()
@@ -130,34 +157,41 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
             part = batch.slice(a, b - a)
             yield part, runs_of(part.column(column).to_pylist())
 
+    @lean
     def anchors(batches):
         for batch in batches:
-            for part, runs in scan(1, batch):
+            for part, runs in scan(2, batch):
                 by = np.lexsort((runs.doc, runs.anchor))
                 anchor, doc = runs.anchor[by], runs.doc[by]
                 new = np.ones(len(by), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(by)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(part.column(0).to_numpy()[doc[at]]), pa.array(n.astype(np.int32))], ["g", "k", "n"])
+                of = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), part.column(0).take(of), part.column(1).take(of), pa.array(n.astype(np.int32))], ["g", "k", "s", "n"])
 
     # scanned twice: once to count, once to tell the documents of what repeats
-    grams = texts.mapInArrow(anchors, "g long, k long, n int")
+    grams = texts.mapInArrow(anchors, "g long, k long, s long, n int")
     counted = grams.groupBy("g").agg(F.sum("n").alias("n"), *([F.min("k").alias("lo"), F.max("k").alias("hi")] if across else []))
     counted = counted.filter("lo < hi" if across else "n > 1").select("g", (F.col("n") > HOT).cast("long").alias("hot"))
-    flagged = grams.select("g", "k").join(counted, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.col("g").bitwiseOR(F.col("hot")))).alias("flags"))
+    flagged = grams.select("g", "k", "s").join(counted, "g").groupBy("k", "s").agg(F.array_sort(F.collect_list(F.col("g").bitwiseOR(F.col("hot")))).alias("flags"))
 
+    @lean
     def contexts(batches):
+        # rows come by id, as a rule: what a task has given before is earlier then
+        seen = Seen()
         for batch in batches:
-            for part, runs in scan(1, batch):
-                tag = np.array([tag_of(x) for x in part.column(1).to_pylist()], np.int64)
-                flags = [np.array(x, np.int64) for x in part.column(2).to_pylist()]
-                out = _contexts(runs, part.column(0).to_numpy(), tag, flags, across)
+            for part, runs in scan(2, batch):
+                own = part.column(0).to_pylist()
+                tags = [tag_of(t) if m or k == LAST else None for k, t, m in zip(own, part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                flags = [np.array(x, np.int64) for x in part.column(3).to_pylist()]
+                out = _contexts(runs, part, tags, flags, across, seen)
                 if out.num_rows:
                     yield out
 
-    rows = texts.join(flagged, "k").mapInArrow(contexts, CONTEXT)
+    rows = texts.join(flagged, ["k", "s"]).join(many, ["k", "s"], "left").select("k", "s", "t", "flags", "many").mapInArrow(contexts, CONTEXT)
 
+    @lean
     def compare(batches):
         held, size = [], 0
 
@@ -165,7 +199,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
             t = pa.Table.from_batches(lot)
             body = t.column("body").to_pylist()
             meta = t.column("meta").to_numpy()
-            x = {"key": t.column("key").to_numpy(), "k": t.column("k").to_numpy(), "first": meta >> 32, "windows": meta >> 24 & 255, "offset": meta >> 16 & 255, "tag": meta & 0xFFFF}
+            x = {"key": t.column("key").to_numpy(), "k": t.column("k").to_numpy(), "first": meta >> 32, "windows": meta >> 24 & 255, "offset": meta >> 16 & 255}
             done = np.array([b is None for b in body], bool)
             at = np.flatnonzero(~done)
             row, start = resolve({c: v[at] for c, v in x.items()} | {"body": [body[i] for i in at.tolist()]}) if len(at) else (at, at)
@@ -181,7 +215,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
             owner = np.concatenate([row[cut], whole])
             lo = np.concatenate([start[cut], x["first"][whole]]) if len(cut) else x["first"][whole]
             hi = np.concatenate([start[last], x["first"][whole] + x["windows"][whole] - 1]) if len(cut) else lo + x["windows"][whole] - 1
-            return pa.RecordBatch.from_arrays([pa.array(x["k"][owner]), pa.array(lo << 24 | (hi - lo) << 16 | x["tag"][owner])], ["k", "span"])
+            whose = t.select(["k", "s", "tag"]).take(owner).combine_chunks().to_batches()
+            if whose:
+                yield pa.RecordBatch.from_arrays([*whose[0].columns, pa.array(lo << 8 | (hi - lo))], ["k", "s", "tag", "span"])
 
         for batch in batches:
             while batch.num_rows:
@@ -189,38 +225,41 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
                 # a key's rows stay together
                 cut = int(np.searchsorted(key, key[-1]))
                 if held and size >= BLOCK and held[-1].column(0)[held[-1].num_rows - 1].as_py() != key[0]:
-                    yield spans(held)
+                    yield from spans(held)
                     held, size = [], 0
                 if size + cut >= BLOCK and cut:
                     held.append(batch.slice(0, cut))
-                    yield spans(held)
+                    yield from spans(held)
                     held, size, batch = [], 0, batch.slice(cut)
                     continue
                 held.append(batch)
                 size += batch.num_rows
                 break
         if size:
-            yield spans(held)
+            yield from spans(held)
 
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, span long")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "k long, s long, tag binary, span long")
     # in one plan with the join above, so that the texts are shuffled by id once
-    found = found.groupBy("k").agg(F.collect_list("span").alias("spans"))
+    plain, marked = F.when(F.col("tag").isNull(), F.col("span")), F.when(F.col("tag").isNotNull(), F.struct("tag", "span"))
+    found = found.groupBy("k", "s").agg(F.collect_list(plain).alias("spans"), F.collect_list(marked).alias("marked"))
 
+    @lean
     def digest(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 values = []
-                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if spans:
+                for t, spans, marked in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    spans = spans or []
+                    if marked:
                         tag = tag_of(t)
-                        spans = [(s >> 24, (s >> 24) + (s >> 16 & 255)) for s in spans if s & 0xFFFF == tag]
-                    values.append(finish(t, *merged(spans or [])))
+                        spans = spans + [x["span"] for x in marked if x["tag"] == tag]
+                    values.append(finish(t, *merged([(x >> 8, (x >> 8) + (x & 255)) for x in spans])))
                 cols = list(zip(*values, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols)], ["k", *names])
 
     names = [x.split()[0] for x in result.split(", ")]
-    out = texts.join(found, "k", "left").mapInArrow(digest, f"k long, {result}")
+    out = texts.join(found, ["k", "s"], "left").select("k", "t", "spans", "marked").mapInArrow(digest, f"k long, {result}")
     return out.select(outer_id(F.col("k")).alias("doc_id"), *names)
 
 
