@@ -1,9 +1,9 @@
 """Substring dedup by repeated-phrase automata: words in a 13-word window that also starts in an earlier document go.
 
-Windows that recur are confirmed on their words among the runs that share an anchor (see repeats.py). A shard's
-confirmed phrases are compiled to an Aho-Corasick automaton, and the documents' runs of that shard stream through
-it, which locates every occurrence; all documents take part through their runs, and no other stretch of a document
-can hold a phrase of the shard.
+Passages that recur are confirmed on their words among the runs that share an anchor (see repeats.py). A shard's
+confirmed passages are compiled to an Aho-Corasick automaton, and all runs of that shard stream through it, which
+locates every occurrence: a word goes because of a hit only. All documents take part through their runs, and no other
+stretch of a document can hold a passage of the shard.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .suffix_dedup import _sliding_min
 
 #: Words of a window, and of the gram whose hash anchors it.
 WIDTH, GRAM = 13, 4
-#: Phrases of one automaton, at most (but for those of one key).
-SHARD = 100_000
+#: Passages of one automaton, at most (but for those of one key).
+SHARD = 20_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,67 +53,61 @@ def runs_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> Runs:
 
 def resolve(rows: dict, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(row, window start) of each window that also starts in a document of a smaller id, among rows sorted by key."""
-    key, k, first, windows, offset, body = (rows[c] for c in ("key", "k", "first", "windows", "offset", "body"))
-    # equal runs stream once, as those of the least id
-    least: dict[tuple, int] = {}
-    same = list(zip(key.tolist(), body, strict=True))
-    for x, d in zip(same, k.tolist(), strict=True):
-        if least.get(x, d) >= d:
-            least[x] = d
-    out_row, out_start = [], []
-    lead: dict[tuple, int] = {}
-    for i, x in enumerate(same):
-        if k[i] > least[x]:
-            out_row += [i] * int(windows[i])
-            out_start += range(first[i], first[i] + windows[i])
-        else:
-            lead.setdefault(x, i)
-    members: dict[tuple, list[int]] = {}
-    for i, x in enumerate(same):
-        if k[i] == least[x]:
-            members.setdefault(x, []).append(i)
-    groups: dict[int, list[tuple]] = {}
-    for x in lead:
-        groups.setdefault(x[0], []).append(x)
-    runs: list[tuple] = []
+    key, k, first, body = rows["key"].tolist(), rows["k"].tolist(), rows["first"].tolist(), rows["body"]
+    # the rows of each distinct run, by key
+    groups: dict[int, dict[bytes, list[int]]] = {}
+    for i, (g, text) in enumerate(zip(key, body, strict=True)):
+        groups.setdefault(g, {}).setdefault(text, []).append(i)
+    out_row: list[int] = []
+    out_start: list[int] = []
     phrases: dict[str, list[int]] = {}
+    runs: list[tuple[bytes, list[int]]] = []
 
-    def stream():
-        """Locate the phrases that recur in the gathered runs."""
+    def confirm(phrase: str, lo: int, hi: int) -> None:
+        known = phrases.setdefault(phrase, [lo, hi])
+        known[0], known[1] = min(known[0], lo), max(known[1], hi)
+
+    def stream() -> None:
+        """Locate the passages that recur in the gathered runs."""
         automaton = ahocorasick.Automaton()
         for phrase, (lo, hi) in phrases.items():
             if lo < hi:
-                automaton.add_word(phrase, lo)
+                automaton.add_word(phrase, (phrase.count(" ") - width, lo))
         if len(automaton):
             automaton.make_automaton()
-            for x in runs:
-                text = f" {x[1].decode('latin-1')} "
-                at = {p: w for w, p in enumerate(_ends(text))}
-                d = least[x]
-                hits = [at[end] - width for end, lo in automaton.iter(text) if lo < d]
-                for i in members[x]:
-                    out_row.extend([i] * len(hits))
-                    out_start.extend(int(first[i]) + h for h in hits)
+            for text, members in runs:
+                line = f" {text.decode('latin-1')} "
+                found = list(automaton.iter(line))
+                if not found:
+                    continue
+                at = {p: w for w, p in enumerate(_ends(line))}
+                for i in members:
+                    for end, (windows, lo) in found:
+                        if lo < k[i]:
+                            start = first[i] + at[end] - width - windows + 1
+                            out_row.extend([i] * windows)
+                            out_start.extend(range(start, start + windows))
         runs.clear()
         phrases.clear()
 
-    for xs in groups.values():
-        if len(xs) < 2:
-            continue
-        for x in xs:
-            words, d = x[1].decode("latin-1").split(" "), least[x]
-            for w in range(len(words) - width + 1):
-                phrase = f" {' '.join(words[w : w + width])} "
-                seen = phrases.setdefault(phrase, [d, d])
-                if d < seen[0]:
-                    seen[0] = d
-                elif d > seen[1]:
-                    seen[1] = d
-            runs.append(x)
+    for texts in groups.values():
+        for text, members in texts.items():
+            lo, hi = min(k[i] for i in members), max(k[i] for i in members)
+            if len(texts) == 1:
+                # nothing else shares the anchor: the passage is the whole run
+                confirm(f" {text.decode('latin-1')} ", lo, hi)
+            else:
+                words = text.decode("latin-1").split(" ")
+                for w in range(len(words) - width + 1):
+                    confirm(f" {' '.join(words[w : w + width])} ", lo, hi)
+            runs.append((text, members))
         if len(phrases) >= SHARD:
             stream()
     stream()
-    return np.array(out_row, np.int64), np.array(out_start, np.int64)
+    row, start = np.array(out_row, np.int64), np.array(out_start, np.int64)
+    # a window may lie in several hits
+    both = np.unique(np.stack([row, start]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
 
 
 def _ends(text: str):
