@@ -4,59 +4,85 @@ A document's set of word shingles is sketched by rounds of hashed bin placement:
 in one bin with a value, a bin keeps the least value of its first round, and after as many rounds as bins each
 further round is for one bin alone, so that every coordinate fills. Bands of coordinates propose candidates; a
 candidate's sketch must agree in far more coordinates than chance leaves possible for an unlinked pair to matter,
-and every link is confirmed on the full sets.
+and every link is confirmed on the full sets, whose shingles are told apart by their words and not by hashes.
 
-Documents of equal sets are one node. Within a band's bucket each node is first compared with one centre only. Buckets
-that then hold several components have their common shingles counted as products of incidence matrices, in blocks,
-and give a spanning forest of the links across components, so no group is expanded into its pairs.
+Documents of the same words, by 128 bits of blake2b, are one node. Within a band's bucket each node is first compared
+with one centre only. Buckets that then hold several components have their common shingles counted as products of
+incidence matrices, in blocks, and give a spanning forest of the links across components, so no group is expanded into
+its pairs. Blocks of a bucket's largest component meet the other blocks only, never each other.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, inner_id, materialize, mix, outer_id, ship, table, unused
+from .common import LOWER, Words, chunks, drop, inner_id, lean, materialize, mix, outer_id, ship, table, unused
 
 #: Bands of coordinates. A pair at the threshold of 0.8 shares none of 48 bands of 6 with probability 5e-7.
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: Coordinates in which sketches must agree: 8.5 standard deviations below what a similarity of 0.8 gives.
 AGREE = 174
-#: Nodes of a bucket that one task compares with each other; larger buckets are dealt out in blocks of that size.
-BLOCK = 2048
+#: Nodes, and shingles, of a bucket that make one block; a task compares two blocks at most.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the distinct shingles of each text, ascending; text i has hashes[bounds[i]:bounds[i + 1]].
+def normal(text: bytes) -> bytes:
+    """A text's words, lower-cased, with one space between them."""
+    return b" ".join(text.translate(LOWER).split())
+
 
-    Shingles are width words in a row, lower-cased; a text of fewer words has its whole sequence as one, one without
-    words none.
+def shingles(texts: list[bytes], width: int, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, bounds, hashes): text i, normal, has the distinct shingles at bounds[i]:bounds[i + 1], by ascending code.
+
+    Codes are equal for equal words only, and compare within this call. Shingles are width words in a row; a text of
+    fewer words has its whole sequence as one, with a code of its own; one without words has none.
     """
-    words = Words(texts, lower=True)
-    n = np.diff(words.first)
-    h = words.hash
-    acc = np.zeros(len(h), np.uint64)
-    for k in range(width):
-        acc[: len(h) - k] = mix(acc[: len(h) - k] * _GOLD + h[k:] + np.uint64(k))
-    left = words.first[1:][words.doc] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
-    full = left >= width
-    doc, sh = words.doc[full], acc[full]
-    for i in np.flatnonzero((n > 0) & (n < width)):
-        x = np.zeros(1, np.uint64)
-        for k in range(words.first[i], words.first[i + 1]):
-            x = mix(x * _GOLD + h[k] + np.uint64(width))
-        doc, sh = np.append(doc, i), np.append(sh, x)
-    by = np.lexsort((sh, doc))
-    doc, sh = doc[by], sh[by]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (sh[1:] != sh[:-1])
-    doc, sh = doc[new], sh[new]
-    return sh, np.searchsorted(doc, np.arange(len(texts) + 1))
+    words = Words(texts)
+    total, n = len(words.id), np.diff(words.first)
+    code = words.id.astype(np.int64)
+    for k in range(1, width):
+        pairs = code[: max(total - k, 0)] * max(len(words.distinct), 1) + words.id[k:]
+        # numbered anew, so that codes stay below the number of words
+        code = pa.array(pairs).dictionary_encode().indices.to_numpy().astype(np.int64)
+    left = words.first[1:][words.doc] - np.arange(total)
+    at = np.flatnonzero(left >= width)
+    at = at[np.unique(words.doc[at] * (total + 1) + code[at], return_index=True)[1]]
+    few = np.flatnonzero((n > 0) & (n < width))
+    doc, code = np.concatenate([words.doc[at], few]), np.concatenate([code[at], total + few])
+    by = np.argsort(doc, kind="stable")
+    bounds = np.searchsorted(doc[by], np.arange(len(texts) + 1))
+    hashes = np.zeros(0, np.uint64)
+    if hashed:
+        h = words.hash
+        acc = np.zeros(total, np.uint64)
+        for k in range(width):
+            acc[: max(total - k, 0)] = mix(acc[: max(total - k, 0)] * _GOLD + h[k:] + np.uint64(k))
+        rest = np.zeros(len(few), np.uint64)
+        for j, i in enumerate(few.tolist()):
+            for k in range(words.first[i], words.first[i + 1]):
+                rest[j : j + 1] = mix(rest[j : j + 1] * _GOLD + h[k] + np.uint64(width))
+        hashes = np.concatenate([acc[at], rest])[by]
+    return code[by], bounds, hashes
+
+
+def linked(texts: list[bytes], width: int, percent: int) -> np.ndarray:
+    """For each pair of neighbours among the texts (0 and 1, 2 and 3, ...) whether their sets reach the similarity."""
+    code, bounds, _ = shingles(texts, width)
+    n = np.diff(bounds)
+    of = np.repeat(np.arange(len(texts)), n)
+    key = of // 2 * (int(code.max(initial=0)) + 1) + code
+    x, y = key[of % 2 == 0], key[of % 2 == 1]
+    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+    common = np.bincount(of[of % 2 == 0] // 2, hit, len(texts) // 2)
+    return (common > 0) & (100 * common >= percent * (n[::2] + n[1::2] - common))
 
 
 def sketches(sh: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -102,41 +128,69 @@ def sketches(sh: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray
     return out
 
 
-def set_ids(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A number for each set, equal for equal sets."""
-    sums = np.append(np.uint64(0), np.cumsum(mix(sh ^ _GOLD), dtype=np.uint64))
-    size = np.diff(bounds).astype(np.uint64)
-    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + size * _GOLD).view(np.int64)
-
-
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(k, v, n, sk) and the columns of docs (k, t, ...) past the second, which are longs."""
+    """(k, v, w, n, sk), v and w being 128 bits of hash of the words, and the columns of docs (k, t, ...) past the second, which are longs."""
     more = docs.columns[2:]
 
+    @lean
     def run(batches):
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist()):
                 part = batch.slice(a, b - a)
-                sh, bounds = shingle_sets(part.column(1).to_pylist(), width)
-                sk = sketches(sh, bounds)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_ids(sh, bounds)), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in sk], pa.binary()), *part.columns[2:]], ["k", "v", "n", "sk", *more])
+                texts = [normal(t) for t in part.column(1).to_pylist()]
+                _, bounds, hashes = shingles(texts, width, hashed=True)
+                sk = sketches(hashes, bounds)
+                vw = _digests(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vw[:, 0]), pa.array(vw[:, 1]), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in sk], pa.binary()), *part.columns[2:]], ["k", "v", "w", "n", "sk", *more])
+
+    return docs.mapInArrow(run, ", ".join(["k long, v long, w long, n long, sk binary", *[f"{c} long" for c in more]]))
+
+
+def _digests(texts: list[bytes]) -> np.ndarray:
+    """128 bits of hash of each text, as two numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2).copy()
+
+
+def _numbered(signed: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """signed with v equal for equal 128-bit hashes (v, w) only; the nodes (v, k, n, sk), k being the least id; what
+    _renamed needs to give other tables the same v.
+
+    Where two hashes share v, as happens by chance among some 1e9 nodes, another number takes its place.
+    """
+    twice: list[DataFrame] = []
+    while True:
+        now = _renamed(signed, twice)
+        nodes = materialize(now.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.min("w").alias("lo"), F.max("w").alias("hi")))
+        again = nodes.filter("lo <> hi").select("v", F.lit(True).alias("twice"))
+        if not again.take(1):
+            return now, nodes.drop("lo", "hi"), twice
+        twice.append(again)
 
-    return docs.mapInArrow(run, ", ".join(["k long, v long, n long, sk binary", *[f"{c} long" for c in more]]))
 
+def _renamed(df: DataFrame, twice: list[DataFrame]) -> DataFrame:
+    for salt, shared in enumerate(twice):
+        df = df.join(shared, "v", "left").withColumn("v", F.when(F.col("twice"), F.xxhash64("v", "w", F.lit(salt))).otherwise(F.col("v"))).drop("twice")
+    return df
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+
+def _words_of(docs: DataFrame) -> DataFrame:
+    """(v, w, t): the 128-bit hash of the words, and the words, of docs (k, t)."""
+
+    @lean
     def run(batches):
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist()):
-                sh, bounds = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sh, bounds)), pa.array([sh[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["v", "sh"])
+                texts = [normal(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                vw = _digests(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(vw[:, 0]), pa.array(vw[:, 1]), pa.array(texts, pa.binary())], ["v", "w", "t"])
 
-    return docs.mapInArrow(run, "v long, sh binary")
+    return docs.select("k", "t").mapInArrow(run, "v long, w long, t binary")
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """(b, v): a row for each node and band, b naming the bucket."""
+    """(b, v, n): a row for each node and band, b naming the bucket."""
 
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -145,9 +199,9 @@ def _banded(nodes: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     key = key << np.uint64(8) | sk[:, :, r]
                 key = mix(key ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(50)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["b", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(2).to_numpy(), BANDS))], ["b", "v", "n"])
 
-    return nodes.select("v", "sk").mapInArrow(run, "b long, v long")
+    return nodes.select("v", "sk", "n").mapInArrow(run, "b long, v long, n long")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -156,6 +210,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     least = _least_agree(percent)
 
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -173,20 +228,19 @@ def _least_agree(percent: int) -> int:
     return max(0, int(BINS * p - 8.5 * (BINS * p * (1 - p)) ** 0.5))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets (v, sh)."""
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("sh").alias("y")), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets of the words (v, t)."""
+    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("t").alias("y")), "b")
 
+    @lean
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            sizes = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist()
+            for a, b in chunks(sizes):
+                part = batch.slice(a, b - a)
+                both = [t for two in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True) for t in two]
+                keep = pa.array(linked(both, width, percent))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -205,9 +259,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "hi").select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
         small = materialize(small.union(down.select("m", "hi")).filter("lo <> hi").distinct())
         # done when nothing changes
-        if small.count() == links.count() and not small.join(links, ["lo", "hi"], "left_anti").take(1):
-            break
+        same = small.count() == links.count() and not small.join(links, ["lo", "hi"], "left_anti").take(1)
+        drop(links, large)
         links = small
+        if same:
+            break
     return links.select(F.col("hi").alias("v"), F.col("lo").alias("c")).union(links.select("lo", "lo").distinct())
 
 
@@ -251,35 +307,43 @@ def _linked(v: np.ndarray, c: np.ndarray, sets: list[np.ndarray], percent: int)
     return out
 
 
-def _across(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a bucket and link different components, as far as 32-bit shingle hashes tell: no
-    link is missed, and what they add wrongly fails the confirmation.
+def _across(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of nodes that share a bucket and link different components, exactly.
 
-    Of links that join the same components in a bucket one is given. A bucket of more than BLOCK nodes is dealt out
-    to tasks of two blocks each.
+    Of links that join the same components in a bucket one is given. A large bucket is dealt out to tasks of two
+    blocks each; blocks of its largest component are compared with those of the rest only.
     """
     tagged = buckets.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed = tagged.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("b", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = tagged.join(mixed, "b").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    parts = tagged.groupBy("b", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    whole = parts.groupBy("b").agg(F.max(F.struct("m", "n", "c")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    one = blocks(F.col("m"), F.col("n")) == 1
+    mixed = whole.select(
+        "b", F.when(~one, F.col("top.c")).alias("top"), F.when(one, 0).otherwise(blocks(F.col("top.m"), F.col("top.n"))).alias("tops"),
+        F.when(one, 1).otherwise(blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n"))).alias("rests"),
+    )
+    rows = tagged.join(mixed, "b").withColumn("of_top", F.coalesce(F.col("c") == F.col("top"), F.lit(False)))
+    # blocks 0 to rests - 1 are the rest's, those from rests on the largest component's
+    spot = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("of_top"), F.col("rests") + spot(F.col("tops"))).otherwise(spot(F.col("rests"))))
     # a row goes to each task that its block takes part in: one, unless the bucket is very large
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("of_top"), F.col("rests")).otherwise(F.col("rests") + F.col("tops")) - 1)))
     rows = rows.withColumn("task", F.xxhash64("b", F.least("mine", "other"), F.greatest("mine", "other")))
+    rows = rows.select("task", "v", "c").join(sets.select("v", "t"), "v").select("task", "v", "c", "t")
 
-    def short(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["v", "sh"])
-
-    rows = rows.join(sets.select("v", "sh").mapInArrow(short, "v long, sh binary"), "v").select("task", "v", "c", "sh")
-
+    @lean
     def run(batches):
         held: list = []
 
         def flush():
             t = pa.Table.from_batches(held)
             task, v, c = (t.column(x).to_numpy() for x in ("task", "v", "c"))
-            sets = [np.frombuffer(x, np.uint32) for x in t.column("sh").to_pylist()]
+            texts = t.column("t").to_pylist()
             cuts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
-            found = [x for a, b in zip(cuts, np.append(cuts[1:], len(task)), strict=True) for x in _linked(v[a:b], c[a:b], sets[a:b], percent)]
+            found = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(task)), strict=True):
+                code, bounds, _ = shingles(texts[a:b], width)
+                found += _linked(v[a:b], c[a:b], [code[i:j] for i, j in zip(bounds, bounds[1:], strict=False)], percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], ["a", "b"])
 
@@ -345,32 +409,27 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), *[F.col(c).alias(n) for n, c in (more or {}).items()])
-    signed = materialize(_signatures(texts, width))
-    nodes = materialize(signed.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sk").alias("sk")))
-    buckets = materialize(_banded(nodes))
-    centres = buckets.groupBy("b").agg(F.min("v").alias("a"), F.count("*").alias("m")).filter("m > 1").select("b", "a")
-    buckets = materialize(buckets.join(centres, "b"))
+    signed, nodes, twice = _numbered(materialize(_signatures(texts, width)))
+    banded = materialize(_banded(nodes))
+    centres = banded.groupBy("b").agg(F.min("v").alias("a"), F.count("*").alias("m")).filter("m > 1").select("b", "a")
+    buckets = materialize(banded.join(centres, "b"))
     stars = materialize(_alike(buckets.filter("a <> v").select("a", F.col("v").alias("b")).distinct(), nodes, percent))
-    shared = buckets.select("v").distinct()
-    sets = _sets(texts.join(nodes.join(shared, "v", "left_semi").select("k").distinct(), "k", "left_semi").select("k", "t"), width)
-    sets = materialize(sets.join(shared, "v", "left_semi").dropDuplicates(["v"]))
+    shared = materialize(buckets.select("v").distinct())
+    # a node's words are read from a document of its least id; others of that id may have other words
+    mine = nodes.join(shared, "v", "left_semi").select("k").distinct()
+    sets = _renamed(_words_of(texts.join(mine, "k", "left_semi")), twice)
+    sets = materialize(sets.join(shared, "v", "left_semi").select("v", "t").dropDuplicates(["v"]))
     # each node first tries the centre that it resembles most
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    links = materialize(_confirmed(best, sets, percent))
+    links = materialize(_confirmed(best, sets, percent, width))
+    comp = materialize(components(links))
+    links = links.union(materialize(_across(buckets.select("b", "v", "n"), comp, sets, percent, width)))
+    drop(comp, banded, stars, shared)
     comp = materialize(components(links))
-    # a link that 32 bits show wrongly could hide one of its bucket: search again until all that is found holds
-    while True:
-        rest = materialize(_across(buckets.select("b", "v"), comp, sets, percent))
-        good = materialize(_confirmed(rest, sets, percent))
-        if not good.take(1):
-            break
-        links = links.union(good)
-        comp = materialize(components(links))
-        if good.count() == rest.count():
-            break
     label = nodes.select("v", "k").join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
     label = materialize(label.join(label.groupBy("c").agg(F.min("k").alias("first")), "c").select("v", "c", "first"))
-    return signed.drop("sk").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
+    drop(buckets, sets, comp)
+    return signed.drop("sk", "w").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
