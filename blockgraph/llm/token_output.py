@@ -10,6 +10,7 @@ The rows are stored by Spark's Parquet writer, so that any shared store and its
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
@@ -29,9 +30,7 @@ END = 0
 #: Values in one file row, at most, but for a longer document.
 SHARD = 1 << 20
 #: Entries of a task's cache of encoded stretches, about 200 bytes each, and characters of the longest of them.
-CACHE, CACHED_LENGTH = 200_000, 40
-#: Stretches that the library gets at once.
-BATCH = 10_000
+CACHE, CACHED_LENGTH = 500_000, 40
 
 
 def tokenizer_path() -> str:
@@ -108,18 +107,18 @@ class Encoder:
     def __init__(self, path: str):
         # one task is one core's work
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        if self.lib.get_vocab_size() > 1 << 16 or self.lib.token_to_id(byte_letters()[255]) is None:
-            raise ValueError("the vocabulary must fit in 16 bits and hold every byte")
-        # the model alone; no UTF-8 text has the byte 255, so that its letter can stand between stretches
-        self.bare = Tokenizer(self.lib.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Split(byte_letters()[255], "isolated")
-        self.between = self.lib.token_to_id(byte_letters()[255])
+        if self.lib.get_vocab_size() > 1 << 16:
+            raise ValueError("the vocabulary doesn't fit in 16 bits")
+        self.model = self.lib.model
+        self.model._resize_cache(0)  # ours serves
         specials = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["'[sStTmMrRvVlLdD]", *specials]))
         self.kind, self.letters = char_classes(), np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
+        # stands between stretches: no UTF-8 text has the byte 255
+        self.between = byte_letters()[255]
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -131,14 +130,10 @@ class Encoder:
         fresh = [i for i, x in enumerate(out) if x is None]
         if len(self.cache) + len(fresh) > CACHE:
             self.cache.clear()
-        for at in range(0, len(fresh), BATCH):
-            lot = fresh[at : at + BATCH]
-            raw = np.frombuffer(b"\xff".join([words[i].encode() for i in lot]), np.uint8)
-            ids = np.array(self.bare.encode_batch_fast([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint16)
-            cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
-            flat = ids.tobytes()
-            for i, a, b in zip(lot, cuts, cuts[1:], strict=False):
-                out[i] = flat[2 * a + 2 : 2 * b]
+        if fresh:
+            raw = np.frombuffer(b"\xff".join([words[i].encode() for i in fresh]), np.uint8)
+            for i, letters in zip(fresh, self.letters[raw].tobytes().decode("utf-32-le").split(self.between), strict=True):
+                out[i] = array.array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
                 if len(words[i]) <= CACHED_LENGTH and len(self.cache) < CACHE:
                     self.cache[words[i]] = out[i]
         return out
