@@ -30,6 +30,8 @@ HOT = 20_000
 BLOCK, BYTES = 20_000, 1 << 20
 #: Memory, about, in which a task of the scan remembers the runs that it has given.
 SEEN_BYTES = 64 << 20
+#: Stands among the anchors of an id that several rows have.
+MANY = -1
 
 
 @dataclass
@@ -149,7 +151,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
     # rows without an id are spread by their text
     texts = docs.select(inner_id(id_).alias("k"), F.when(id_.isNull(), F.xxhash64(text)).otherwise(0).alias("s"), text.alias("t"))
     # ids that several rows have: there a hash of the text tells whose a stretch is
-    many = docs.select(id_.cast("long").alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k", F.lit(0).cast("long").alias("s"), F.lit(True).alias("many"))
+    many = docs.select(id_.cast("long").alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k", F.lit(0).cast("long"), F.lit(MANY).cast("long"))
 
     def scan(column, batch):
         sizes = pc.binary_length(batch.column(column)).to_pylist()
@@ -174,7 +176,8 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
     grams = texts.mapInArrow(anchors, "g long, k long, s long, n int")
     counted = grams.groupBy("g").agg(F.sum("n").alias("n"), *([F.min("k").alias("lo"), F.max("k").alias("hi")] if across else []))
     counted = counted.filter("lo < hi" if across else "n > 1").select("g", (F.col("n") > HOT).cast("long").alias("hot"))
-    flagged = grams.select("g", "k", "s").join(counted, "g").groupBy("k", "s").agg(F.array_sort(F.collect_list(F.col("g").bitwiseOR(F.col("hot")))).alias("flags"))
+    flagged = grams.select("g", "k", "s").join(counted, "g").select("k", "s", F.col("g").bitwiseOR(F.col("hot")).alias("g")).union(many)
+    flagged = flagged.groupBy("k", "s").agg(F.array_sort(F.collect_list("g")).alias("flags"))
 
     @lean
     def contexts(batches):
@@ -183,13 +186,14 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
         for batch in batches:
             for part, runs in scan(2, batch):
                 own = part.column(0).to_pylist()
-                tags = [tag_of(t) if m or k == LAST else None for k, t, m in zip(own, part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True)]
                 flags = [np.array(x, np.int64) for x in part.column(3).to_pylist()]
+                tags = [tag_of(t) if k == LAST or x[0] == MANY else None for k, t, x in zip(own, part.column(2).to_pylist(), flags, strict=True)]
+                flags = [x[x != MANY] for x in flags]
                 out = _contexts(runs, part, tags, flags, across, seen)
                 if out.num_rows:
                     yield out
 
-    rows = texts.join(flagged, ["k", "s"]).join(many, ["k", "s"], "left").select("k", "s", "t", "flags", "many").mapInArrow(contexts, CONTEXT)
+    rows = texts.join(flagged, ["k", "s"]).select("k", "s", "t", "flags").mapInArrow(contexts, CONTEXT)
 
     @lean
     def compare(batches):
