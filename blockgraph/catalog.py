@@ -13,7 +13,7 @@ from .functions.quality import ConstantPotts, Modularity
 from .graph import Graph
 from .operators import coloring, contract, evaluate, moves, partition, refine
 from .plans.cluster import Options, blocks_and_colors, cluster
-from .runtime import cut
+from .runtime import cut, scratch
 from .sources import files
 
 POTTS, MOD = ConstantPotts(0.3), Modularity(1.1)
@@ -107,58 +107,132 @@ def _move_facts(g: Graph, found: DataFrame, objective, start: DataFrame) -> Data
 FACTS = "SELECT 'vertices' AS metric, count(*)::DOUBLE AS value FROM n UNION ALL SELECT 'size', count(*)::DOUBLE FROM n UNION ALL SELECT 'strength', round(2 * (SELECT m FROM m), 6) UNION ALL SELECT 'faults', 0 UNION ALL SELECT 'lost_quality', 0"
 
 
+def _pairs(g: Graph) -> DataFrame:
+    """Each vertex with its heaviest neighbour, if that is mutual: a partition that any clustering should beat."""
+    order = Window.partitionBy("v").orderBy(F.desc("w"), "u")
+    best = g.sym().groupBy("v", "u").agg(F.sum("w").alias("w")).withColumn("r", F.row_number().over(order)).filter("r = 1").select("v", "u")
+    mutual = best.join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["v", "u"]).select("v", F.least("v", "u").alias("to"))
+    return g.nodes.select("v").join(mutual, "v", "left").select("v", F.coalesce("to", "v").alias("c"))
+
+
+PAIRS = """
+ph AS (SELECT v, u, row_number() OVER (PARTITION BY v ORDER BY sum(w) DESC, u) AS r FROM sym GROUP BY v, u),
+pm AS (SELECT a.v, least(a.v, a.u) AS c FROM ph a JOIN ph b ON a.u = b.v AND b.u = a.v WHERE a.r = 1 AND b.r = 1),
+pp AS (SELECT n.v, coalesce(pm.c, n.v) AS c FROM n LEFT JOIN pm USING (v)),
+pc AS (SELECT pp.c, sum(node_size) AS size, sum(strength) AS strength, coalesce((SELECT sum(w) FROM e JOIN pp x ON x.v = e.src JOIN pp y ON y.v = e.dst WHERE x.c = y.c AND x.c = pp.c), 0.0) AS inner_w FROM pp JOIN nd USING (v) GROUP BY pp.c)"""
+
+
+def _beats_pairs(g: Graph, found: DataFrame, objective) -> DataFrame:
+    bound = partition.quality(g, _pairs(g), objective)
+    beats = float(partition.quality(g, found, objective) > bound)
+    return g.nodes.limit(1).select(*_named("bound", F.lit(round(bound, 6)))).union(g.nodes.limit(1).select(*_named("beats_bound", F.lit(beats))))
+
+
+def _beaten(objective) -> str:
+    q = f"inner_w - {objective.gamma}::DOUBLE * size * (size - 1) / 2" if isinstance(objective, ConstantPotts) else f"2 * inner_w - {objective.gamma}::DOUBLE * strength * strength / (2 * (SELECT m FROM m))"
+    return f" UNION ALL SELECT 'bound', round(sum({q}), 6) FROM pc UNION ALL SELECT 'beats_bound', 1"
+
+
 def _local_move(s, d, way, objective):
-    g = cop(s, d).persist()
+    g = cop(s, d).persist().prepared()
     start = partition.singletons(g)
     found = way(g, start, objective, 3).assignment
     left = moves.best_moves(moves.candidates(g, found, objective), 1e-9)
-    return _move_facts(g, found, objective, start).union(left.select(*_named("improving_moves", F.count("*"))))
+    return _move_facts(g, found, objective, start).union(left.select(*_named("improving_moves", F.count("*")))).union(_beats_pairs(g, found, objective))
+
+
+def _pieces(g: Graph, found: DataFrame) -> int:
+    """Number of connected pieces that the communities consist of."""
+    a = found.select(F.col("v").alias("u"), F.col("c").alias("cu"))
+    inner = cut(g.sym().join(found, "v").join(a, "u").filter("c = cu").select("v", "u").distinct())
+    label = cut(g.nodes.select("v", F.col("v").alias("low")))
+    while True:
+        low = inner.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("low").alias("near"))
+        new = cut(label.join(low, "v", "left").select("v", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("changed")))
+        label = new.select("v", "low")
+        if not new.filter("changed").take(1):
+            return label.select("low").distinct().count()
 
 
 def _refine(s, d, objective):
-    g = cop(s, d).persist()
+    """Facts of a refinement: parts lie in one parent each, are connected, fewer than the vertices and better than these alone."""
+    g = cop(s, d).persist().prepared()
     parent = mod(g, 7)
     found = cut(refine.refine(g, parent, objective, 0.01, 3))
     both = found.join(parent.withColumnRenamed("c", "p"), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
-    return _move_facts(g, found, objective, partition.singletons(g)).union(both.select(*_named("across_parents", F.count("*"))))
+    n, parts = g.num_vertices(), found.select("c").distinct().count()
+    gained = partition.quality(g, found, objective) > partition.quality(g, partition.singletons(g), objective) + 1e-9
+    facts = {"merged": float(parts < n), "split_parts": float(_pieces(g, found) - parts), "gained": float(gained)}
+    out = _move_facts(g, found, objective, partition.singletons(g)).union(both.select(*_named("across_parents", F.count("*"))))
+    for name, value in facts.items():
+        out = out.union(g.nodes.limit(1).select(*_named(name, F.lit(value))))
+    return out
 
 
-def _cluster(s, d, objective):
-    g = cop(s, d).persist()
-    return _move_facts(g, cluster(g, objective, Options(seed=3)).assignment, objective, partition.singletons(g))
+REFINED_FACTS = FACTS + " UNION ALL SELECT 'across_parents', 0 UNION ALL SELECT 'merged', 1 UNION ALL SELECT 'split_parts', 0 UNION ALL SELECT 'gained', 1"
+
+
+def _cluster(s, d, objective, way="rounds"):
+    """Facts of a clustering: no vertex of its last level gains by a move, and it beats the mutual pairs."""
+    g = cop(s, d).persist().prepared()
+    found = cluster(g, objective, Options(seed=3, way=way))
+    left = moves.best_moves(moves.candidates(found.last, found.last_assignment, objective, g.total_weight()), 1e-9)
+    return _move_facts(g, found.assignment, objective, partition.singletons(g)).union(left.select(*_named("improving_moves", F.count("*")))).union(_beats_pairs(g, found.assignment, objective))
+
+
+CLUSTER_FACTS = FACTS + " UNION ALL SELECT 'improving_moves', 0"
 
 
 def _matrix(s, d):
     """Through a file: the edges written and read again."""
-    import uuid
-
     g = cop(s, d).persist()
     ids = cut(partition.compact_ids(g.nodes, "v").select("v", F.col("compact").alias("to")))
     back = ids.select(F.col("to").alias("x"), F.col("v").alias("old"))
-    path = f"{_shared(s)}/matrix-{uuid.uuid4().hex}"
+    path = scratch(s, "matrix-")
     files.write_reordered(g, ids, path)
     got = files.read_matrix(s, path, "any").edges
     got = got.join(back.select(F.col("x").alias("src"), F.col("old").alias("a")), "src").join(back.select(F.col("x").alias("dst"), F.col("old").alias("b")), "dst")
     return got.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
 
 
-def _shared(s) -> str:
-    cut(s.range(1))  # sets the folder where none is set
-    return (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")).rstrip("/")
-
-
 def _block_file(s, d):
-    import uuid
-
     g = cop(s, d).persist()
     ids = partition.compact_ids(g.nodes, "v").select("v", F.col("compact").alias("to"))
     a = cut(mod(g, 7).join(ids, "v").select(F.col("to").alias("v"), "c"))
-    path = f"{_shared(s)}/blocks-{uuid.uuid4().hex}"
+    path = scratch(s, "blocks-")
     files.write_blocks(a, path)
     nb, got = files.read_blocks(s, path, g.num_vertices())
     return got.select("v", "c", F.lit(nb).cast("long").alias("n_blocks"))
 
 
+def _color_file(s, d):
+    """Colours v % 3 of blocks 0 to 20, read for 25 blocks."""
+    path = scratch(s, "colors-")
+    files.write_colors(_fine(cop(s, d)).select(F.col("c").alias("v"), (F.col("c") % 3).alias("color")).distinct(), 3, path)
+    nc, got = files.read_colors(s, path, 25)
+    return got.select("v", "color", F.lit(nc).cast("long").alias("n_colors"))
+
+
+def _permutation(s, d):
+    """The lines of a permutation file: each part's place from the last."""
+    path = scratch(s, "order-")
+    ids = partition.compact_ids(cop(s, d).nodes, "v")
+    n = ids.count()
+    files.write_permutation(ids.select(F.col("compact").alias("v"), (F.lit(n) - 1 - F.col("compact")).alias("to")), path)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+def _lower(s, d):
+    """The strict lower triangle of a file with both triangles and a diagonal; half of the entries have no value."""
+    path = scratch(s, "matrix-")
+    e = evt(s, d).edges.select((F.col("src") + 1).alias("i"), (F.col("dst") + 1).alias("j"), F.col("w").cast("long").alias("w"))
+    both = e.union(e.filter("i < j").select("j", "i", F.col("w") + 1000))
+    n = e.agg(F.max(F.greatest("i", "j"))).first()[0]
+    lines = both.select(F.concat_ws(" ", "i", "j", F.when(F.col("i") % 2 == 1, F.col("w"))).alias("line"))
+    s.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n% note\n{n} {n} {both.count()}",)], "line string").union(lines).coalesce(1).write.mode("overwrite").text(path)
+    return files.read_matrix(s, path).edges
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Clustering, block graph, colouring and report of the co-purchase graph."""
     g = cop(spark, d).persist()
@@ -167,16 +241,76 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report(g, ids, found.n_blocks, found.colors, found.n_colors)
 
 
-COLORS_SQL = """
-rk AS (SELECT v, row_number() OVER (ORDER BY degree DESC, v) AS i FROM dg),
-pr AS (SELECT a.i, list(DISTINCT b.i) AS l FROM sym JOIN rk a ON a.v = sym.v JOIN rk b ON b.v = sym.u WHERE b.i < a.i GROUP BY a.i),
+def _colors_sql(degrees: str, near: str) -> str:
+    """cl: greedy colours, in the order of degrees (v, degree), of the graph with the edges near (v, u), both ways."""
+    return f"""
+rk AS (SELECT v, row_number() OVER (ORDER BY degree DESC, v) AS i FROM {degrees}),
+pr AS (SELECT a.i, list(DISTINCT b.i) AS l FROM {near} s JOIN rk a ON a.v = s.v JOIN rk b ON b.v = s.u WHERE b.i < a.i GROUP BY a.i),
 nb AS (SELECT rk.i, rk.v, coalesce(pr.l, []) AS l FROM rk LEFT JOIN pr USING (i)),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS cols UNION ALL
   SELECT nb.i, list_append(cols, coalesce(list_min(list_filter(range(0, len(l) + 1), lambda k: NOT list_contains(list_transform(l, lambda q: cols[q]), k))), 0)) FROM r JOIN nb ON nb.i = r.i + 1),
 cl AS (SELECT rk.v, (SELECT cols FROM r ORDER BY i DESC LIMIT 1)[rk.i] AS color FROM rk)"""
 
+
+COLORS_SQL = _colors_sql("dg", "sym")
+#: The smallest class that no earlier neighbour has (lowest colour of equals), or a new one, vertex by vertex.
+BALANCED_SQL = COLORS_SQL[: COLORS_SQL.index("r AS (SELECT 0")] + """
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS cols, []::BIGINT[] AS sizes UNION ALL
+  SELECT i, list_append(cols, c), CASE WHEN c = len(sizes) THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda x, j: CASE WHEN j = c + 1 THEN x + 1 ELSE x END) END
+  FROM (SELECT nb.i, cols, sizes, coalesce(list_min(list_transform(list_filter(range(0, len(sizes)), lambda k: NOT list_contains(list_transform(l, lambda q: cols[q]), k)), lambda k: sizes[k + 1] * 1000000 + k)) % 1000000, len(sizes)) AS c FROM r JOIN nb ON nb.i = r.i + 1) z),
+cl AS (SELECT rk.v, (SELECT cols FROM r ORDER BY i DESC LIMIT 1)[rk.i] AS color FROM rk)"""
+#: Blocks v % 211 and the moves between their colour classes, one a step: the first legal one, largest source and smallest target first.
+BLOCKS = 211
+LEVELLED_SQL = f"""
+be AS (SELECT DISTINCT x.v % {BLOCKS} AS v, x.u % {BLOCKS} AS u FROM sym x WHERE x.v % {BLOCKS} <> x.u % {BLOCKS}),
+bd AS (SELECT i AS v, (SELECT count(*) FROM be WHERE be.v = i) AS degree FROM range({BLOCKS}) z(i)),""" + _colors_sql("bd", "be") + f""",
+nl AS (SELECT list(l ORDER BY v) AS near FROM (SELECT bd.v, list(be.u + 1) FILTER (WHERE be.u IS NOT NULL) AS l FROM bd LEFT JOIN be USING (v) GROUP BY bd.v) z),
+lv AS (SELECT 0 AS step, (SELECT list(color ORDER BY v) FROM cl) AS cols UNION ALL
+  SELECT step + 1, list_transform(cols, lambda x, j: CASE WHEN j = best % 4096 THEN best // 4096 % 64 ELSE x END)
+  FROM (SELECT step, cols, list_min(list_transform(pairs, lambda p: ((({BLOCKS} - p.sa) * 64 + p.a) * 1024 + p.sb) * 262144 + p.b * 4096
+          + list_min(list_filter(range(1, {BLOCKS} + 1), lambda v: cols[v] = p.a AND NOT coalesce(list_contains(list_transform(near[v], lambda q: cols[q]), p.b), false))))) AS best
+        FROM (SELECT step, cols, near, list_filter(list_transform(range(len(sizes) * len(sizes)), lambda k: {{'a': k // len(sizes), 'b': k % len(sizes), 'sa': sizes[k // len(sizes) + 1], 'sb': sizes[k % len(sizes) + 1]}}), lambda p: p.sa > p.sb + 1) AS pairs
+              FROM (SELECT step, cols, near, list_transform(range(list_max(cols) + 1), lambda c: len(list_filter(cols, lambda x: x = c))) AS sizes FROM lv, nl) x) y) z
+  WHERE best IS NOT NULL AND step < {10 * BLOCKS})"""
+
+
+def _levelled(s, d):
+    g = cop(s, d).persist()
+    return coloring.greedy_levelled(contract.block_graph(g, mod(g, BLOCKS), "binary", BLOCKS).persist())
+
+
 BALANCE = "coalesce((SELECT 2 * sum(i * nodes) / (count(*) * sum(nodes)) - (count(*) + 1.0) / count(*) FROM (SELECT nodes, row_number() OVER (ORDER BY nodes) AS i FROM pb) z), 0)"
 
+REPORT = ["internal_ratio", "locality_score", "avg_nodes", "stddev", "gini", "avg_block_density", "mean_internal_avg_degree", "block_graph_density", "avg_block_graph_degree", "modularity_unweighted", "modularity_weighted"]
+COUNTS = ["num_vertices", "num_edges", "num_blocks", "num_colors", "internal_edges", "external_edges", "max_nodes", "min_nodes", "block_graph_edges"]
+
+
+def _report(s, d):
+    g = cop(s, d).persist()
+    return evaluate.report(g, mod(g, 7), 7).select(*COUNTS, *_r(*REPORT))
+
+
+def _report_colors(s, d):
+    """With colours of the blocks; the arrays by colour as text."""
+    g = cop(s, d).persist()
+    colors = s.range(7).select(F.col("id").alias("v"), (F.col("id") % 3).alias("color"))
+    row = evaluate.report(g, mod(g, 7), 7, colors, 3)
+    return row.select("num_colors", *_r("block_imbalance", "color_imbalance"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("blocks_per_color", "nodes_per_color")])
+
+
+REPORT_SQL = f"""SELECT (SELECT count(*) FROM n) AS num_vertices, (SELECT cnt FROM m) AS num_edges, 7 AS num_blocks, 0 AS num_colors, i AS internal_edges, x AS external_edges, max_nodes, min_nodes, block_graph_edges,
+  round(i / (i + x), 6) AS internal_ratio, round(i / (x + 1), 6) AS locality_score, avg_nodes, stddev, gini, avg_block_density, mean_internal_avg_degree, block_graph_density, avg_block_graph_degree, modularity_unweighted, modularity_weighted
+FROM (SELECT count(*) FILTER (WHERE cu = cv) AS i, count(*) FILTER (WHERE cu <> cv) AS x FROM pe) a,
+  (SELECT max(nodes) AS max_nodes, min(nodes) AS min_nodes, round(avg(nodes), 6) AS avg_nodes, round(stddev_pop(nodes), 6) AS stddev, round({BALANCE}, 6) AS gini,
+     round(sum(CASE WHEN nodes > 1 THEN internal_edges / (nodes * (nodes - 1) / 2) END) / count(*), 6) AS avg_block_density, round(sum(2 * internal_edges / nodes) / count(*), 6) AS mean_internal_avg_degree,
+     (sum(degree) / 2)::BIGINT AS block_graph_edges, round(sum(degree) / (count(*) * (count(*) - 1)), 6) AS block_graph_density, round(avg(degree), 6) AS avg_block_graph_degree FROM pb) b,
+  (SELECT round(sum(l / cnt - (k / (2.0 * cnt)) * (k / (2.0 * cnt))), 6) AS modularity_unweighted FROM m, (SELECT c, sum(degree) AS k, (SELECT count(*) FROM pe WHERE cu = cv AND cu = c) AS l FROM p JOIN dg USING (v) GROUP BY c) z) c,
+  (SELECT round(sum(l / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity_weighted FROM m, (SELECT c, sum(strength) AS k, (SELECT coalesce(sum(w), 0) FROM pe WHERE cu = cv AND cu = c) AS l FROM p JOIN nd USING (v) GROUP BY c) z) f"""
+REPORT_COLORS_SQL = """SELECT 3 AS num_colors, round((SELECT max(nodes) / avg(nodes) FROM pb), 6) AS block_imbalance, round(max(x) / avg(x), 6) AS color_imbalance,
+  string_agg(b::VARCHAR, ',' ORDER BY k) AS blocks_per_color, string_agg(x::VARCHAR, ',' ORDER BY k) AS nodes_per_color
+FROM (SELECT c % 3 AS k, count(DISTINCT c) AS b, count(*) AS x FROM p GROUP BY 1) z"""
+
+
 #: name: (query, SQL)
 TABLE = {
     "graph_stats": (lambda s, d: cop(s, d).strengths(), _sql(COP, "SELECT * FROM nd")),
@@ -231,8 +365,8 @@ TABLE = {
     "greedy_coloring": (lambda s, d: coloring.greedy(cop(s, d).persist()), _sql(COP, "SELECT v, color FROM cl", COLORS_SQL)),
     "relabel_colors": (lambda s, d: coloring.relabel_by_size(coloring.greedy(cop(s, d).persist())), _sql(COP, "SELECT v, k AS color FROM cl JOIN (SELECT color, row_number() OVER (ORDER BY count(*) DESC, color) - 1 AS k FROM cl GROUP BY color) z USING (color)", COLORS_SQL)),
     "coloring_violations": (lambda s, d: coloring.violations(cop(s, d), mod(cop(s, d), 7).withColumnRenamed("c", "color"), 6), _sql(COP, "SELECT 'uncoloured' AS fault, 0 AS n UNION ALL SELECT 'out_of_range', count(*) FROM p WHERE c >= 6 UNION ALL SELECT 'clash', count(*) FROM pe WHERE cu = cv AND src <> dst")),
-    "greedy_coloring_balanced": (lambda s, d: (lambda g: coloring.violations(g, cut(coloring.greedy_balanced(g))))(cop(s, d).persist()), _sql(COP, "SELECT unnest(['uncoloured', 'out_of_range', 'clash']) AS fault, 0 AS n")),
-    "greedy_coloring_levelled": (lambda s, d: (lambda g: coloring.violations(g, cut(coloring.greedy_levelled(g))))(cop(s, d).persist()), _sql(COP, "SELECT unnest(['uncoloured', 'out_of_range', 'clash']) AS fault, 0 AS n")),
+    "greedy_coloring_balanced": (lambda s, d: coloring.greedy_balanced(cop(s, d).persist()), _sql(COP, "SELECT v, color FROM cl", BALANCED_SQL)),
+    "greedy_coloring_levelled": (_levelled, _sql(COP, f"SELECT unnest(range({BLOCKS})) AS v, unnest(cols) AS color FROM (SELECT cols FROM lv ORDER BY step DESC LIMIT 1) z", LEVELLED_SQL)),
     "per_block": (lambda s, d: evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7), _sql(COP, "SELECT * FROM pb")),
     "edge_locality": (lambda s, d: evaluate.locality(cop(s, d), mod(cop(s, d), 7)).select("internal_edges", "external_edges", *_r("internal_ratio", "locality_score")), _sql(COP, "SELECT i AS internal_edges, x AS external_edges, round(i / (i + x), 6) AS internal_ratio, round(i / (x + 1), 6) AS locality_score FROM (SELECT count(*) FILTER (WHERE cu = cv) AS i, count(*) FILTER (WHERE cu <> cv) AS x FROM pe) z")),
     "block_density": (lambda s, d: evaluate.density(evaluate.per_block(evt(s, d), mod(evt(s, d), 2), 2)).select(*_r("avg_block_density", "mean_internal_avg_degree")), _sql(EVT, "SELECT round(sum(CASE WHEN nodes > 1 THEN internal_edges / (nodes * (nodes - 1) / 2) END) / count(*), 6) AS avg_block_density, round(sum(2 * internal_edges / nodes) / count(*), 6) AS mean_internal_avg_degree FROM pb")),
@@ -245,15 +379,20 @@ TABLE = {
     ),
     "color_stats": (lambda s, d: evaluate.per_color(mod(cop(s, d), 7), s.range(7).select(F.col("id").alias("v"), (F.col("id") % 3).alias("color")), 4).select("color", "blocks", "nodes", *_r("avg_nodes_per_block")), _sql(COP, "SELECT k AS color, count(DISTINCT p.c) AS blocks, count(p.v) AS nodes, round(coalesce(count(p.v) / nullif(count(DISTINCT p.c), 0), 0), 6) AS avg_nodes_per_block FROM range(4) r(k) LEFT JOIN p ON p.c % 3 = k GROUP BY k")),
     "load_imbalance": (lambda s, d: evaluate.imbalance(evaluate.per_block(cop(s, d), mod(cop(s, d), 7), 7), evaluate.per_color(mod(cop(s, d), 7), s.range(7).select(F.col("id").alias("v"), (F.col("id") % 3).alias("color")), 3)).select(*_r("block_imbalance", "color_imbalance")), _sql(COP, "SELECT round((SELECT max(nodes) / avg(nodes) FROM pb), 6) AS block_imbalance, round((SELECT max(x) / avg(x) FROM (SELECT count(*) AS x FROM p GROUP BY (c % 3)) z), 6) AS color_imbalance")),
-    "evaluation_report": (lambda s, d: evaluate.report(cop(s, d).persist(), mod(cop(s, d), 7), 7).select("num_vertices", "num_edges", "num_blocks", "internal_edges", "external_edges", "max_nodes", "min_nodes", "block_graph_edges", *_r("avg_nodes")), _sql(COP, "SELECT (SELECT count(*) FROM n) AS num_vertices, (SELECT count(*) FROM e) AS num_edges, 7 AS num_blocks, (SELECT count(*) FROM pe WHERE cu = cv) AS internal_edges, (SELECT count(*) FROM pe WHERE cu <> cv) AS external_edges, max(nodes) AS max_nodes, min(nodes) AS min_nodes, (sum(degree) / 2)::BIGINT AS block_graph_edges, round(avg(nodes), 6) AS avg_nodes FROM pb")),
-    "local_move_rounds": (lambda s, d: _local_move(s, d, moves.local_move, ConstantPotts(0.5)), _sql(COP, FACTS + " UNION ALL SELECT 'improving_moves', 0")),
-    "local_move_queue": (lambda s, d: _local_move(s, d, moves.local_move_queue, Modularity(1.0)), _sql(COP, FACTS + " UNION ALL SELECT 'improving_moves', 0")),
-    "refine_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.05)), _sql(COP, FACTS + " UNION ALL SELECT 'across_parents', 0")),
-    "refine_modularity": (lambda s, d: _refine(s, d, Modularity(1.0)), _sql(COP, FACTS + " UNION ALL SELECT 'across_parents', 0")),
-    "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5)), _sql(COP, FACTS)),
-    "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, FACTS)),
+    "evaluation_report": (_report, _sql(COP, REPORT_SQL)),
+    "evaluation_report_colors": (_report_colors, _sql(COP, REPORT_COLORS_SQL)),
+    "local_move_rounds": (lambda s, d: _local_move(s, d, moves.local_move, ConstantPotts(0.5)), _sql(COP, CLUSTER_FACTS + _beaten(ConstantPotts(0.5)), PAIRS)),
+    "local_move_queue": (lambda s, d: _local_move(s, d, moves.local_move_queue, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
+    "refine_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.002)), _sql(COP, REFINED_FACTS)),
+    "refine_modularity": (lambda s, d: _refine(s, d, Modularity(1.0)), _sql(COP, REFINED_FACTS)),
+    "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(ConstantPotts(0.5)), PAIRS)),
+    "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "matrix_roundtrip": (_matrix, _sql(COP, "SELECT src, dst, w FROM e")),
     "block_file_roundtrip": (_block_file, _sql(COP, "SELECT row_number() OVER (ORDER BY v) - 1 AS v, c, 7 AS n_blocks FROM p")),
+    "color_file_roundtrip": (_color_file, _sql(COP, "SELECT i AS v, CASE WHEN i < 21 THEN i % 3 END AS color, 3 AS n_colors FROM range(25) z(i)")),
+    "permutation_file": (_permutation, _sql(COP, "SELECT (row_number() OVER (ORDER BY v))::VARCHAR || ' ' || (row_number() OVER (ORDER BY v DESC))::VARCHAR AS line FROM n")),
+    "matrix_lower_triangle": (_lower, _sql(EVT, "SELECT src, dst, CASE WHEN (dst + 1) % 2 = 1 THEN w + 1000 ELSE 1 END::DOUBLE AS w FROM e WHERE src < dst")),
+    "index_predicates": (lambda s, d: evaluate.valid(cop(s, d).nodes.select("v", (F.col("v") % 9 - 1).alias("c")), 7), _sql(COP, "SELECT v, CASE WHEN v % 9 BETWEEN 1 AND 7 THEN v % 9 - 1 END AS c FROM n")),
 }
 
 

@@ -20,7 +20,11 @@ METHODS = {"potts": ConstantPotts, "modularity": Modularity}
 
 def resolution(text: str) -> str:
     """The text, if it is a finite positive number of safe characters."""
-    if not re.fullmatch(r"[0-9A-Za-z._+-]+", text) or not 0 < float(text) < math.inf:
+    try:
+        ok = re.fullmatch(r"[0-9A-Za-z._+-]+", text) and 0 < float(text) < math.inf
+    except ValueError:
+        ok = False
+    if not ok:
         raise argparse.ArgumentTypeError("a finite positive number is needed")
     return text
 
@@ -40,7 +44,9 @@ def main(argv: list[str] | None = None) -> dict:
     c.add_argument("--method", choices=METHODS, default="potts")
     c.add_argument("--out", default=".")
     c.add_argument("--seed", type=int, default=0)
+    c.add_argument("--way", choices=("rounds", "queue"), default="rounds")
     c.add_argument("--debug", action="store_true")
+    c.add_argument("--debug-interval", type=positive, default=1)
     e = sub.add_parser("evaluate")
     for x in ("matrix", "blocks", "colors"):
         e.add_argument(x)
@@ -65,15 +71,16 @@ def _cluster(spark: SparkSession, a) -> dict:
     g = files.read_matrix(spark, a.matrix).persist()
     objective = METHODS[a.method](float(a.resolution))
     began = time.time()
-    found = blocks_and_colors(g, objective, Options(seed=a.seed))
+    found = blocks_and_colors(g, objective, Options(seed=a.seed, way=a.way, debug_interval=a.debug_interval))
     took = time.time() - began
     name = lambda kind: f"{a.out.rstrip('/')}/{files.output_name(a.matrix, a.method, a.resolution, kind)}"
     files.write_blocks(found.clustering.assignment, name("blk"))
     files.write_colors(found.colors, found.n_colors, name("bcol"))
     h, m = partition.quality(g.binary(), found.clustering.assignment, objective), float(g.num_edges())
-    summary = {"vertices": g.num_vertices(), "edges": g.num_edges(), "blocks": found.n_blocks, "block_graph_edges": found.block_graph.num_edges(), "colors": found.n_colors, "levels": found.clustering.levels, "moves": found.clustering.moves, "quality": h}
+    by_phase = {phase: sum(level.get(phase, 0.0) for level in found.clustering.seconds) for phase in ("move", "refine", "contract")}
+    summary = {"matrix": a.matrix, "method": a.method, "resolution": a.resolution, "seed": a.seed, "vertices": g.num_vertices(), "edges": g.num_edges(), "blocks": found.n_blocks, "block_graph_edges": found.block_graph.num_edges(), "colors": found.n_colors, "levels": found.clustering.levels, "moves": found.clustering.moves, "quality": h}
     summary |= {"modularity": normalised(h, m)} if a.method == "modularity" else {}
-    summary |= {"seconds": took}
+    summary |= {f"{k}_seconds": v for k, v in {**by_phase, **found.seconds}.items()} | {"seconds": took, "blocks_file": name("blk"), "colors_file": name("bcol")}
     print("\n".join(f"{k}: {v}" for k, v in summary.items()))
     return summary
 

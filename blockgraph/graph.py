@@ -6,7 +6,7 @@ and self-loops are rows like others. A self-loop adds twice its weight to its ve
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from .runtime import cut
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    #: sym() and strengths() as tables, where they are kept
+    kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", w: str | None = None, nodes: DataFrame | None = None) -> Graph:
@@ -33,12 +35,18 @@ class Graph:
         """The graph as tables in the shared folder."""
         return Graph(cut(self.nodes), cut(self.edges))
 
+    def prepared(self) -> Graph:
+        """The graph with sym() and strengths() as tables, for operators that need them again and again."""
+        return self if self.kept else Graph(self.nodes, self.edges, {"sym": cut(self.sym()), "strengths": cut(self.strengths())})
+
     def binary(self) -> Graph:
         """Every weight 1; parallel edges stay parallel."""
         return Graph(self.nodes, self.edges.withColumn("w", F.lit(1.0)))
 
     def sym(self) -> DataFrame:
         """(v, u, w): each edge but self-loops from both of its ends."""
+        if "sym" in self.kept:
+            return self.kept["sym"]
         e = self.edges.filter("src <> dst")
         both = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))
         return e.select(F.explode(both).alias("e"), "w").select("e.v", "e.u", "w")
@@ -54,6 +62,8 @@ class Graph:
 
     def strengths(self) -> DataFrame:
         """nodes with strength: summed weights, those of self-loops twice."""
+        if "strengths" in self.kept:
+            return self.kept["strengths"]
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("strength"))
         return self.nodes.join(ends, "v", "left").fillna(0.0, ["strength"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import cut
+from ..runtime import cut, ship
 
 
 def greedy(g: Graph) -> DataFrame:
@@ -43,6 +43,7 @@ def _kernel(g: Graph, color) -> DataFrame:
         out = color(sorted(near, key=lambda v: (-degree[v], v)), near)
         return pd.DataFrame({"v": list(out), "color": list(out.values())})
 
+    ship(g.edges.sparkSession)
     deg = g.degree().select("v", F.lit(None).cast("double").alias("u"), F.col("degree").cast("double").alias("d"))
     rows = deg.union(g.sym().select("v", F.col("u").cast("double"), F.lit(0.0)))
     return rows.groupBy().applyInPandas(run, "v long, color long")
@@ -72,19 +73,27 @@ def _balanced(order: list[int], near: dict[int, list[int]]) -> dict[int, int]:
 
 def _levelled(order: list[int], near: dict[int, list[int]]) -> dict[int, int]:
     color = _sequential(order, near)
-    size = [0] * (max(color.values(), default=-1) + 1)
-    for c in color.values():
-        size[c] += 1
+    classes: dict[int, set[int]] = {c: set() for c in range(max(color.values(), default=-1) + 1)}
+    for v, c in color.items():
+        classes[c].add(v)
+
+    def move():
+        """The first legal one: largest source, smallest target, lowest id; the lower colour of equal classes."""
+        size = {c: len(x) for c, x in classes.items()}
+        for a in sorted(size, key=lambda c: (-size[c], c)):
+            for b in sorted((c for c in size if size[c] + 1 < size[a]), key=lambda c: (size[c], c)):
+                v = min((v for v in classes[a] if all(color[u] != b for u in near[v])), default=None)
+                if v is not None:
+                    return v, a, b
+        return None
+
     for _ in range(10 * len(color)):
-        big, small = max(range(len(size)), key=lambda c: (size[c], -c)), min(range(len(size)), key=lambda c: (size[c], c))
-        if size[big] - size[small] < 2:
-            break
-        v = next((v for v in sorted(color) if color[v] == big and all(color[u] != small for u in near[v])), None)
-        if v is None:
+        if not (found := move()):
             break
-        color[v] = small
-        size[big] -= 1
-        size[small] += 1
+        v, a, b = found
+        classes[a].remove(v)
+        classes[b].add(v)
+        color[v] = b
     return color
 
 
@@ -94,7 +103,7 @@ def greedy_balanced(g: Graph) -> DataFrame:
 
 
 def greedy_levelled(g: Graph) -> DataFrame:
-    """(v, color): the greedy colours, then moves from the largest to the smallest class while they differ by two."""
+    """(v, color): the greedy colours, then moves from larger to smaller classes while any pair differs by two and has a legal one."""
     return _kernel(g, _levelled)
 
 

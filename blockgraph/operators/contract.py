@@ -19,9 +19,14 @@ class Contracted:
     coarse_of: DataFrame
 
 
-def aggregate_graph(g: Graph, refined: DataFrame) -> Contracted:
-    """Refined communities as vertices 0, 1, ... in id order: sizes and edge weights summed, inner edges as a self-loop."""
-    coarse_of = partition.compact(refined).select("v", F.col("c").alias("coarse"))
+def aggregate_graph(g: Graph, refined: DataFrame, check: bool = True) -> Contracted:
+    """Refined communities as vertices 0, 1, ... in id order: sizes and edge weights summed, inner edges as a self-loop.
+
+    :raises ValueError: if check is set and refined isn't an assignment of all vertices, once each, to ids from 0 on
+    """
+    if check:
+        partition.checked(g, refined)
+    coarse_of = partition.compact(refined, check=False).select("v", F.col("c").alias("coarse"))
     nodes = g.nodes.join(coarse_of, "v").groupBy(F.col("coarse").alias("v")).agg(F.sum("node_size").alias("node_size"))
     e = partition.inside(g, coarse_of.withColumnRenamed("coarse", "c"))
     edges = e.groupBy(F.least("cu", "cv").alias("src"), F.greatest("cu", "cv").alias("dst")).agg(F.sum("w").alias("w"))
@@ -49,7 +54,7 @@ def coarse_partition(coarse_of: DataFrame, assignment: DataFrame) -> DataFrame:
     both = coarse_of.join(assignment, "v", "left").groupBy("coarse").agg(F.min("c").alias("c"), F.max("c").alias("hi"), F.count(F.when(F.col("c").isNull() | (F.col("c") < 0), 1)).alias("none"))
     if both.filter("c <> hi or none > 0").take(1):
         raise ValueError("the contracted partition is no refinement of the assignment")
-    return partition.compact(both.select(F.col("coarse").alias("v"), "c"))
+    return partition.compact(both.select(F.col("coarse").alias("v"), "c"), check=False)
 
 
 def flatten(to_coarse: DataFrame, coarse_of: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ empty ones included; empty inputs give zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..runtime import ranked
 from . import contract, partition
 
 
@@ -36,9 +37,8 @@ def locality(g: Graph, assignment: DataFrame) -> DataFrame:
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """(gini) of one value a block; 0 without values or for a zero sum. The values are ranked in one task."""
-    x = values.select(F.col(column).cast("double").alias("x"))
-    x = x.withColumn("i", F.row_number().over(Window.orderBy("x")))
+    """(gini) of one value a block; 0 without values or for a zero sum."""
+    x = ranked(values.select(F.col(column).cast("double").alias("x")), "x", "place").withColumn("i", F.col("place") + 1)
     s, n = F.sum("x"), F.count("*")
     return x.agg(F.coalesce(F.when(s != 0, 2 * F.sum(F.col("i") * F.col("x")) / (n * s) - (n + 1) / n), F.lit(0.0)).alias("gini"))
 
@@ -105,14 +105,19 @@ def imbalance(blocks: DataFrame, by_color: DataFrame) -> DataFrame:
 
 
 def report(g: Graph, assignment: DataFrame, n_blocks: int, colors: DataFrame | None = None, n_colors: int = 0) -> DataFrame:
-    """All metrics as one row."""
+    """All metrics as one row; with a colour for each block also the blocks and nodes of each colour, as arrays by colour.
+
+    What each block has (nodes, inner edges, degree) is per_block's, as there may be many blocks.
+    """
     a = valid(assignment, n_blocks)
     blocks = per_block(g, a, n_blocks)
     out = g.nodes.agg(F.count("*").alias("num_vertices")).crossJoin(g.edges.agg(F.count("*").alias("num_edges")))
     out = out.withColumns({"num_blocks": F.lit(n_blocks).cast("long"), "num_colors": F.lit(n_colors).cast("long")})
     parts = [locality(g, a), balance(blocks), density(blocks), block_graph_stats(blocks), modularity_unweighted(g, a).withColumnRenamed("modularity", "modularity_unweighted"), modularity_weighted(g, a).withColumnRenamed("modularity", "modularity_weighted")]
-    if colors is not None and n_colors > 0:
-        parts.append(imbalance(blocks, per_color(a, colors, n_colors)))
+    if colors is not None and n_colors > 0 and colors.count() >= n_blocks:
+        each = per_color(a, colors, n_colors)
+        listed = F.array_sort(F.collect_list(F.struct("color", "blocks", "nodes")))
+        parts += [imbalance(blocks, each), each.agg(listed.alias("x")).select(F.col("x.blocks").alias("blocks_per_color"), F.col("x.nodes").alias("nodes_per_color"))]
     for p in parts:
         out = out.crossJoin(p)  # one-row tables
     return out

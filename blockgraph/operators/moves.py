@@ -7,6 +7,7 @@ Two ways with the same guarantees (quality never falls, and at the end no single
 
 from __future__ import annotations
 
+import logging
 from collections import deque
 from dataclasses import dataclass
 from itertools import count
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import ConstantPotts
 from ..graph import Graph
-from ..runtime import cut
+from ..runtime import cut, drop, ranked, ship
 from . import partition
 
+log = logging.getLogger(__name__)
+
 #: Gains up to this are rounding.
 EPS = 1e-12
 
@@ -38,12 +41,12 @@ def candidates(g: Graph, assignment: DataFrame, objective, m: float | None = Non
     only: (v) restricts the vertices.
     """
     m = g.total_weight() if m is None else m
+    placed = g.strengths().join(assignment.filter("c is not null"), "v")
+    com = placed.groupBy("c").agg(F.count("*").alias("n_members"), F.sum("node_size").alias("size"), F.sum("strength").alias("strength"))
     nbw = partition.neighbour_weights(g, assignment)
     if only is not None:
-        nbw = nbw.join(only, "v", "left_semi")
-    own = assignment if only is None else assignment.join(only, "v", "left_semi")
-    com = partition.communities(g, assignment)
-    base = g.strengths().join(own.withColumnRenamed("c", "src"), "v")
+        nbw, placed = nbw.join(only, "v", "left_semi"), placed.join(only, "v", "left_semi")
+    base = placed.withColumnRenamed("c", "src")
     base = base.join(nbw.select("v", F.col("c").alias("src"), F.col("w").alias("w_src")), ["v", "src"], "left").fillna(0.0, ["w_src"])
     base = base.join(com.select(F.col("c").alias("src"), F.col("size").alias("src_size"), F.col("strength").alias("src_strength"), F.col("n_members").alias("src_n")), "src")
     near = base.join(nbw.select("v", F.col("c").alias("tgt"), F.col("w").alias("w_tgt")), "v").filter("src <> tgt")
@@ -78,7 +81,7 @@ def together(proposals: DataFrame, g: Graph, objective, m: float, seed: int, tur
     p = p.join(first.select(F.col("c").alias("tgt"), F.col("top.gives").alias("busy")), "tgt", "left").filter("tgt is null or not busy")
     potts = isinstance(objective, ConstantPotts)
     mass = F.col("node_size" if potts else "strength")
-    p = cut(p.select("v", "src", "tgt", "delta", "rank").join(g.strengths().select("v", mass.alias("x")), "v"))
+    p = p.select("v", "src", "tgt", "delta", "rank").join(g.strengths().select("v", mass.alias("x")), "v")
     # a pair that joins the same community: its weight, less its product of masses
     unit, price = (1.0, objective.gamma) if potts else (2.0, objective.gamma / m if m else 0.0)
     join = p.filter("tgt is not null")
@@ -92,23 +95,41 @@ def together(proposals: DataFrame, g: Graph, objective, m: float, seed: int, tur
     return good.select(*cols).union(p.filter("tgt is null").select(*cols))
 
 
-def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0) -> Moved:
-    """Rounds of best moves until a full sweep proposes none; every round gains, so that there is a last one."""
+def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0, interval: int = 1) -> Moved:
+    """Rounds of best moves until a full sweep proposes none; every round gains, so that there is a last one.
+
+    After a round only neighbours of what moved, and what was refused, are looked at; when they propose nothing, all
+    vertices are. Every interval rounds are logged.
+    """
+    g = g.prepared()
     m, moved, visits = g.total_weight(), 0, 0
-    current = cut(assignment)
+    current, frontier = cut(assignment), None
     n = g.num_vertices()
     for turn in count():
-        proposals = cut(best_moves(candidates(g, current, objective, m)))
-        visits += n
+        proposals = cut(best_moves(candidates(g, current, objective, m, only=frontier)))
+        visits += n if frontier is None else frontier.count()
         taken = cut(together(proposals, g, objective, m, seed, turn))
         k = taken.count()
+        if turn % interval == 0:
+            log.info("round %d: %d moves", turn, k)
         if not k:
-            return Moved(current, moved, visits)
+            drop(proposals, taken)
+            if frontier is None:
+                return Moved(current, moved, visits)
+            drop(frontier)
+            frontier = None
+            continue
         moved += k
-        top = current.agg(F.coalesce(F.max("c"), F.lit(-1))).first()[0]
-        # movers to an empty community get ids past all others; they are the few of one round
-        fresh = taken.filter("tgt is null").select("v", (F.lit(top) + F.row_number().over(Window.orderBy("v"))).cast("long").alias("c"))
-        current = cut(partition.apply_moves(current, taken.filter("tgt is not null").select("v", F.col("tgt").alias("c")).union(fresh)))
+        to = taken.filter("tgt is not null").select("v", F.col("tgt").alias("c"))
+        if k > to.count():
+            top = current.agg(F.coalesce(F.max("c"), F.lit(-1))).first()[0]
+            # movers to an empty community get ids past all others
+            to = to.union(ranked(taken.filter("tgt is null").select("v"), "v", "place").select("v", (F.lit(top) + 1 + F.col("place")).cast("long")))
+        after = cut(partition.apply_moves(current, to))
+        near = g.sym().join(taken.select("v"), "v", "left_semi").select(F.col("u").alias("v")).union(proposals.select("v"))
+        old, frontier = frontier, cut(near.distinct())
+        drop(proposals, taken, current, *([] if old is None else [old]))
+        current = after
 
 
 @dataclass
@@ -123,14 +144,13 @@ class Arrays:
     w: np.ndarray
 
     @classmethod
-    def of(cls, nodes: pd.DataFrame, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> Arrays:
-        nodes = nodes.sort_values("v")
-        ids = nodes["v"].to_numpy()
+    def of(cls, ids: np.ndarray, size: np.ndarray, strength: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> Arrays:
+        """ids ascend."""
         a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
         off = a != b
         frm, to, ww = np.concatenate([a[off], b[off]]), np.concatenate([b[off], a[off]]), np.concatenate([w[off], w[off]])
         by = np.lexsort((to, frm))
-        return cls(ids, nodes["node_size"].to_numpy(float), nodes["strength"].to_numpy(float), np.searchsorted(frm[by], np.arange(len(ids) + 1)), to[by], ww[by])
+        return cls(ids, size.astype(float), strength.astype(float), np.searchsorted(frm[by], np.arange(len(ids) + 1)), to[by], ww[by])
 
     def into(self, i: int, label: np.ndarray) -> dict[int, float]:
         """Weight from i into each label among its neighbours."""
@@ -194,12 +214,13 @@ def queue_kernel(a: Arrays, label: np.ndarray, kind: str, gamma: float, m: float
 
 def local_move_queue(g: Graph, assignment: DataFrame, objective, seed: int = 0) -> Moved:
     """The queue in one task, for graphs whose edges fit there; ids of the result are the least members' ids."""
+    ship(g.edges.sparkSession)
     kind, gamma, m = "potts" if isinstance(objective, ConstantPotts) else "modularity", objective.gamma, g.total_weight()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, edges = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        nodes = nodes.rename(columns={"a": "v", "x": "node_size", "y": "strength"}).sort_values("v")
-        a = Arrays.of(nodes, edges["a"].to_numpy(), edges["b"].to_numpy(), edges["x"].to_numpy(float))
+        nodes = nodes.sort_values("a")
+        a = Arrays.of(*(nodes[c].to_numpy() for c in "axy"), edges["a"].to_numpy(), edges["b"].to_numpy(), edges["x"].to_numpy(float))
         label, moves, visits = queue_kernel(a, nodes["b"].to_numpy(), kind, gamma, m, seed)
         least = pd.Series(a.ids).groupby(label).transform("min")
         return pd.DataFrame({"v": a.ids, "c": least.to_numpy(), "moves": moves, "visits": visits})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..runtime import ranked
 
 
 def singletons(g: Graph) -> DataFrame:
@@ -57,13 +58,14 @@ def weight_into(g: Graph, assignment: DataFrame, v: int, c: int, with_loop: bool
 
 
 def compact_ids(ids: DataFrame, column: str = "c") -> DataFrame:
-    """(column, compact): ids in ascending order as 0, 1, ...; the distinct ids of communities are sorted in one task."""
-    d = ids.select(column).filter(F.col(column).isNotNull()).distinct()
-    return d.withColumn("compact", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """(column, compact): ids in ascending order as 0, 1, ..."""
+    return ranked(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column, "compact")
 
 
-def compact(assignment: DataFrame) -> DataFrame:
-    """The assignment with ids 0, 1, ... in the old order."""
+def compact(assignment: DataFrame, check: bool = True) -> DataFrame:
+    """The assignment with ids 0, 1, ... in the old order. :raises ValueError: if an id is null or negative and check is set."""
+    if check and assignment.filter("c is null or c < 0").take(1):
+        raise ValueError("every vertex needs a community, whose id isn't negative")
     return assignment.join(compact_ids(assignment), "c").select("v", F.col("compact").alias("c"))
 
 

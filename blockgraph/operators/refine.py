@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import ConstantPotts
 from ..graph import Graph
+from ..runtime import ship
 from . import partition
 from .moves import Arrays, _gain
 
@@ -88,22 +89,51 @@ def refine_kernel(a: Arrays, kind: str, gamma: float, m: float, theta: float, se
 
 
 def refine(g: Graph, parent: DataFrame, objective, theta: float = 0.01, seed: int = 0) -> DataFrame:
-    """(v, c): a refinement of parent, each community in a task of its own with its inner edges; c is a member's id.
+    """(v, c): a refinement of parent, each community with its inner edges in one task; c is a member's id.
 
-    Parents are independent, and a task's seed depends on the parent's least vertex only: reruns agree, whatever
-    the number of partitions. :raises ValueError: unless theta is positive.
+    Parents are independent, and what is drawn depends on the parent's least vertex only: reruns agree, whatever the
+    number of partitions. Parents in which nothing can merge (one vertex; no inner edge and no mass of 0) are not
+    gathered, and a task works through many of the others. :raises ValueError: unless theta is positive.
     """
     if not theta > 0:
         raise ValueError("theta must be positive")
+    ship(g.edges.sparkSession)
     kind, gamma, m = "potts" if isinstance(objective, ConstantPotts) else "modularity", objective.gamma, g.total_weight()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        edges = edges.sort_values(["a", "b", "x"])
-        a = Arrays.of(nodes.rename(columns={"a": "v", "x": "node_size", "y": "strength"}), edges["a"].to_numpy(), edges["b"].to_numpy(), edges["x"].to_numpy(float))
-        label = refine_kernel(a, kind, gamma, m, theta, (seed * 1_000_003 + int(a.ids[0])) & (1 << 63) - 1)
-        return pd.DataFrame({"v": a.ids, "c": a.ids[label]})
-
-    nodes = g.strengths().join(parent, "v").select("c", F.lit(0).alias("kind"), F.col("v").alias("a"), F.lit(0).cast("long").alias("b"), F.col("node_size").alias("x"), F.col("strength").alias("y"))
-    inner = partition.inside(g, parent).filter("cu = cv and src <> dst").select(F.col("cu").alias("c"), F.lit(1), "src", "dst", "w", F.lit(0.0))
-    return nodes.union(inner).groupBy("c").applyInPandas(run, "v long, c long")
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        c, part, a, b, x, y = (rows[name].to_numpy() for name in ("c", "kind", "a", "b", "x", "y"))
+        cuts = np.flatnonzero(np.append(True, c[1:] != c[:-1])).tolist()
+        vs, cs = [], []
+        for i, j in zip(cuts, [*cuts[1:], len(c)], strict=True):
+            k = i + int(np.searchsorted(part[i:j], 1))
+            sub = Arrays.of(a[i:k], x[i:k], y[i:k], a[k:j], b[k:j], x[k:j])
+            label = refine_kernel(sub, kind, gamma, m, theta, (seed * 1_000_003 + int(sub.ids[0])) & (1 << 63) - 1)
+            vs.append(sub.ids)
+            cs.append(sub.ids[label])
+        return pd.DataFrame({"v": np.concatenate(vs), "c": np.concatenate(cs)})
+
+    def run(frames):
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            # the last community may go on in the next frame
+            c = pdf["c"].to_numpy()
+            cut = int(np.searchsorted(c, c[-1]))
+            if held and (cut or held[-1]["c"].iloc[-1] != c[-1]):
+                yield settle(pd.concat([*held, pdf.iloc[:cut]]))
+                held = []
+            elif cut:
+                yield settle(pdf.iloc[:cut])
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield settle(pd.concat(held))
+
+    nodes = g.strengths().withColumn("mass", objective.mass()).join(parent, "v")
+    inner = partition.inside(g, parent).filter("cu = cv and src <> dst").select(F.col("cu").alias("c"), "src", "dst", "w")
+    idle = nodes.groupBy("c").agg(F.count("*").alias("n"), F.min("mass").alias("least")).filter("n > 1 and least <= 0").select("c")
+    busy = inner.select("c").union(idle).distinct()
+    rows = nodes.join(busy, "c", "left_semi").select("c", F.lit(0).alias("kind"), F.col("v").alias("a"), F.lit(0).cast("long").alias("b"), F.col("node_size").alias("x"), F.col("strength").alias("y"))
+    rows = rows.union(inner.select("c", F.lit(1), "src", "dst", "w", F.lit(0.0)))
+    drawn = rows.repartition("c").sortWithinPartitions("c", "kind", "a", "b", "x").mapInPandas(run, "v long, c long")
+    return drawn.union(nodes.join(busy, "c", "left_anti").select("v", F.col("v").alias("c")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from dataclasses import dataclass, field
+from typing import Literal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,6 @@ from ..runtime import cut
 
 log = logging.getLogger(__name__)
 
-#: Up to this many edges a level's local moving runs in one task; beyond it, in rounds.
-QUEUE_EDGES = 2_000_000
-
 
 @dataclass(frozen=True)
 class Options:
@@ -25,11 +23,16 @@ class Options:
     seed: int = 0
     #: 0: no limit
     max_levels: int = 0
-    queue_edges: int = QUEUE_EDGES
+    #: "rounds" for graphs of any size; "queue" moves vertices one by one, in one task, which must hold the graph
+    way: Literal["rounds", "queue"] = "rounds"
+    #: rounds of local moving between lines of the log
+    debug_interval: int = 1
 
     def __post_init__(self):
-        if not self.theta > 0 or self.max_levels < 0:
-            raise ValueError("theta must be positive and max_levels not negative")
+        if not self.theta > 0 or self.max_levels < 0 or not self.debug_interval > 0:
+            raise ValueError("theta and debug_interval must be positive and max_levels not negative")
+        if self.way not in ("rounds", "queue"):
+            raise ValueError(f"no way of local moving: {self.way}")
 
 
 @dataclass
@@ -39,6 +42,9 @@ class Clustering:
     moves: int
     #: seconds by phase, a dict for each level
     seconds: list[dict[str, float]] = field(default_factory=list)
+    #: the last level's graph and its vertices' communities
+    last: Graph | None = None
+    last_assignment: DataFrame | None = None
 
 
 def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
@@ -53,8 +59,11 @@ def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
     level, place, current, total, seconds = g, None, partition.singletons(g), 0, []
     for depth in range(1, 1 << 30):
         took, began = {}, time.time()
-        few = level.num_edges() <= options.queue_edges
-        moved = moves.local_move_queue(level, current, objective, options.seed + depth) if few else moves.local_move(level, current, objective, options.seed + depth)
+        level = level.prepared()
+        if options.way == "queue":
+            moved = moves.local_move_queue(level, current, objective, options.seed + depth)
+        else:
+            moved = moves.local_move(level, current, objective, options.seed + depth, options.debug_interval)
         total += moved.moves
         current = moved.assignment
         took["move"] = time.time() - began
@@ -66,7 +75,7 @@ def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
         refined = cut(refine.refine(level, current, objective, options.theta, options.seed + depth))
         took["refine"] = time.time() - began
         began = time.time()
-        small = contract.aggregate_graph(level, refined)
+        small = contract.aggregate_graph(level, refined, check=False)
         coarse_of = cut(small.coarse_of)
         current = cut(contract.coarse_partition(coarse_of, current))
         level = small.graph.persist()
@@ -76,7 +85,7 @@ def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
         final = current
     else:
         final = place.join(current.select(F.col("v").alias("coarse"), "c"), "coarse").select("v", "c")
-    return Clustering(cut(partition.compact(final)), depth, total, seconds)
+    return Clustering(cut(partition.compact(final, check=False)), depth, total, seconds, level, current)
 
 
 @dataclass
@@ -86,6 +95,8 @@ class Blocks:
     colors: DataFrame
     n_blocks: int
     n_colors: int
+    #: seconds by phase
+    seconds: dict[str, float] = field(default_factory=dict)
 
 
 def blocks_and_colors(g: Graph, objective, options: Options = Options(), binary: bool = True) -> Blocks:
@@ -94,12 +105,22 @@ def blocks_and_colors(g: Graph, objective, options: Options = Options(), binary:
     :raises ValueError: if the colouring isn't valid
     """
     g = g.binary() if binary else g
+    began, took = time.time(), {}
+
+    def lap(name: str) -> None:
+        nonlocal began
+        took[name], began = time.time() - began, time.time()
+
     found = cluster(g, objective, options)
+    lap("cluster")
     n = partition.id_bound(found.assignment).first()[0]
     bg = contract.block_graph(g, found.assignment, "binary", n).persist()
+    lap("block_graph")
     colors = cut(coloring.relabel_by_size(coloring.greedy(bg)))
+    lap("color")
     k = colors.agg(F.coalesce(F.max("color") + 1, F.lit(0))).first()[0]
     bad = coloring.violations(bg, colors, k).filter("n > 0").collect()
+    lap("check")
     if bad:
         raise ValueError(f"not a colouring: {bad}")
-    return Blocks(found, bg, colors, n, k)
+    return Blocks(found, bg, colors, n, k, took)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of a row group: tables are read back soon, and their writers shouldn't buffer much.
 ROW_GROUP = 32 << 20
@@ -61,3 +64,36 @@ def drop(*tables: DataFrame) -> None:
         if path := getattr(df, "_scratch", None):
             fs, at = _on(df.sparkSession, path)
             fs.delete(at.getParent(), True)
+
+
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with its rows' places 0, 1, ... in the order of column by, null first, as column name.
+
+    Sorted in ranges, each by a task of its own; only the number of rows of each range goes through the driver. Equal
+    values stand in any order. A column of that name is replaced.
+    """
+    df = df.drop(name)
+    part, before = (next(c + "_" * k for k in range(99) if c + "_" * k not in [*df.columns, name]) for c in ("part", "before"))
+    spread = cut(df.repartitionByRange(F.col(by).asc_nulls_first()).withColumn(part, F.spark_partition_id()))
+    starts, total = [], 0
+    for r in sorted(spread.groupBy(part).count().collect()):
+        starts.append((r[0], total))
+        total += r[1]
+    starts = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(F.col(by).asc_nulls_first()))
+    # one row a range
+    return spread.join(F.broadcast(starts), part).withColumn(name, F.col(before) + place - 1).drop(part, before)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_blockgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp()) / "blockgraph_src.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._blockgraph_shipped = True

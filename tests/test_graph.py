@@ -74,8 +74,8 @@ def test_gains_of_a_round_are_exact_together(spark, objective):
     g = graph(spark, text, 24).persist()
     m, a = g.total_weight(), partition.singletons(g)
     for turn in range(3):
-        taken = moves.together(moves.best_moves(moves.candidates(g, a, objective, m)).filter("tgt is not null").localCheckpoint(), g, objective, m, 0, turn).toPandas()
-        after = partition.apply_moves(a, spark.createDataFrame([(int(v), int(c)) for v, c in zip(taken["v"], taken["tgt"], strict=True)] or [(-1, -1)], "v long, c long")).localCheckpoint()
+        taken = moves.together(moves.best_moves(moves.candidates(g, a, objective, m)).filter("tgt is not null"), g, objective, m, 0, turn).toPandas()
+        after = partition.apply_moves(a, spark.createDataFrame([(int(v), int(c)) for v, c in zip(taken["v"], taken["tgt"], strict=True)] or [(-1, -1)], "v long, c long"))
         assert partition.quality(g, after, objective) >= partition.quality(g, a, objective) + (1e-9 if len(taken) else 0)
         a = after
 
