@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: Production parameters: shard names and table size (a prime, about 100 slots for each shard).
 SHARDS, SLOTS = 48, 5003
@@ -57,11 +57,11 @@ def assign_shards(df: DataFrame, key: str, names: list[str], slots: int = SLOTS,
     """
     owner = lookup_table(names, slots)
     spark = df.sparkSession
+    out = df.drop(slot_col, shard_col)
     # the table as a DataFrame of one row a slot, made from a literal: at most `slots` rows, so safe to broadcast
-    places = spark.range(slots).select(F.col("id").cast("int").alias("__slot"), F.element_at(F.split(F.lit(",".join(map(str, owner))), ","), (F.col("id") + 1).cast("int")).cast("int").alias("__shard"))
-    out = df.drop(slot_col, shard_col).withColumn("__at", slot_of(F.col(key), slots))
-    out = out.join(F.broadcast(places), out["__at"] == places["__slot"])
-    return out.drop("__slot").withColumnsRenamed({"__at": slot_col, "__shard": shard_col})
+    shard = F.element_at(F.split(F.lit(",".join(map(str, owner))), ","), (F.col("id") + 1).cast("int")).cast("int")
+    places = spark.range(slots).select(F.col("id").cast("int").alias(slot_col), shard.alias(shard_col))
+    return out.withColumn(slot_col, slot_of(F.col(key), slots)).join(F.broadcast(places), slot_col).select(*out.columns, slot_col, shard_col)
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
@@ -71,9 +71,9 @@ def shard_names(n: int = SHARDS) -> list[str]:
 def write_shards(df: DataFrame, key: str, path: str, names: list[str], slots: int = SLOTS, salt: int = 8) -> None:
     """Write one folder a shard. Rows go to (shard, salt) tasks, so a hot shard is written by several tasks."""
     out = assign_shards(df, key, names, slots)
-    cols = [F.col(c).cast("string") for c in df.columns]
-    out = out.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salt)))
-    out.repartition(len(names), "shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+    name = unused(out.columns, "__salt")
+    out = out.withColumn(name, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(salt)))
+    out.repartition(len(names), "shard", name).drop(name).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
