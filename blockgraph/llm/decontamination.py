@@ -8,18 +8,21 @@ scanned: nothing is shuffled.
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import ship, table, unused
+from .common import chunks, lean, materialize, ship, table, unused
 
 #: Edits allowed, as one in so many characters of the item.
 ONE_ERROR_IN = 16
-#: Items are broadcast; more than this many bytes of them are refused.
-MAX_ITEM_BYTES = 64 << 20
+#: Bytes of items that are broadcast and compiled to one automaton, about; more take a scan of the documents for each part.
+PART_BYTES = 4 << 20
 LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("edits", IntegerType())]))
 
 
@@ -107,41 +110,66 @@ class Matcher:
                 d = 0 if window.find(item) >= 0 else best_match(bits, len(item), window)
                 if d <= errors and d < best.get(k, errors + 1):
                     best[k] = d
-        return sorted((self.items[k][0], d) for k, d in best.items())
+        return sorted(((self.items[k][0], d) for k, d in best.items()), key=lambda x: (x[0] is None, x[0], x[1]))
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[int, str]]:
-    """The test items, after a check of their size.
+def item_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES):
+    """Yields the test items in parts of about part_bytes of text, dealt out by hash; one part at a time is collected."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_bytes))
+    for part in range(parts):
+        mine = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        yield [(r["i"], r["t"]) for r in mine.orderBy(F.col("i").asc_nulls_last(), "t").collect()]
 
-    :raises ValueError: if their texts exceed max_bytes; split the benchmark and run once for each part then.
-    """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"{size} bytes of test items; at most {max_bytes} can be broadcast")
-    return [(r[0], r[1]) for r in benchmark.select(id_col, text_col).orderBy(F.col(id_col).asc_nulls_last(), text_col).collect()]
+
+#: The automaton of the part that this worker scans with, by its name; one at a time.
+_MATCHER: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int, str]], one_in: int) -> Matcher:
+    if name not in _MATCHER:
+        _MATCHER.clear()
+        _MATCHER[name] = Matcher(items, one_in)
+    return _MATCHER[name]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", one_in: int = ONE_ERROR_IN, out_col: str = "leaks", carry: list[str] | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", one_in: int = ONE_ERROR_IN, out_col: str = "leaks", carry: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """The columns carry of docs (all by default) with out_col added: array of (item_id, edits), empty for clean documents and null texts.
 
     An item counts as leaked if some stretch of the document is within len(item) // one_in edits of it, both
     normalised. Repeated items are reported once each by their ids. Columns pass through; one of the name of
-    out_col is replaced.
+    out_col is replaced. A benchmark of more than part_bytes takes a pass over the documents for each part.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((load_items(benchmark), one_in))
     keep = [c for c in (docs.columns if carry is None else carry) if c != out_col]
-    base = docs.select(*keep, F.col(text_col).alias(unused(keep, "__text")))
+    text = unused([*keep, out_col], "__text")
+    none = F.array().cast(LEAKS)
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text), none.alias(out_col))
+    for number, items in enumerate(item_parts(benchmark, part_bytes=part_bytes)):
+        if number:
+            found = materialize(found)
+        found = _scan(found, items, one_in, text, out_col)
+    return found.drop(text)
+
+
+def _scan(docs: DataFrame, items: list[tuple[int, str]], one_in: int, text: str, out_col: str) -> DataFrame:
+    """docs, whose last column is out_col, with these items' leaks added there."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, one_in))
+    names, at = docs.columns, docs.columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
 
+    @lean
     def scan(batches):
-        matcher = Matcher(*shared.value)
+        matcher = _matcher(*shared.value)
         for batch in batches:
-            leaks = pa.array([[{"item_id": i, "edits": d} for i, d in matcher.matches(t)] for t in batch.column(len(keep)).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], leaks], [*keep, out_col])
+            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+                part = batch.slice(a, b - a)
+                new = [[{"item_id": i, "edits": d} for i, d in matcher.matches(t)] for t in part.column(at).to_pylist()]
+                both = [sorted(x + y, key=lambda e: (e["item_id"] is None, e["item_id"])) if x else y for x, y in zip(part.column(part.num_columns - 1).to_pylist(), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(both, kind)], names)
 
-    schema = StructType([*docs.select(*keep).schema.fields, StructField(out_col, LEAKS)])
-    return base.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], StructField(out_col, LEAKS)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
