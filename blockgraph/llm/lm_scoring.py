@@ -16,12 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, crc, inner_id, materialize, mix, outer_id, ship, table
+from .common import Words, chunks, crc, drop, inner_id, lean, materialize, outer_id, ship, table
 
 #: Words of the broadcast table, and bytes that one of them may have.
 COMMON, COMMON_BYTES = 1 << 16, 64
 #: Passes of expectation maximisation; what the lattice takes from the count of each seen word.
-PASSES, DISCOUNT = 2, 0.75
+PASSES, DISCOUNT = 3, 0.75
 #: Words that the lattice kernel takes at once.
 BATCH = 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -144,25 +144,18 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(inner_id(F.col(id_col)).alias("k"), (crc(F.col(id_col)) % 5 == 1).alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
 
-def _first_bytes(words: Words, at: np.ndarray) -> list[bytes]:
-    raw = words.bytes
-    return [raw[a:b] for a, b in zip(words.start[at].tolist(), words.stop[at].tolist(), strict=True)]
-
-
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(w, c): every distinct word of all documents and its count in training documents."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(2).to_pylist(), lower=True)
-                if not len(words.start):
-                    continue
                 train = ~np.array(part.column(1).to_pylist(), bool)[words.doc]
-                _, at, where = np.unique(words.hash, return_index=True, return_inverse=True)
-                n = np.bincount(where, train, len(at)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_first_bytes(words, at), pa.binary()), pa.array(n)], ["w", "c"])
+                n = np.bincount(words.id, train, len(words.distinct)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([words.distinct, pa.array(n)], ["w", "c"])
 
     return texts.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -171,8 +164,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row.
 
     Documents whose id's crc32 is 1 modulo 5 are held out of training. Tokens are the lower-cased (A-Z) words and
-    one end. base_score is the smoothed word unigram's log10 probability, score the lattice model's. A null or
-    empty text is its end alone. Without training documents every count is 0 and pieces keep their first scores.
+    one end. base_score is the smoothed word unigram's log10 probability, score the model's, and lattice_score what the
+    pieces alone give, without edges for seen words. A null or empty text is its end alone. Without training documents every count is 0 and pieces keep their first scores.
     Rows of equal id and text have equal results.
     """
     spark = docs.sparkSession
@@ -186,26 +179,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end = float(np.log10(max(n_docs, 0.5) / max(total, 1)))
     shared = spark.sparkContext.broadcast(lattice)  # one number for each piece
 
+    @lean
     def logs(batches):
         for lot in _lots(batches):
             w = lot.column("w").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), lot.column("c").combine_chunks(), pa.array(word_log10(shared.value, w, lot.column("c").to_numpy(), total, r[1]))], ["w", "c", "p"])
-
-    known = materialize(vocab.mapInArrow(logs, "w binary, c long, p double"))
-    # at most COMMON words: hash, count, log-probability
-    top = known.filter(F.octet_length("w") <= COMMON_BYTES).orderBy(F.desc("c"), "w").limit(COMMON).toArrow()
-    keys = Words(top.column("w").to_pylist()).hash
-    by = np.argsort(keys)
-    common = spark.sparkContext.broadcast((keys[by], top.column("c").to_numpy()[by], top.column("p").to_numpy()[by]))
+            inner = shared.value.word_logs(w)
+            yield pa.RecordBatch.from_arrays([lot.column("w").combine_chunks(), lot.column("c").combine_chunks(), pa.array(word_log10(inner, lot.column("c").to_numpy(), total, r[1])), pa.array(inner / np.log(10))], ["w", "c", "p", "q"])
+
+    known = materialize(vocab.mapInArrow(logs, "w binary, c long, p double, q double"))
+    drop(vocab)
+    # at most COMMON words: word, count, log-probabilities
+    top = known.filter(F.octet_length("w") <= COMMON_BYTES).orderBy(F.desc("c"), "w").limit(COMMON).toArrow().combine_chunks()
+    common = spark.sparkContext.broadcast((pa.array(top.column("w").to_pylist(), pa.binary()), *(top.column(c).to_numpy() for c in "cpq")))
     del top
 
+    @lean
     def documents(batches):
-        keys, c, p = common.value
-        base = np.log10(c + 0.5)
-        number = 0
         from pyspark import TaskContext
 
-        part_id = TaskContext.get().partitionId() << 40
+        listed, c, p, q = common.value
+        base = np.log10(c + 0.5)
+        number, part_id = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
                 part = batch.slice(a, b - a)
@@ -213,27 +207,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = Words(part.column(2).to_pylist(), lower=True)
                 rows = part_id + number + np.arange(n_docs)
                 number += n_docs
-                distinct, at, where = np.unique(words.hash, return_index=True, return_inverse=True)
-                seek = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-                hit = keys[seek] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                value = lambda x: np.where(hit, x[seek] if len(x) else 0, 0.0)[where]
+                seek = pc.index_in(words.distinct, value_set=listed)
+                hit, seek = pc.is_valid(seek).to_numpy(zero_copy_only=False), pc.fill_null(seek, 0).to_numpy(zero_copy_only=False)
+                value = lambda x: np.where(hit, x[seek] if len(x) else 0, 0.0)[words.id]
                 add = lambda x: np.bincount(words.doc, x, n_docs)
                 yield out(
                     row=rows, k=part.column(0), held=part.column(1), n=np.bincount(words.doc, minlength=n_docs), m=np.zeros(n_docs, np.int64),
-                    known=add(value(c > 0)).astype(np.int64), base=add(value(base)), score=add(value(p)), w=pa.array([b" %d" % x for x in rows.tolist()], pa.binary()),
+                    known=add(value(c > 0)).astype(np.int64), base=add(value(base)), score=add(value(p)), inner=add(value(q)), w=pa.array([b" %d" % x for x in rows.tolist()], pa.binary()),
                 )
                 # what is not in the table: one row for each document and word
-                rare = np.flatnonzero(~hit[where])
-                pair, times = np.unique(words.doc[rare].astype(np.int64) * len(distinct) + where[rare], return_counts=True)
+                rare = np.flatnonzero(~hit[words.id])
+                pair, times = np.unique(words.doc[rare].astype(np.int64) * len(words.distinct) + words.id[rare], return_counts=True)
                 if len(pair):
-                    doc, word = np.divmod(pair, len(distinct))
+                    doc, word = np.divmod(pair, len(words.distinct))
                     zero = np.zeros(len(pair))
-                    yield out(row=rows[doc], k=pa.nulls(len(pair), pa.int64()), held=pa.nulls(len(pair), pa.bool_()), n=zero.astype(np.int64), m=times, known=zero.astype(np.int64), base=zero, score=zero, w=pa.array(np.array(_first_bytes(words, at), object)[word], pa.binary()))
+                    none = zero.astype(np.int64)
+                    yield out(row=rows[doc], k=pa.nulls(len(pair), pa.int64()), held=pa.nulls(len(pair), pa.bool_()), n=none, m=times, known=none, base=zero, score=zero, inner=zero, w=words.distinct.take(pa.array(word)))
 
     def out(**cols):
         return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in cols.values()], list(cols))
 
-    scored = texts.mapInArrow(documents, "row long, k long, held boolean, n long, m long, known long, base double, score double, w binary")
+    scored = texts.mapInArrow(documents, "row long, k long, held boolean, n long, m long, known long, base double, score double, inner double, w binary")
     # the rows of documents hold what is no word, each another, and find none
     joined = scored.join(known, "w", "left")
     found = F.coalesce(F.col("m"), F.lit(0))
@@ -242,19 +236,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("known") + F.when(F.col("c") > 0, found).otherwise(0)).alias("known"),
         (F.col("base") + F.coalesce(found * F.log10(F.col("c") + 0.5), F.lit(0.0))).alias("base"),
         (F.col("score") + F.coalesce(found * F.col("p"), F.lit(0.0))).alias("score"),
+        (F.col("inner") + F.coalesce(found * F.col("q"), F.lit(0.0))).alias("inner"),
     )
-    sums = joined.groupBy("row").agg(F.max("k").alias("k"), F.max("held").alias("held_out"), (F.sum("n") + 1).alias("n_tokens"), (F.sum("known") + int(n_docs > 0)).alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    sums = joined.groupBy("row").agg(F.max("k").alias("k"), F.max("held").alias("held_out"), (F.sum("n") + 1).alias("n_tokens"), (F.sum("known") + int(n_docs > 0)).alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("inner").alias("inner"))
     scale = float(np.log10(total + 0.5 * (distinct + 1)))
     return sums.select(
         outer_id(F.col("k")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + float(np.log10(n_docs + 0.5)) - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("score") + end).alias("score"),
+        (F.col("score") + end).alias("score"), (F.col("inner") + end).alias("lattice_score"),
     )
 
 
-def word_log10(lattice: Lattice, words: list[bytes], counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of each word's probability, given its training count, that of all tokens and that of distinct words."""
-    inner = lattice.word_logs(words)
+def word_log10(inner: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of each word's probability, given the lattice's natural log, its training count, that of all tokens and that of distinct words."""
     if distinct:
         inner = np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 1e-300) / total), np.log(DISCOUNT * distinct / total) + inner)
     return inner / np.log(10)
@@ -274,6 +268,7 @@ def fit(vocab: DataFrame, pieces: list[bytes], passes: int = PASSES) -> Lattice:
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(lattice)
 
+        @lean
         def run(batches, shared=shared):
             uses = np.zeros(len(pieces))
             for lot in _lots(batches):
