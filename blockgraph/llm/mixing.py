@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's exponential key is -ln(u) / weight with u drawn from its id, so that heavier (cleaner) documents tend
-to come first. Within a source the documents are sorted by key and prefix-summed to the source's token budget:
+A document's exponential key is -ln(u) / weight with u drawn from its id, so that better documents tend to come first.
+The weight is learned from quality labels: the share of label 1 among the labelled documents that are alike in symbols,
+length and word length. Within a source the documents are sorted by key and prefix-summed to the source's token budget:
 complete epochs come first, the rest of the budget is a fractional selection by key. Only per-source totals, a
 histogram of keys and the bin that holds a source's cut are ever sorted, so a hot source is never one task's work;
-the decision itself is a comparison with the source's cut, made in the scan of the documents.
+texts are read once, and the decision itself is a comparison with the source's cut.
 """
 
 from __future__ import annotations
@@ -12,95 +13,129 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from ..runtime import ranked
+from .common import WORD, drop, materialize, table, unused
 
 #: No source is repeated more often than this.
 EPOCHS = 3
 SEED = 17
 #: Documents that one bin of a source's key histogram holds, about.
 BIN = 2000
+#: Rows of a table with one row a source that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs and the columns __size, __weight, __key, __src: words, quality weight, exponential key, source."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: list[str]) -> DataFrame:
+    """(doc, id, src, size, alike, e): the columns carry, id as text, source, words, what the quality weight looks at, -ln(u)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    marks = F.regexp_count(text, F.lit(r"[#*$%&|<>!]"))
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double")
-    df = docs.withColumn("__size", size).withColumn("__weight", 1.0 / (1.0 + marks / F.greatest(F.col("__size"), F.lit(1))))
-    df = df.withColumn("__key", -F.log((bits + 0.5) / float(1 << 52)) / F.col("__weight"))
-    return df.withColumn("__src", F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name")))
+    id_ = F.col(id_col).cast("string")
+    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(id_, F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double")
+    src = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
+    df = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias(unused(carry, "last"))).alias("doc"), id_.alias("id"), src.alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>!]")).alias("marks"), F.char_length(text).alias("chars"), (-F.log((bits + 0.5) / float(1 << 52))).alias("e"),
+    )
+    words = F.greatest("size", F.lit(1))
+    # tenths of symbols for each word, halves of log length, characters for each word
+    alike = F.struct(F.least(F.floor(10 * F.col("marks") / words), F.lit(20)).alias("a"), F.floor(2 * F.log(words.cast("double"))).alias("b"), F.least(F.floor(F.col("chars") / words), F.lit(30)).alias("c"))
+    return df.select("doc", "id", "src", "size", "e", alike.alias("alike"))
+
+
+def weights(rows: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame | None:
+    """(alike, weight): for each kind of document the share of label 1 among its labelled ones, with two rows of the
+    overall share added; kinds are some thousands at most. Of an id with several labels the largest counts."""
+    if labels is None:
+        return None
+    known = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    seen = rows.select("id", "alike").join(known, "id").groupBy("alike").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+    seen = materialize(seen)
+    share = seen.agg((F.sum("ones") + 1.0) / (F.sum("n") + 2.0)).first()[0]
+    return seen.select("alike", ((F.col("ones") + 2.0 * (0.5 if share is None else share)) / (F.col("n") + 2.0)).alias("weight"))
 
 
 def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """Targets from (__src, total, ...): sources by code point, null last, weigh 1, 2, 3, repeating.
+    """Targets from (src, total, ...): sources by code point, null last, weigh 1, 2, 3, repeating.
 
-    No target exceeds epochs times its source's size; the excess is shared anew by weight (water filling). One row
-    a source goes through one task here.
+    No target exceeds epochs times its source's size; the excess is shared anew by weight (water filling), in rounds
+    that each fix the sources found full.
     """
-    ordered = Window.orderBy("__src")
-    s = sizes.withColumn("w", ((F.row_number().over(ordered) - 1) % 3 + 1).cast("double"))
-    s = s.withColumn("cap", (epochs * F.col("total")).cast("double"))
-    fill = Window.orderBy(F.col("cap") / F.col("w"), "__src")
-    before, here_on = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    s = s.withColumn("level", (F.sum("total").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(here_on))
-    s = s.withColumn("level", F.coalesce(F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole), F.lit(0.0)))
-    return s.withColumn("target", F.least(F.col("level") * F.col("w"), F.col("cap"))).drop("cap", "level", "w")
+    s = ranked(sizes, "src", "place").withColumn("w", (F.col("place") % 3 + 1).cast("double")).withColumn("cap", (epochs * F.col("total")).cast("double"))
+    s = materialize(s)
+    level, full = 0.0, -1
+    while True:
+        fits = F.col("cap") < F.lit(level) * F.col("w")
+        r = s.agg(F.sum("total"), F.sum(F.when(fits, F.col("cap")).otherwise(0.0)), F.sum(F.when(fits, 0.0).otherwise(F.col("w"))), F.count(F.when(fits, 1))).first()
+        if not r[0] or not r[2] or r[3] == full:
+            break
+        level, full = (r[0] - r[1]) / r[2], r[3]
+    return s.withColumn("target", F.least(F.lit(level) * F.col("w"), F.col("cap"))).drop("cap", "place", "w")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken and copies added (columns of those names are replaced).
+def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all by default) with size, source_size, target, taken and copies added (columns of those names are replaced).
 
     copies is how often the mix takes the document, taken that many times its words. Documents of no words, null
     texts among them, come with the complete epochs. Documents of equal id and size share one key and are taken
-    together. A null source is a source of its own, the last. Reruns agree: keys depend on ids and texts only.
+    together. A null source is a source of its own, the last. Reruns agree: keys depend on ids, texts and labels only.
+    Without labels all documents weigh the same.
     """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    df = keyed(docs.select(*keep), id_col, text_col, source_col, seed)
-    narrow = materialize(df.select(F.col(id_col).cast("string").alias("__id"), "__src", "__size", "__weight", "__key"))
-    sizes = narrow.groupBy("__src").agg(F.sum("__size").alias("total"), F.count("*").alias("n"), F.avg("__weight").alias("mean"))
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "source_size", "target", "taken", "copies")]
+    rows = materialize(keyed(docs, id_col, text_col, source_col, seed, keep))
+    learned = weights(rows, labels)
+    if learned is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:
+        other = learned.agg(F.avg("weight")).first()[0]
+        rows = rows.join(F.broadcast(learned), "alike", "left").fillna(0.5 if other is None else other, ["weight"])
+    rows = rows.withColumn("key", F.col("e") / F.col("weight"))
+    sizes = rows.groupBy("src").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.avg("weight").alias("mean"))
     plan = targets(sizes, epochs)
     plan = plan.withColumn("rounds", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("rounds") * F.col("total")).withColumn("bins", F.ceil(F.col("n") / BIN))
     plan = materialize(plan)
-    binned = narrow.join(plan.select("__src", "bins", "mean", "rest"), "__src")
-    binned = binned.withColumn("bin", F.least(F.floor(F.col("bins") * (1 - F.exp(-F.col("__key") * F.col("mean")))), F.col("bins") - 1))
-    sums = binned.groupBy("__src", "rest", "bin").agg(F.sum("__size").alias("words"))
-    upto = Window.partitionBy("__src").orderBy("bin")
+    near = F.broadcast if plan.count() <= BROADCAST_ROWS else lambda df: df
+    bin_ = F.least(F.floor(F.col("bins") * (1 - F.exp(-F.col("key") * F.col("mean")))), F.col("bins") - 1)
+    binned = rows.join(near(plan.select("src", "bins", "mean", "rest")), "src").withColumn("bin", bin_)
+    sums = binned.groupBy("src", "rest", "bin").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("src").orderBy("bin")
     sums = sums.withColumn("past", F.sum("words").over(upto)).withColumn("before", F.col("past") - F.col("words"))
-    edge = sums.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("past"))).select("__src", F.col("bin").alias("edge"), "before")
+    edge = materialize(sums.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("past"))).select("src", F.col("bin").alias("edge"), "before"))
     # only a source's cut bin, some BIN rows, is sorted
-    cut = binned.join(edge, "__src").filter(F.col("bin") == F.col("edge"))
-    run = Window.partitionBy("__src").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.withColumn("upto", F.col("before") + F.sum("__size").over(run))
-    place = F.struct("__key", "__id", "__size")
-    cut = cut.filter(F.col("upto") - F.col("__size") / 2 <= F.col("rest")).groupBy("__src").agg(F.max(place).alias("last"))
-    cut = edge.join(cut, "__src", "left")
-    plan = materialize(plan.join(cut, "__src", "left").select("__src", F.col("total").alias("source_size"), "target", "rounds", "bins", "mean", "edge", "last", F.col("edge").isNull().alias("all")))
-    out = df.join(plan, "__src").withColumn("__id", F.col(id_col).cast("string"))
-    at = F.least(F.floor(F.col("bins") * (1 - F.exp(-F.col("__key") * F.col("mean")))), F.col("bins") - 1)
-    extra = F.when(F.col("all"), False).when(at != F.col("edge"), at < F.col("edge")).otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
-    out = out.withColumn("copies", F.col("rounds") + extra.cast("long")).withColumn("taken", F.col("copies") * F.col("__size"))
-    return out.select(*keep, F.col("__size").alias("size"), "source_size", "target", "taken", "copies")
+    cut = binned.join(near(edge), "src").filter(F.col("bin") == F.col("edge"))
+    run = Window.partitionBy("src").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.withColumn("upto", F.col("before") + F.sum("size").over(run))
+    place = F.struct("key", "id", "size")
+    cut = cut.filter(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("src").agg(F.max(place).alias("last"))
+    cut = edge.join(cut, "src", "left")
+    plan = materialize(plan.join(cut, "src", "left").select("src", F.col("total").alias("source_size"), "target", "rounds", "bins", "mean", "edge", "last", F.col("edge").isNull().alias("all")))
+    out = rows.join(near(plan), "src").withColumn("at", bin_)
+    extra = F.when(F.col("all"), False).when(F.col("at") != F.col("edge"), F.col("at") < F.col("edge")).otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
+    out = out.withColumn("copies", F.col("rounds") + extra.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    drop(edge)
+    return out.select(*[F.col(f"doc.`{c}`") for c in keep], "size", "source_size", "target", "taken", "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Over a table named {docs}; the cut is found by one running sum over each source's keys.
 MIX_SQL = """
 WITH k AS (
   SELECT d.*, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size_,
-         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) AS marks_,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) AS marks_, length(coalesce(text, '')) AS chars_,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 13) AS BIGINT) AS bits_
   FROM {docs} d
-), e AS (
-  SELECT *, -ln((bits_ + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (1.0::DOUBLE / (1.0::DOUBLE + marks_::DOUBLE / greatest(size_, 1))) AS key_,
-         source IS NULL AS none_, coalesce(source, '') AS name_
+), f AS (
+  SELECT *, least(floor(10 * marks_ / greatest(size_, 1)), 20) AS a_, floor(2 * ln(greatest(size_, 1)::DOUBLE)) AS b_, least(floor(chars_ / greatest(size_, 1)), 30) AS c_
   FROM k
+), y AS (SELECT doc_id, max(quality) AS y_ FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+q AS (SELECT a_, b_, c_, count(*) AS n_, sum(y_) AS ones_ FROM f JOIN y USING (doc_id) GROUP BY ALL),
+g AS (SELECT a_, b_, c_, (ones_ + 2.0::DOUBLE * (SELECT (sum(ones_) + 1.0::DOUBLE) / (sum(n_) + 2.0::DOUBLE) FROM q)) / (n_ + 2.0::DOUBLE) AS weight_ FROM q),
+e AS (
+  SELECT f.*, -ln((bits_ + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(weight_, (SELECT avg(weight_) FROM g)) AS key_,
+         source IS NULL AS none_, coalesce(source, '') AS name_
+  FROM f LEFT JOIN g USING (a_, b_, c_)
 ), s AS (SELECT none_, name_, sum(size_)::BIGINT AS total_ FROM e GROUP BY ALL),
 w AS (SELECT *, ((row_number() OVER (ORDER BY none_, name_) - 1) % 3 + 1)::DOUBLE AS w_, ({epochs} * total_)::DOUBLE AS cap_ FROM s),
 l AS (
