@@ -1,34 +1,49 @@
 """Quality rules: robust multivariate outliers among documents of one language and source.
 
-Each document's statistics are turned into a vector; for each group a minimum-covariance-determinant estimate
-(concentration steps towards the half of the vectors with the smallest distances) gives location and scatter, and
-documents at a large Mahalanobis distance are rejected. All of it is DataFrame functions: the statistics are
-computed within a row, the quantiles of a step come from a histogram of log distances, the inverse is a closed
-form, so a hot group is pre-aggregated in every step and never gathered.
+Each document's statistics are turned into a vector. For each group a minimum-covariance-determinant estimate gives
+location and scatter: from several deterministic starts, concentration steps move towards the three quarters of the
+vectors with the smallest distances; after two steps the start with the least determinant stays, and its steps go on
+until the determinants no longer change. Documents at a large Mahalanobis distance are rejected. All of it is
+DataFrame functions and SQL: the statistics are computed within a row, the quantiles of a step come from a histogram of
+log distances, the inverse is a closed form, so a hot group is pre-aggregated in every step and never gathered.
 """
 
 from __future__ import annotations
 
-import re
+from math import exp
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import drop, materialize, table, unused
 
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Each estimate rests on as many rows more, in the shape of its language's estimate, and a language's of the corpus'.
 PRIOR = 50
-#: In SQL only: there, smaller groups share their language's estimate; if that too is small, the base rules alone decide.
-MIN_GROUP = 200
-#: Share of vectors that an estimate rests on, number of concentration steps, and the largest squared distance kept.
-CORE, STEPS, CUT = 0.75, 3, 60.0
+#: Concentration steps of all starts, and of the best one at most; the change of log determinants that ends them.
+FIRST_STEPS, MORE_STEPS, SETTLED = 2, 10, 1e-7
+#: Share of normal vectors beyond the cut: less than one is expected among 1e11 documents.
+TAIL = 3e-12
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI_MEDIAN = 3.356694
 #: Added to each variance, in units of the transformed statistics: a statistic that hardly varies can't reject alone.
 RIDGE = (0.05, 0.15, 0.3, 0.25)
 DIM = 4
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+#: Estimates, one row a group and start, that are broadcast at most; more are joined by key.
+BROADCAST_ROWS = 50_000
+
+
+def chi_square_cut(tail: float) -> float:
+    """The quantile of the chi-square distribution with four degrees of freedom beyond which that share lies."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (1 + mid / 2) * exp(-mid / 2) > tail else (lo, mid)
+    return round(hi, 6)
+
+
+CUT = chi_square_cut(TAIL)
 
 
 def _let(value: Column, use) -> Column:
@@ -37,10 +52,12 @@ def _let(value: Column, use) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (null text: all zero)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (null text: all zero); columns of
+    these names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    n = F.size("__words")
+    words_col = unused(docs.columns, "__words")
+    df = docs.withColumn(words_col, F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    n = F.size(words_col)
 
     def repeated(words: Column) -> Column:
         # windows in order of their words: equal ones are neighbours
@@ -56,27 +73,31 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         covered = lambda at: F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + p + 5 - F.greatest(s["end"], p)).alias("n"), (p + 5).alias("end")))["n"]
         return covered(_let(windows, hits))
 
-    hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(F.slice(F.col("__words"), i + 1, 5)))
+    hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(F.slice(F.col(words_col), i + 1, 5)))
     # without two windows of one hash no window repeats: most documents end here
     suspect = _let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    mine = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return df.select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in mine],
         n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.char_length(F.array_join(words_col, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(n < 6, 0).when(suspect, repeated(F.col("__words"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.when(n < 6, 0).when(suspect, repeated(F.col(words_col))).otherwise(0).cast("long").alias("n_repeat_words"),
     )
 
 
-#: The transformed statistics and the rejection, as SQL that Spark and DuckDB read alike.
+# ---------------------------------------------------------------- estimates, as SQL that Spark and DuckDB read alike
+
+#: The transformed statistics.
 VECTOR = (
-    "ln(1.0D + n_words)",
-    "ln(1.0D + word_chars / greatest(n_words, 1))",
-    "ln(1.0D + 10.0D * n_symbols / greatest(n_words, 1))",
-    "ln(1.0D + 10.0D * (n_repeat_words + n_dup_lines) / greatest(n_words, 1))",
+    "ln(1e0 + n_words)",
+    "ln(1e0 + 1e0 * word_chars / greatest(n_words, 1))",
+    "ln(1e0 + 1e1 * n_symbols / greatest(n_words, 1))",
+    "ln(1e0 + 1e1 * (n_repeat_words + n_dup_lines) / greatest(n_words, 1))",
 )
+X = [f"x{i}" for i in range(DIM)]
 
 
 def _factor() -> list[tuple[str, str]]:
@@ -85,61 +106,84 @@ def _factor() -> list[tuple[str, str]]:
     for i in range(DIM):
         for j in range(i + 1):
             s = f"c{j}{i}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            steps.append((f"l{i}{j}", f"sqrt(greatest({s}, 1e-9D))" if i == j else f"({s}) / l{j}{j}"))
+            steps.append((f"l{i}{j}", f"sqrt(greatest({s}, 1e-9))" if i == j else f"({s}) / l{j}{j}"))
     return steps
 
 
 FACTOR = _factor()
-RESIDUAL = [(f"y{i}", f"((x{i} - m{i})" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}") for i in range(DIM)]
-SQUARED = " + ".join(f"y{i} * y{i}" for i in range(DIM))
+RESIDUAL = [(f"y{i}", f"((x{i} - a{i})" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}") for i in range(DIM)]
 #: Bin of a squared distance in the histogram: 64 bins for each factor of e.
-BIN = "cast(floor(64.0D * ln(greatest({d}, 1e-12D))) as bigint)"
-MOMENTS = [(f"m{i}", f"avg(x{i})") for i in range(DIM)]
-COVARIANCES = [(f"c{i}{j}", f"avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})" + (f" + {RIDGE[i] ** 2!r}D" if i == j else "")) for i, j in _PAIRS]
+DISTANCE = [*RESIDUAL, ("d", " + ".join(f"y{i} * y{i}" for i in range(DIM))), ("bin", "CAST(floor(64e0 * ln(greatest(d, 1e-12))) AS BIGINT)")]
+#: Plain averages, which blend; the scatter follows from them.
+MEANS = [f"a{i}" for i in range(DIM)] + [f"a{i}{j}" for i, j in _PAIRS]
+AVERAGES = ", ".join([f"avg(x{i}) AS a{i}" for i in range(DIM)] + [f"avg(x{i} * x{j}) AS a{i}{j}" for i, j in _PAIRS])
+SCATTER = [(f"c{i}{j}", f"a{i}{j} - a{i} * a{j}" + (f" + {RIDGE[i] ** 2:.6e}" if i == j else "")) for i, j in _PAIRS]
+DETERMINANT = [("logdet", "2e0 * (" + " + ".join(f"ln(l{i}{i})" for i in range(DIM)) + ")")]
 
 
-#: Plain averages, which blend; the scatter follows from them.
-AVERAGES = [(f"a{i}", f"avg(x{i})") for i in range(DIM)] + [(f"a{i}{j}", f"avg(x{i} * x{j})") for i, j in _PAIRS]
-BLENDED = [(f"m{i}", f"a{i}") for i in range(DIM)] + [(f"c{i}{j}", f"a{i}{j} - a{i} * a{j}" + (f" + {RIDGE[i] ** 2!r}D" if i == j else "")) for i, j in _PAIRS]
+def _chain(source: str, steps: list[tuple[str, str]], keep: str) -> str:
+    """Columns added one after the other."""
+    for name, e in steps:
+        source = f"(SELECT *, {e} AS {name} FROM {source}) q_{name}"
+    return f"SELECT {keep} FROM {source}"
 
 
-def _blend(each: DataFrame, up: DataFrame, names: list[str]) -> DataFrame:
-    """(g, names): each group's values (g, n, names), with PRIOR rows of its language's added to its own n.
+def _blend(each: str, names: list[str], keep: str = "") -> str:
+    """Each group's values (g, st, n, names), with PRIOR rows of its language's added to its own n.
 
     A language's values get PRIOR rows of the corpus' in the same way first. up: (g, up1, up2), the language and the
     corpus of a group; a language has the corpus as both, the corpus itself.
     """
-    out = each.join(up, "g")
-    for u in ("up1", "up2"):
-        out = out.join(each.select(F.col("g").alias(u), F.col("n").alias(f"n_{u}"), *[F.col(c).alias(f"{c}_{u}") for c in names]), u)
-    with_prior = lambda own, n, prior: (n * own + PRIOR * prior) / (n + PRIOR)
-    return out.select("g", *[with_prior(F.col(c), F.col("n"), with_prior(F.col(f"{c}_up1"), F.col("n_up1"), F.col(f"{c}_up2"))).alias(c) for c in names])
-
-
-def _estimate(rows: DataFrame, up: DataFrame) -> DataFrame:
-    """Location and factored scatter for each group."""
-    each = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(x).alias(n) for n, x in AVERAGES])
-    # a small group may have no row in the core: the prior alone stands
-    each = materialize(up.select("g").join(each, "g", "left").fillna(0))
-    out = _blend(each, up, [n for n, _ in AVERAGES])
-    for name, x in BLENDED + FACTOR:
-        out = out.withColumn(name, F.expr(x))
-    return out.select("g", *[n for n, _ in MOMENTS], *[n for n, _ in FACTOR])
-
-
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = rows.join(estimate, "g")
-    for name, x in RESIDUAL:
-        out = out.withColumn(name, F.expr(x))
-    return out.withColumn("d", F.expr(SQUARED)).withColumn("bin", F.expr(BIN.format(d="d"))).select(*rows.columns, "d", "bin")
-
-
-def _quantile(rows: DataFrame, share: float, name: str) -> DataFrame:
-    """For each group the least bin up to which at least that share of its rows lie, exactly."""
-    bins = rows.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    upto, whole = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
-    bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("of", F.sum("n").over(whole))
-    return bins.filter(F.col("upto") >= share * F.col("of")).groupBy("g").agg(F.min("bin").alias(name), F.first("of").alias("n"))
+    mixed = ", ".join(f"(e.n * e.{c} + {PRIOR} * ((u.n * u.{c} + {PRIOR} * w.{c}) / (u.n + {PRIOR}))) / (e.n + {PRIOR}) AS {c}" for c in names)
+    return f"SELECT e.g, e.st{keep}, {mixed} FROM {each} e JOIN {{up}} k ON k.g = e.g JOIN {each} u ON u.g = k.up1 AND u.st = e.st JOIN {each} w ON w.g = k.up2 AND w.st = e.st"
+
+
+def _estimated(each: str) -> str:
+    """(g, st, location a, factor l, logdet) of averages (g, st, n, a)."""
+    kept = ", ".join(["g", "st", *MEANS[:DIM], *[n for n, _ in FACTOR], "logdet"])
+    return _chain(f"({_blend(each, MEANS)}) q", SCATTER + FACTOR + DETERMINANT, kept)
+
+
+def _histogram(share: str, name: str) -> str:
+    """For each group and start the least bin up to which at least that share of its rows lie, blended."""
+    bins = _chain("(SELECT * FROM {fit} JOIN {estimate} USING (g)) q", DISTANCE, "g, st, bin")
+    upto = f"SELECT g, st, bin, sum(n) OVER (PARTITION BY g, st ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY g, st) AS whole FROM (SELECT g, st, bin, count(*) AS n FROM ({bins}) q GROUP BY g, st, bin) q"
+    return f"SELECT g, st, max(whole) AS n, CAST(min(CASE WHEN {share} THEN bin END) AS DOUBLE) AS {name} FROM ({upto}) q GROUP BY g, st"
+
+
+#: Sound rows three times: in their group, their language and the corpus.
+GROUP = {"s": "concat('s', l_, chr(1), s_)", "l": "concat('l', l_)", "c": "'c'"}
+FIT = " UNION ALL ".join(f"SELECT {g} AS g, {', '.join(f'{e} AS x{i}' for i, e in enumerate(VECTOR))} FROM {{st}} WHERE NOT base_failed" for g in GROUP.values())
+UP = " UNION ".join(f"SELECT {g} AS g, {u} AS up1, 'c' AS up2 FROM {{st}} WHERE NOT base_failed" for g, u in ((GROUP["s"], GROUP["l"]), (GROUP["l"], "'c'"), ("'c'", "'c'")))
+#: Quartiles of each coordinate: (g, p0 ..., s0 ...), a robust place and spread.
+_BINS = "SELECT g, i, bin, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT g, {i} AS i, CAST(floor(64e0 * x{i}) AS BIGINT) AS bin FROM {{fit}}" for i in range(DIM)) + ") q GROUP BY g, i, bin"
+_UPTO = f"SELECT g, i, bin, sum(n) OVER (PARTITION BY g, i ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY g, i) AS whole FROM ({_BINS}) q"
+_QUARTILES = f"SELECT g, i, min(CASE WHEN 4 * upto >= whole THEN bin END) AS q1, min(CASE WHEN 2 * upto >= whole THEN bin END) AS q2, min(CASE WHEN 4 * upto >= 3 * whole THEN bin END) AS q3 FROM ({_UPTO}) q GROUP BY g, i"
+PLACE = "SELECT g, " + ", ".join(f"max(CASE WHEN i = {i} THEN (q2 + 0.5e0) / 64e0 END) AS p{i}, max(CASE WHEN i = {i} THEN (q3 - q1 + 1) / 86.336e0 END) + {RIDGE[i]:.6e} AS s{i}" for i in range(DIM)) + f" FROM ({_QUARTILES}) q GROUP BY g"
+#: Averages of each start: all rows; damped coordinates; directions; spreads alone.
+_Z = [(f"z{i}", f"(x{i} - p{i}) / s{i}") for i in range(DIM)] + [("r", "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(DIM)) + " + 1e-12)")]
+_SUMS = "g, count(*) AS n, " + AVERAGES + ", " + ", ".join(f"avg(z{i} / (1e0 + abs(z{i})) * (z{j} / (1e0 + abs(z{j})))) AS t{i}{j}, avg(z{i} / r * (z{j} / r)) AS u{i}{j}" for i, j in _PAIRS) + ", " + ", ".join(f"max(p{i}) AS p{i}, max(s{i}) AS s{i}" for i in range(DIM))
+SUMS = _chain("(SELECT * FROM {fit} JOIN {place} USING (g)) q", _Z, _SUMS) + " GROUP BY g"
+_ABOUT = lambda second: ", ".join([f"p{i} AS a{i}" for i in range(DIM)] + [f"{second(i, j)} + p{i} * p{j} AS a{i}{j}" for i, j in _PAIRS])
+STARTS = " UNION ALL ".join(
+    f"SELECT g, {k} AS st, n, {columns} FROM {{sums}}"
+    for k, columns in enumerate([", ".join(MEANS), _ABOUT(lambda i, j: f"s{i} * s{j} * t{i}{j}"), _ABOUT(lambda i, j: f"s{i} * s{j} * u{i}{j}"), _ABOUT(lambda i, j: f"s{i} * s{j}" if i == j else "0e0")])
+)
+#: One concentration step: the core's bound (shrunk too: otherwise a row that is alone would be its own core), its averages.
+BOUND = "SELECT e.*, most FROM {estimate} e JOIN (" + _blend("{quantile}", ["most"]) + ") b ON b.g = e.g AND b.st = e.st"
+QUANTILE = _histogram("4 * upto >= 3 * whole", "most")
+CORE = _chain("(SELECT * FROM {fit} JOIN {bound} USING (g)) q", DISTANCE, "*")
+CORE = f"SELECT g, st, count(*) AS n, {AVERAGES} FROM ({CORE}) q WHERE bin <= most GROUP BY g, st"
+#: A small group may have no row in the core: the prior alone stands.
+EACH = "SELECT e.g, e.st, coalesce(c.n, 0) AS n, " + ", ".join(f"coalesce(c.{a}, 0e0) AS {a}" for a in MEANS) + " FROM {estimate} e LEFT JOIN {core} c ON c.g = e.g AND c.st = e.st"
+ESTIMATE = _estimated("{each}")
+BEST = "SELECT " + ", ".join(["g", "0 AS st", *MEANS[:DIM], *[n for n, _ in FACTOR], "logdet"]) + " FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY logdet, st) AS place FROM {estimate}) q WHERE place = 1"
+MIDDLE = _histogram("2 * upto >= whole", "middle")
+#: Scaled so that the group's median distance is that of the normal distribution.
+SCALED = f"SELECT e.*, {CHI_MEDIAN}e0 / exp((middle + 1) / 64e0) AS scale FROM {{estimate}} e JOIN (" + _blend("{middles}", ["middle"]) + ") b ON b.g = e.g AND b.st = e.st"
+STATS = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+_VECTORS = f"SELECT {STATS}, {GROUP['s']} AS g, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(VECTOR)) + " FROM {st}"
+VERDICT = _chain(f"(SELECT v.*, {', '.join(MEANS[:DIM] + [n for n, _ in FACTOR])}, scale FROM ({_VECTORS}) v LEFT JOIN {{scaled}} e ON e.g = v.g) q", DISTANCE, f"{STATS}, NOT base_failed AND NOT coalesce(scale * d > {CUT}e0, false) AS kept")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -149,33 +193,34 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and sources form groups of their own. A group of any size has its estimate, shrunk towards its language's and that
     towards the corpus' with the weight of PRIOR rows. Repeated rows count each. An empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.coalesce(F.col(lang_col), F.lit("\0")).alias("__l"), F.coalesce(F.col(source_col), F.lit("\0")).alias("__s"))
-    st = statistics(base, "__text").drop("__text")
-    st = st.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    st = materialize(st)
-    group, lang, corpus = F.concat_ws("\1", F.lit("s"), "__l", "__s"), F.concat_ws("\1", F.lit("l"), "__l"), F.lit("c")
-    x = st.withColumn("g", group).withColumns({f"x{i}": F.expr(e) for i, e in enumerate(VECTOR)})
-    cols = [f"x{i}" for i in range(DIM)]
-    # a language's estimate rests on all its documents, and the corpus' on all
-    levels = F.array(*[F.struct(g.alias("g"), a.alias("up1"), corpus.alias("up2")) for g, a in ((group, lang), (lang, corpus), (corpus, corpus))])
-    sound = x.filter(~F.col("base_failed"))
-    up = materialize(sound.select("__l", "__s").distinct().select(F.explode(levels).alias("level")).select("level.*").distinct())
-    fit = materialize(sound.select(F.explode(levels).alias("level"), *cols).select("level.g", *cols))
-    estimate = materialize(_estimate(fit, up))
-    for _ in range(STEPS):
-        d = _distances(fit, estimate)
-        # the bound is shrunk too: otherwise a row that is alone would be its own core
-        bound = materialize(_blend(materialize(_quantile(d, CORE, "most")), up, ["most"]))
-        core = d.join(bound, "g").filter("bin <= most")
-        estimate = materialize(_estimate(core, up))
-    # scaled so that the group's median distance is that of the normal distribution
-    middle = _blend(materialize(_quantile(_distances(fit, estimate), 0.5, "middle")), up, ["middle"])
-    estimate = materialize(estimate.join(middle, "g").withColumn("scale", F.expr(f"{CHI_MEDIAN}D / exp((middle + 1) / 64.0D)")))
-    out = x.join(estimate, "g", "left")
-    for n, e in RESIDUAL:
-        out = out.withColumn(n, F.expr(e))
-    far = F.coalesce(F.expr(f"scale * ({SQUARED}) > {CUT}D"), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
+    spark = docs.sparkSession
+    named = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(c)))
+    base = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), named(lang_col).alias("l_"), named(source_col).alias("s_")), "__text").drop("__text")
+    st = materialize(base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))))
+    run = lambda text, **tables: spark.sql(text, **tables)
+    up = materialize(run(UP, st=st))
+    small = up.count() * 4 <= BROADCAST_ROWS
+    near = F.broadcast if small else lambda df: df
+    up = near(up)
+    fit = materialize(run(FIT, st=st))
+    sums = materialize(run(SUMS, fit=fit, place=near(materialize(run(PLACE, fit=fit)))))
+    estimate = materialize(run(ESTIMATE, each=near(materialize(run(STARTS, sums=sums))), up=up))
+    for step in range(FIRST_STEPS + MORE_STEPS):
+        if step == FIRST_STEPS:
+            estimate = materialize(run(BEST, estimate=estimate))
+        quantile = materialize(run(QUANTILE, fit=fit, estimate=near(estimate)))
+        core = run(CORE, fit=fit, bound=near(run(BOUND, estimate=near(estimate), quantile=near(quantile), up=up)))
+        each = materialize(run(EACH, estimate=estimate, core=near(core)))
+        last, estimate = estimate, materialize(run(ESTIMATE, each=near(each), up=up))
+        if step >= FIRST_STEPS:
+            change = estimate.join(near(last.select("g", F.col("logdet").alias("was"))), "g").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            if change is None or change < SETTLED:
+                break
+        drop(quantile, each, last)
+    middles = materialize(run(MIDDLE, fit=fit, estimate=near(estimate)))
+    scaled = materialize(run(SCALED, estimate=near(estimate), middles=near(middles), up=up))
+    drop(fit, sums, middles)
+    return run(VERDICT, st=st, scaled=near(scaled))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,51 +228,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    num = lambda e: e.replace("e-9D", "e-9::DOUBLE").replace("e-12D", "e-12::DOUBLE")
-    plain = lambda e: re.sub(r"(\d)D\b", r"\1::DOUBLE", num(e))
+    """The statistics in SQL of their own; the estimates with all steps written out, as more steps change nothing."""
     ctes = [
-        """d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, chr(1)) AS l_, coalesce(source, chr(1)) AS s_ FROM documents)""",
-        """ws AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d)""",
+        """docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS l_, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS s_ FROM documents)""",
+        """ws AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs)""",
         """wi AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM ws, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) q)""",
         """rp AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM wi) q WHERE c > 1)""",
         """rw AS (SELECT r, count(DISTINCT i + k) AS n FROM rp, range(5) z(k) GROUP BY r)""",
-        """dl AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) q WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r)""",
-        """st AS (SELECT d.r, doc_id, l_, s_, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-          coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words FROM d JOIN ws USING (r) LEFT JOIN dl USING (r) LEFT JOIN rw USING (r))""",
-        f"sb AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM st)",
-        "ct AS (SELECT l_, s_, count(*) AS n FROM sb WHERE NOT base_failed GROUP BY ALL)",
-        f"gr AS (SELECT *, n >= {MIN_GROUP} AS own, CASE WHEN n >= {MIN_GROUP} THEN l_ || chr(2) || s_ WHEN sum(n) OVER (PARTITION BY l_) >= {MIN_GROUP} THEN l_ || chr(2) || chr(3) END AS g FROM ct)",
-        "xs AS (SELECT sb.*, g, own, " + ", ".join(f"{plain(e)} AS x{i}" for i, e in enumerate(VECTOR)) + " FROM sb LEFT JOIN gr USING (l_, s_))",
-        "fit AS (SELECT * FROM (SELECT g, x0, x1, x2, x3 FROM xs WHERE NOT base_failed AND g IS NOT NULL UNION ALL SELECT l_ || chr(2) || chr(3), x0, x1, x2, x3 FROM xs WHERE NOT base_failed AND own) q WHERE g IN (SELECT g FROM gr))",
+        """dl AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM docs) q WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r)""",
+        """sa AS (SELECT docs.r, doc_id, l_, s_, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+          coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words FROM docs JOIN ws USING (r) LEFT JOIN dl USING (r) LEFT JOIN rw USING (r))""",
+        f"st AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM sa)",
     ]
 
-    def chain(source: str, steps: list, keep: str) -> str:
-        for name, e in steps:
-            source = f"(SELECT *, {plain(e)} AS {name} FROM {source}) q_{name}"
-        return f"SELECT {keep} FROM {source}"
-
-    def estimate(k: int, rows: str) -> None:
-        agg = ", ".join(f"{plain(e)} AS {n}" for n, e in MOMENTS + COVARIANCES)
-        ctes.append(f"es{k} AS (" + chain(f"(SELECT g, {agg} FROM {rows} GROUP BY g) q", FACTOR, "*") + ")")
-
-    def measure(k: int) -> None:
-        dist = chain(f"(SELECT * FROM fit JOIN es{k} USING (g)) q", [*RESIDUAL, ("d", SQUARED)], "g, x0, x1, x2, x3, d")
-        ctes.append(f"di{k} AS (SELECT *, {plain(BIN.format(d='d'))} AS bin FROM ({dist}) q)")
-
-    def quantile(k: int, share: float, name: str) -> None:
-        ctes.append(f"{name} AS (SELECT g, min(bin) AS most FROM (SELECT g, bin, sum(n) OVER (PARTITION BY g ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY g) AS of_ FROM (SELECT g, bin, count(*) AS n FROM di{k} GROUP BY ALL) q) q WHERE upto >= {share} * of_ GROUP BY g)")
-
-    estimate(0, "fit")
-    for k in range(STEPS):
-        measure(k)
-        quantile(k, CORE, f"qu{k}")
-        ctes.append(f"co{k} AS (SELECT di{k}.* FROM di{k} JOIN qu{k} USING (g) WHERE bin <= most)")
-        estimate(k + 1, f"co{k}")
-    measure(STEPS)
-    quantile(STEPS, 0.5, "mi")
-    ctes.append(f"en AS (SELECT es{STEPS}.*, {CHI_MEDIAN}::DOUBLE / exp((most + 1) / 64.0::DOUBLE) AS scale FROM es{STEPS} JOIN mi USING (g))")
-    last = chain("(SELECT * FROM xs LEFT JOIN en USING (g)) q", RESIDUAL, "*")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(scale * ({SQUARED}) > {CUT}, false) AS kept FROM ({last}) q"
+    def add(name: str, text: str, **tables: str) -> str:
+        ctes.append(f"{name} AS MATERIALIZED ({text.format(**tables)})")
+        return name
+
+    add("up", UP, st="st")
+    add("fit", FIT, st="st")
+    add("place", PLACE, fit="fit")
+    add("sums", SUMS, fit="fit", place="place")
+    add("starts", STARTS, sums="sums")
+    estimate = add("es", ESTIMATE, each="starts", up="up")
+    for k in range(FIRST_STEPS + MORE_STEPS):
+        if k == FIRST_STEPS:
+            estimate = add("best", BEST, estimate=estimate)
+        quantile = add(f"qu{k}", QUANTILE, fit="fit", estimate=estimate)
+        bound = add(f"bo{k}", BOUND, estimate=estimate, quantile=quantile, up="up")
+        core = add(f"co{k}", CORE, fit="fit", bound=bound)
+        each = add(f"ea{k}", EACH, estimate=estimate, core=core)
+        estimate = add(f"es{k}", ESTIMATE, each=each, up="up")
+    middles = add("mi", MIDDLE, fit="fit", estimate=estimate)
+    add("scaled", SCALED, estimate=estimate, middles=middles, up="up")
+    return "WITH " + ",\n".join(ctes) + "\n" + VERDICT.format(st="st", scaled="scaled")
 
 
 SQL = _sql()
