@@ -11,16 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, crc, ship, table, unused
+from .common import chunks, crc, lean, ship, table, unused
 
 #: Hash buckets, vector size, passes, learning rate; and how many labelled rows training may see at most.
 BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 12, 6, 0.25, 3000
 SEED = 5
-#: Texts of training rows, in all; longer samples are refused row by row from the end of the sample's order.
-TRAIN_BYTES = 48 << 20
+#: Bytes of the texts that training may see, in all and each; the sample ends before the row that exceeds the first, and
+#: longer texts aren't in it.
+TRAIN_BYTES, TEXT_BYTES = 48 << 20, 1 << 20
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -127,23 +130,23 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, total: int = TRAIN_BYTES, each: int = TEXT_BYTES) -> list[tuple[str, int]]:
     """The bounded training sample: the first rows labelled documents, in the order of their ids' hashes.
 
     Rows whose crc32 of the id is 1 modulo 3 are held out. Rows without an id or label don't count; of an id with
-    several labels the largest counts, of several texts the smallest.
+    several labels the largest counts, of several texts the smallest. Texts of more than each bytes are left out, and
+    the sample ends where its texts exceed total bytes; both are judged before anything is collected.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     known = known.filter(crc(F.col("id")) % 3 != 1).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.md5(F.concat(F.lit("train:"), F.col("id").cast("string")).cast("binary")), "id").limit(rows)
+    order = F.struct(F.md5(F.concat(F.lit("train:"), F.col("id").cast("string")).cast("binary")), "id")
+    known = known.orderBy(order).limit(rows)
     few = F.broadcast(known)  # at most `rows` ids
-    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(few, "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    out, total = [], 0
-    for r in sorted(got.collect(), key=lambda r: r["id"]):
-        total += len(r["t"])
-        if total <= TRAIN_BYTES:
-            out.append((r["t"], r["y"]))
-    return out
+    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.octet_length("t") <= each)
+    got = got.join(few, "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    # at most `rows` rows go through one task
+    got = got.withColumn("upto", F.sum(F.octet_length("t").cast("long")).over(Window.orderBy(order)))
+    return [(r["t"], r["y"]) for r in sorted(got.filter(F.col("upto") <= total).collect(), key=lambda r: r["id"])]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", carry: list[str] | None = None) -> DataFrame:
@@ -154,21 +157,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """
     ship(docs.sparkSession)
     keep = [c for c in (docs.columns if carry is None else carry) if c != out_col]
-    base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(unused(keep, "__text")))
+    kept = [F.col(f"`{c}`") for c in keep]
+    base = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(unused(keep, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
+    @lean
     def run(batches):
-        import pyarrow.compute as pc
-
         for batch in batches:
             texts = batch.column(len(keep))
             for a, b in chunks(pc.binary_length(texts).to_pylist()):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shared.value.scores(part.column(len(keep)).to_pylist()))], [*keep, out_col])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return base.mapInArrow(run, StructType([*docs.select(*keep).schema.fields, StructField(out_col, DoubleType())]))
+    return base.mapInArrow(run, StructType([*docs.select(*kept).schema.fields, StructField(out_col, DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
