@@ -13,9 +13,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..runtime import cut as materialize
 from ..runtime import drop, scratch, shared_dir
 
@@ -47,19 +45,10 @@ ARROW_BYTES = 8 << 20
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, wherever they run, and bound the session's Arrow batches."""
-    sc = spark.sparkContext
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > ARROW_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > ARROW_BYTES:
         spark.conf.set(size, ARROW_BYTES)
-    if getattr(sc, "_blockgraph_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / "blockgraph_src.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-    sc._blockgraph_shipped = True
+    runtime.ship(spark)
 
 
 def lean(run):

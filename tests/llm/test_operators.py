@@ -15,14 +15,24 @@ LAST = 1 << 63
 
 
 def ranked(rows):
-    return sorted(((LAST if i is None else i, (t or "").encode()) for i, t in set(rows)), key=lambda x: x[0])
+    return sorted({(LAST if i is None else i, (t or "").encode()) for i, t in rows}, key=lambda x: x[0])
 
 
 def digests(df, *cols):
     return sorted((LAST if r["doc_id"] is None else r["doc_id"], *(r[c] for c in cols)) for r in df.collect())
 
 
-def test_suffix_dedup(make, rows):
+@pytest.fixture(scope="session")
+def same_ids(rows):
+    """rows, and null and repeated ids with texts of their own beside copies of passages of others."""
+    p = rows[0][1][:150]
+    other = " ".join(f"unlike{i}" for i in range(60))
+    return [*rows, (None, "A " + p), (None, other), (None, other), (5, other[::-1]), (5, "B " + p + " " + other), (20, other), (20, "no copy"), (20, None)]
+
+
+@pytest.mark.parametrize("name", ["rows", "same_ids"])
+def test_suffix_dedup(make, request, name):
+    rows = request.getfixturevalue(name)
     seen, want = {}, []
     for d, t in ranked(rows):
         gone = bytearray(len(t))
@@ -30,7 +40,8 @@ def test_suffix_dedup(make, rows):
             if seen.setdefault(t[p : p + 100], (d, p)) < (d, p):
                 gone[p : p + 100] = b"\1" * 100
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        want += [(d, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())] * (2 if d == 13 else 1)
+        times = sum((LAST if i is None else i) == d and (x or "").encode() == t for i, x in rows)
+        want += [(d, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())] * times
     got = suffix_dedup.dedup_substrings(make(rows))
     assert digests(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
     assert suffix_dedup.dedup_substrings(make(rows).filter("false")).count() == 0
@@ -56,7 +67,9 @@ def test_frequent_anchors_are_split(make, rows, monkeypatch):
     assert digests(suffix_dedup.dedup_substrings(make(rows)), "n_removed", "kept_sha256") == want
 
 
-def test_substring_dedup(make, rows):
+@pytest.mark.parametrize("name", ["rows", "same_ids"])
+def test_substring_dedup(make, request, name):
+    rows = request.getfixturevalue(name)
     first, want = {}, []
     for d, t in ranked(rows):
         w = t.split()
@@ -68,7 +81,8 @@ def test_substring_dedup(make, rows):
         for p in range(len(w) - 12):
             if first[tuple(w[p : p + 13])] < d:
                 gone[p : p + 13] = [1] * 13
-        want += [(d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())] * (2 if d == 13 else 1)
+        times = sum((LAST if i is None else i) == d and (x or "").encode() == t for i, x in rows)
+        want += [(d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())] * times
     got = substring_dedup.dedup_phrases(make(rows))
     assert digests(got, "n_words", "n_removed", "kept_sha256") == sorted(want)
     assert substring_dedup.dedup_phrases(make(rows).filter("false")).count() == 0
@@ -92,6 +106,63 @@ def test_near_dedup(make, rows, width):
     assert near_dedup.near_duplicates(make(rows).filter("false")).count() == 0
 
 
+def thue_morse():
+    """Two words of equal polynomial hash modulo 2**64, whatever its odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_by_their_bytes(spark, make, tmp_path):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse()
+    got = near_dedup.near_duplicates(make([(1, x), (2, y)]), width=2)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 2)]
+    lib = Tokenizer.from_file(token_output.tokenizer_path())
+    encoder = token_output.Encoder(token_output.tokenizer_path())
+    assert [z.tolist() for z in encoder.encode([x + " " + y, y, x])] == [lib.encode(t, add_special_tokens=False).ids for t in (x + " " + y, y, x)]
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 3)
+    encoder = token_output.Encoder(token_output.tokenizer_path())
+    texts = ["a few words, it's <|endoftext|> and  more\n\n", "Ünïcode 12345 \u3000 x", "", "words " * 50] * 3
+    assert [z.tolist() for z in encoder.encode(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_nodes_of_one_number_are_told_apart(spark):
+    rows = [(1, 7, 1, 5, b"x"), (2, 7, 1, 5, b"x"), (3, 7, 2, 5, b"y"), (4, 8, 3, 5, b"z"), (5, 7, 9, 0, b"e")]
+    signed, nodes, twice = near_dedup._numbered(spark.createDataFrame(rows, "k long, v long, w long, n long, sk binary"))
+    assert len(twice) == 1 and sorted(r["k"] for r in nodes.collect()) == [1, 3, 4]
+    assert signed.filter("n > 0").select("v", "w").distinct().count() == signed.filter("n > 0").select("v").distinct().count() == 3
+
+
+@pytest.mark.parametrize("sizes", [(2048, 4_000_000), (5, 4_000_000), (1, 200)])
+def test_blocks_of_a_bucket(spark, monkeypatch, sizes):
+    monkeypatch.setattr(near_dedup, "BLOCK", sizes[0])
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", sizes[1])
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(f"c{i}x{j}" if rng.random() < 0.05 else w for j, w in enumerate(base)) for i in range(30)]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    comp = [(i, i % 9 if i < 18 else 0) for i in range(30)]
+    kept = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "v long, t binary")
+    buckets = spark.createDataFrame([(1, i, len(x)) for i, x in enumerate(sets)], "b long, v long, n long")
+    found = near_dedup._across(buckets, spark.createDataFrame(comp, "v long, c long"), kept, 80, 2).collect()
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert all(link(a, b) and comp[a][1] != comp[b][1] for a, b in found)
+    label = dict(comp)
+
+    def close(pairs):
+        root = {c: c for c in label.values()}
+        for _ in range(10):
+            for a, b in pairs:
+                root[label[a]] = root[label[b]] = min(root[label[a]], root[label[b]])
+        return root
+
+    assert close(found) == close([(i, j) for i in range(30) for j in range(i) if link(i, j) and label[i] != label[j]])
+
+
 def test_many_components_in_a_bucket(monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 32, 100).astype(np.uint32)
@@ -128,8 +199,10 @@ def test_decontamination(spark, make):
     n = decontamination.normalise
     assert got == {(i, t): [1, 4] if edits(n(item), n(t)) <= len(n(item)) // 16 else [] for i, t in texts}
     assert got[2, texts[1][1]] == [1, 4] and got[3, texts[2][1]] == []
-    with pytest.raises(ValueError):
-        decontamination.load_items(bench, max_bytes=10)
+    # a part for each item, and so several passes
+    parts = decontamination.find_leaks(make(texts), bench, part_bytes=20)
+    assert {(r["doc_id"], r["text"]): [x["item_id"] for x in r["leaks"]] for r in parts.collect()} == got
+    assert decontamination.find_leaks(make(texts), bench.filter("false")).filter("size(leaks) > 0").count() == 0
 
 
 def test_sharding(make, rows):
@@ -163,6 +236,38 @@ def test_lm_scoring(make, rows):
     assert lm_scoring.score_documents(make(rows).filter("false")).count() == 0
 
 
+def test_lm_score_by_hand(make):
+    """The documents' score and lattice score, and the passes that fit the pieces, over all segmentations."""
+    pieces = [b" ", *[bytes([c]) for c in b"abcd"], b"ab", b" a", b"cd", b"bc", b" abc"]
+    docs = [(i, t) for i, t in enumerate(["ab abc cd", "abcd ab ab", "a b c d", "bcd abc ab", "cab dab", "ab", "", None, "dd cc abab"])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [w for i, t in docs if not held(i) for w in (t or "").split()]
+    ends = sum(not held(i) for i, _ in docs)
+    total, types = len(train) + ends, sorted(set(train))
+
+    def paths(x):
+        return [[]] if not x else [[p, *rest] for p in pieces if x.startswith(p) for rest in paths(x[len(p) :])]
+
+    logp = dict(zip(pieces, lm_scoring.first_scores(len(pieces)), strict=True))
+    weigh = lambda path: math.exp(sum(logp[p] for p in path))
+    for _ in range(lm_scoring.PASSES):
+        uses = dict.fromkeys(pieces, 0.0)
+        for w in types:
+            every = paths(b" " + w.encode())
+            mass = sum(map(weigh, every))
+            for path in every:
+                for p in path:
+                    uses[p] += weigh(path) / mass
+        logp = {p: math.log((u + 0.1) / (sum(uses.values()) + 0.1 * len(pieces))) for p, u in uses.items()}
+    inner = lambda w: sum(map(weigh, paths(b" " + w.encode())))
+    discount = lm_scoring.DISCOUNT
+    word = lambda w: max(train.count(w) - discount, 0) / total + discount * len(types) / total * inner(w)
+    for r in lm_scoring.score_documents(make(docs), pieces=pieces).collect():
+        words = (docs[r["doc_id"]][1] or "").split()
+        assert r["score"] == pytest.approx(math.log10(ends / total) + sum(math.log10(word(w)) for w in words))
+        assert r["lattice_score"] == pytest.approx(math.log10(ends / total) + sum(math.log10(inner(w)) for w in words))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = [b" ", b"a", b"b", b" a", b"ab", b"ba", b" ab", *[bytes([c]) for c in range(128, 140)]]
     logp = np.log(np.arange(1, len(pieces) + 1) / 300)
@@ -254,6 +359,153 @@ def test_quality_classifier(spark, make, rows):
     assert quality_classifier.score(d.filter("false"), quality_classifier.train(sample)).count() == 0
 
 
+def test_classifier_features_by_hand():
+    texts = ["the cat  the cat sat", "a", "", " \n", "Ünï ünï xyz xyz " + "w" * 200]
+    m, mask = 0x01000193, 0xFFFFFFFF
+
+    def spread(h):
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & mask
+        h ^= h >> 12
+        h = h * 0x297A2D39 & mask
+        return (h ^ h >> 15) & quality_classifier.BUCKETS - 1
+
+    def word(w):
+        return sum((ord(c) + 1) * pow(0x9E3779B1, i & 63, 1 << 32) for i, c in enumerate(w)) & mask
+
+    for t, (ids, n) in zip(texts, quality_classifier.counts(texts), strict=True):
+        want = []
+        c = [32, *(32 if x in " \t\n\v\f\r" else ord(x) for x in t), 32]
+        for i in range(len(c) - 2):
+            three = (c[i] * m + c[i + 1]) * m + c[i + 2] & mask
+            if c[i + 1] != 32:
+                want.append(spread(three + 3 & mask))
+                if i + 3 < len(c) and c[i + 2] != 32:
+                    want.append(spread(three * m + c[i + 3] + 0x51ED270B & mask))
+        words = [word(w) for w in t.split()]
+        want += [spread(w ^ 0x68E31DA4) for w in words] + [spread(a * 0x85EBCA6B + b & mask) for a, b in zip(words, words[1:], strict=False)]
+        want += [0 for a, b in zip(words, words[1:], strict=False) if a == b]
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {x: want.count(x) for x in want}
+
+
+def test_classifier_training_by_hand():
+    """Descent on the vectors and the output, and that the folded model scores like the unfolded one."""
+    rows = [(f"good words {i} here", 1) for i in range(4)] + [(f"bad ### {i}", 0) for i in range(3)]
+    dim, rate, epochs, seed = 3, 0.25, 2, 7
+    model = quality_classifier.train(rows, epochs, rate, dim, seed)
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (quality_classifier.BUCKETS, dim))
+    out, bias, step = np.zeros((2, dim)), np.zeros(2), 0
+    feats = quality_classifier.counts([t for t, _ in rows])
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            lr = rate * (1 - step / (epochs * len(rows)))
+            step += 1
+            ids, n = feats[k]
+            hidden = sum(vectors[i] * c for i, c in zip(ids, n, strict=True)) / n.sum()
+            z = np.exp(out @ hidden + bias)
+            error = z / z.sum() - np.eye(2)[rows[k][1]]
+            back = error @ out
+            out, bias = out - lr * np.outer(error, hidden), bias - lr * error
+            for i, c in zip(ids, n, strict=True):
+                vectors[i] -= lr * 20 * math.sqrt(c / n.sum()) * back
+    for t in ["good words", "bad ### x", ""]:
+        ids, n = quality_classifier.counts([t])[0]
+        z = np.exp(out @ (sum((vectors[i] * c for i, c in zip(ids, n, strict=True)), np.zeros(dim)) / max(n.sum(), 1)) + bias)
+        assert model.scores([t])[0] == pytest.approx(z[1] / z.sum(), abs=1e-4)
+
+
+def test_classifier_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "é" * (400 if i % 10 == 0 else 20)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    ids = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(f"train:{i}".encode()).hexdigest())
+    some = [i for i in ids[:30] if i % 10]
+    got = quality_classifier.sample(docs, labels, rows=30, total=400, each=500)
+    assert [t for t, _ in got] == ["é" * 20] * min(len(some), 10)
+
+
+def test_mixing_prefers_what_labels_prefer(spark):
+    docs = spark.createDataFrame([(i, " ".join(["word" if i % 2 else "#$%"] * 40), "s" if i < 800 else "t") for i in range(1000)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 1000, 7)], "doc_id long, quality int")
+    extra = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels).filter("source = 's'").collect()}
+    plain = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).filter("source = 's'").collect()}
+    share = lambda x: sum(n for i, n in x.items() if i % 2) / sum(x.values())
+    assert share(extra) > 0.9 and abs(share(plain) - 0.5) < 0.1
+
+
+def test_shards_are_written(spark, make, rows, tmp_path):
+    names = sharding.shard_names(5)
+    sharding.write_shards(make(rows), "doc_id", str(tmp_path / "s"), names, 101)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    want = sharding.assign_shards(make(rows), "doc_id", names, 101)
+    key = lambda df: sorted((str(r["doc_id"]), str(r["text"]), r["shard"]) for r in df.collect())
+    assert key(got) == key(want) and set(make(rows).columns) < set(got.columns)
+
+
+def test_clashing_names(spark):
+    names = ["__size", "__weight", "__key", "__src", "__at", "__slot", "__shard", "__words", "__score", "__leaks", "size_", "doc", "src"]
+    docs = spark.createDataFrame([(i, f"some text {i}", "en", "s", *range(len(names))) for i in range(4)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    want = {tuple(range(len(names)))}
+    for out in (mixing.mix(docs), sharding.assign_shards(docs, "doc_id", sharding.shard_names(3), 101), quality_rules.statistics(docs)):
+        assert {tuple(r) for r in out.select(*names).collect()} == want
+
+
+def test_pipeline_against_brute_force(spark):
+    """The stages' decisions at sf0.001 from the texts alone; the classifier's are judged by labels it hasn't seen."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [docs.cache()]
+    for _, stage in p.STAGES[:-1]:
+        kept.append(stage(spark, kept[-1], sf).cache())
+    texts = [{r["doc_id"]: r["text"] or "" for r in d.collect()} for d in kept]
+    # near-dedup: the least of each component
+    shingled = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))(re.findall(r"[^ \t-\r]+", t.translate({c: c + 32 for c in range(65, 91)}))) for i, t in texts[1].items()}
+    label = {i: i for i in shingled}
+    links = [(i, j) for i in shingled for j in shingled if i < j and shingled[i] and 100 * len(shingled[i] & shingled[j]) >= 80 * len(shingled[i] | shingled[j])]
+    for _ in shingled:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert set(texts[2]) == {i for i in label if label[i] == i} and len(texts[2]) < len(texts[1])
+    # decontamination: no item in what stays, one within the budget in what goes
+    items = [" ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    flat = lambda t: " ".join(t.lower().split())
+    assert not any(x and x in flat(t) for t in texts[3].values() for x in items)
+    gone = {i: flat(t) for i, t in texts[2].items() if i not in texts[3]}
+    assert gone and all(any(x in t for x in items if x) or min(edits(x, t) - len(x) // 16 for x in items if x and set(x.split()[:3]) & set(t.split())) <= 0 for t in gone.values())
+    # mixing: words by source near the target
+    copies = {r["doc_id"]: r["count"] for r in kept[4].groupBy("doc_id").count().collect()}
+    size = {i: len(re.findall(r"[^ \t-\r]+", t)) for i, t in texts[3].items()}
+    source = {r["doc_id"]: r["source"] for r in kept[3].select("doc_id", "source").collect()}
+    names = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
+    whole = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    share, target = {s: k % 3 + 1 for k, s in enumerate(names)}, {}
+    left, open_ = sum(whole.values()), set(names)
+    while open_:
+        full = {s for s in open_ if left * share[s] / sum(share[x] for x in open_) > 3 * whole[s]}
+        for s in full or open_:
+            target[s] = 3 * whole[s] if full else left * share[s] / sum(share[x] for x in open_)
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    for s in names:
+        own = [i for i in size if source[i] == s]
+        assert abs(sum(copies.get(i, 0) * size[i] for i in own) - target[s]) <= max(size[i] for i in own)
+    # token output
+    lib = Tokenizer.from_file(token_output.tokenizer_path())
+    at, want = 0, []
+    for i in sorted(texts[4]):
+        ids = np.array(lib.encode(texts[4][i], add_special_tokens=False).ids + [0], "<u4")
+        for _ in range(copies[i]):
+            want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
+    got = p.STAGES[-1][1](spark, kept[4], sf)
+    assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+    assert all(d.columns == docs.columns for d in kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -271,7 +523,7 @@ def test_pipeline(spark):
     matcher = decontamination.Matcher([tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in one.collect() if not matcher.matches(r["text"])}
     mixed = p.mix(spark, clean, sf).cache()
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect() if r["copies"]}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(clean, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
     assert all(x.columns == cols for x in (good, one, clean, mixed))
     assert p.tokens(spark, mixed, sf).count() == mixed.count()
