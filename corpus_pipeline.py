@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockgraph.llm import decontamination, mixing, near_dedup, quality_classifier, token_output
-from blockgraph.llm.common import materialize, table
+from blockgraph.llm.common import materialize, table, unused
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives label 1; the others go."""
     model = quality_classifier.train(quality_classifier.sample(docs, table(spark, sf_dir, "labels")))
-    return quality_classifier.score(docs, model, out_col="__score").filter("__score >= 0.5").drop("__score")
+    score = unused(docs.columns, "__score")
+    return quality_classifier.score(docs, model, out_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +27,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item within its error budget."""
-    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col="__leaks").filter(F.size("__leaks") == 0).drop("__leaks")
+    leaks = unused(docs.columns, "__leaks")
+    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col=leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    # the operator's own columns never clash with those of docs: they are joined on before any is dropped
-    out = mixing.mix(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "source"))
+    # as a struct, so that the operator's columns replace none of docs
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text", "source")
+    out = mixing.mix(whole, table(spark, sf_dir, "labels"), carry=["__doc"])
     return out.filter("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 
@@ -42,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", classify), ("near-dedup", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("token output", tokens)]
-#: The classifier's training is no SQL; each stage is tested against brute force.
+#: The classifier's training is no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
