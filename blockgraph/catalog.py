@@ -386,6 +386,7 @@ TABLE = {
     "refine_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.002)), _sql(COP, REFINED_FACTS)),
     "refine_modularity": (lambda s, d: _refine(s, d, Modularity(1.0)), _sql(COP, REFINED_FACTS)),
     "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(ConstantPotts(0.5)), PAIRS)),
+    "cluster_modularity_queue": (lambda s, d: _cluster(s, d, Modularity(1.0), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "matrix_roundtrip": (_matrix, _sql(COP, "SELECT src, dst, w FROM e")),
     "block_file_roundtrip": (_block_file, _sql(COP, "SELECT row_number() OVER (ORDER BY v) - 1 AS v, c, 7 AS n_blocks FROM p")),

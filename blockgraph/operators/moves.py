@@ -109,7 +109,7 @@ def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0, interv
         proposals = cut(best_moves(candidates(g, current, objective, m, only=frontier)))
         visits += n if frontier is None else frontier.count()
         taken = cut(together(proposals, g, objective, m, seed, turn))
-        k = taken.count()
+        k, fresh = taken.agg(F.count("*"), F.count(F.when(F.col("tgt").isNull(), 1))).first()
         if turn % interval == 0:
             log.info("round %d: %d moves", turn, k)
         if not k:
@@ -121,7 +121,7 @@ def local_move(g: Graph, assignment: DataFrame, objective, seed: int = 0, interv
             continue
         moved += k
         to = taken.filter("tgt is not null").select("v", F.col("tgt").alias("c"))
-        if k > to.count():
+        if fresh:
             top = current.agg(F.coalesce(F.max("c"), F.lit(-1))).first()[0]
             # movers to an empty community get ids past all others
             to = to.union(ranked(taken.filter("tgt is null").select("v"), "v", "place").select("v", (F.lit(top) + 1 + F.col("place")).cast("long")))

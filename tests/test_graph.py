@@ -111,6 +111,126 @@ def test_levels(spark):
     assert cluster(empty, ConstantPotts(0.5)).levels == 0
 
 
+LOOPS5 = "0-0:2 0-1:3 1-2:1.5 2-2:4 2-3:2 3-4:3.5 4-4:1"
+WEIGHTED5 = "0-1:2.5 1-2:0.75 2-3:3 3-4:1.25 0-4:4.5 1-4:0.5"
+
+
+@pytest.mark.parametrize(("text", "a", "potts", "modularity"), [(TRIANGLES, (0, 0, 0, 1, 1, 1), 0.4, 1.0), (WEIGHTED5, (0, 0, 1, 1, 1), 0.35, 0.8)])
+def test_delta_with_vertex_sizes(spark, text, a, potts, modularity):
+    g = graph(spark, text, len(a))
+    sizes = spark.createDataFrame(list(zip(range(6), (2.0, 1.0, 3.0, 1.0, 2.0, 1.0), strict=True)), "v long, node_size double")
+    g = Graph(g.nodes.select("v").join(sizes, "v"), g.edges).persist()
+    at = labels(spark, *a)
+    for objective in (ConstantPotts(potts), Modularity(modularity)):
+        found = moves.candidates(g, at, objective).collect()
+        before = partition.quality(g, at, objective)
+        # all moves in one query: a copy of the assignment for each
+        for r in found[:: max(1, len(found) // 4)]:
+            to = 9 if r["tgt"] is None else r["tgt"]
+            after = partition.quality(g, partition.apply_moves(at, spark.createDataFrame([(r["v"], to)], "v long, c long")), objective)
+            assert after - before == pytest.approx(r["delta"], abs=1e-10)
+
+
+def test_smallest_unused_id(spark):
+    a = labels(spark, 0, 0, 1, 3, 4, 5, 6, 8, 9, 11, 11, 11)
+    assert partition.smallest_unused(a).first()[0] == 2
+    assert partition.smallest_unused(partition.apply_moves(a, spark.createDataFrame([(0, 2)], "v long, c long"))).first()[0] == 7
+
+
+def test_refinement_of_sized_vertices(spark):
+    nodes = spark.createDataFrame([(0, 10.0), (1, 1.0), (2, 1.0)], "v long, node_size double")
+    joined = Graph(nodes, graph(spark, "0-1:3", 3).edges)
+    assert rows(refine.refine(joined, labels(spark, 0, 0, 1), ConstantPotts(0.2), 1e-6), "v", "c") in ([(0, 0), (1, 0), (2, 2)], [(0, 1), (1, 1), (2, 2)])
+    path = Graph(nodes, graph(spark, "0-1:1 1-2:0.5", 3).edges)
+    assert rows(refine.well_connected_nodes(path, labels(spark, 0, 0, 1), ConstantPotts(0.2)), "v", "ok")[0] == (0, False)
+    # nothing can merge: every vertex stays alone, whatever its parent
+    assert rows(refine.refine(path, labels(spark, 0, 0, 0), ConstantPotts(2.0)), "v", "c") == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("text", ["0-1:2 0-2:1 1-2:2.5 3-4:3 4-5:2 3-5:2.5 2-3:0.5", LOOPS5])
+def test_clusters_are_optimal_on_the_last_level(spark, text):
+    g = graph(spark, text, 6 if text is not LOOPS5 else 5).persist()
+    for way in ("rounds", "queue"):
+        found = cluster(g, ConstantPotts(0.4), Options(seed=2, way=way))
+        assert not moves.best_moves(moves.candidates(found.last, found.last_assignment, ConstantPotts(0.4), g.total_weight())).count()
+        assert partition.quality(g, found.assignment, ConstantPotts(0.4)) >= partition.quality(g, partition.singletons(g), ConstantPotts(0.4))
+        assert found.moves and not found.assignment.filter("c < 0").count()
+
+
+def test_options_and_faulty_assignments(spark):
+    for bad in ({"theta": 0.0}, {"max_levels": -1}, {"way": "other"}, {"debug_interval": 0}):
+        with pytest.raises(ValueError):
+            Options(**bad)
+    g = graph(spark, "0-1 1-2 2-3", 4)
+    for a in (labels(spark, 0, 0, 1), spark.createDataFrame([(0, 0), (1, None), (2, 1), (3, 1)], "v long, c long"), labels(spark, 0, -1, 1, 1), labels(spark, 0, 0, 1, 1, 1)):
+        with pytest.raises(ValueError):
+            contract.aggregate_graph(g, a)
+    for a in (labels(spark, 0, -1), spark.createDataFrame([(0, None)], "v long, c long")):
+        with pytest.raises(ValueError):
+            partition.compact(a)
+    assert rows(contract.aggregate_graph(g, labels(spark, 2, 2, 5, 9)).coarse_of, "v", "coarse") == [(0, 0), (1, 0), (2, 1), (3, 2)]
+    ring = graph(spark, "0-0:5 0-1:2 1-1:7 1-2:3 2-3:4 3-3:11", 4)
+    assert rows(contract.aggregate_graph(ring, labels(spark, 0, 0, 1, 1)).graph.edges, "src", "dst", "w") == [(0, 0, 14.0), (0, 1, 3.0), (1, 1, 15.0)]
+
+
+def test_levelled_classes_by_hand():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 14)
+        near = {v: [] for v in range(n)}
+        for u in range(n):
+            for v in range(u):
+                if rng.random() < 0.3:
+                    near[u].append(v)
+                    near[v].append(u)
+        order = sorted(near, key=lambda v: (-len(near[v]), v))
+        got = coloring._levelled(order, near)
+        assert all(got[u] != got[v] for u in near for v in near[u])
+        # no vertex can go from a class to one smaller by two
+        size = {c: list(got.values()).count(c) for c in set(coloring._sequential(order, near).values())}
+        assert not any(size[c] + 1 < size[got[v]] and all(got[u] != c for u in near[v]) for v in near for c in size)
+        assert set(got.values()) <= set(size)
+
+
+def test_ranks(spark):
+    from blockgraph.runtime import ranked
+
+    got = ranked(spark.createDataFrame([(x, 1) for x in (5, None, 3, 3, 9, 7)], "x int, part int").repartition(3), "x", "place").orderBy("place").collect()
+    assert [(r["x"], r["part"], r["place"]) for r in got] == [(None, 1, 0), (3, 1, 1), (3, 1, 2), (5, 1, 3), (7, 1, 4), (9, 1, 5)]
+    assert ranked(spark.range(0), "id", "place").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockgraph import cli
+
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n6 6 7\n2 1\n3 2\n3 1\n4 3\n5 4\n6 5\n6 4\n")
+    got = cli.main(["cluster", f"{tmp_path}/m.mtx", "0.50", "--way", "queue", "--out", str(tmp_path), "--debug-interval", "3"])
+    assert (got["vertices"], got["edges"], got["blocks"], got["colors"], got["block_graph_edges"]) == (6, 7, 2, 2, 1)
+    assert {"move_seconds", "cluster_seconds", "color_seconds", "seconds", "levels", "moves", "quality"} < set(got) and "blocks: 2" in capsys.readouterr().out
+    row = cli.main(["evaluate", f"{tmp_path}/m.mtx", f"{tmp_path}/m_potts_gamma0.50.blk", f"{tmp_path}/m_potts_gamma0.50.bcol"])
+    assert (row["internal_edges"], row["external_edges"], row["blocks_per_color"], row["nodes_per_color"]) == (6, 1, [1, 1], [3, 3])
+    for bad in (["cluster", "x", "-1"], ["cluster", "x", "inf"], ["cluster", "x", "1;2"], ["cluster", "x", "1", "--debug-interval", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    with pytest.raises(SystemExit):
+        (tmp_path / "short.blk").mkdir()
+        (tmp_path / "short.blk" / "part-0.txt").write_text("2\n1 1\n")
+        cli.main(["evaluate", f"{tmp_path}/m.mtx", f"{tmp_path}/short.blk", f"{tmp_path}/m_potts_gamma0.50.bcol"])
+
+
+def test_color_and_permutation_files(spark, tmp_path):
+    from blockgraph.sources import files
+
+    colors = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "v long, color long")
+    files.write_colors(colors, 2, f"{tmp_path}/x.bcol")
+    n, got = files.read_colors(spark, f"{tmp_path}/x.bcol", 4)
+    assert n == 2 and rows(got.fillna(-1), "v", "color") == [(0, 1), (1, 0), (2, 1), (3, -1)]
+    with pytest.raises(ValueError):
+        files.write_colors(colors, 1, f"{tmp_path}/y.bcol")
+    files.write_permutation(spark.createDataFrame([(1, 0), (0, 2), (2, 1)], "v long, to long"), f"{tmp_path}/p")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/p").collect()] == ["1 3", "2 1", "3 2"]
+
+
 def test_coloring(spark):
     g = graph(spark, TRIANGLES, 6)
     got = dict(rows(coloring.greedy(g), "v", "color"))
