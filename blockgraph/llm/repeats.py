@@ -5,8 +5,9 @@ so equal windows have equal anchors at equal offsets, and an anchor stands for a
 
 1. Each run's anchor is a row of a few bytes. Anchors that occur once are done: nothing there repeats.
 2. Runs with a repeated anchor go, with their bytes, to the task of their anchor, which compares them. Within a task
-   of the scan, equal runs are reduced to the earliest one first, by their bytes. Anchors that are too frequent for one task are
-   split: each of their windows is a row of its own, dealt out by the window's hash.
+   of the scan, equal runs of 1 MB of text are reduced to the earliest one first, by their bytes. Anchors that are too
+   frequent for one task are split: each of their windows is a row of its own, reduced within the whole task and dealt
+   out by the window's hash.
 3. The repeated stretches come back to their documents, which are cut and digested.
 """
 
@@ -62,7 +63,7 @@ _CONTEXT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("s", pa.int64()),
 
 
 class Seen:
-    """Runs that a task has given to the comparison, with their places; forgotten beyond some bytes."""
+    """Windows that a task has given to the comparison, with their places; forgotten beyond some bytes."""
 
     def __init__(self):
         self.place: dict[tuple, tuple[int, int]] = {}
@@ -117,7 +118,8 @@ def _contexts(runs: Runs, docs: pa.RecordBatch, tags: list[bytes | None], flags:
                     rows.append((0, row[1], row[2], row[3], row[4], None))
                 else:  # not earlier: the same place, of a repeated row, or the same document
                     rows.append((row[0][0], row[1], row[2], row[3], row[4], row[5]))
-    rows += [(0, *r[1:5], None) if seen.repeats(key, r[1], across) else (r[0][0], *r[1:]) for key, r in best.items()]
+    # windows of frequent anchors, which many documents share, are reduced within the task
+    rows += [(0, *r[1:5], None) if not key[0] and seen.repeats(key, r[1], across) else (key[0], *r[1:]) for key, r in best.items()]
     if not rows:
         return pa.RecordBatch.from_pylist([], _CONTEXT)
     key = np.array([r[0] for r in rows], np.int64)
@@ -174,8 +176,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, runs_of: Callable[
 
     # scanned twice: once to count, once to tell the documents of what repeats
     grams = texts.mapInArrow(anchors, "g long, k long, s long, n int")
-    counted = grams.groupBy("g").agg(F.sum("n").alias("n"), *([F.min("k").alias("lo"), F.max("k").alias("hi")] if across else []))
-    counted = counted.filter("lo < hi" if across else "n > 1").select("g", (F.col("n") > HOT).cast("long").alias("hot"))
+    # rows instead of distinct ids: an anchor of one repeated id alone is compared in vain
+    counted = grams.groupBy("g").agg(F.sum("n").alias("n"), *([F.count("*").alias("rows")] if across else []))
+    counted = counted.filter("rows > 1" if across else "n > 1").select("g", (F.col("n") > HOT).cast("long").alias("hot"))
     flagged = grams.select("g", "k", "s").join(counted, "g").select("k", "s", F.col("g").bitwiseOR(F.col("hot")).alias("g")).union(many)
     flagged = flagged.groupBy("k", "s").agg(F.array_sort(F.collect_list("g")).alias("flags"))
 
