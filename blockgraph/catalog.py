@@ -162,7 +162,10 @@ def _refine(s, d, objective):
     both = found.join(parent.withColumnRenamed("c", "p"), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
     n, parts = g.num_vertices(), found.select("c").distinct().count()
     gained = partition.quality(g, found, objective) > partition.quality(g, partition.singletons(g), objective) + 1e-9
-    facts = {"merged": float(parts < n), "split_parts": float(_pieces(g, found) - parts), "gained": float(gained)}
+    # vertices without an edge may join any part: their gain is 0 everywhere
+    tied = cut(found.join(g.strengths().filter("strength > 0").select("v"), "v", "left_semi"))
+    split = _pieces(Graph(tied.select("v"), g.edges, g.kept), tied) - tied.select("c").distinct().count()
+    facts = {"merged": float(parts < n), "split_parts": float(split), "gained": float(gained)}
     out = _move_facts(g, found, objective, partition.singletons(g)).union(both.select(*_named("across_parents", F.count("*"))))
     for name, value in facts.items():
         out = out.union(g.nodes.limit(1).select(*_named(name, F.lit(value))))
