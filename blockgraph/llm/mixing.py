@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's exponential key is -ln(u) / weight with u drawn from its id, so that better documents tend to come first.
+A document's exponential key is -ln(u) / weight with u drawn from its id, text and source, and from its number among
+the rows that are equal in these, so that better documents tend to come first and each row has a draw of its own.
 The weight is learned from quality labels: the share of label 1 among the labelled documents that are alike in symbols,
 length and word length. Within a source the documents are sorted by key and prefix-summed to the source's token budget:
 complete epochs come first, the rest of the budget is a fractional selection by key. Only per-source totals, a
@@ -25,20 +26,43 @@ BIN = 2000
 BROADCAST_ROWS = 100_000
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: list[str]) -> DataFrame:
-    """(doc, id, src, size, alike, e): the columns carry, id as text, source, words, what the quality weight looks at, -ln(u)."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str]) -> DataFrame:
+    """(doc, id, src, size, alike, own, at): the columns carry, id as text, source, words, what the quality weight looks
+    at, a hash of id, text and source, and the task that read the row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     id_ = F.col(id_col).cast("string")
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(id_, F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double")
+    own = F.md5(F.concat_ws(":", F.coalesce(id_, F.lit("")), F.md5(text.cast("binary")), F.coalesce(F.col(source_col), F.lit(""))).cast("binary"))
     src = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
     df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias(unused(carry, "last"))).alias("doc"), id_.alias("id"), src.alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>!]")).alias("marks"), F.char_length(text).alias("chars"), (-F.log((bits + 0.5) / float(1 << 52))).alias("e"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>!]")).alias("marks"), F.char_length(text).alias("chars"), own.alias("own"), F.spark_partition_id().alias("at"),
     )
     words = F.greatest("size", F.lit(1))
     # tenths of symbols for each word, halves of log length, characters for each word
     alike = F.struct(F.least(F.floor(10 * F.col("marks") / words), F.lit(20)).alias("a"), F.floor(2 * F.log(words.cast("double"))).alias("b"), F.least(F.floor(F.col("chars") / words), F.lit(30)).alias("c"))
-    return df.select("doc", "id", "src", "size", "e", alike.alias("alike"))
+    return df.select("doc", "id", "src", "size", "own", "at", alike.alias("alike"))
+
+
+def drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """rows, a table, with tie and e added: a row's number among the rows of the same own, and -ln(u).
+
+    Only rows that have equals are numbered, by the task that read them, so that no group of equals is one task's work.
+    """
+    again = materialize(rows.groupBy("own").count().filter("count > 1").select("own"))
+    n = again.count()
+    if n:
+        near = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+        same = rows.join(near(again), "own")
+        upto = Window.partitionBy("own").orderBy("at")
+        before = same.groupBy("own", "at").count().withColumn("before", F.sum("count").over(upto) - F.col("count")).drop("count")
+        same = same.withColumn("nth", F.row_number().over(Window.partitionBy("own", "at").orderBy("size"))).join(before, ["own", "at"])
+        same = same.withColumn("tie", F.col("before") + F.col("nth") - 1).drop("before", "nth")
+        rows = materialize(rows.join(near(again), "own", "left_anti").withColumn("tie", F.lit(0).cast("long")).unionByName(same))
+    else:
+        rows = rows.withColumn("tie", F.lit(0).cast("long"))
+    drop(again)
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", "own", F.lit(seed), "tie").cast("binary")), 1, 13), 16, 10).cast("double")
+    return rows.withColumn("e", -F.log((bits + 0.5) / float(1 << 52)))
 
 
 def weights(rows: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame | None:
@@ -75,12 +99,13 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     """The columns carry of docs (all by default) with size, source_size, target, taken and copies added (columns of those names are replaced).
 
     copies is how often the mix takes the document, taken that many times its words. Documents of no words, null
-    texts among them, come with the complete epochs. Documents of equal id and size share one key and are taken
-    together. A null source is a source of its own, the last. Reruns agree: keys depend on ids, texts and labels only.
+    texts among them, come with the complete epochs. Rows that repeat an id, or have none, are taken one by one; which
+    of the rows that are equal in id, text and source is left open. A null source is a source of its own, the last.
+    Reruns agree: keys depend on ids, texts, sources and labels only.
     Without labels all documents weigh the same.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "source_size", "target", "taken", "copies")]
-    rows = materialize(keyed(docs, id_col, text_col, source_col, seed, keep))
+    rows = drawn(materialize(keyed(docs, id_col, text_col, source_col, keep)), seed)
     learned = weights(rows, labels)
     if learned is None:
         rows = rows.withColumn("weight", F.lit(1.0))
@@ -102,9 +127,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     edge = materialize(sums.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("past"))).select("src", F.col("bin").alias("edge"), "before"))
     # only a source's cut bin, some BIN rows, is sorted
     cut = binned.join(near(edge), "src").filter(F.col("bin") == F.col("edge"))
-    run = Window.partitionBy("src").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("src").orderBy("key", "own", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("upto", F.col("before") + F.sum("size").over(run))
-    place = F.struct("key", "id", "size")
+    place = F.struct("key", "own", "tie")
     cut = cut.filter(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("src").agg(F.max(place).alias("last"))
     cut = edge.join(cut, "src", "left")
     plan = materialize(plan.join(cut, "src", "left").select("src", F.col("total").alias("source_size"), "target", "rounds", "bins", "mean", "edge", "last", F.col("edge").isNull().alias("all")))
@@ -124,8 +149,8 @@ MIX_SQL = """
 WITH k AS (
   SELECT d.*, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size_,
          len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) AS marks_, length(coalesce(text, '')) AS chars_,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 13) AS BIGINT) AS bits_
-  FROM {docs} d
+         CAST('0x' || substr(md5(own_ || ':{seed}:' || (row_number() OVER (PARTITION BY own_) - 1)), 1, 13) AS BIGINT) AS bits_
+  FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || coalesce(source, '')) AS own_ FROM {docs}) d
 ), f AS (
   SELECT *, least(floor(10 * marks_ / greatest(size_, 1)), 20) AS a_, floor(2 * ln(greatest(size_, 1)::DOUBLE)) AS b_, least(floor(chars_ / greatest(size_, 1)), 30) AS c_
   FROM k
@@ -148,7 +173,7 @@ l AS (
   SELECT *, CASE WHEN total_ > 0 THEN floor(target_ / total_) ELSE 0 END AS rounds_ FROM t
 ), r AS (
   SELECT e.*, total_, target_, rounds_,
-         sum(size_) OVER (PARTITION BY none_, name_ ORDER BY key_, CAST(doc_id AS VARCHAR), size_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size_ / 2.0 <= target_ - rounds_ * total_ AS extra_
+         sum(size_) OVER (PARTITION BY none_, name_ ORDER BY key_, own_, bits_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size_ / 2.0 <= target_ - rounds_ * total_ AS extra_
   FROM e JOIN p USING (none_, name_)
 )
 """

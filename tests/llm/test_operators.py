@@ -312,6 +312,17 @@ def test_mixing(make, rows):
     assert mixing.mix(make(rows).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [17, 18])
+def test_mixing_of_rows_without_ids_and_of_repeated_ones(spark, seed):
+    ten = " ".join("ten words of one text and some more of them".split())
+    docs = [(None, f"{ten} {i}", "a") for i in range(600)] + [(None, ten, "a")] * 400 + [(7, ten, "b")] * 500 + [(7, f"{ten} {i}", "b") for i in range(500)]
+    docs += [(i, ten, "c") for i in range(1000)] + [(None, ten, None)] * 100
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5), seed=seed).toPandas()
+    assert len(got) == len(docs)
+    for _, own in got.groupby("source", dropna=False):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].max() and own["copies"].max() - own["copies"].min() <= 1
+
+
 def test_quality_rules(make, rows):
     got = {r["doc_id"]: r for r in quality_rules.judge(make(rows)).collect()}
     for d, t in rows:
