@@ -179,7 +179,7 @@ def _cluster(s, d, objective, way="rounds"):
     """Facts of a clustering: no vertex of its last level gains by a move, and it beats the mutual pairs."""
     g = cop(s, d).persist().prepared()
     found = cluster(g, objective, Options(seed=3, way=way))
-    left = moves.best_moves(moves.candidates(found.last, found.last_assignment, objective, g.total_weight()), 1e-9)
+    left = moves.best_moves(moves.candidates(found.last, found.last_assignment, objective, g.totals()), 1e-9)
     return _move_facts(g, found.assignment, objective, partition.singletons(g)).union(left.select(*_named("improving_moves", F.count("*")))).union(_beats_pairs(g, found.assignment, objective))
 
 
@@ -338,8 +338,8 @@ TABLE = {
     "singletons": (lambda s, d: partition.singletons(cop(s, d)), _sql(COP, "SELECT v, v AS c FROM n")),
     "neighbor_community_weights": (lambda s, d: partition.neighbour_weights(cop(s, d), mod(cop(s, d), 7)), _sql(COP, "SELECT * FROM nbw")),
     "weight_into_community": (lambda s, d: partition.weight_into(evt(s, d), mod(evt(s, d), 2), 2, 0, True), _sql(EVT, "SELECT (SELECT w FROM nbw WHERE v = 2 AND c = 0) + coalesce((SELECT w FROM e WHERE src = 2 AND dst = 2), 0) AS w")),
-    "quality_cpm": (lambda s, d: partition.communities(evt(s, d), mod(evt(s, d), 2)).agg(POTTS.quality(1.0).alias("q")).select(*_r("q")), _sql(EVT, "SELECT round(sum(internal_w - 0.3 * size * (size - 1) / 2), 6) AS q FROM com")),
-    "quality_modularity": (lambda s, d: (lambda g: partition.communities(g, mod(g, 7)).agg(MOD.quality(g.total_weight()).alias("q")).select(*_r("q")))(cop(s, d)), _sql(COP, "SELECT round(sum(2 * internal_w - 1.1::DOUBLE * strength * strength / (2 * (SELECT m FROM m))), 6) AS q FROM com")),
+    "quality_cpm": (lambda s, d: partition.valued(evt(s, d), mod(evt(s, d), 2), POTTS).agg(POTTS.quality(1.0).alias("q")).select(*_r("q")), _sql(EVT, "SELECT round(sum(internal_w - 0.3 * size * (size - 1) / 2), 6) AS q FROM com")),
+    "quality_modularity": (lambda s, d: (lambda g: partition.valued(g, mod(g, 7), MOD).agg(MOD.quality(g.total_weight()).alias("q")).select(*_r("q")))(cop(s, d)), _sql(COP, "SELECT round(sum(2 * internal_w - 1.1::DOUBLE * strength * strength / (2 * (SELECT m FROM m))), 6) AS q FROM com")),
     "delta_move_cpm": (lambda s, d: moves.candidates(cop(s, d), mod(cop(s, d), 7), POTTS).select("v", "src", "tgt", *_r("delta")), _sql(COP, "SELECT v, src, tgt, round(dp, 6) AS delta FROM dl")),
     "delta_move_modularity": (lambda s, d: moves.candidates(cop(s, d), mod(cop(s, d), 7), MOD).select("v", "src", "tgt", *_r("delta")), _sql(COP, "SELECT v, src, tgt, round(dm, 6) AS delta FROM dl")),
     "best_move": (lambda s, d: moves.best_moves(moves.candidates(cop(s, d), mod(cop(s, d), 7), POTTS)).select("v", "tgt"), _sql(COP, "SELECT v, tgt FROM (SELECT v, tgt, row_number() OVER (PARTITION BY v ORDER BY dp DESC, tgt NULLS LAST) AS r FROM dl WHERE dp > 1e-12) z WHERE r = 1")),

@@ -11,8 +11,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.quality import Totals
 from .runtime import cut
 
+#: Rows of the adjacency that one of its parts holds, about, and parts at most.
+PART_ROWS, PARTS = 1 << 16, 4096
+
+
+def _part(v, parts: int):
+    return F.pmod(F.xxhash64(v), F.lit(parts)).cast("int")
+
 
 @dataclass
 class Graph:
@@ -20,6 +28,8 @@ class Graph:
     edges: DataFrame
     #: sym() and strengths() as tables, where they are kept
     kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+    #: parts by vertex that the kept sym() is stored in
+    parts: int = 1
 
     @classmethod
     def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", w: str | None = None, nodes: DataFrame | None = None) -> Graph:
@@ -36,8 +46,35 @@ class Graph:
         return Graph(cut(self.nodes), cut(self.edges))
 
     def prepared(self) -> Graph:
-        """The graph with sym() and strengths() as tables, for operators that need them again and again."""
-        return self if self.kept else Graph(self.nodes, self.edges, {"sym": cut(self.sym()), "strengths": cut(self.strengths())})
+        """The graph with sym() and strengths() as tables, for operators that need them again and again.
+
+        The adjacency is stored in parts by vertex, so that `edges_of` reads those of the vertices that it is asked for.
+        """
+        if self.kept:
+            return self
+        parts = max(1, min(PARTS, 2 * self.edges.count() // PART_ROWS))
+        sym = self.sym()
+        if parts > 1:
+            # large parts, as of a vertex with many neighbours, are split over files
+            sym = cut(sym.withColumn("part", _part(F.col("v"), parts)).hint("rebalance", "part"), by="part")
+        else:
+            sym = cut(sym)
+        return Graph(self.nodes, self.edges, {"sym": sym, "strengths": cut(self.strengths())}, parts)
+
+    def edges_of(self, only: DataFrame) -> DataFrame:
+        """(v, u, w): sym() of the vertices (v) only; of a prepared graph only the parts are read that hold them."""
+        sym = self.kept.get("sym")
+        if sym is None:
+            sym = self.sym()
+        elif self.parts > 1:
+            held = [r[0] for r in only.select(_part(F.col("v"), self.parts).alias("part")).distinct().collect()]
+            sym = sym.filter(F.col("part").isin(held)) if len(held) < self.parts else sym
+        return sym.join(only.select("v"), "v", "left_semi").select("v", "u", "w")
+
+    def scan_edges(self, run, schema: str) -> DataFrame:
+        """What a function makes of the edges: run takes an iterator over Arrow batches (src, dst, w) and yields batches
+        of the schema. Each edge is seen once, with src <= dst, in no order; every task calls run once."""
+        return self.edges.select("src", "dst", "w").mapInArrow(run, schema)
 
     def binary(self) -> Graph:
         """Every weight 1; parallel edges stay parallel."""
@@ -46,7 +83,7 @@ class Graph:
     def sym(self) -> DataFrame:
         """(v, u, w): each edge but self-loops from both of its ends."""
         if "sym" in self.kept:
-            return self.kept["sym"]
+            return self.kept["sym"].select("v", "u", "w")
         e = self.edges.filter("src <> dst")
         both = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))
         return e.select(F.explode(both).alias("e"), "w").select("e.v", "e.u", "w")
@@ -67,6 +104,19 @@ class Graph:
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("strength"))
         return self.nodes.join(ends, "v", "left").fillna(0.0, ["strength"])
 
+    def signed_strengths(self) -> DataFrame:
+        """strengths() with above and below: summed weights of the positive and of the negative edges, as positive
+        numbers, those of self-loops twice."""
+        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v")
+        ends = ends.agg(F.sum(F.greatest("w", F.lit(0.0))).alias("above"), F.sum(F.greatest(-F.col("w"), F.lit(0.0))).alias("below"))
+        return self.strengths().join(ends, "v", "left").fillna(0.0, ["above", "below"])
+
+    def totals(self) -> Totals:
+        """What an objective's prices may depend on."""
+        w = self.edges.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("w"), F.greatest("w", F.lit(0.0)), F.greatest(-F.col("w"), F.lit(0.0)))]).first()
+        size = self.nodes.agg(F.coalesce(F.sum("node_size"), F.lit(0.0))).first()[0]
+        return Totals(w[0], size, w[1], w[2])
+
     def total_weight(self) -> float:
         """Summed weight of all edges, self-loops once."""
         return self.edges.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]

@@ -28,9 +28,61 @@ def communities(g: Graph, assignment: DataFrame) -> DataFrame:
     return members.join(internal, "c", "left").fillna(0.0, ["internal_w"])
 
 
+def masses(g: Graph, objective) -> DataFrame:
+    """(v, x0, x1, ...): an objective's masses of each vertex."""
+    at = g.signed_strengths() if objective.signed else g.strengths()
+    return at.select("v", *[x.cast("double").alias(f"x{k}") for k, x in enumerate(objective.masses())])
+
+
+def community_masses(x: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(c, n_members, x0, ...): members and summed masses x, of `masses`, of each community."""
+    sums = [F.sum(c).alias(c) for c in x.columns if c != "v"]
+    return x.join(assignment.filter("c is not null"), "v").groupBy("c").agg(F.count("*").alias("n_members"), *sums)
+
+
+def valued(g: Graph, assignment: DataFrame, objective) -> DataFrame:
+    """(c, n_members, x0, ..., internal_w): communities as an objective's quality takes them."""
+    a = assignment.filter("c is not null")
+    internal = inside(g, a).filter("cu = cv").groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("internal_w"))
+    return community_masses(masses(g, objective), a).join(internal, "c", "left").fillna(0.0, ["internal_w"])
+
+
 def quality(g: Graph, assignment: DataFrame, objective) -> float:
-    m = g.total_weight()
-    return communities(g, assignment).agg(objective.quality(m)).first()[0]
+    return valued(g, assignment, objective).agg(objective.quality(g.totals())).first()[0]
+
+
+def advance_masses(com: DataFrame, moved: DataFrame, x: DataFrame) -> DataFrame:
+    """community_masses after moves (v, src, c), from those before: only what moved is summed; emptied communities go."""
+    names = [c for c in x.columns if c != "v"]
+    m = moved.join(x, "v")
+    leaves = m.select(F.col("src").alias("c"), F.lit(-1).cast("long").alias("n_members"), *[(-F.col(k)).alias(k) for k in names])
+    joins = m.select("c", F.lit(1).cast("long").alias("n_members"), *names)
+    change = leaves.union(joins).groupBy("c").agg(*[F.sum(k).alias(f"d_{k}") for k in ("n_members", *names)])
+    both = com.join(change, "c", "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select("c", *[(zero(k) + zero(f"d_{k}")).alias(k) for k in ("n_members", *names)]).filter("n_members > 0")
+
+
+def advance_communities(g: Graph, com: DataFrame, assignment: DataFrame, moves: DataFrame) -> DataFrame:
+    """communities() after moves (v, c), from those before: only the edges of what moves are read.
+
+    An edge whose ends both move is met from both, and counts half each time.
+    """
+    to = moves.select("v", F.col("c").alias("tgt"))
+    moved = assignment.join(to, "v").withColumnRenamed("c", "src").filter("not src <=> tgt")
+    at = assignment.select(F.col("v").alias("u"), F.col("c").alias("cu"))
+    e = g.edges_of(moved).join(moved, "v").join(at, "u").join(moved.select(F.col("v").alias("u"), F.col("tgt").alias("u_tgt"), F.lit(0.5).alias("half")), "u", "left")
+    e = e.select("src", "tgt", "cu", F.coalesce("u_tgt", "cu").alias("cv"), (F.col("w") * F.coalesce("half", F.lit(1.0))).alias("w"))
+    zero = F.lit(0.0)
+    n = F.lit(1).cast("long")
+    row = lambda df, c, k, size, strength, w: df.select(F.col(c).alias("c"), k.alias("n_members"), size.alias("size"), strength.alias("strength"), w.alias("internal_w"))
+    m = g.strengths().join(moved, "v").join(g.loops().withColumnRenamed("w", "loop"), "v", "left").fillna(0.0, ["loop"])
+    size, strength, w = F.col("node_size"), F.col("strength"), F.col("w")
+    change = row(m, "src", -n, -size, -strength, -F.col("loop")).union(row(m, "tgt", n, size, strength, F.col("loop")))
+    change = change.union(row(e.filter("cu = src"), "src", n * 0, zero, zero, -w)).union(row(e.filter("cv = tgt"), "tgt", n * 0, zero, zero, w))
+    names = ["n_members", "size", "strength", "internal_w"]
+    out = com.select("c", *names).union(change.select("c", *names).filter("c is not null")).groupBy("c").agg(*[F.sum(k).alias(k) for k in names])
+    return out.filter("n_members > 0")
 
 
 def id_bound(assignment: DataFrame) -> DataFrame:

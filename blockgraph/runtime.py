@@ -43,15 +43,17 @@ def scratch(spark: SparkSession, name: str = "") -> str:
     return path
 
 
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder: computed once, and a lost executor costs no recomputation.
 
-    The table goes with the application, or by `drop`; one at a path of the caller's stays.
+    The table goes with the application, or by `drop`; one at a path of the caller's stays. by: the last column, by
+    whose values the table is laid out in folders, so that a filter on it reads those only.
     """
     spark = df.sparkSession
     mine = path is None
     path = f"{scratch(spark)}/t" if mine else path
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if mine:
         out._scratch = path
@@ -85,6 +87,31 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     return spread.join(F.broadcast(starts), part).withColumn(name, F.col(before) + place - 1).drop(part, before)
 
 
+#: Rows that one window may hold.
+WINDOW_ROWS = 1_000_000
+
+
+def running(df: DataFrame, key: str, order: str, sums: dict[str, str], rows: int | None = None) -> DataFrame:
+    """df with running sums added, by key in descending order of column order: of the rows before each one.
+
+    sums: name of a sum and of its column. With at most WINDOW_ROWS rows (rows says how many there are, about) a window
+    for each key does it; beyond that the rows are sorted in ranges, so that no key is one task's work.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if (df.count() if rows is None else rows) <= WINDOW_ROWS:
+        w = before(Window.partitionBy(key).orderBy(F.desc(order)))
+        return df.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for name, c in sums.items()})
+    part = next("part" + "_" * k for k in range(99) if "part" + "_" * k not in df.columns)
+    spread = cut(df.repartitionByRange(F.col(key), F.desc(order)).withColumn(part, F.spark_partition_id()))
+    # a row for each key and range that holds some of it
+    earlier = before(Window.partitionBy(key).orderBy(part))
+    each = spread.groupBy(key, part).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    each = each.select(key, part, *[F.coalesce(F.sum(name).over(earlier), F.lit(0.0)).alias(f"__{name}") for name in sums])
+    w = before(Window.partitionBy(part, key).orderBy(F.desc(order)))
+    out = spread.join(each, [key, part])
+    return out.select(*df.columns, *[(F.col(f"__{name}") + F.coalesce(F.sum(c).over(w), F.lit(0.0))).alias(name) for name, c in sums.items()])
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, wherever they run."""
     sc = spark.sparkContext

@@ -72,7 +72,7 @@ def test_gains_of_a_round_are_exact_together(spark, objective):
     rng = random.Random(5)
     text = " ".join(f"{i}-{j}:{rng.choice((1, 2.5, 4))}" for i in range(24) for j in range(i) if rng.random() < 0.3)
     g = graph(spark, text, 24).persist()
-    m, a = g.total_weight(), partition.singletons(g)
+    m, a = g.totals(), partition.singletons(g)
     for turn in range(3):
         taken = moves.together(moves.best_moves(moves.candidates(g, a, objective, m)).filter("tgt is not null"), g, objective, m, 0, turn).toPandas()
         after = partition.apply_moves(a, spark.createDataFrame([(int(v), int(c)) for v, c in zip(taken["v"], taken["tgt"], strict=True)] or [(-1, -1)], "v long, c long"))
@@ -151,7 +151,7 @@ def test_refinement_of_sized_vertices(spark):
 def test_clusters_are_optimal_on_the_last_level(spark, text, n, way):
     g = graph(spark, text, n).persist()
     found = cluster(g, ConstantPotts(0.4), Options(seed=2, way=way))
-    assert not moves.best_moves(moves.candidates(found.last, found.last_assignment, ConstantPotts(0.4), g.total_weight())).count()
+    assert not moves.best_moves(moves.candidates(found.last, found.last_assignment, ConstantPotts(0.4), g.totals())).count()
     assert partition.quality(g, found.assignment, ConstantPotts(0.4)) > partition.quality(g, partition.singletons(g), ConstantPotts(0.4))
     assert found.moves and not found.assignment.filter("c < 0").count()
 
