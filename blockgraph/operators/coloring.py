@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import cut, ship
+from ..runtime import cut, drop, ranked, ship
+
+#: Vertices and edges of the order that one task colours, about.
+PART_ROWS = 1 << 20
 
 
-def greedy(g: Graph) -> DataFrame:
-    """(v, color): the colours of the greedy order (degree descending, id ascending), found in parallel rounds.
+def greedy(g: Graph, part_rows: int = PART_ROWS) -> DataFrame:
+    """(v, color): the colours of the greedy order (degree descending, id ascending), exactly as found one by one.
 
-    A vertex takes its colour once all neighbours before it in the order have theirs, so the result is exactly the
-    sequential one; the number of rounds is the longest chain of such dependencies.
+    The order is cut into stretches of about part_rows vertices and edges, a task each. In a round every task colours
+    its vertices in order as far as it can: a vertex whose earlier neighbours all have their colours, from this round in
+    the same stretch or from rounds before, takes the least that none of them has. So a chain of such dependencies costs
+    a round only where it goes over to another stretch, and after k rounds k stretches are done at least. Rounds look at
+    what has no colour yet only.
     """
-    deg = g.degree()
-    rank = deg.select("v", F.struct(F.col("degree").alias("d"), (-F.col("v")).alias("i")).alias("r"))
-    sym = g.sym().select("v", "u").distinct()
+    ship(g.edges.sparkSession)
+    g = g.prepared()
+    placed = ranked(g.degree().select("v", F.struct((-F.col("degree")).alias("d"), "v").alias("r")), "r", "place").select("v", "place")
+    parts = max(1, -(-(g.num_edges() + g.num_vertices()) // part_rows))
+    n = max(1, g.num_vertices())
+    placed = cut(placed.withColumn("part", F.floor(F.col("place") * parts / n).cast("int")))
     # each edge from the later vertex to the earlier one
-    wait = sym.join(rank, "v").join(rank.select(F.col("v").alias("u"), F.col("r").alias("ru")), "u").filter("ru > r").select("v", "u")
-    wait = cut(wait)
-    state = cut(g.nodes.select("v").join(wait.groupBy("v").agg(F.count("*").alias("n")), "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), F.lit(0)).cast("long").alias("color")))
-    while state.filter("color is null").take(1):
-        left, done = state.filter("color is null").select("v", "n"), state.filter("color is not null").select(F.col("v").alias("u"), "color")
-        seen = wait.join(left, "v").join(done, "u").groupBy("v", "n").agg(F.count("*").alias("k"), F.collect_set("color").alias("used"))
-        mex = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
-        new = seen.filter("k = n").select("v", mex.alias("__new"))
-        state = cut(state.join(new, "v", "left").select("v", "n", F.coalesce("color", "__new").alias("color")))
-    return state.select("v", "color")
+    wait = g.sym().select("v", "u").distinct().join(placed, "v").join(placed.select(F.col("v").alias("u"), F.col("place").alias("at")), "u").filter("at < place")
+    none = F.array().cast("array<long>")
+    todo = placed.join(wait.groupBy("v").agg(F.collect_list("u").alias("waits")), "v", "left").select("v", "place", "part", none.alias("used"), F.coalesce("waits", none).alias("waits"))
+    todo, found, left = cut(todo), [], g.num_vertices()
+    while left:
+        seen = Observation()
+        new = todo.repartition("part").sortWithinPartitions("part", "place").mapInPandas(_stretches, "v long, color long")
+        new = cut(new.observe(seen, F.count(F.lit(1)).alias("n")))
+        found.append(new)
+        left -= seen.get["n"]
+        if not left:
+            break
+        rest = todo.join(new, "v", "left_anti")
+        known = rest.select("v", F.explode("waits").alias("u")).join(new.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.collect_set("color").alias("colors"), F.collect_list("u").alias("seen"))
+        rest = rest.join(known, "v", "left").select("v", "place", "part", F.array_union("used", F.coalesce("colors", none)).alias("used"), F.array_except("waits", F.coalesce("seen", none)).alias("waits"))
+        old, todo = todo, cut(rest)
+        drop(old)
+    drop(todo, placed)
+    spark = g.edges.sparkSession
+    return functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], "v long, color long")
+
+
+def _stretches(frames):
+    """Colours of the vertices that can be coloured, for stretches in order; one stretch's colours are held at a time."""
+    part, color = None, {}
+    for pdf in frames:
+        vs, cs = [], []
+        for v, p, used, waits in zip(pdf["v"].tolist(), pdf["part"].tolist(), pdf["used"], pdf["waits"], strict=True):
+            if p != part:
+                part, color = p, {}
+            near = [color.get(u) for u in waits.tolist()]
+            if None in near:
+                continue
+            taken = {*used.tolist(), *near}
+            color[v] = next(c for c in range(len(taken) + 1) if c not in taken)
+            vs.append(v)
+            cs.append(color[v])
+        yield pd.DataFrame({"v": np.array(vs, np.int64), "color": np.array(cs, np.int64)})
 
 
 def _kernel(g: Graph, color) -> DataFrame:

@@ -139,11 +139,11 @@ class _State:
     def placed(self, taken: DataFrame, fresh: int) -> DataFrame:
         """(v, src, c) of the moves taken; those to an empty community get ids past all others."""
         to = taken.filter("tgt is not null").select("v", "src", F.col("tgt").alias("c"))
-        if fresh:
-            new = ranked(taken.filter("tgt is null").select("v", "src"), "v", "place")
-            to = to.union(new.select("v", "src", (F.lit(self.top) + 1 + F.col("place")).cast("long")))
-            self.top += fresh
-        return cut(to)
+        if not fresh:
+            return to
+        new = ranked(taken.filter("tgt is null").select("v", "src"), "v", "place")
+        top, self.top = self.top, self.top + fresh
+        return cut(to.union(new.select("v", "src", (F.lit(top) + 1 + F.col("place")).cast("long"))))
 
     def frontier(self, moved: DataFrame, refused: DataFrame | None = None) -> tuple[DataFrame, int]:
         """(v) of what is to be looked at after the moves, and how many: neighbours outside the new community, and what was refused."""
@@ -252,16 +252,21 @@ class Form:
 
 
 def queue_kernel(a: Arrays, label: np.ndarray, total: dict[int, tuple], size: dict[int, int], form: Form, fresh, seed: int, eps: float = EPS) -> tuple[list[int], int, int]:
-    """(labels, moves, visits): one queue over the vertices whose edges a holds, until none of them can gain.
+    """(labels, moves, visits): queues over the vertices whose edges a holds, until none of them can gain.
 
+    A move changes communities for others than neighbours too, so queues follow each other until one moves nothing.
     total and size: masses and members of each label, and are changed; fresh(i): an unused label for vertex i, or none.
     """
     n, masses, label = len(a.first) - 1, [tuple(r) for r in a.x.tolist()], label.tolist()
-    queue, queued = deque(np.random.default_rng(seed).permutation(n).tolist()), [True] * n
-    moves = visits = 0
+    rng, queue, queued = np.random.default_rng(seed), deque(), [False] * n
+    moves, visits, before = 0, 0, -1
     minus = lambda p, q: tuple(i - j for i, j in zip(p, q, strict=True))
     plus = lambda p, q: tuple(i + j for i, j in zip(p, q, strict=True))
-    while queue:
+    while queue or moves > before:
+        if not queue:
+            before, queue, queued = moves, deque(rng.permutation(n).tolist()), [True] * n
+            if not n:
+                break
         v = queue.popleft()
         queued[v] = False
         visits += 1

@@ -24,7 +24,7 @@ TASK_EDGES = 1 << 21
 
 def subset_mass(g: Graph, parent: DataFrame, objective) -> DataFrame:
     """(c, mass): each subset's summed refinement mass."""
-    return g.strengths().join(parent, "v").groupBy("c").agg(F.sum(objective.mass()).alias("mass"))
+    return partition.masses(g, objective).join(parent, "v").groupBy("c").agg(F.sum("x0").alias("mass"))
 
 
 def weight_to_subset(g: Graph, parent: DataFrame) -> DataFrame:
@@ -37,14 +37,14 @@ def weight_to_subset(g: Graph, parent: DataFrame) -> DataFrame:
 def well_connected_nodes(g: Graph, parent: DataFrame, objective, m: float | None = None) -> DataFrame:
     """(v, c, ok): whether a vertex is tied well enough to the rest of its subset."""
     m = g.totals() if m is None else m
-    x = g.strengths().withColumn("x", objective.mass()).join(parent, "v").join(subset_mass(g, parent, objective), "c").join(weight_to_subset(g, parent), "v")
+    x = partition.masses(g, objective).withColumnRenamed("x0", "x").join(parent, "v").join(subset_mass(g, parent, objective), "c").join(weight_to_subset(g, parent), "v")
     return x.select("v", "c", (F.col("w") >= objective.resolution(m) * F.col("x") * (F.col("mass") - F.col("x"))).alias("ok"))
 
 
 def refinement_stats(g: Graph, parent: DataFrame, refined: DataFrame, objective) -> DataFrame:
     """(parent, c, n_members, mass, external_w) of each refined community; external_w is that to the rest of its parent."""
     both = parent.select("v", F.col("c").alias("parent")).join(refined, "v")
-    stats = g.strengths().withColumn("x", objective.mass()).join(both, "v").groupBy("parent", "c").agg(F.count("*").alias("n_members"), F.sum("x").alias("mass"))
+    stats = partition.masses(g, objective).join(both, "v").groupBy("parent", "c").agg(F.count("*").alias("n_members"), F.sum("x0").alias("mass"))
     side = lambda v, p, c: both.select(F.col("v").alias(v), F.col("parent").alias(p), F.col("c").alias(c))
     e = g.edges.join(side("src", "pu", "cu"), "src").join(side("dst", "pv", "cv"), "dst").filter("pu = pv and cu <> cv")
     ext = e.select(F.col("pu").alias("parent"), F.explode(F.array("cu", "cv")).alias("c"), "w").groupBy("parent", "c").agg(F.sum("w").alias("external_w"))
@@ -64,7 +64,7 @@ def advance_refinement(g: Graph, stats: DataFrame, parent: DataFrame, refined: D
     Only the edges of what moves are read; one whose ends both move is met from both, and counts half each time.
     """
     moved = refined.join(moves.select("v", F.col("c").alias("tgt")), "v").withColumnRenamed("c", "src").filter("src <> tgt").join(parent.select("v", F.col("c").alias("parent")), "v")
-    x = g.strengths().select("v", objective.mass().alias("x")).join(moved, "v")
+    x = partition.masses(g, objective).select("v", F.col("x0").alias("x")).join(moved, "v")
     at = refined.join(parent.select("v", F.col("c").alias("pu")), "v").select(F.col("v").alias("u"), F.col("c").alias("cu"), "pu")
     e = g.edges_of(moved).join(moved, "v").join(at, "u").filter("parent = pu").join(moved.select(F.col("v").alias("u"), F.col("tgt").alias("u_tgt"), F.lit(0.5).alias("half")), "u", "left")
     e = e.select("parent", "src", "tgt", "cu", F.coalesce("u_tgt", "cu").alias("cv"), (F.col("w") * F.coalesce("half", F.lit(1.0))).alias("w"))

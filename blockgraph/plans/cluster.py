@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from dataclasses import dataclass, field
+from itertools import count
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import coloring, contract, moves, partition, refine
-from ..runtime import cut
+from ..runtime import cut, exists
 
 log = logging.getLogger(__name__)
 
@@ -23,10 +25,12 @@ class Options:
     seed: int = 0
     #: 0: no limit
     max_levels: int = 0
-    #: "rounds" for graphs of any size; "queue" moves vertices one by one, in one task, which must hold the graph
-    way: Literal["rounds", "queue"] = "rounds"
+    #: "queue": first by queues over blocks of vertices, side by side, then in rounds; "rounds": in rounds only
+    way: Literal["queue", "rounds"] = "queue"
     #: rounds of local moving between lines of the log
     debug_interval: int = 1
+    #: folder that keeps each finished level, so that a run that was cut off goes on after the last one
+    keep: str | None = None
 
     def __post_init__(self):
         if not self.theta > 0 or self.max_levels < 0 or not self.debug_interval > 0:
@@ -42,30 +46,67 @@ class Clustering:
     moves: int
     #: seconds by phase, a dict for each level
     seconds: list[dict[str, float]] = field(default_factory=list)
+    #: rounds of local moving, a list for each level; `moves.profile` makes a table of them
+    rounds: list[list[dict]] = field(default_factory=list)
     #: the last level's graph and its vertices' communities
     last: Graph | None = None
     last_assignment: DataFrame | None = None
 
 
+def _keep(at: str, depth: int, level: Graph, current: DataFrame, place: DataFrame, state: dict) -> None:
+    """A finished level's tables, then its state: a level without one is as if it weren't there."""
+    spark, path = level.nodes.sparkSession, f"{at}/level-{depth}"
+    for name, df in (("nodes", level.nodes), ("edges", level.edges), ("current", current), ("place", place)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    # one row: the marker that the level is whole
+    spark.createDataFrame([(depth, json.dumps(state))], "depth int, state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+
+def _kept(spark: SparkSession, at: str, state: dict) -> tuple[int, Graph, DataFrame, DataFrame, dict] | None:
+    """(depth, level, current, place, state) of the last whole level at a folder. :raises ValueError: if it is of another run."""
+    found = None
+    for depth in count(1):
+        if not exists(spark, f"{at}/level-{depth}/state/_SUCCESS"):
+            break
+        found = depth
+    if found is None:
+        return None
+    read = lambda name: spark.read.parquet(f"{at}/level-{found}/{name}")
+    was = json.loads(read("state").first()["state"])
+    if was["of"] != state["of"]:
+        raise ValueError(f"{at} holds levels of another clustering: {was['of']}, not {state['of']}")
+    return found, Graph(read("nodes"), read("edges")), read("current"), read("place"), was
+
+
 def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
     """A partition that no single move improves on its last level, with ids 0, 1, ...
 
     levels counts local-moving phases; an empty graph has none, one that converges at once has 1. With max_levels
-    the result is the local-moving partition of the last level.
+    the result is the local-moving partition of the last level. With options.keep each level is kept when it is done,
+    and a new call with the same graph and options goes on after the last one, to the same result.
     """
     g = g.persist()
-    if not g.num_vertices():
+    n = g.num_vertices()
+    if not n:
         return Clustering(g.nodes.select("v", F.col("v").alias("c")), 0, 0)
-    level, place, current, total, seconds = g, None, partition.singletons(g), 0, []
-    for depth in range(1, 1 << 30):
+    level, place, current, total, seconds, rounds, done = g, None, partition.singletons(g), 0, [], [], 0
+    spark = g.nodes.sparkSession
+    run = {"of": [repr(objective), options.theta, options.seed, options.way, n, g.num_edges(), g.total_weight()]}
+    if options.keep and (was := _kept(spark, options.keep, run)):
+        done, level, current, place, state = was
+        total, seconds, rounds = state["moves"], state["seconds"], state["rounds"]
+        log.info("going on after level %d", done)
+    depth = done
+    # with max_levels, the partition of the level before is there already
+    while not (options.max_levels and depth >= options.max_levels):
+        depth += 1
         took, began = {}, time.time()
         level = level.prepared()
-        if options.way == "queue":
-            moved = moves.local_move_queue(level, current, objective, options.seed + depth)
-        else:
-            moved = moves.local_move(level, current, objective, options.seed + depth, options.debug_interval)
+        move = moves.local_move_queue if options.way == "queue" else moves.local_move
+        moved = move(level, current, objective, options.seed + depth, interval=options.debug_interval)
         total += moved.moves
         current = moved.assignment
+        rounds.append(moved.rounds)
         took["move"] = time.time() - began
         seconds.append(took)
         log.info("level %d: %d moves", depth, moved.moves)
@@ -81,11 +122,13 @@ def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
         level = small.graph.persist()
         place = coarse_of if place is None else cut(contract.flatten(place, coarse_of))
         took["contract"] = time.time() - began
+        if options.keep:
+            _keep(options.keep, depth, level, current, place, run | {"moves": total, "seconds": seconds, "rounds": rounds})
     if place is None:
         final = current
     else:
         final = place.join(current.select(F.col("v").alias("coarse"), "c"), "coarse").select("v", "c")
-    return Clustering(cut(partition.compact(final, check=False)), depth, total, seconds, level, current)
+    return Clustering(cut(partition.compact(final, check=False)), depth, total, seconds, rounds, level, current)
 
 
 @dataclass

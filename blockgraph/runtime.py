@@ -34,6 +34,11 @@ def _on(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _on(spark, path)
+    return fs.exists(at)
+
+
 def scratch(spark: SparkSession, name: str = "") -> str:
     """A new folder's path in the shared one, which goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}{uuid.uuid4().hex}"
