@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.quality import ConstantPotts, Modularity
+from .functions.quality import ConstantPotts, ErdosRenyi, Modularity
 from .graph import Graph
 from .operators import coloring, contract, evaluate, moves, partition, refine
 from .plans.cluster import Options, blocks_and_colors, cluster
 from .runtime import cut, scratch
 from .sources import files
 
-POTTS, MOD = ConstantPotts(0.3), Modularity(1.1)
+POTTS, MOD, ER = ConstantPotts(0.3), Modularity(1.1), ErdosRenyi(1.2)
+#: The price of a pair under ErdosRenyi(1).
+PAIR_PRICE = "(SELECT m / (k * (k - 1) / 2) FROM m, (SELECT count(*)::DOUBLE AS k FROM n) z)"
 
 
 def cop(spark: SparkSession, d: str, least: int = 2) -> Graph:
@@ -129,6 +131,8 @@ def _beats_pairs(g: Graph, found: DataFrame, objective) -> DataFrame:
 
 
 def _beaten(objective) -> str:
+    if isinstance(objective, ErdosRenyi):
+        return f" UNION ALL SELECT 'bound', round(sum(inner_w - {objective.gamma}::DOUBLE * {PAIR_PRICE} * size * (size - 1) / 2), 6) FROM pc UNION ALL SELECT 'beats_bound', 1"
     q = f"inner_w - {objective.gamma}::DOUBLE * size * (size - 1) / 2" if isinstance(objective, ConstantPotts) else f"2 * inner_w - {objective.gamma}::DOUBLE * strength * strength / (2 * (SELECT m FROM m))"
     return f" UNION ALL SELECT 'bound', round(sum({q}), 6) FROM pc UNION ALL SELECT 'beats_bound', 1"
 
@@ -154,11 +158,43 @@ def _pieces(g: Graph, found: DataFrame) -> int:
             return label.select("low").distinct().count()
 
 
-def _refine(s, d, objective):
+def _advanced(s, d):
+    """Community sums kept through three batches of moves: multiples of 3 to 3, of 5 to 11, of 2 to one less."""
+    g = cop(s, d).persist().prepared()
+    a = mod(g, 7)
+    com = partition.communities(g, a)
+    for divisor, to in ((3, F.lit(3)), (5, F.lit(11)), (2, F.col("c") - 1)):
+        step = a.filter(F.col("v") % divisor == 0).select("v", to.cast("long").alias("c"))
+        com = cut(partition.advance_communities(g, com, a, step))
+        a = cut(partition.apply_moves(a, step))
+    return com
+
+
+ADVANCED = COP.replace("p AS (SELECT v, v % 7 AS c FROM n)", "p AS (SELECT v, c - (v % 2 = 0)::BIGINT AS c FROM (SELECT v, CASE WHEN v % 5 = 0 THEN 11 WHEN v % 3 = 0 THEN 3 ELSE v % 7 END AS c FROM n) z)")
+
+
+def _refined_advanced(s, d):
+    """refinement_stats of v % 21 within v % 7, kept while every fifth vertex joins the next part of its parent."""
+    g = cop(s, d).persist().prepared()
+    parent, refined = mod(g, 7), _fine(g)
+    step = refined.filter("v % 5 = 0").select("v", ((F.col("c") + 7) % 21).alias("c"))
+    return refine.advance_refinement(g, refine.refinement_stats(g, parent, refined, MOD), parent, refined, step, MOD)
+
+
+def _weights(batches):
+    """Partial counts of edge weights, one row for each weight of a batch."""
+    import pyarrow as pa
+
+    for b in batches:
+        n = pa.Table.from_batches([b]).group_by("w").aggregate([("src", "count")])
+        yield from n.rename_columns(["n" if c == "src_count" else c for c in n.column_names]).select(["w", "n"]).to_batches()
+
+
+def _refine(s, d, objective, **more):
     """Facts of a refinement: parts lie in one parent each, are connected, fewer than the vertices and better than these alone."""
     g = cop(s, d).persist().prepared()
     parent = mod(g, 7)
-    found = cut(refine.refine(g, parent, objective, 0.01, 3))
+    found = cut(refine.refine(g, parent, objective, 0.01, 3, **more))
     both = found.join(parent.withColumnRenamed("c", "p"), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
     n, parts = g.num_vertices(), found.select("c").distinct().count()
     gained = partition.quality(g, found, objective) > partition.quality(g, partition.singletons(g), objective) + 1e-9
@@ -175,7 +211,7 @@ def _refine(s, d, objective):
 REFINED_FACTS = FACTS + " UNION ALL SELECT 'across_parents', 0 UNION ALL SELECT 'merged', 1 UNION ALL SELECT 'split_parts', 0 UNION ALL SELECT 'gained', 1"
 
 
-def _cluster(s, d, objective, way="rounds"):
+def _cluster(s, d, objective, way="queue"):
     """Facts of a clustering: no vertex of its last level gains by a move, and it beats the mutual pairs."""
     g = cop(s, d).persist().prepared()
     found = cluster(g, objective, Options(seed=3, way=way))
@@ -388,7 +424,17 @@ TABLE = {
     "local_move_queue": (lambda s, d: _local_move(s, d, moves.local_move_queue, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "refine_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.002)), _sql(COP, REFINED_FACTS)),
     "refine_modularity": (lambda s, d: _refine(s, d, Modularity(1.0)), _sql(COP, REFINED_FACTS)),
-    "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(ConstantPotts(0.5)), PAIRS)),
+    "cluster_cpm": (lambda s, d: _cluster(s, d, ConstantPotts(0.5), "rounds"), _sql(COP, CLUSTER_FACTS + _beaten(ConstantPotts(0.5)), PAIRS)),
+    "local_move_er": (lambda s, d: _local_move(s, d, moves.local_move_queue, ER), _sql(COP, CLUSTER_FACTS + _beaten(ER), PAIRS)),
+    "delta_move_er": (
+        lambda s, d: moves.candidates(cop(s, d), mod(cop(s, d), 7), ER).select("v", "src", "tgt", *_r("delta")),
+        _sql(COP, f"SELECT v, src, tgt, round((w_tgt - w_src) - 1.2::DOUBLE * {PAIR_PRICE} * node_size * (tgt_size - (src_size - node_size)), 6) AS delta FROM cand"),
+    ),
+    "community_stats_incremental": (_advanced, _sql(ADVANCED, "SELECT c, n_members, size, strength, internal_w FROM com")),
+    "refinement_stats_incremental": (_refined_advanced, _sql(COP.replace("f AS (SELECT v, v % 21 AS c FROM n)", "f AS (SELECT v, CASE WHEN v % 5 = 0 THEN (v % 21 + 7) % 21 ELSE v % 21 END AS c FROM n)"), "SELECT * FROM rs", REFINED)),
+    "refine_distributed_cpm": (lambda s, d: _refine(s, d, ConstantPotts(0.002), task_edges=0), _sql(COP, REFINED_FACTS)),
+    "refine_distributed_modularity": (lambda s, d: _refine(s, d, Modularity(1.0), task_edges=0), _sql(COP, REFINED_FACTS)),
+    "edge_scan": (lambda s, d: cop(s, d).scan_edges(_weights, "w double, n long").groupBy("w").agg(F.sum("n").alias("n")), _sql(COP, "SELECT w, count(*) AS n FROM e GROUP BY w")),
     "cluster_modularity_queue": (lambda s, d: _cluster(s, d, Modularity(1.0), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "matrix_roundtrip": (_matrix, _sql(COP, "SELECT src, dst, w FROM e")),

@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> dict:
     c.add_argument("--method", choices=METHODS, default="potts")
     c.add_argument("--out", default=".")
     c.add_argument("--seed", type=int, default=0)
-    c.add_argument("--way", choices=("rounds", "queue"), default="rounds")
+    c.add_argument("--way", choices=("queue", "rounds"), default="queue")
     c.add_argument("--debug", action="store_true")
     c.add_argument("--debug-interval", type=positive, default=1)
     e = sub.add_parser("evaluate")
