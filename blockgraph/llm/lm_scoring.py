@@ -10,6 +10,8 @@ document sums over its words: common words by a broadcast table of bounded size,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,8 @@ COMMON, COMMON_BYTES = 1 << 16, 64
 PASSES, DISCOUNT = 3, 0.75
 #: Words that the lattice kernel takes at once.
 BATCH = 100_000
+#: Words of more bytes are scored alone, in spans of so many bytes; numbers below SMALL are scaled anew.
+LONG, SPAN, SMALL = 200, 1 << 16, 1e-100
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,12 +110,77 @@ class Lattice:
             uses += np.bincount(ids, np.exp(alpha[i, rows] + tail - alpha[length, rows]) * counts[rows], len(uses))
         return uses
 
+    def span(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, stop, piece) of the edges of one word that start from a to before b, by start; all starts at once."""
+        h, found = np.zeros(b - a, np.uint64), []
+        for j in range(self.longest):
+            m = min(b, len(codes) - j) - a
+            if m <= 0:
+                break
+            h = (h[:m] + codes[a + j : a + j + m] + np.uint64(1)) * _MUL
+            h ^= h >> np.uint64(29)
+            rows, ids = self._find(h)
+            found.append((a + rows, a + rows + j + 1, ids))
+        start, stop, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(start, kind="stable")
+        return start[by], stop[by], ids[by]
+
+    def along(self, word: bytes, uses: np.ndarray | None = None) -> float:
+        """Natural log of a long word's probability, in time and memory linear in its length; adds the expected uses of pieces.
+
+        Numbers are scaled anew where they get small.
+        """
+        codes = np.frombuffer(word, np.uint8).astype(np.uint64)
+        n, wide, price = len(codes), self.longest + 1, np.exp(self.logp)
+        alpha, base, carry = np.full(n + 1, -np.inf), 0.0, [1.0] + [0.0] * (wide - 1)
+        for a in range(0, n, SPAN):
+            b = min(n, a + SPAN)
+            start, stop, ids = self.span(codes, a, b)
+            first, stop, p = np.searchsorted(start, np.arange(a, b + 1)).tolist(), (stop - a).tolist(), price[ids].tolist()
+            acc = carry + [0.0] * (b - a)
+            for k in range(b - a):
+                x = acc[k]
+                if not x:
+                    continue
+                if x < SMALL:
+                    acc[k : k + wide] = [y / x for y in acc[k : k + wide]]
+                    base, x = base + math.log(x), 1.0
+                alpha[a + k] = base + math.log(x)
+                for e in range(first[k], first[k + 1]):
+                    acc[stop[e]] += x * p[e]
+            carry = acc[b - a :]
+        alpha[n] = base + math.log(carry[0]) if carry[0] else -np.inf
+        if uses is None or not carry[0]:
+            return float(alpha[n])
+        beta, base, carry = np.full(n + 1, -np.inf), 0.0, [1.0] + [0.0] * (wide - 1)
+        beta[n] = 0.0
+        for a in range((n - 1) // SPAN * SPAN, -1, -SPAN):
+            b = min(n, a + SPAN)
+            start, stop, ids = self.span(codes, a, b)
+            first, to, p = np.searchsorted(start, np.arange(a, b + 1)).tolist(), (stop - a).tolist(), price[ids].tolist()
+            acc = [0.0] * (b - a) + carry
+            for k in range(b - a - 1, -1, -1):
+                x = 0.0
+                for e in range(first[k], first[k + 1]):
+                    x += p[e] * acc[to[e]]
+                if not x:
+                    continue
+                if x < SMALL:
+                    acc[k : k + wide] = [y / x for y in acc[k : k + wide]]
+                    base, x = base + math.log(x), 1.0
+                acc[k] = x
+                beta[a + k] = base + math.log(x)
+            carry = acc[:wide]
+            uses += np.bincount(ids, np.exp(alpha[start] + self.logp[ids] + beta[stop] - alpha[n]), len(uses))
+        return float(alpha[n])
+
     @staticmethod
     def by_length(words: list[bytes]):
-        """(indices, matrix of bytes) of the words of each length, the word start's space in front, in small lots."""
+        """(indices, matrix of bytes) of the words of each length up to LONG, the word start's space in front, in small lots."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else ():
+        order = order[sizes[order] <= LONG]
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
             size = int(sizes[part[0]])
             lot = max(1, 4_000_000 // (size + 1) ** 2, min(2000, 200_000 // (size + 1)))
             for a in range(0, len(part), lot):
@@ -124,6 +193,9 @@ class Lattice:
         out = np.zeros(len(words))
         for some, codes in self.by_length(words):
             out[some] = self.forward(codes)[-1]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self.along(b" " + w)
         return out
 
 
@@ -272,8 +344,12 @@ def fit(vocab: DataFrame, pieces: list[bytes], passes: int = PASSES) -> Lattice:
         def run(batches, shared=shared):
             uses = np.zeros(len(pieces))
             for lot in _lots(batches):
-                for some, codes in Lattice.by_length(lot.column("w").to_pylist()):
+                words = lot.column("w").to_pylist()
+                for some, codes in Lattice.by_length(words):
                     uses += shared.value.expected(codes, np.ones(len(some)))
+                for w in words:
+                    if len(w) > LONG:
+                        shared.value.along(b" " + w, uses)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(uses))), pa.array(uses)], ["i", "u"])
 
         uses = np.zeros(len(pieces))

@@ -312,6 +312,25 @@ def test_mixing(make, rows):
     assert mixing.mix(make(rows).filter("false")).count() == 0
 
 
+def test_long_words_are_scored_along(monkeypatch):
+    import time
+
+    monkeypatch.setattr(lm_scoring, "SPAN", 97)
+    pieces = lm_scoring.existing_pieces()
+    lattice = lm_scoring.Lattice(pieces, lm_scoring.first_scores(len(pieces)))
+    rng = np.random.default_rng(6)
+    for n in (1, 30, 700):
+        word = b" " + bytes(rng.choice(np.frombuffer(b"theandofing\xc3\xa9x", np.uint8), n))
+        codes = np.frombuffer(word, np.uint8).reshape(1, -1).astype(np.uint64)
+        uses = np.zeros(len(pieces))
+        assert lattice.along(word, uses) == pytest.approx(lattice.forward(codes)[-1, 0], rel=1e-10)
+        assert np.allclose(uses, lattice.expected(codes, np.ones(1)), atol=1e-9)
+    monkeypatch.undo()
+    began = time.time()
+    one = lattice.word_logs([b"these" * 20_000, b"short"])
+    assert time.time() - began < 10 and one[0] < 100 * one[1] < 0
+
+
 @pytest.mark.parametrize("seed", [17, 18])
 def test_mixing_of_rows_without_ids_and_of_repeated_ones(spark, seed):
     ten = " ".join("ten words of one text and some more of them".split())
