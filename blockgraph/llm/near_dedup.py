@@ -281,14 +281,14 @@ def _linked(v: np.ndarray, c: np.ndarray, sets: list[np.ndarray], percent: int)
     place[shared] = np.arange(len(shared))
     col = place[col]
     row, col = row[col >= 0], col[col >= 0]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.int64)
     by = np.argsort(col, kind="stable")
     row, col = row[by], col[by]
     for at in range(0, len(shared), 4096):
         a, b = np.searchsorted(col, (at, at + 4096))
         m = np.zeros((len(sets), 4096), np.float32)
         m[row[a:b], col[a:b] - at] = 1
-        common += m @ m.T
+        common += (m @ m.T).astype(np.int64)
     link = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (c[:, None] != c[None, :])
     root = {x: x for x in c.tolist()}
 

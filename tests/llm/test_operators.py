@@ -312,6 +312,15 @@ def test_mixing(make, rows):
     assert mixing.mix(make(rows).filter("false")).count() == 0
 
 
+def test_large_sets_at_the_threshold():
+    """100 * 2684356 is 80 * 3355445 exactly; one shingle less isn't enough."""
+    both = 2_684_356
+    a, b, c = np.arange(3_000_000), np.concatenate([np.arange(both), np.arange(4_000_000, 4_000_000 + 3_355_445 - 3_000_000)]), None
+    c = np.append(b[1:], 9_000_000)
+    v = np.arange(2)
+    assert near_dedup._linked(v, v.copy(), [a, b], 80) and not near_dedup._linked(v, v.copy(), [a, c], 80)
+
+
 def test_long_words_are_scored_along(monkeypatch):
     import time
 
