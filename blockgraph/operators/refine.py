@@ -194,6 +194,8 @@ def refine(g: Graph, parent: DataFrame, objective, theta: float = 0.01, seed: in
         vs, cs = [], []
         for i, j in zip(cuts, [*cuts[1:], len(c)], strict=True):
             k = i + int(np.searchsorted(part[i:j], 1))
+            if k == i:
+                raise ValueError(f"the edges of community {c[i]} are not where its vertices are")
             sub = Arrays.of(a[i:k], x[i:k], a[k:j], b[k:j], w[k:j])
             label = refine_kernel(sub, form, theta, (seed * 1_000_003 + int(sub.ids[0])) & (1 << 63) - 1)
             vs.append(sub.ids)
@@ -227,7 +229,9 @@ def refine(g: Graph, parent: DataFrame, objective, theta: float = 0.01, seed: in
     busy = sizes.select("c").union(idle).distinct().join(large, "c", "left_anti")
     rows = nodes.join(busy, "c", "left_semi").select("c", F.lit(0).alias("kind"), F.col("v").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), *names)
     rows = rows.union(inner.join(busy, "c", "left_semi").select("c", F.lit(1), "src", "dst", "w", *[F.lit(0.0)] * len(names)))
-    out = rows.repartition("c").sortWithinPartitions("c", "kind", "a", "b", "w").mapInPandas(run, "v long, c long")
+    # by an expression of its own: a repartitioning by c is left out where both sides have it, and lost when they are joined otherwise at runtime
+    dealt = rows.repartition(F.xxhash64("c")).sortWithinPartitions("c", "kind", "a", "b", "w")
+    out = dealt.mapInPandas(run, "v long, c long")
     out = out.union(nodes.join(busy.union(large), "c", "left_anti").select("v", F.col("v").alias("c")))
     if large.take(1):
         both = inner.join(large, "c", "left_semi")
