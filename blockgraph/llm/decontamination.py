@@ -9,6 +9,7 @@ scanned: nothing is shuffled.
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -139,24 +140,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", on
 
     An item counts as leaked if some stretch of the document is within len(item) // one_in edits of it, both
     normalised. Repeated items are reported once each by their ids. Columns pass through; one of the name of
-    out_col is replaced. A benchmark of more than part_bytes takes a pass over the documents for each part.
+    out_col is replaced. A benchmark of more than part_bytes takes a pass over the documents for each part: they are
+    written once, with row numbers, a pass writes only the rows that leak, and a join at the end brings these together.
     """
     ship(docs.sparkSession)
     keep = [c for c in (docs.columns if carry is None else carry) if c != out_col]
     text = unused([*keep, out_col], "__text")
-    none = F.array().cast(LEAKS)
-    found = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text), none.alias(out_col))
-    for number, items in enumerate(item_parts(benchmark, part_bytes=part_bytes)):
-        if number:
-            found = materialize(found)
-        found = _scan(found, items, one_in, text, out_col)
-    return found.drop(text)
+    row = unused([*keep, out_col, text], "__row")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text))
+    parts = item_parts(benchmark, part_bytes=part_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _scan(source, first, one_in, text, out_col).drop(text)
+    held = materialize(source.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for items in chain((first, second), parts):
+        part = materialize(_scan(held.select(row, text), items, one_in, text, out_col).filter(F.size(out_col) > 0).drop(text))
+        found = part if found is None else found.unionAll(part)
+    ranked = F.transform(F.flatten(F.collect_list(out_col)), lambda x: F.struct(x["item_id"].isNull(), x["item_id"], x["edits"], x.alias("leak")))
+    leaks = found.groupBy(row).agg(F.transform(F.sort_array(ranked), lambda x: x["leak"]).alias(out_col))
+    return held.join(leaks, row, "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{out_col}`"), F.array().cast(LEAKS)).alias(out_col))
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], one_in: int, text: str, out_col: str) -> DataFrame:
-    """docs, whose last column is out_col, with these items' leaks added there."""
+    """docs with out_col added: these items' leaks."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, one_in))
-    names, at = docs.columns, docs.columns.index(text)
+    names, at = [*docs.columns, out_col], docs.columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
 
     @lean
@@ -165,11 +174,11 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], one_in: int, text: str,
         for batch in batches:
             for a, b in chunks(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
                 part = batch.slice(a, b - a)
-                new = [[{"item_id": i, "edits": d} for i, d in matcher.matches(t)] for t in part.column(at).to_pylist()]
-                both = [sorted(x + y, key=lambda e: (e["item_id"] is None, e["item_id"])) if x else y for x, y in zip(part.column(part.num_columns - 1).to_pylist(), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(both, kind)], names)
+                leaks = [[{"item_id": i, "edits": d} for i, d in matcher.matches(t)] for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaks, kind)], names)
 
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], StructField(out_col, LEAKS)]))
+    # numbered names go in: names with dots can't
+    return docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(scan, StructType([*docs.schema.fields, StructField(out_col, LEAKS)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

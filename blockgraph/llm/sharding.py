@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import table
 
 #: Production parameters: shard names and table size (a prime, about 100 slots for each shard).
 SHARDS, SLOTS = 48, 5003
@@ -68,12 +68,9 @@ def shard_names(n: int = SHARDS) -> list[str]:
     return [f"shard-{i}" for i in range(n)]
 
 
-def write_shards(df: DataFrame, key: str, path: str, names: list[str], slots: int = SLOTS, salt: int = 8) -> None:
-    """Write one folder a shard. Rows go to (shard, salt) tasks, so a hot shard is written by several tasks."""
-    out = assign_shards(df, key, names, slots)
-    name = unused(out.columns, "__salt")
-    out = out.withColumn(name, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(salt)))
-    out.repartition(len(names), "shard", name).drop(name).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key: str, path: str, names: list[str], slots: int = SLOTS) -> None:
+    """Write one folder a shard. Tasks follow the data's size: adaptive execution joins small shards and splits large ones."""
+    assign_shards(df, key, names, slots).hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
