@@ -10,6 +10,7 @@ log distances, the inverse is a closed form, so a hot group is pre-aggregated in
 
 from __future__ import annotations
 
+import warnings
 from math import exp
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,13 @@ MIN_WORDS, MAX_REPEAT = 10, 20
 PRIOR = 50
 #: Concentration steps of all starts, and of the best one at most; the change of log determinants that ends them.
 FIRST_STEPS, MORE_STEPS, SETTLED = 2, 10, 1e-7
-#: Share of normal vectors beyond the cut: less than one is expected among 1e11 documents.
-TAIL = 3e-12
+#: Share of normal vectors beyond the cut.
+TAIL = 1e-4
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI_MEDIAN = 3.356694
-#: Added to each variance, in units of the transformed statistics: a statistic that hardly varies can't reject alone.
-RIDGE = (0.05, 0.15, 0.3, 0.25)
+#: Added, squared, to each variance, in units of the transformed statistics: a statistic that hardly varies, as in a
+#: group that is mostly copies of one text, can't reject alone. Lengths that differ by a factor of e are ordinary.
+RIDGE = (1.0, 0.15, 0.3, 0.25)
 DIM = 4
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 #: Estimates, one row a group and start, that are broadcast at most; more are joined by key.
@@ -179,8 +181,9 @@ EACH = "SELECT e.g, e.st, coalesce(c.n, 0) AS n, " + ", ".join(f"coalesce(c.{a},
 ESTIMATE = _estimated("{each}")
 BEST = "SELECT " + ", ".join(["g", "0 AS st", *MEANS[:DIM], *[n for n, _ in FACTOR], "logdet"]) + " FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY logdet, st) AS place FROM {estimate}) q WHERE place = 1"
 MIDDLE = _histogram("2 * upto >= whole", "middle")
-#: Scaled so that the group's median distance is that of the normal distribution.
-SCALED = f"SELECT e.*, {CHI_MEDIAN}e0 / exp((middle + 1) / 64e0) AS scale FROM {{estimate}} e JOIN (" + _blend("{middles}", ["middle"]) + ") b ON b.g = e.g AND b.st = e.st"
+#: Scaled so that the group's median distance is that of the normal distribution, since a core's scatter is too small; a
+#: smaller median is the ridge's or the copies' doing and stays.
+SCALED = f"SELECT e.*, least(1e0, {CHI_MEDIAN}e0 / exp((middle + 1) / 64e0)) AS scale FROM {{estimate}} e JOIN (" + _blend("{middles}", ["middle"]) + ") b ON b.g = e.g AND b.st = e.st"
 STATS = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
 _VECTORS = f"SELECT {STATS}, {GROUP['s']} AS g, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(VECTOR)) + " FROM {st}"
 VERDICT = _chain(f"(SELECT v.*, {', '.join(MEANS[:DIM] + [n for n, _ in FACTOR])}, scale FROM ({_VECTORS}) v LEFT JOIN {{scaled}} e ON e.g = v.g) q", DISTANCE, f"{STATS}, NOT base_failed AND NOT coalesce(scale * d > {CUT}e0, false) AS kept")
@@ -191,7 +194,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     kept is false if the base rules fail, or if the document's vector lies further out than the cut. Null languages
     and sources form groups of their own. A group of any size has its estimate, shrunk towards its language's and that
-    towards the corpus' with the weight of PRIOR rows. Repeated rows count each. An empty table gives no rows.
+    towards the corpus' with the weight of PRIOR rows. Estimates that still change after the last step are used
+    as they are, with a warning. Repeated rows count each. An empty table gives no rows.
     """
     spark = docs.sparkSession
     named = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(c)))
@@ -217,6 +221,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if change is None or change < SETTLED:
                 break
         drop(quantile, each, last)
+    else:
+        warnings.warn(f"estimates still changed after {FIRST_STEPS + MORE_STEPS} concentration steps: a log determinant by {change:.2e}", stacklevel=2)
     middles = materialize(run(MIDDLE, fit=fit, estimate=near(estimate)))
     scaled = materialize(run(SCALED, estimate=near(estimate), middles=near(middles), up=up))
     drop(fit, sums, middles)

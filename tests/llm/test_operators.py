@@ -205,6 +205,21 @@ def test_decontamination(spark, make):
     assert decontamination.find_leaks(make(texts), bench.filter("false")).filter("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_in_parts(spark):
+    """Items by parts, some without an id, and columns of every internal name: as in one part, leaks in one order."""
+    items = [(i if i % 5 else None, " ".join(f"item{i}word{k}" for k in range(12))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = ["__row", "__text", "leak", "col1", "a.b"]
+    docs = [(i, " ".join([items[i % 30][1], "between", items[(7 * i) % 30][1]]) if i % 3 else "nothing of these", *range(len(names))) for i in range(60)]
+    docs += [(None, items[4][1], *range(len(names)))] * 3 + [(61, None, *range(len(names)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    one, many = (decontamination.find_leaks(df, bench, part_bytes=n) for n in (1 << 20, 400))
+    key = lambda r: (LAST if r["doc_id"] is None else r["doc_id"], str(r))
+    assert one.columns == many.columns == [*df.columns, "leaks"]
+    assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+    assert many.filter("size(leaks) > 0").count() == 43
+
+
 def test_sharding(make, rows):
     names = sharding.shard_names(7)
     table = sharding.lookup_table(names, 101)
@@ -372,6 +387,72 @@ def test_quality_rules_reject_outliers(spark):
     assert all(kept[i] for i in range(400)) and not any(kept[i] for i in range(400, 410))
 
 
+def robust(x, starts, seed):
+    """Location, scatter and log determinant of the least determinant that C-steps from random starts end in."""
+    rng, n = np.random.default_rng(seed), len(x)
+    ridge, most = np.diag(np.square(quality_rules.RIDGE)), -(-3 * n // 4)
+    best = None
+    for _ in range(starts):
+        core = x[rng.choice(n, 5, replace=False)]
+        for _ in range(100):
+            at, spread = core.mean(0), np.cov(core.T, bias=True) + ridge
+            far = np.einsum("ij,jk,ik->i", x - at, np.linalg.inv(spread), x - at)
+            new = x[np.sort(np.argsort(far, kind="stable")[:most])]
+            if len(new) == len(core) and (new == core).all():
+                break
+            core = new
+        det = np.linalg.slogdet(spread)[1]
+        if best is None or det < best[0]:
+            best = det, at, spread, far
+    return best
+
+
+@pytest.mark.parametrize("n, odd", [(60, 6), (300, 60)])
+def test_determinant_against_random_starts(spark, monkeypatch, n, odd):
+    """One group, so that nothing is blended: location, scatter and verdicts are those of many random starts in numpy."""
+    rng = np.random.default_rng(n)
+    text = lambda k, mark, size: " ".join("w" * int(c) + str(x) + mark * (rng.random() < 0.3) for c, x in zip(rng.integers(1, size, k), rng.integers(0, 9000, k), strict=True))
+    docs = [(i, text(rng.integers(40, 400), "#", 6), "en", "s") for i in range(n - odd)]
+    docs += [(i, text(rng.integers(40, 60), "#$%&|" * 40, 90), "en", "s") for i in range(n - odd, n)]
+    found = []
+    real = quality_rules.materialize
+    monkeypatch.setattr(quality_rules, "materialize", lambda df, *a: found.append(out := real(df, *a)) or out)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    mine = [x for x in found if "logdet" in x.columns or "scale" in x.columns][-1].filter("g like 's%'").first()
+    st = {r["doc_id"]: r for r in quality_rules.statistics(df).collect()}
+    vector = lambda r: [np.log(1 + r["n_words"]), np.log(1 + r["word_chars"] / r["n_words"]), np.log(1 + 10 * r["n_symbols"] / r["n_words"]), np.log(1 + 10 * (r["n_repeat_words"] + r["n_dup_lines"]) / r["n_words"])]
+    x = np.array([vector(st[i]) for i in range(n)])
+    det, at, spread, far = robust(x, 300, n)
+    factor = np.array([[mine[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    # the core's bound is a bin's end here, so a core may hold a few rows more
+    assert np.allclose([mine[f"a{i}"] for i in range(4)], at, atol=0.05)
+    assert np.allclose(factor @ factor.T, spread, rtol=0.25, atol=0.02) and abs(mine["logdet"] - det) < 0.3
+    far = far * min(1, quality_rules.CHI_MEDIAN / np.median(far))
+    clear = [i for i in range(n) if abs(np.log(far[i] / quality_rules.CUT)) > 0.15]
+    assert len(clear) >= n - 2 and [kept[i] for i in clear] == [bool(far[i] <= quality_rules.CUT) for i in clear]
+    assert not any(kept[i] for i in range(n - odd, n))
+
+
+@pytest.mark.parametrize("copies", [60, 90])
+def test_a_group_of_copies_rejects_nobody(spark, copies):
+    """A group that is mostly one text has hardly any scatter of its own; ordinary documents beside the copies stay."""
+    rng = np.random.default_rng(copies)
+    plain = [" ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(30, 400))) for _ in range(100)]
+    odd = " ".join(f"w{x}###$$$" for x in rng.integers(0, 5000, 100))
+    docs = [(i, plain[0 if i < copies else i], "en", "s") for i in range(100)] + [(100, odd, "en", "s")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i in kept if not kept[i]] == [100]
+
+
+def test_unsettled_estimates_warn(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SETTLED", -1.0)
+    monkeypatch.setattr(quality_rules, "MORE_STEPS", 1)
+    docs = [(i, " ".join(f"w{x}" for x in range(i, i + 40)), "en", "s") for i in range(20)]
+    with pytest.warns(UserWarning, match="still changed"):
+        assert quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).filter("kept").count() == 20
+
+
 def test_quality_rules_judge_small_groups(spark):
     rng = np.random.default_rng(3)
     plain = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 200)))
