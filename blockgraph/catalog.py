@@ -15,6 +15,7 @@ from .operators import coloring, contract, evaluate, moves, partition, refine
 from .plans.cluster import Options, blocks_and_colors, cluster
 from .runtime import cut, scratch
 from .sources import files
+from .streaming import upkeep
 
 POTTS, MOD, ER = ConstantPotts(0.3), Modularity(1.1), ErdosRenyi(1.2)
 #: The price of a pair under ErdosRenyi(1).
@@ -222,6 +223,32 @@ def _cluster(s, d, objective, way="queue"):
 CLUSTER_FACTS = FACTS + " UNION ALL SELECT 'improving_moves', 0"
 
 
+def _stream(s, d, totals, key: str) -> tuple[Graph, DataFrame]:
+    """The graph, and totals after a stream of its edges in three batches, of which every fifth goes again."""
+    g = cop(s, d).persist()
+    gone = g.edges.filter("(src + dst) % 5 = 0").withColumn("sign", F.lit(-1))
+    at = scratch(s, "stream-")
+    g.edges.withColumn("sign", F.lit(1)).union(gone).repartition(3).write.parquet(f"{at}/edges")
+    rows = s.readStream.schema("src long, dst long, w double, sign int").option("maxFilesPerTrigger", 1).parquet(f"{at}/edges")
+    upkeep.keep(totals(rows, g), f"{at}/totals", f"{at}/state", availableNow=True).awaitTermination()
+    upkeep.fold(s, f"{at}/totals", key)
+    return g, upkeep.current(s, f"{at}/totals", key)
+
+
+def _stream_strengths(s, d):
+    g, now = _stream(s, d, lambda rows, g: upkeep.strengths(rows), "v")
+    return g.nodes.select("v").join(now, "v", "left").select("v", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.round(F.coalesce("strength", F.lit(0.0)), 6).alias("strength"))
+
+
+def _stream_communities(s, d):
+    _, now = _stream(s, d, lambda rows, g: upkeep.communities(rows, mod(g, 7)), "c")
+    return now.select("c", *_r("strength", "internal_w"))
+
+
+#: The graph that is left, and all its communities (those of no edge at all don't appear in a stream).
+LEFT = COP.replace("e AS (SELECT x.l_partkey", "e0 AS (SELECT x.l_partkey").replace(",\nn AS", ",\ne AS (SELECT * FROM e0 WHERE (src + dst) % 5 <> 0),\nn AS")
+
+
 def _matrix(s, d):
     """Through a file: the edges written and read again."""
     g = cop(s, d).persist()
@@ -437,6 +464,8 @@ TABLE = {
     "edge_scan": (lambda s, d: cop(s, d).scan_edges(_weights, "w double, n long").groupBy("w").agg(F.sum("n").alias("n")), _sql(COP, "SELECT w, count(*) AS n FROM e GROUP BY w")),
     "cluster_modularity_queue": (lambda s, d: _cluster(s, d, Modularity(1.0), "queue"), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
     "cluster_modularity": (lambda s, d: _cluster(s, d, Modularity(1.0)), _sql(COP, CLUSTER_FACTS + _beaten(Modularity(1.0)), PAIRS)),
+    "stream_strengths": (_stream_strengths, _sql(LEFT, "SELECT v, degree, round(strength, 6) AS strength FROM nd JOIN dg USING (v)")),
+    "stream_communities": (_stream_communities, _sql(LEFT, "SELECT c, round(strength, 6) AS strength, round(internal_w, 6) AS internal_w FROM com WHERE c IN (SELECT unnest([src % 7, dst % 7]) FROM e0)")),
     "matrix_roundtrip": (_matrix, _sql(COP, "SELECT src, dst, w FROM e")),
     "block_file_roundtrip": (_block_file, _sql(COP, "SELECT row_number() OVER (ORDER BY v) - 1 AS v, c, 7 AS n_blocks FROM p")),
     "color_file_roundtrip": (_color_file, _sql(COP, "SELECT i AS v, CASE WHEN i < 21 THEN i % 3 END AS color, 3 AS n_colors FROM range(25) z(i)")),

@@ -39,6 +39,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds."""
+    fs, at = _on(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds."""
+    fs, at = _on(spark, path)
+    fs.delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str = "") -> str:
     """A new folder's path in the shared one, which goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}{uuid.uuid4().hex}"
