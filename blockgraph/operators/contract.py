@@ -49,11 +49,26 @@ def block_graph(g: Graph, assignment: DataFrame, mode: Literal["binary", "count"
     return Graph(spark.range(n).select(F.col("id").alias("v"), F.lit(1.0).alias("node_size")), edges)
 
 
-def coarse_partition(coarse_of: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(v, c) of the coarse vertices, with compact ids. :raises ValueError: if a coarse vertex lies in two communities, or a vertex has none."""
-    both = coarse_of.join(assignment, "v", "left").groupBy("coarse").agg(F.min("c").alias("c"), F.max("c").alias("hi"), F.count(F.when(F.col("c").isNull() | (F.col("c") < 0), 1)).alias("none"))
-    if both.filter("c <> hi or none > 0").take(1):
+def coarse_partition(coarse_of: DataFrame, assignment: DataFrame, refined: DataFrame | None = None, n_coarse: int | None = None) -> DataFrame:
+    """(v, c) of the coarse vertices, with compact ids.
+
+    :raises ValueError: if a coarse vertex lies in two communities, a vertex has none, or one has no coarse vertex. With
+        refined, the assignment that was contracted: also if coarse_of isn't one to one with its communities. With
+        n_coarse: also if the coarse vertices aren't 0 .. n_coarse - 1, each with a vertex.
+    """
+    both = coarse_of.join(assignment, "v", "full").groupBy("coarse").agg(F.min("c").alias("c"), F.max("c").alias("hi"), F.count(F.when(F.col("c").isNull() | (F.col("c") < 0), 1)).alias("none"))
+    if both.filter("c <> hi or none > 0 or coarse is null or coarse < 0").take(1):
         raise ValueError("the contracted partition is no refinement of the assignment")
+    if n_coarse is not None:
+        r = both.agg(F.count("*").alias("n"), F.max("coarse").alias("hi")).first()
+        if r["n"] != n_coarse or (n_coarse and r["hi"] != n_coarse - 1):
+            raise ValueError(f"the coarse vertices aren't 0 to {n_coarse - 1}, each of some vertex")
+    if refined is not None:
+        pairs = coarse_of.join(refined.select("v", F.col("c").alias("part")), "v", "full").select("coarse", "part").distinct()
+        r = pairs.agg(F.count("*").alias("n"), F.count_distinct("coarse").alias("a"), F.count_distinct("part").alias("b")).first()
+        # a null on either side is a pair, but no distinct value
+        if not r["n"] == r["a"] == r["b"]:
+            raise ValueError("the coarse vertices aren't those of the refined communities")
     return partition.compact(both.select(F.col("coarse").alias("v"), "c"), check=False)
 
 

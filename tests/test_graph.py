@@ -89,6 +89,83 @@ def test_contraction(spark):
         contract.coarse_partition(small.coarse_of, labels(spark, 0, 0, 0, 1, 1))
 
 
+RING = "0-1:1 1-2:2 2-3:3 3-4:4 4-5:5 0-5:6"
+RING_LOOPS = "0-0:2 0-1:1.5 1-2:2.5 2-3:3.5 3-4:4.5 4-5:5.5 5-5:6.5 1-4:7.5"
+
+
+def sized(g, *sizes):
+    nodes = g.nodes.sparkSession.createDataFrame(list(enumerate(map(float, sizes))), "v long, node_size double")
+    return Graph(nodes, g.edges)
+
+
+def test_coarse_partitions(spark):
+    refined = labels(spark, 2, 2, 5, 7, 7, 9)
+    g = sized(graph(spark, RING, 6), 2, 3, 5, 7, 11, 13).persist()
+    small = contract.aggregate_graph(g, refined)
+    small.graph = small.graph.persist()
+    for c in ((0, 0, 0, 1, 1, 1), (4, 4, 4, 9, 9, 9)):
+        found = contract.coarse_partition(small.coarse_of, labels(spark, *c), refined, 4)
+        assert rows(found, "v", "c") == [(0, 0), (1, 0), (2, 1), (3, 1)]
+        assert rows(partition.communities(small.graph, found), "c", "size") == [(0, 10.0), (1, 31.0)]
+    alone = contract.aggregate_graph(g, partition.singletons(g))
+    whole = labels(spark, 0, 0, 0, 1, 1, 1)
+    assert rows(contract.coarse_partition(alone.coarse_of, whole, partition.singletons(g), 6), "v", "c") == rows(whole, "v", "c")
+    assert rows(contract.coarse_partition(contract.aggregate_graph(g, whole).coarse_of, whole, whole, 2), "v", "c") == [(0, 0), (1, 1)]
+
+
+def test_faulty_coarse_partitions(spark):
+    g, whole, refined = graph(spark, RING, 6), labels(spark, 0, 0, 0, 1, 1, 1), labels(spark, 2, 2, 5, 7, 7, 9)
+    of = contract.aggregate_graph(g, refined).coarse_of
+    other = lambda v, c: spark.createDataFrame([(x, c if x == v else k) for x, k in rows(of, "v", "coarse")], "v long, coarse long")
+    bad = [
+        (of, whole.filter("v < 5"), refined, 4),
+        (of, labels(spark, 0, 0, 0, 1, 1, 1, 1), refined, 4),
+        (of, whole, refined.filter("v < 5"), 4),
+        (other(0, -1), whole, refined, 4),
+        (other(0, 4), whole, refined, 4),
+        (other(0, 1), whole, refined, 4),
+        (other(5, 2), whole, None, 4),
+        (of, labels(spark, -1, 0, 0, 1, 1, 1), refined, 4),
+        (of, labels(spark, 0, 1, 1, 1, 1, 1), refined, 4),
+    ]
+    for case in bad:
+        with pytest.raises(ValueError):
+            contract.coarse_partition(*case)
+
+
+@pytest.mark.parametrize("objective", [ConstantPotts(0.05), Modularity(1.1)])
+def test_contraction_keeps_quality_and_sums(spark, objective):
+    g = sized(graph(spark, RING_LOOPS, 6), 2, 3, 5, 7, 11, 13).persist()
+    whole, refined = labels(spark, 0, 0, 0, 1, 1, 1), labels(spark, 2, 2, 5, 7, 7, 9)
+    small = contract.aggregate_graph(g, refined)
+    up = contract.coarse_partition(small.coarse_of, whole, refined)
+    key = lambda df: sorted((r["c"], r["size"], r["strength"], r["internal_w"]) for r in df.collect())
+    assert key(partition.communities(small.graph, up)) == key(partition.communities(g, whole))
+    assert partition.quality(small.graph, up, objective) == pytest.approx(partition.quality(g, whole, objective), abs=1e-10)
+
+
+def test_same_seed_same_clusters(spark):
+    """However the rows lie, and however often the log tells of rounds."""
+    g = graph(spark, RING_LOOPS + " 0-3:0.5 2-5:0.25", 6)
+    one = cluster(g, Modularity(1.0), Options(seed=7, max_levels=2, debug_interval=1))
+    two = cluster(Graph(g.nodes.repartition(3), g.edges.repartition(5)), Modularity(1.0), Options(seed=7, max_levels=2, debug_interval=100))
+    assert rows(one.assignment, "v", "c") == rows(two.assignment, "v", "c") and (one.levels, one.moves) == (two.levels, two.moves)
+
+
+def test_unused_ids_through_moves(spark):
+    rng = random.Random(12)
+    n = 12
+    c = [0, 0, 1, 3, 4, 5, 6, 8, 9, 11, 11, 11]
+    for _ in range(8):
+        empty = partition.smallest_unused(labels(spark, *c)).first()[0]
+        assert empty == min(set(range(n + 1)) - set(c))
+        # some move to it, some to where others are
+        step = {v: rng.choice([empty, *c]) for v in rng.sample(range(n), 3)}
+        got = partition.apply_moves(labels(spark, *c), spark.createDataFrame(list(step.items()), "v long, c long"))
+        c = [step.get(v, k) for v, k in enumerate(c)]
+        assert rows(got, "v", "c") == list(enumerate(c))
+
+
 def test_refinement(spark):
     g = graph(spark, "0-0:10 0-1:1 0-2:2 0-3:3 0-4:4 1-2:0.25 2-3:0.5", 5)
     s = refine.refinement_stats(g, labels(spark, 0, 0, 0, 0, 1), labels(spark, 0, 0, 1, 2, 3), ConstantPotts(0.2)).filter("parent = 0")
@@ -124,7 +201,7 @@ def test_delta_with_vertex_sizes(spark, text, a, potts, modularity):
     for objective in (ConstantPotts(potts), Modularity(modularity)):
         found = moves.candidates(g, at, objective).collect()
         before = partition.quality(g, at, objective)
-        # all moves in one query: a copy of the assignment for each
+        # about four of each list; test_phases has every move by definition
         for r in found[:: max(1, len(found) // 4)]:
             to = 9 if r["tgt"] is None else r["tgt"]
             after = partition.quality(g, partition.apply_moves(at, spark.createDataFrame([(r["v"], to)], "v long, c long")), objective)
