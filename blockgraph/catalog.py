@@ -294,8 +294,8 @@ def _lower(s, d):
     e = evt(s, d).edges.select((F.col("src") + 1).alias("i"), (F.col("dst") + 1).alias("j"), F.col("w").cast("long").alias("w"))
     both = e.union(e.filter("i < j").select("j", "i", F.col("w") + 1000))
     n = e.agg(F.max(F.greatest("i", "j"))).first()[0]
-    lines = both.select(F.concat_ws(" ", "i", "j", F.when(F.col("i") % 2 == 1, F.col("w"))).alias("line"))
-    s.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n% note\n{n} {n} {both.count()}",)], "line string").union(lines).coalesce(1).write.mode("overwrite").text(path)
+    lines = both.select("i", "j", F.concat_ws(" ", "i", "j", F.when(F.col("i") % 2 == 1, F.col("w"))).alias("line"))
+    files.write_lines(lines, ["i", "j"], path, f"%%MatrixMarket matrix coordinate real general\n% note\n{n} {n} {both.count()}")
     return files.read_matrix(s, path).edges
 
 

@@ -66,7 +66,7 @@ def read_matrix(spark: SparkSession, path: str, triangle: str = "lower") -> Grap
     return Graph.from_edges(entry.select((F.col("i") - 1).alias("src"), (F.col("j") - 1).alias("dst"), "w"), w="w", nodes=spark.range(n).withColumnRenamed("id", "v"))
 
 
-def _write_lines(rows: DataFrame, order: list[str], path: str, head: str | None = None) -> None:
+def write_lines(rows: DataFrame, order: list[str], path: str, head: str | None = None) -> None:
     """Rows (*order, line) sorted, after a first line if there is one: parts whose names are in the lines' order."""
     if head is not None:
         first = rows.sparkSession.range(1).select(*[F.lit(-1).cast("long").alias(c) for c in order], F.lit(head).alias("line"))
@@ -79,14 +79,14 @@ def write_blocks(assignment: DataFrame, path: str) -> None:
     if assignment.filter("c is null or c < 0").take(1):
         raise ValueError("every node needs a block")
     n = partition.id_bound(assignment).first()[0]
-    _write_lines(assignment.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("c") + 1).alias("line")), ["v"], path, str(n))
+    write_lines(assignment.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("c") + 1).alias("line")), ["v"], path, str(n))
 
 
 def write_colors(colors: DataFrame, n_colors: int, path: str) -> None:
     """Number of colours, then `block color`, by block. :raises ValueError: for a colour out of range."""
     if colors.filter((F.col("color") < 0) | (F.col("color") >= n_colors) | F.col("color").isNull()).take(1):
         raise ValueError(f"colours must be from 0 to {n_colors - 1}")
-    _write_lines(colors.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("color") + 1).alias("line")), ["v"], path, str(n_colors))
+    write_lines(colors.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("color") + 1).alias("line")), ["v"], path, str(n_colors))
 
 
 def _read_pairs(spark: SparkSession, path: str, n: int, name: str) -> tuple[int, DataFrame]:
@@ -110,7 +110,7 @@ def read_colors(spark: SparkSession, path: str, n_blocks: int) -> tuple[int, Dat
 
 def write_permutation(perm: DataFrame, path: str) -> None:
     """`old new` lines of perm (v, to), by old id."""
-    _write_lines(perm.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("to") + 1).alias("line")), ["v"], path)
+    write_lines(perm.select("v", F.concat_ws(" ", F.col("v") + 1, F.col("to") + 1).alias("line")), ["v"], path)
 
 
 def reordered(g: Graph, perm: DataFrame) -> DataFrame:
@@ -125,4 +125,4 @@ def write_reordered(g: Graph, perm: DataFrame, path: str) -> None:
     e = reordered(g, perm)
     n = g.num_vertices()
     head = f"%%MatrixMarket matrix coordinate real symmetric\n{n} {n} {e.count()}"
-    _write_lines(e.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("w")).alias("line")), ["i", "j"], path, head)
+    write_lines(e.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("w")).alias("line")), ["i", "j"], path, head)
