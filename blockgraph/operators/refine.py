@@ -78,8 +78,42 @@ def advance_refinement(g: Graph, stats: DataFrame, parent: DataFrame, refined: D
     return out.filter("n_members > 0")
 
 
+class _Pool:
+    """Places to draw one from; each is put in or taken out in constant time."""
+
+    def __init__(self, held):
+        self.items: list[int] = list(held)
+        self.at = {c: i for i, c in enumerate(self.items)}
+
+    def keep(self, c: int, held: bool) -> None:
+        if held and c not in self.at:
+            self.at[c] = len(self.items)
+            self.items.append(c)
+        elif not held and c in self.at:
+            i, last = self.at.pop(c), self.items.pop()
+            if last != c:
+                self.items[i], self.at[last] = last, i
+
+    def but(self, less: set[int]) -> int:
+        """How many are none of less."""
+        return len(self.items) - sum(c in self.at for c in less)
+
+    def draw(self, less: set[int], rng: np.random.Generator) -> int:
+        """One that is none of less, each as likely; there must be one."""
+        if 2 * self.but(less) < len(self.items):
+            left = [c for c in self.items if c not in less]
+            return left[int(rng.integers(len(left)))]
+        while (c := self.items[int(rng.integers(len(self.items)))]) in less:
+            pass
+        return c
+
+
 def refine_kernel(a: Arrays, form: Form, theta: float, seed: int) -> np.ndarray:
-    """Refined labels (places) of one subset's vertices; a holds its vertices and inner edges only."""
+    """Refined labels (places) of one subset's vertices; a holds its vertices and inner edges only.
+
+    Parts without an edge to v gain alike, 0, unless masses of both signs are priced: they are drawn as one, from pools
+    that are kept by what moved, so that the time is linear in vertices and edges. With both signs every part is looked at.
+    """
     n = len(a.ids)
     x, prices = a.x, np.array(form.prices)
     whole = x.sum(0)
@@ -89,30 +123,57 @@ def refine_kernel(a: Arrays, form: Form, theta: float, seed: int) -> np.ndarray:
     part, count, outer = x.copy(), np.ones(n, np.int64), tie.astype(float).copy()
     # with one mass, a community without an edge to v can only be admissible when masses or weights allow a gain of 0
     everyone = len(prices) == 1 and bool((x <= 0).any() or (a.w < 0).any())
+    mixed = everyone and bool((prices[0] < 0 and x.any()) or (prices[0] > 0 and (x < 0).any() and (x > 0).any()))
     tied = lambda c: form.unit * outer[c] >= float(prices @ (part[c] * (whole - part[c])))
+    good = form.unit * tie >= (x * (whole - x)) @ prices
+    if everyone and not mixed:
+        every, weightless = _Pool(np.flatnonzero(good).tolist()), _Pool(np.flatnonzero(good & (x[:, 0] == 0)).tolist())
     rng = np.random.default_rng(seed)
-    for v in rng.permutation(np.flatnonzero(form.unit * tie >= (x * (whole - x)) @ prices)).tolist():
+    for v in rng.permutation(np.flatnonzero(good)).tolist():
         home = int(label[v])
         if count[home] != 1:
             continue
-        near = a.into(v, label)
-        targets, gains = [home], [0.0]
-        for c in np.flatnonzero(count).tolist() if everyone else sorted(near):
-            if c != home and tied(c):
-                d = form.unit * near.get(c, 0.0) - float(prices @ (x[v] * part[c]))
-                if d >= 0:
-                    targets.append(c)
-                    gains.append(d)
+        near = {int(c): w for c, w in a.into(v, label).items()}
+        targets, gains, times = [home], [0.0], [1]
+        if mixed:
+            able = (count > 0) & (form.unit * outer >= (part * (whole - part)) @ prices)
+            able[home] = False
+            delta = -prices[0] * x[v, 0] * part[:, 0]
+            for c, w in near.items():
+                delta[c] += form.unit * w
+            far = np.flatnonzero(able & (delta >= 0))
+            targets, gains, times = [home, *far.tolist()], [0.0, *delta[far].tolist()], [1] * (len(far) + 1)
+        else:
+            for c in sorted(near):
+                if c != home and tied(c):
+                    d = form.unit * near[c] - float(prices @ (x[v] * part[c]))
+                    if d >= 0:
+                        targets.append(c)
+                        gains.append(d)
+                        times.append(1)
+            if everyone:
+                pool, less = every if prices[0] * x[v, 0] == 0 else weightless, {home, *near}
+                if others := pool.but(less):
+                    targets.append(-1)
+                    gains.append(0.0)
+                    times.append(others)
         if len(targets) == 1:
             continue
-        p = np.exp((np.array(gains) - max(gains)) / theta)
+        p = np.exp((np.array(gains) - max(gains)) / theta) * times
         to = targets[int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right").clip(0, len(targets) - 1))]
+        if to == -1:
+            to = pool.draw(less, rng)
         if to != home:
             label[v] = to
             count[home], count[to] = 0, count[to] + 1
             outer[to] += outer[home] - 2 * near.get(to, 0.0)
             part[to] += x[v]
             part[home] = outer[home] = 0.0
+            if everyone and not mixed:
+                for c in (home, to):
+                    held = bool(count[c] > 0 and tied(c))
+                    every.keep(c, held)
+                    weightless.keep(c, held and part[c, 0] == 0)
     return label
 
 
