@@ -18,14 +18,23 @@ from .sources import files
 from .streaming import upkeep
 
 POTTS, MOD, ER = ConstantPotts(0.3), Modularity(1.1), ErdosRenyi(1.2)
+#: Order lines of which a task takes the pairs, about: 2 million pairs.
+LINES = 500_000
 #: The price of a pair under ErdosRenyi(1).
 PAIR_PRICE = "(SELECT m / (k * (k - 1) / 2) FROM m, (SELECT count(*)::DOUBLE AS k FROM n) z)"
 
 
 def cop(spark: SparkSession, d: str, least: int = 2) -> Graph:
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    # read from the files' footers
+    parts = max(1, li.count() // LINES)
+    # partitions that follow the table keep a task's pairs few; so does a shuffle before the count, and pairs hardly repeat
+    li = li.repartition(parts, "l_orderkey") if parts > 1 else li
     x, y = li.withColumnRenamed("l_partkey", "src"), li.withColumnRenamed("l_partkey", "dst")
-    e = x.join(y, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).filter(F.col("w") >= least)
+    # sorted and merged: the table would be broadcast as long as it is small, through the driver
+    pairs = x.join(y.hint("merge"), "l_orderkey").filter("src < dst").select("src", "dst")
+    pairs = pairs.repartition(parts, "src", "dst") if parts > 1 else pairs
+    e = pairs.groupBy("src", "dst").agg(F.count("*").alias("w")).filter(F.col("w") >= least)
     return Graph.from_edges(e, w="w", nodes=spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("v")))
 
 

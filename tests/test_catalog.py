@@ -18,3 +18,24 @@ def test_lower_triangle_of_a_file_that_many_tasks_write(spark, tmp_path):
             spark.conf.unset(k)
     # 100 users of a pair, 7 steps each; entries in even rows of the file have no value
     assert got == sorted((i, j, 1700.0 if (j + 1) % 2 else 1.0) for i in range(4) for j in range(4) if i < j)
+
+
+def test_co_purchases_are_dealt_out_by_the_table(spark, tmp_path, monkeypatch):
+    lines = [(o, (o * 7 + k * k * 3) % 40) for o in range(300) for k in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for o in range(300):
+        own = [p for q, p in lines[o * 4 : o * 4 + 4]]
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0.0) + 1.0
+    want = sorted((*k, w) for k, w in want.items() if w >= 2)
+    for rows, parts in ((100, 12), (50, 24), (10_000, None)):
+        monkeypatch.setattr(catalog, "LINES", rows)
+        edges = catalog.cop(spark, str(tmp_path)).edges
+        assert sorted(tuple(r) for r in edges.collect()) == want
+        assert parts is None or edges.rdd.getNumPartitions() == parts
+        # the lines never go through the driver
+        assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
