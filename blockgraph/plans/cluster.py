@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import coloring, contract, moves, partition, refine
-from ..runtime import cut, exists
+from ..runtime import cut, exists, few_broadcasts
 
 log = logging.getLogger(__name__)
 
@@ -85,7 +85,11 @@ def cluster(g: Graph, objective, options: Options = Options()) -> Clustering:
     the result is the local-moving partition of the last level. With options.keep each level is kept when it is done,
     and a new call with the same graph and options goes on after the last one, to the same result.
     """
-    g = g.persist()
+    with few_broadcasts(g.nodes.sparkSession):
+        return _cluster(g.persist(), objective, options)
+
+
+def _cluster(g: Graph, objective, options: Options) -> Clustering:
     n = g.num_vertices()
     if not n:
         return Clustering(g.nodes.select("v", F.col("v").alias("c")), 0, 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -129,6 +131,39 @@ def running(df: DataFrame, key: str, order: str, sums: dict[str, str], rows: int
     return out.select(*df.columns, *[(F.col(f"__{name}") + F.coalesce(F.sum(c).over(w), F.lit(0.0))).alias(name) for name, c in sums.items()])
 
 
+#: Bytes of a table that is broadcast, at most, while an operator makes rounds.
+BROADCAST = 256 << 10
+
+
+def _bytes(text: str) -> int:
+    """What a size setting such as 10485760b, 10m or -1 says."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def few_broadcasts(spark: SparkSession):
+    """Tables of over BROADCAST bytes are shuffled within, and smaller settings hold.
+
+    A broadcast table goes through the driver; rounds join tables of a row for each vertex again and again, each of
+    them small enough by Spark's own setting, but not all together.
+    """
+    one, other = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    # what was set, None where a setting is left to its default; the adaptive one is the other's then
+    held = {k: spark.conf.get(k, None) for k in (one, other)}
+    try:
+        for k, v in held.items():
+            if (k == one or v is not None) and _bytes(spark.conf.get(k)) > BROADCAST:
+                spark.conf.set(k, str(BROADCAST))
+        yield
+    finally:
+        for k, v in held.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, wherever they run."""
     sc = spark.sparkContext

@@ -1,6 +1,10 @@
 """Queries of the catalog on tables that are made here."""
 
 from blockgraph import catalog
+from blockgraph.functions.quality import Modularity
+from blockgraph.operators import moves
+from blockgraph.plans import cluster as plan
+from blockgraph.runtime import BROADCAST, few_broadcasts
 
 
 def test_lower_triangle_of_a_file_that_many_tasks_write(spark, tmp_path):
@@ -39,3 +43,27 @@ def test_co_purchases_are_dealt_out_by_the_table(spark, tmp_path, monkeypatch):
         assert parts is None or edges.rdd.getNumPartitions() == parts
         # the lines never go through the driver
         assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clustering_broadcasts_small_tables_only(spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key, None)
+    try:
+        for value, within in ((None, str(BROADCAST)), ("20m", str(BROADCAST)), ("100", "100"), ("-1", "-1")):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+            with few_broadcasts(spark):
+                assert spark.conf.get(key) == within
+            assert spark.conf.get(key, None) == value
+        spark.conf.unset(key)
+
+        def move(g, *args, **more):
+            seen.append(spark.conf.get(key))
+            return inner(g, *args, **more)
+
+        seen, inner = [], moves.local_move_queue
+        monkeypatch.setattr(plan.moves, "local_move_queue", move)
+        edges = spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, w double")
+        plan.cluster(catalog.Graph.from_edges(edges, w="w"), Modularity(1.0), plan.Options(max_levels=1))
+        assert seen == [str(BROADCAST)] and spark.conf.get(key, None) is None
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
