@@ -43,24 +43,35 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: l
     return df.select("doc", "id", "src", "size", "own", "at", alike.alias("alike"))
 
 
-def drawn(rows: DataFrame, seed: int) -> DataFrame:
-    """rows, a table, with tie and e added: a row's number among the rows of the same own, and -ln(u).
+def numbered(rows: DataFrame, again: DataFrame, stored: bool) -> DataFrame:
+    """rows with tie added: a row's number among the rows of the same own. again: the own of several rows.
 
     Only rows that have equals are numbered, by the task that read them, so that no group of equals is one task's work.
+    stored: rows is a table, which another takes the place of if there are equals.
     """
-    again = materialize(rows.groupBy("own").count().filter("count > 1").select("own"))
     n = again.count()
     if n:
         near = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
         same = rows.join(near(again), "own")
+        # another reading may deal the rows to other tasks
+        same = same if stored else materialize(same)
         upto = Window.partitionBy("own").orderBy("at")
         before = same.groupBy("own", "at").count().withColumn("before", F.sum("count").over(upto) - F.col("count")).drop("count")
         same = same.withColumn("nth", F.row_number().over(Window.partitionBy("own", "at").orderBy("size"))).join(before, ["own", "at"])
         same = same.withColumn("tie", F.col("before") + F.col("nth") - 1).drop("before", "nth")
-        rows = materialize(rows.join(near(again), "own", "left_anti").withColumn("tie", F.lit(0).cast("long")).unionByName(same))
-    else:
-        rows = rows.withColumn("tie", F.lit(0).cast("long"))
-    drop(again)
+        out = rows.join(near(again), "own", "left_anti").withColumn("tie", F.lit(0).cast("long")).unionByName(same)
+        if stored:
+            out = materialize(out)
+            drop(rows)
+        return out
+    out = rows.withColumn("tie", F.lit(0).cast("long"))
+    if stored:
+        out._scratch = rows._scratch
+    return out
+
+
+def drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """rows, numbered, with e added: -ln(u)."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", "own", F.lit(seed), "tie").cast("binary")), 1, 13), 16, 10).cast("double")
     return rows.withColumn("e", -F.log((bits + 0.5) / float(1 << 52)))
 
@@ -95,24 +106,32 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return s.withColumn("target", F.least(F.lit(level) * F.col("w"), F.col("cap"))).drop("cap", "place", "w")
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED, carry: list[str] | None = None, stored: bool = True) -> DataFrame:
     """The columns carry of docs (all by default) with size, source_size, target, taken and copies added (columns of those names are replaced).
 
     copies is how often the mix takes the document, taken that many times its words. Documents of no words, null
     texts among them, come with the complete epochs. Rows that repeat an id, or have none, are taken one by one; which
     of the rows that are equal in id, text and source is left open. A null source is a source of its own, the last.
     Reruns agree: keys depend on ids, texts, sources and labels only.
-    Without labels all documents weigh the same.
+    Without labels all documents weigh the same. The columns carry lie in a table until the result is used no more, or,
+    if they are not to be stored, docs is read again for the result; then only rows that have equals are.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "source_size", "target", "taken", "copies")]
-    rows = drawn(materialize(keyed(docs, id_col, text_col, source_col, keep)), seed)
-    learned = weights(rows, labels)
-    if learned is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    else:
-        other = learned.agg(F.avg("weight")).first()[0]
-        rows = rows.join(F.broadcast(learned), "alike", "left").fillna(0.5 if other is None else other, ["weight"])
-    rows = rows.withColumn("key", F.col("e") / F.col("weight"))
+    own = materialize(keyed(docs, id_col, text_col, source_col, keep if stored else []))
+    again = materialize(own.groupBy("own").count().filter("count > 1").select("own"))
+    own = numbered(own, again, True)
+    learned = weights(own, labels)
+    other = None if learned is None else learned.agg(F.avg("weight")).first()[0]
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        rows = drawn(rows, seed)
+        if learned is None:
+            rows = rows.withColumn("weight", F.lit(1.0))
+        else:
+            rows = rows.join(F.broadcast(learned), "alike", "left").fillna(0.5 if other is None else other, ["weight"])
+        return rows.withColumn("key", F.col("e") / F.col("weight"))
+
+    rows = ordered(own)
     sizes = rows.groupBy("src").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.avg("weight").alias("mean"))
     plan = targets(sizes, epochs)
     plan = plan.withColumn("rounds", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("long"))
@@ -133,6 +152,11 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     cut = cut.filter(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("src").agg(F.max(place).alias("last"))
     cut = edge.join(cut, "src", "left")
     plan = materialize(plan.join(cut, "src", "left").select("src", F.col("total").alias("source_size"), "target", "rounds", "bins", "mean", "edge", "last", F.col("edge").isNull().alias("all")))
+    if not stored:
+        drop(own)
+        rows = ordered(numbered(keyed(docs, id_col, text_col, source_col, keep), again, False))
+    else:
+        drop(again)
     out = rows.join(near(plan), "src").withColumn("at", bin_)
     extra = F.when(F.col("all"), False).when(F.col("at") != F.col("edge"), F.col("at") < F.col("edge")).otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
     out = out.withColumn("copies", F.col("rounds") + extra.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))

@@ -163,7 +163,9 @@ def _numbered(signed: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]
         nodes = materialize(now.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.min("w").alias("lo"), F.max("w").alias("hi")))
         again = nodes.filter("lo <> hi").select("v", F.lit(True).alias("twice"))
         if not again.take(1):
-            return now, nodes.drop("lo", "hi"), twice
+            out = nodes.drop("lo", "hi")
+            out._scratch = nodes._scratch
+            return now, out, twice
         twice.append(again)
 
 
@@ -375,7 +377,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     them, have empty sets and are linked with nothing. Rows that repeat an id share its place: each of them is kept
     if that id is the least. A null id sorts last.
     """
-    out = _labelled(docs, id_col, text_col, width, percent)
+    out, _ = _labelled(docs, id_col, text_col, width, percent)
     return out.select(outer_id(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), outer_id(F.col("first")).alias("component_id"), (F.col("k") == F.col("first")).alias("kept"))
 
 
@@ -391,11 +393,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # maps have no hash
     others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumns({k: inner_id(F.col(id_col)), h: F.xxhash64(text), r: F.xxhash64(*others, F.lit(0), text)})
-    rows = _labelled(keyed, id_col, text_col, width, percent, {"h": h, "r": r}).filter("n > 0")
-    rows = materialize(rows.groupBy("c", "k", "h", "r").agg(F.count("*").alias("m")))
-    best = rows.groupBy("c").agg(F.min(F.struct("k", "h", "r")).alias("best"))
-    rows = rows.join(best, "c").withColumn("stays", F.struct("k", "h", "r") == F.col("best"))
+    labelled, read = _labelled(keyed, id_col, text_col, width, percent, {"h": h, "r": r})
+    each = materialize(labelled.filter("n > 0").groupBy("c", "k", "h", "r").agg(F.count("*").alias("m")))
+    drop(*read)
+    best = each.groupBy("c").agg(F.min(F.struct("k", "h", "r")).alias("best"))
+    rows = each.join(best, "c").withColumn("stays", F.struct("k", "h", "r") == F.col("best"))
     rows = materialize(rows.filter("not stays or m > 1").select(F.col("k").alias(k), F.col("h").alias(h), F.col("r").alias(r), "stays"))
+    drop(each)
     twins = rows.filter("stays").select(*key)
     if not twins.take(1):
         return keyed.join(rows.select(*key), key, "left_anti").select(*names)
@@ -404,12 +408,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed.join(rows.select(*key), key, "left_anti").unionByName(single).select(*names)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, more: dict[str, str] | None = None) -> DataFrame:
-    """(k, v, n, c, first) and more, columns of docs by new name, for each row: its id, set, component and that one's least id."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, more: dict[str, str] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(k, v, n, c, first) and more, columns of docs by new name, for each row: its id, set, component and that one's least id;
+    and the tables that this reads."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(inner_id(F.col(id_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), *[F.col(c).alias(n) for n, c in (more or {}).items()])
-    signed, nodes, twice = _numbered(materialize(_signatures(texts, width)))
+    sketched = materialize(_signatures(texts, width))
+    signed, nodes, twice = _numbered(sketched)
     banded = materialize(_banded(nodes))
     centres = banded.groupBy("b").agg(F.min("v").alias("a"), F.count("*").alias("m")).filter("m > 1").select("b", "a")
     buckets = materialize(banded.join(centres, "b"))
@@ -423,13 +429,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     links = materialize(_confirmed(best, sets, percent, width))
     comp = materialize(components(links))
-    links = links.union(materialize(_across(buckets.select("b", "v", "n"), comp, sets, percent, width)))
+    further = materialize(_across(buckets.select("b", "v", "n"), comp, sets, percent, width))
     drop(comp, banded, stars, shared)
-    comp = materialize(components(links))
+    comp = materialize(components(links.union(further)))
     label = nodes.select("v", "k").join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
     label = materialize(label.join(label.groupBy("c").agg(F.min("k").alias("first")), "c").select("v", "c", "first"))
-    drop(buckets, sets, comp)
-    return signed.drop("sk", "w").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
+    drop(buckets, sets, comp, links, further, nodes)
+    out = signed.drop("sk", "w").join(label, "v", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("k")))
+    return out, [sketched, label]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

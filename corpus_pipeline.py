@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     # as a struct, so that the operator's columns replace none of docs
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text", "source")
-    out = mixing.mix(whole, table(spark, sf_dir, "labels"), carry=["__doc"])
+    out = mixing.mix(whole, table(spark, sf_dir, "labels"), carry=["__doc"], stored=False)
     return out.filter("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 

@@ -4,12 +4,14 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from blockgraph.llm import decontamination, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_output
+from blockgraph.llm.common import materialize, shared_dir
 
 LAST = 1 << 63
 
@@ -644,3 +646,35 @@ def test_pipeline_deduplicates_rows_not_ids(spark, make):
     assert sorted(((LAST if i is None else i), group(t)) for i, t in left) == sorted([(1, "v1"), (LAST, "v2"), (LAST, "v3"), (7, "v4"), (7, "v5"), (8, "v6"), (10, "v7"), *[(LAST, "")] * 3])
     assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in p.deduplicate(spark, made.repartition(1), "").collect())
     assert p.deduplicate(spark, made.filter("false"), "").count() == 0
+
+
+def test_stages_leave_no_texts_behind(spark):
+    import corpus_pipeline as p
+
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    # digests hardly compress; every tenth text is a near copy of the one before it
+    text = lambda i: " ".join(hashlib.md5(f"{i}:{j}".encode()).hexdigest() for j in range(100))
+    docs = spark.createDataFrame([(i, text(i - 1) + " more" if i % 10 == 9 else text(i), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    docs = materialize(docs)
+    before = held()
+    assert p.deduplicate(spark, docs, "").count() == 270
+    # without the sketches: 288 bins for each text
+    assert held() - before < 300 * 288 / 2
+    spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int").write.parquet(f"{at}/sf/labels.parquet")
+    before = held()
+    assert p.mix(spark, docs, f"{at}/sf").count() > 0
+    assert held() - before < 300 * 3200 / 10
+
+
+def test_mix_reads_again_what_it_does_not_store(spark):
+    # equal rows, among them many of one kind, null ids, texts and sources
+    docs = [(i % 90 or None, f"w{i % 45} " * (1 + i % 45), None if i % 45 == 4 else f"s{i % 3}") for i in range(360)]
+    docs += [(7, "same text", "s1")] * 50 + [(8, None, None)] * 5
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    for y in (labels, None):
+        want = sorted(map(str, mixing.mix(docs, y).collect()))
+        assert sorted(map(str, mixing.mix(docs, y, stored=False).collect())) == want and len(want) == 415
+        assert sorted(map(str, mixing.mix(docs.repartition(2), y, carry=["doc_id"], stored=False).collect())) == sorted(map(str, mixing.mix(docs, y, carry=["doc_id"]).collect()))
+    assert mixing.mix(docs.filter("false"), labels, stored=False).count() == 0
