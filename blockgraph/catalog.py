@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.quality import ConstantPotts, ErdosRenyi, Modularity
-from .graph import Graph
+from .graph import BROADCAST_ROWS, Graph
 from .operators import coloring, contract, evaluate, moves, partition, refine
 from .plans.cluster import Options, blocks_and_colors, cluster
 from .runtime import cut, scratch
@@ -35,7 +35,8 @@ def cop(spark: SparkSession, d: str, least: int = 2) -> Graph:
     pairs = x.join(y.hint("merge"), "l_orderkey").filter("src < dst").select("src", "dst")
     pairs = pairs.repartition(parts, "src", "dst") if parts > 1 else pairs
     e = pairs.groupBy("src", "dst").agg(F.count("*").alias("w")).filter(F.col("w") >= least)
-    return Graph.from_edges(e, w="w", nodes=spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("v")))
+    nodes = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("v"))
+    return Graph.from_edges(e, w="w", nodes=nodes, large=nodes.count() > BROADCAST_ROWS)
 
 
 def evt(spark: SparkSession, d: str) -> Graph:
@@ -176,7 +177,7 @@ def _advanced(s, d):
     for divisor, to in ((3, F.lit(3)), (5, F.lit(11)), (2, F.col("c") - 1)):
         step = a.filter(F.col("v") % divisor == 0).select("v", to.cast("long").alias("c"))
         com = cut(partition.advance_communities(g, com, a, step))
-        a = cut(partition.apply_moves(a, step))
+        a = cut(partition.apply_moves(g.spread(a), step))
     return com
 
 
@@ -273,7 +274,7 @@ def _matrix(s, d):
 def _block_file(s, d):
     g = cop(s, d).persist()
     ids = partition.compact_ids(g.nodes, "v").select("v", F.col("compact").alias("to"))
-    a = cut(mod(g, 7).join(ids, "v").select(F.col("to").alias("v"), "c"))
+    a = cut(g.spread(mod(g, 7)).join(ids, "v").select(F.col("to").alias("v"), "c"))
     path = scratch(s, "blocks-")
     files.write_blocks(a, path)
     nb, got = files.read_blocks(s, path, g.num_vertices())

@@ -16,6 +16,8 @@ from .runtime import cut
 
 #: Rows of the adjacency that one of its parts holds, about, and parts at most.
 PART_ROWS, PARTS = 1 << 16, 4096
+#: Vertices of a graph whose tables a join may broadcast, at most.
+BROADCAST_ROWS = 200_000
 
 
 def _part(v, parts: int):
@@ -30,20 +32,34 @@ class Graph:
     kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
     #: parts by vertex that the kept sym() is stored in
     parts: int = 1
+    #: with more than BROADCAST_ROWS vertices, as far as that is known
+    large: bool = False
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", w: str | None = None, nodes: DataFrame | None = None) -> Graph:
-        """A graph of any edge DataFrame; weights default to 1, vertices to the edges' ends, their sizes to 1."""
+    def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", w: str | None = None, nodes: DataFrame | None = None, large: bool = False) -> Graph:
+        """A graph of any edge DataFrame; weights default to 1, vertices to the edges' ends, their sizes to 1.
+
+        large: there are more than BROADCAST_ROWS vertices; `persist` finds that out by itself.
+        """
         weight = F.lit(1.0) if w is None else F.col(w).cast("double")
         e = edges.select(F.least(src, dst).cast("long").alias("src"), F.greatest(src, dst).cast("long").alias("dst"), weight.alias("w"))
         if nodes is None:
             nodes = e.select(F.col("src").alias("v")).union(e.select("dst")).distinct()
         size = F.col("node_size").cast("double") if "node_size" in nodes.columns else F.lit(1.0)
-        return cls(nodes.select(F.col("v").cast("long").alias("v"), size.alias("node_size")), e)
+        return cls(nodes.select(F.col("v").cast("long").alias("v"), size.alias("node_size")), e, large=large)
 
     def persist(self) -> Graph:
         """The graph as tables in the shared folder."""
-        return Graph(cut(self.nodes), cut(self.edges))
+        nodes = cut(self.nodes)
+        # read from the files' footers
+        return Graph(nodes, cut(self.edges), large=self.large or nodes.count() > BROADCAST_ROWS)
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df, a row for each vertex, as a side of a join by vertex: of a large graph sorted and merged, not broadcast.
+
+        Ids fill small files, and Spark goes by these; the rows would go through the driver and into every task.
+        """
+        return df.hint("merge") if self.large else df
 
     def prepared(self) -> Graph:
         """The graph with sym() and strengths() as tables, for operators that need them again and again.
@@ -59,7 +75,7 @@ class Graph:
             sym = cut(sym.withColumn("part", _part(F.col("v"), parts)).hint("rebalance", "part"), by="part")
         else:
             sym = cut(sym)
-        return Graph(self.nodes, self.edges, {"sym": sym, "strengths": cut(self.strengths())}, parts)
+        return Graph(self.nodes, self.edges, {"sym": sym, "strengths": cut(self.strengths())}, parts, self.large)
 
     def edges_of(self, only: DataFrame) -> DataFrame:
         """(v, u, w): sym() of the vertices (v) only; of a prepared graph only the parts are read that hold them."""
@@ -78,7 +94,7 @@ class Graph:
 
     def binary(self) -> Graph:
         """Every weight 1; parallel edges stay parallel."""
-        return Graph(self.nodes, self.edges.withColumn("w", F.lit(1.0)))
+        return Graph(self.nodes, self.edges.withColumn("w", F.lit(1.0)), large=self.large)
 
     def sym(self) -> DataFrame:
         """(v, u, w): each edge but self-loops from both of its ends."""
@@ -95,21 +111,21 @@ class Graph:
     def degree(self) -> DataFrame:
         """(v, degree) of every vertex: parallel edges count each, a self-loop once."""
         ends = self.edges.select(F.explode(F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))).alias("v"))
-        return self.nodes.select("v").join(ends.groupBy("v").agg(F.count("*").alias("degree")), "v", "left").fillna(0, ["degree"])
+        return self.spread(self.nodes.select("v")).join(ends.groupBy("v").agg(F.count("*").alias("degree")), "v", "left").fillna(0, ["degree"])
 
     def strengths(self) -> DataFrame:
         """nodes with strength: summed weights, those of self-loops twice."""
         if "strengths" in self.kept:
             return self.kept["strengths"]
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("strength"))
-        return self.nodes.join(ends, "v", "left").fillna(0.0, ["strength"])
+        return self.spread(self.nodes).join(ends, "v", "left").fillna(0.0, ["strength"])
 
     def signed_strengths(self) -> DataFrame:
         """strengths() with above and below: summed weights of the positive and of the negative edges, as positive
         numbers, those of self-loops twice."""
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("v"), "w").groupBy("v")
         ends = ends.agg(F.sum(F.greatest("w", F.lit(0.0))).alias("above"), F.sum(F.greatest(-F.col("w"), F.lit(0.0))).alias("below"))
-        return self.strengths().join(ends, "v", "left").fillna(0.0, ["above", "below"])
+        return self.spread(self.strengths()).join(ends, "v", "left").fillna(0.0, ["above", "below"])
 
     def totals(self) -> Totals:
         """What an objective's prices may depend on."""

@@ -158,6 +158,6 @@ def violations(g: Graph, colors: DataFrame, n_colors: int | None = None) -> Data
     """(fault, n): vertices without a colour, colours out of range, neighbours of one colour (self-loops don't count)."""
     n = colors.agg(F.coalesce(F.max("color") + 1, F.lit(0))).first()[0] if n_colors is None else n_colors
     one = lambda name, df: df.agg(F.lit(name).alias("fault"), F.count("*").alias("n"))
-    side = lambda v, c: colors.select(F.col("v").alias(v), F.col("color").alias(c))
+    side = lambda v, c: g.spread(colors.select(F.col("v").alias(v), F.col("color").alias(c)))
     clash = g.edges.filter("src <> dst").join(side("src", "a"), "src").join(side("dst", "b"), "dst").filter("a = b")
-    return one("uncoloured", g.nodes.join(colors, "v", "left_anti")).union(one("out_of_range", colors.filter((F.col("color") < 0) | (F.col("color") >= n)))).union(one("clash", clash))
+    return one("uncoloured", g.spread(g.nodes).join(colors, "v", "left_anti")).union(one("out_of_range", colors.filter((F.col("color") < 0) | (F.col("color") >= n)))).union(one("clash", clash))

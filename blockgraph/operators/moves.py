@@ -65,6 +65,8 @@ def candidates(g: Graph, assignment: DataFrame, objective, m=None, empty: bool =
     x = partition.masses(g, objective) if x is None else x
     names = [c for c in x.columns if c != "v"]
     placed = assignment.filter("c is not null")
+    # every join of it is by vertex; of few vertices a round settles it itself
+    placed = g.spread(placed) if only is None else placed
     com = partition.community_masses(x, placed) if com is None else com
     near = g.sym() if only is None else g.edges_of(only)
     near = near.join(placed.withColumnRenamed("v", "u"), "u").groupBy("v", "c").agg(F.sum("w").alias("w"))

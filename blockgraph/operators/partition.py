@@ -16,14 +16,14 @@ def singletons(g: Graph) -> DataFrame:
 
 def inside(g: Graph, assignment: DataFrame) -> DataFrame:
     """edges with cu and cv, the communities of their ends (null if unassigned)."""
-    side = lambda v, c: assignment.select(F.col("v").alias(v), F.col("c").alias(c))
+    side = lambda v, c: g.spread(assignment.select(F.col("v").alias(v), F.col("c").alias(c)))
     return g.edges.join(side("src", "cu"), "src", "left").join(side("dst", "cv"), "dst", "left")
 
 
 def communities(g: Graph, assignment: DataFrame) -> DataFrame:
     """(c, n_members, size, strength, internal_w); unassigned vertices are left out."""
     a = assignment.filter("c is not null")
-    members = g.strengths().join(a, "v").groupBy("c").agg(F.count("*").alias("n_members"), F.sum("node_size").alias("size"), F.sum("strength").alias("strength"))
+    members = g.strengths().join(g.spread(a), "v").groupBy("c").agg(F.count("*").alias("n_members"), F.sum("node_size").alias("size"), F.sum("strength").alias("strength"))
     internal = inside(g, a).filter("cu = cv").groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("internal_w"))
     return members.join(internal, "c", "left").fillna(0.0, ["internal_w"])
 
@@ -44,7 +44,7 @@ def valued(g: Graph, assignment: DataFrame, objective) -> DataFrame:
     """(c, n_members, x0, ..., internal_w): communities as an objective's quality takes them."""
     a = assignment.filter("c is not null")
     internal = inside(g, a).filter("cu = cv").groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("internal_w"))
-    return community_masses(masses(g, objective), a).join(internal, "c", "left").fillna(0.0, ["internal_w"])
+    return community_masses(masses(g, objective), g.spread(a)).join(internal, "c", "left").fillna(0.0, ["internal_w"])
 
 
 def quality(g: Graph, assignment: DataFrame, objective) -> float:
@@ -69,14 +69,14 @@ def advance_communities(g: Graph, com: DataFrame, assignment: DataFrame, moves:
     An edge whose ends both move is met from both, and counts half each time.
     """
     to = moves.select("v", F.col("c").alias("tgt"))
-    moved = assignment.join(to, "v").withColumnRenamed("c", "src").filter("not src <=> tgt")
-    at = assignment.select(F.col("v").alias("u"), F.col("c").alias("cu"))
-    e = g.edges_of(moved).join(moved, "v").join(at, "u").join(moved.select(F.col("v").alias("u"), F.col("tgt").alias("u_tgt"), F.lit(0.5).alias("half")), "u", "left")
+    moved = g.spread(assignment).join(to, "v").withColumnRenamed("c", "src").filter("not src <=> tgt")
+    at = g.spread(assignment.select(F.col("v").alias("u"), F.col("c").alias("cu")))
+    e = g.edges_of(g.spread(moved)).join(g.spread(moved), "v").join(at, "u").join(g.spread(moved.select(F.col("v").alias("u"), F.col("tgt").alias("u_tgt"), F.lit(0.5).alias("half"))), "u", "left")
     e = e.select("src", "tgt", "cu", F.coalesce("u_tgt", "cu").alias("cv"), (F.col("w") * F.coalesce("half", F.lit(1.0))).alias("w"))
     zero = F.lit(0.0)
     n = F.lit(1).cast("long")
     row = lambda df, c, k, size, strength, w: df.select(F.col(c).alias("c"), k.alias("n_members"), size.alias("size"), strength.alias("strength"), w.alias("internal_w"))
-    m = g.strengths().join(moved, "v").join(g.loops().withColumnRenamed("w", "loop"), "v", "left").fillna(0.0, ["loop"])
+    m = g.strengths().join(g.spread(moved), "v").join(g.loops().withColumnRenamed("w", "loop"), "v", "left").fillna(0.0, ["loop"])
     size, strength, w = F.col("node_size"), F.col("strength"), F.col("w")
     change = row(m, "src", -n, -size, -strength, -F.col("loop")).union(row(m, "tgt", n, size, strength, F.col("loop")))
     change = change.union(row(e.filter("cu = src"), "src", n * 0, zero, zero, -w)).union(row(e.filter("cv = tgt"), "tgt", n * 0, zero, zero, w))
@@ -97,7 +97,7 @@ def active(assignment: DataFrame) -> DataFrame:
 
 def neighbour_weights(g: Graph, assignment: DataFrame) -> DataFrame:
     """(v, c, w): each vertex's summed weight into each neighbouring community, without self-loops."""
-    a = assignment.filter("c is not null").withColumnRenamed("v", "u")
+    a = g.spread(assignment.filter("c is not null").withColumnRenamed("v", "u"))
     return g.sym().join(a, "u").groupBy("v", "c").agg(F.sum("w").alias("w"))
 
 
@@ -142,8 +142,8 @@ def faults(g: Graph, assignment: DataFrame) -> DataFrame:
     """(fault, n): vertices without a row, rows without a vertex, vertices with several rows, null or negative ids."""
     one = lambda name, df: df.agg(F.lit(name).alias("fault"), F.count("*").alias("n"))
     return (
-        one("missing", g.nodes.join(assignment, "v", "left_anti"))
-        .union(one("unknown", assignment.join(g.nodes, "v", "left_anti")))
+        one("missing", g.spread(g.nodes).join(assignment, "v", "left_anti"))
+        .union(one("unknown", g.spread(assignment).join(g.nodes, "v", "left_anti")))
         .union(one("repeated", assignment.groupBy("v").count().filter("count > 1")))
         .union(one("unassigned", assignment.filter("c is null or c < 0")))
     )

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import BROADCAST_ROWS, Graph
 from ..operators import partition
 
 
@@ -95,6 +95,7 @@ def _read_pairs(spark: SparkSession, path: str, n: int, name: str) -> tuple[int,
         raise ValueError(f"{path}: no first line")
     pair = body.select("at", (F.col("parts")[0].cast("long") - 1).alias("v"), (F.col("parts")[1].cast("long") - 1).alias("x"))
     last = pair.groupBy("v").agg(F.max_by("x", "at").alias(name))
+    last = last.hint("merge") if n > BROADCAST_ROWS else last
     return int(head[0]), spark.range(n).withColumnRenamed("id", "v").join(last, "v", "left")
 
 

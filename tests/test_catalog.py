@@ -1,10 +1,15 @@
 """Queries of the catalog on tables that are made here."""
 
-from blockgraph import catalog
+import re
+
+import pytest
+
+from blockgraph import catalog, graph
 from blockgraph.functions.quality import Modularity
 from blockgraph.operators import moves
 from blockgraph.plans import cluster as plan
 from blockgraph.runtime import BROADCAST, few_broadcasts
+from blockgraph.sources import files
 
 
 def test_lower_triangle_of_a_file_that_many_tasks_write(spark, tmp_path):
@@ -45,6 +50,39 @@ def test_co_purchases_are_dealt_out_by_the_table(spark, tmp_path, monkeypatch):
         assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """300 orders of 4 lines over 40 parts of 3 brands."""
+    at = str(tmp_path_factory.mktemp("orders"))
+    lines = [(o, (o * 7 + k * k * 3) % 40) for o in range(300) for k in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{at}/lineitem.parquet")
+    spark.range(40).selectExpr("id as p_partkey", "concat('b', id % 3) as p_brand").write.parquet(f"{at}/part.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["best_move", "binary_weights", "block_file_roundtrip", "block_graph_abs_sum", "block_graph_binary", "block_graph_count", "block_graph_density", "coloring_violations", "community_stats", "community_stats_brand", "community_stats_incremental", "degree", "delta_move_cpm", "delta_move_er", "delta_move_modularity"])
+def test_vertices_of_a_large_graph_are_not_broadcast(spark, orders, monkeypatch, name):
+    query = catalog.queries()[name]
+    want = sorted(map(str, query(spark, orders).collect()))
+    for module in (catalog, graph, files):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 39)
+    got = query(spark, orders)
+    # as it is planned before a stage has run: by the files' sizes
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(str, got.collect())) == want
+    # src is a community in moves, and there are seven
+    ends = "v|u" if "move" in name else "v|u|src|dst"
+    assert not re.findall(rf"BroadcastHashJoin \[(?:{ends})#.*", plan)
+
+
+def test_tables_of_a_graph_know_its_size(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "src long, dst long")
+    for most, large in ((10, False), (9, True)):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+        g = graph.Graph.from_edges(edges).persist()
+        assert [g.large, g.prepared().large, g.binary().large] == [large] * 3
+
+
 def test_clustering_broadcasts_small_tables_only(spark, monkeypatch):
     key = "spark.sql.autoBroadcastJoinThreshold"
     was = spark.conf.get(key, None)
