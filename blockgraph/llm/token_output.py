@@ -10,7 +10,6 @@ The rows are stored by Spark's Parquet writer, so that any shared store and its
 
 from __future__ import annotations
 
-import array
 import functools
 import os
 import re
@@ -29,6 +28,8 @@ from .common import chunks, drop, inner_id, lean, materialize, outer_id, partiti
 END = 0
 #: Values in one file row, at most, but for a longer document.
 SHARD = 1 << 20
+#: Bytes of text that are split and told apart at once, and letters that the model takes in one call, about.
+AT_ONCE, PIECE = 2 << 20, 512
 #: Entries of a task's cache of encoded stretches, about 200 bytes each, and characters of the longest of them.
 CACHE, CACHED_LENGTH = 500_000, 40
 
@@ -100,7 +101,8 @@ class Encoder:
     """Ids of texts as 16-bit values; the vocabulary must fit in those.
 
     Texts are split by numpy where the tokenizer's pattern splits them; Arrow's dictionary tells the distinct stretches
-    of a chunk, and the library's model encodes those that the cache, keyed by the stretches themselves, lacks. Texts
+    of a chunk, and the library's model encodes those that the cache, keyed by the stretches themselves, lacks, many in
+    one call with the byte 255 after each: no UTF-8 text has it and no token but its own, so no merge goes across. Texts
     that could split otherwise (an apostrophe before a letter, a special token's string) go to the library whole.
     """
 
@@ -112,30 +114,45 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         if self.lib.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary doesn't fit in 16 bits")
-        self.model = self.lib.model
-        self.model._resize_cache(0)  # ours serves
+        model = self.lib.model
+        model._resize_cache(0)  # ours serves
+        # by itself: stretches are split already
+        self.model = Tokenizer(model)
         specials = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["'[sStTmMrRvVlLdD]", *specials]))
         self.kind, self.letters = char_classes(), np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
-        # stands between stretches: no UTF-8 text has the byte 255
-        self.between = byte_letters()[255]
+        between = byte_letters()[255]
+        self.between = self.lib.token_to_id(between)
+        if [t for t in self.lib.get_vocab(with_added_tokens=False) if between in t] != [between]:
+            raise ValueError("the vocabulary has other tokens with the byte 255 than that byte's own")
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The 16-bit ids of stretches by the model, without the cache."""
+        raw = np.frombuffer(b"\xff".join([*(w.encode() for w in words), b""]), np.uint8)
+        letters = self.letters[raw].tobytes().decode("utf-32-le")
+        # pieces of whole stretches
+        stops = np.flatnonzero(raw == 255) + 1
+        cuts = np.unique(stops[np.searchsorted(stops, np.append(np.arange(PIECE, len(raw), PIECE), len(raw)))]).tolist()
+        ids = np.concatenate([np.array(self.model.encode_batch_fast([letters[a:b]], add_special_tokens=False)[0].ids, "<u2") for a, b in zip([0, *cuts], cuts, strict=False)])
+        ends = np.flatnonzero(ids == self.between).tolist()
+        data = ids.tobytes()
+        return [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+
     def encode_stretches(self, words: list[str]) -> list[bytes]:
         """The 16-bit ids of distinct stretches."""
-        out = [self.cache.get(w) for w in words]
+        out = list(map(self.cache.get, words))
         fresh = [i for i, x in enumerate(out) if x is None]
         if len(self.cache) + len(fresh) > CACHE:
             self.cache.clear()
         if fresh:
-            raw = np.frombuffer(b"\xff".join([words[i].encode() for i in fresh]), np.uint8)
-            for i, letters in zip(fresh, self.letters[raw].tobytes().decode("utf-32-le").split(self.between), strict=True):
-                out[i] = array.array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            for i, ids in zip(fresh, self.merge([words[i] for i in fresh]), strict=True):
+                out[i] = ids
                 if len(words[i]) <= CACHED_LENGTH and len(self.cache) < CACHE:
-                    self.cache[words[i]] = out[i]
+                    self.cache[words[i]] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -162,9 +179,9 @@ class Encoder:
         raw = np.frombuffer(joined.encode(), np.uint8)
         sizes = np.diff(np.append(at, n))
         if len(raw) > n:
-            sizes = np.add.reduceat(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), at)
+            sizes = np.add.reduceat(np.uint8(1) + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), at, dtype=np.int64)
         coded = stretches(raw, sizes, pa.string()).dictionary_encode()
-        each, where = self.encode_stretches(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        each, where = self.encode_stretches(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
         size = np.fromiter(map(len, each), np.int64, len(each)) // 2
         pool, first = np.frombuffer(b"".join(each), np.uint16), np.cumsum(size) - size
         size, first = size[where], first[where]
@@ -176,6 +193,12 @@ class Encoder:
         return [rest.get(i, out[i]) for i in range(len(texts))]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, for all its tasks: reading the vocabulary takes as long as encoding half a megabyte."""
+    return Encoder(path)
+
+
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """(k, n, ids): inner id, number of ids with the end id, ids as 16-bit values."""
     ship(docs.sparkSession)
@@ -184,12 +207,14 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, path: str) ->
 
     @lean
     def run(batches):
-        encoder = Encoder(path)
+        one = encoder(path)
+        one.cache.clear()
         for batch in batches:
-            for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist()):
+            for a, b in chunks(pc.binary_length(batch.column(1)).to_pylist(), AT_ONCE):
                 part = batch.slice(a, b - a)
-                ids = [x.astype("<u2").tobytes() + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x.astype("<u2").tobytes() + end for x in one.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["k", "n", "ids"])
+        one.cache.clear()
 
     return base.mapInArrow(run, "k long, n long, ids binary")
 
@@ -201,10 +226,13 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16) if len(x) > 1 << 16 else 0
-            small = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 1 << 16)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+            x = batch.column(0).cast(pa.binary())
+            if batch.num_rows:
+                a, b = np.frombuffer(x.buffers()[1], np.int32)[[x.offset, x.offset + len(x)]].tolist()
+                ids = np.frombuffer(x.buffers()[2], "<u2", (b - a) // 2, a)
+                # its counting takes 8 bytes a value
+                for at in range(0, len(ids), SHARD):
+                    total += np.bincount(ids[at : at + SHARD], minlength=1 << 16)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i], pa.int64())], ["i", "c"])
 

@@ -132,6 +132,21 @@ def test_encoder_forgets(monkeypatch):
     assert [z.tolist() for z in encoder.encode(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_takes_many_stretches_in_one_call():
+    encoder, calls = token_output.Encoder(token_output.tokenizer_path()), []
+    model = encoder.model
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **b: calls.append(name) or getattr(model, name)(*a, **b)
+
+    encoder.model = Counted()
+    # stretches of all lengths up to several pieces, bytes that no letter stands for, the letter of the byte 255
+    texts = [" ".join(f"w{i}x{i * i}" for i in range(2000)), "\u00ff \u0178\x00\x7f\u0143 \u00ff\u00ff", "y" * 1700 + " " + "\u00e9" * 900, " ", "\n\n a"]
+    assert [z.tolist() for z in encoder.encode(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 100
+
+
 def test_nodes_of_one_number_are_told_apart(spark):
     rows = [(1, 7, 1, 5, b"x"), (2, 7, 1, 5, b"x"), (3, 7, 2, 5, b"y"), (4, 8, 3, 5, b"z"), (5, 7, 9, 0, b"e")]
     signed, nodes, twice = near_dedup._numbered(spark.createDataFrame(rows, "k long, v long, w long, n long, sk binary"))
