@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, crc, lean, ship, table, unused
+from .common import chunks, crc, lean, release, ship, table, unused
 
 #: Hash buckets, vector size, passes, learning rate; and how many labelled rows training may see at most.
 BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 12, 6, 0.25, 3000
@@ -78,7 +78,9 @@ def counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     ids, docs = zip(*features(texts), strict=True)
     key, n = np.unique(np.concatenate(docs).astype(np.int64) * BUCKETS + np.concatenate(ids), return_counts=True)
     cuts = np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
-    return [(key[a:b] % BUCKETS, n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    # 6 bytes a feature: training holds those of all its texts
+    ids, n = (key % BUCKETS).astype(np.uint16), n.astype(np.int32)
+    return [(ids[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @dataclass
@@ -106,6 +108,14 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     if not ones or ones == len(rows):
         share = (ones + 1) / (len(rows) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    try:
+        return _trained(rows, labels, epochs, rate, dim, seed)
+    finally:
+        # the driver's own process: what training took would stay with it to its end
+        release()
+
+
+def _trained(rows: list[tuple[str, int]], labels: np.ndarray, epochs: int, rate: float, dim: int, seed: int) -> Model:
     data = [x for a in range(0, len(rows), 64) for x in counts([t for t, _ in rows[a : a + 64]])]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)

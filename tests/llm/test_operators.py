@@ -147,6 +147,14 @@ def test_encoder_takes_many_stretches_in_one_call():
     assert len(calls) < 100
 
 
+def test_training_hands_its_memory_back(monkeypatch):
+    called = []
+    monkeypatch.setattr(quality_classifier, "release", lambda: called.append(True))
+    quality_classifier.train([("good words here", 1), ("bad bad words", 0)], epochs=1)
+    assert called
+    assert all(ids.itemsize + n.itemsize <= 6 for ids, n in quality_classifier.counts(["a few words", "", "more more"]))
+
+
 def test_nodes_of_one_number_are_told_apart(spark):
     rows = [(1, 7, 1, 5, b"x"), (2, 7, 1, 5, b"x"), (3, 7, 2, 5, b"y"), (4, 8, 3, 5, b"z"), (5, 7, 9, 0, b"e")]
     signed, nodes, twice = near_dedup._numbered(spark.createDataFrame(rows, "k long, v long, w long, n long, sk binary"))
