@@ -13,7 +13,7 @@ from .functions.quality import ConstantPotts, ErdosRenyi, Modularity
 from .graph import BROADCAST_ROWS, Graph
 from .operators import coloring, contract, evaluate, moves, partition, refine
 from .plans.cluster import Options, blocks_and_colors, cluster
-from .runtime import cut, scratch
+from .runtime import cut, few_broadcasts, scratch
 from .sources import files
 from .streaming import upkeep
 
@@ -159,11 +159,11 @@ def _local_move(s, d, way, objective):
 def _pieces(g: Graph, found: DataFrame) -> int:
     """Number of connected pieces that the communities consist of."""
     a = found.select(F.col("v").alias("u"), F.col("c").alias("cu"))
-    inner = cut(g.sym().join(found, "v").join(a, "u").filter("c = cu").select("v", "u").distinct())
+    inner = cut(g.sym().join(g.spread(found), "v").join(g.spread(a), "u").filter("c = cu").select("v", "u").distinct())
     label = cut(g.nodes.select("v", F.col("v").alias("low")))
     while True:
-        low = inner.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("low").alias("near"))
-        new = cut(label.join(low, "v", "left").select("v", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("changed")))
+        low = inner.join(g.spread(label.withColumnRenamed("v", "u")), "u").groupBy("v").agg(F.min("low").alias("near"))
+        new = cut(g.spread(label).join(low, "v", "left").select("v", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("changed")))
         label = new.select("v", "low")
         if not new.filter("changed").take(1):
             return label.select("low").distinct().count()
@@ -203,15 +203,19 @@ def _weights(batches):
 
 def _refine(s, d, objective, **more):
     """Facts of a refinement: parts lie in one parent each, are connected, fewer than the vertices and better than these alone."""
-    g = cop(s, d).persist().prepared()
+    with few_broadcasts(s):
+        return cut(_refine_facts(cop(s, d).persist().prepared(), objective, **more))
+
+
+def _refine_facts(g: Graph, objective, **more) -> DataFrame:
     parent = mod(g, 7)
     found = cut(refine.refine(g, parent, objective, 0.01, 3, **more))
-    both = found.join(parent.withColumnRenamed("c", "p"), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
+    both = found.join(g.spread(parent.withColumnRenamed("c", "p")), "v").groupBy("c").agg(F.count_distinct("p").alias("k")).filter("k > 1")
     n, parts = g.num_vertices(), found.select("c").distinct().count()
     gained = partition.quality(g, found, objective) > partition.quality(g, partition.singletons(g), objective) + 1e-9
     # vertices without an edge may join any part: their gain is 0 everywhere
-    tied = cut(found.join(g.strengths().filter("strength > 0").select("v"), "v", "left_semi"))
-    split = _pieces(Graph(tied.select("v"), g.edges, g.kept), tied) - tied.select("c").distinct().count()
+    tied = cut(found.join(g.spread(g.strengths().filter("strength > 0").select("v")), "v", "left_semi"))
+    split = _pieces(Graph(tied.select("v"), g.edges, g.kept, large=g.large), tied) - tied.select("c").distinct().count()
     facts = {"merged": float(parts < n), "split_parts": float(split), "gained": float(gained)}
     out = _move_facts(g, found, objective, partition.singletons(g)).union(both.select(*_named("across_parents", F.count("*"))))
     for name, value in facts.items():

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import BROADCAST_ROWS, Graph
 from ..runtime import cut, drop, running, ship
 from . import partition
 from .moves import Arrays, Form
@@ -282,18 +282,21 @@ def refine(g: Graph, parent: DataFrame, objective, theta: float = 0.01, seed: in
 
     x = partition.masses(g, objective)
     names = [c for c in x.columns if c != "v"]
-    nodes = x.join(parent, "v")
+    nodes = x.join(g.spread(parent), "v")
     inner = partition.inside(g, parent).filter("cu = cv and src <> dst").select(F.col("cu").alias("c"), "src", "dst", "w")
     sizes = cut(inner.groupBy("c").agg(F.count("*").alias("k")))
     large = cut(sizes.filter(F.col("k") > task_edges).select("c"))
     idle = nodes.groupBy("c").agg(F.count("*").alias("n"), F.min("x0").alias("least")).filter("n > 1 and least <= 0").select("c")
-    busy = sizes.select("c").union(idle).distinct().join(large, "c", "left_anti")
-    rows = nodes.join(busy, "c", "left_semi").select("c", F.lit(0).alias("kind"), F.col("v").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), *names)
-    rows = rows.union(inner.join(busy, "c", "left_semi").select("c", F.lit(1), "src", "dst", "w", *[F.lit(0.0)] * len(names)))
+    busy = cut(sizes.select("c").union(idle).distinct().join(large, "c", "left_anti"))
+    # a merge by community would bring a large one's rows into one task, so they go before; large ones are few
+    large, busy = (c if c.count() <= BROADCAST_ROWS else c.hint("merge") for c in (large, busy))
+    small = nodes.join(large, "c", "left_anti")
+    rows = small.join(busy, "c", "left_semi").select("c", F.lit(0).alias("kind"), F.col("v").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), *names)
+    rows = rows.union(inner.join(large, "c", "left_anti").join(busy, "c", "left_semi").select("c", F.lit(1), "src", "dst", "w", *[F.lit(0.0)] * len(names)))
     # by an expression of its own: a repartitioning by c is left out where both sides have it, and lost when they are joined otherwise at runtime
     dealt = rows.repartition(F.xxhash64("c")).sortWithinPartitions("c", "kind", "a", "b", "w")
     out = dealt.mapInPandas(run, "v long, c long")
-    out = out.union(nodes.join(busy.union(large), "c", "left_anti").select("v", F.col("v").alias("c")))
+    out = out.union(small.join(busy, "c", "left_anti").select("v", F.col("v").alias("c")))
     if large.take(1):
         both = inner.join(large, "c", "left_semi")
         both = both.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))).alias("e"), "w").select("e.v", "e.u", "w")

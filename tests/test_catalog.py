@@ -6,7 +6,7 @@ import pytest
 
 from blockgraph import catalog, graph
 from blockgraph.functions.quality import Modularity
-from blockgraph.operators import moves
+from blockgraph.operators import moves, refine
 from blockgraph.plans import cluster as plan
 from blockgraph.runtime import BROADCAST, few_broadcasts
 from blockgraph.sources import files
@@ -105,3 +105,26 @@ def test_clustering_broadcasts_small_tables_only(spark, monkeypatch):
         assert seen == [str(BROADCAST)] and spark.conf.get(key, None) is None
     finally:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def test_refinement_of_a_large_graph_broadcasts_no_vertices(spark, orders, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    query = catalog.queries()["refine_cpm"]
+    want = sorted(map(str, query(spark, orders).collect()))
+    plans, inner = [], catalog.cut
+
+    def cut(df, *args, **more):
+        # as it is planned before a stage has run: by the files' sizes
+        plans.append((df._jdf.queryExecution().sparkPlan().toString(), spark.conf.get(key)))
+        return inner(df, *args, **more)
+
+    for module in (catalog, graph):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 39)
+    for module in (catalog, refine):
+        monkeypatch.setattr(module, "cut", cut)
+    got = sorted(map(str, query(spark, orders).collect()))
+    assert got == want and "Row(metric='merged', value=1.0)" in got
+    assert len(plans) > 5 and {limit for _, limit in plans} == {str(BROADCAST)}
+    assert not [plan for plan, _ in plans if re.findall(r"BroadcastHashJoin \[(?:v|u|src|dst)#.*", plan)]
+    # the seven parents' rows stay where they are
+    assert any(re.findall(r"BroadcastHashJoin \[(?:c|cu)#.*", plan) for plan, _ in plans)
