@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import BROADCAST_ROWS, Graph
-from ..runtime import cut, drop, running, ship
+from ..runtime import cut, drop, few_broadcasts, running, ship
 from . import partition
 from .moves import Arrays, Form
 
@@ -182,6 +182,11 @@ def refine_rounds(nodes: DataFrame, inner: DataFrame, objective, m, theta: float
 
     nodes: (v, p, x0, ...), p being the community; inner: (v, u, w), its edges from both ends. Parts grow along edges.
     """
+    with few_broadcasts(nodes.sparkSession):
+        return _refine_rounds(nodes, inner, objective, m, theta, seed)
+
+
+def _refine_rounds(nodes: DataFrame, inner: DataFrame, objective, m, theta: float, seed: int) -> tuple[DataFrame, DataFrame]:
     form, names = Form.of(objective, m), [c for c in nodes.columns if c not in ("v", "p")]
     rank = F.struct(F.xxhash64("v", F.lit(seed)).alias("h"), "v")
     # to be held against a part's sums and its community's whole

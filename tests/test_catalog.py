@@ -5,7 +5,7 @@ import re
 import pytest
 
 from blockgraph import catalog, graph
-from blockgraph.functions.quality import Modularity
+from blockgraph.functions.quality import ConstantPotts, Modularity
 from blockgraph.operators import moves, refine
 from blockgraph.plans import cluster as plan
 from blockgraph.runtime import BROADCAST, few_broadcasts
@@ -128,3 +128,19 @@ def test_refinement_of_a_large_graph_broadcasts_no_vertices(spark, orders, monke
     assert not [plan for plan, _ in plans if re.findall(r"BroadcastHashJoin \[(?:v|u|src|dst)#.*", plan)]
     # the seven parents' rows stay where they are
     assert any(re.findall(r"BroadcastHashJoin \[(?:c|cu)#.*", plan) for plan, _ in plans)
+
+
+def test_refinement_by_rounds_broadcasts_small_tables_only(spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was, limits, inner = spark.conf.get(key, None), [], refine.cut
+
+    def cut(df, *args, **more):
+        limits.append(spark.conf.get(key))
+        return inner(df, *args, **more)
+
+    monkeypatch.setattr(refine, "cut", cut)
+    nodes = spark.createDataFrame([(v, 0, 1.0) for v in range(3)], "v long, p long, x0 double")
+    both = spark.createDataFrame([(0, 1, 5.0), (1, 0, 5.0)], "v long, u long, w double")
+    found, _ = refine.refine_rounds(nodes, both, ConstantPotts(0.2), 5.0, 0.01, 1)
+    assert sorted(r["c"] for r in found.collect()) in ([0, 0, 2], [1, 1, 2])
+    assert len(limits) > 5 and set(limits) == {str(BROADCAST)} and spark.conf.get(key, None) == was
